@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from .automaton import op5_bpe
+from .embedding_dedup import ORACLE as VECTORS
+from .embedding_dedup import op7_embedding_dedup
 from .line_dedup import ORACLE as LINES
 from .line_dedup import op2_line_dedup
 from .packing import op4_packing
+from .simhash import op10_simhash
+from .substring_dedup import ORACLE as WINDOWS
+from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op10_simhash": op10_simhash,
 }
 ORACLES = {
     "op2_line_dedup": LINES,
+    "op6_substring_dedup": WINDOWS,
+    "op7_embedding_dedup": VECTORS,
 }
