@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import chunks, text_buffers, words
+
 CAPACITY = 4096
 SHARD_WINDOWS = 256
 MAX_ITEM = 1024
@@ -114,14 +116,19 @@ def plan(lengths: list[int], capacity: int, max_item: int) -> list[tuple[int, in
     return pieces
 
 
-class ChunkEncoder:
-    """Token ids of a text through the ``tokenizers`` library, remembered for each run of characters between blanks.
+class BulkEncoder:
+    """Token ids through the ``tokenizers`` library, asked once for each word that a task doesn't remember.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its chunks in a row.
+    The vocabulary drops white space and never joins across it, lower-cases, and splits a comma or full stop off a word before white
+    space.  So texts are cut at blanks and line ends and before such a mark, lower-cased in ASCII, and hashed as byte
+    arrays; the distinct words of a block of texts are looked up by hash, and new ones go to the library many
+    at a time.  Blocks with combining marks or what may be a special token are neither lower-cased nor cut at marks.
     """
 
-    CHUNKS = 250_000
+    WORDS = 600_000
     LONGEST = 64
+    TOGETHER = 500
+    BLOCK = 1 << 21
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -130,27 +137,74 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.CHUNKS:
-            self.known = {"": b""}
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        known, fresh = self.known, list(set().union(*split) - self.known.keys())
-        extra = {}
-        for chunk, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            (known if len(chunk) <= self.LONGEST else extra)[chunk] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
-    return _ENCODERS.setdefault(path, ChunkEncoder(path)) if path not in _ENCODERS else _ENCODERS[path]
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
+
+    def ask(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold no blank, from the library."""
+        out: list[bytes] = []
+        lines = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4").tobytes()
+            starts = np.cumsum([0] + [len(x) + 1 for x in line])
+            cuts = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts).tolist()
+            out += [ids[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in ``data`` one after the other, and where each text's begin and end."""
+        if len(self.known) > self.WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        solid = _SOLID[data]
+        plain = not (_MARKS[data].any() or b"<|" in data.tobytes())
+        cuts = None
+        if plain:
+            cuts = np.zeros(len(data), bool)
+            cuts[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
+            cuts[:-1] &= ~solid[1:] | np.isin(np.arange(1, len(data)), offsets)
+            data = _LOWER[data]
+        starts, stops, hashes = words(data, offsets, solid, cuts)
+        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        got = [known.get(h) for h in keys]
+        holes = [i for i, x in enumerate(got) if x is None]
+        fresh = []
+        for i in holes:
+            if (x := older.get(keys[i])) is None:
+                fresh.append(i)
+            else:
+                got[i] = known[keys[i]] = x
+        spans = list(zip(starts[at[fresh]].tolist(), stops[at[fresh]].tolist(), strict=True)) if fresh else []
+        for i, (a, b), x in zip(fresh, spans, self.ask([data[a:b].tobytes().decode() for a, b in spans]), strict=True):
+            got[i] = x
+            if b - a <= self.LONGEST:
+                known[keys[i]] = x
+        pool = np.frombuffer(b"".join(got), "<u4")
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        begins = np.cumsum(lengths) - lengths
+        lengths, begins = lengths[inverse], begins[inverse]
+        ends = np.cumsum(lengths)
+        ids = pool[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(starts, offsets)]
+
+
+_SOLID, _STOP, _LETTER, _MARKS = (np.zeros(256, bool) for _ in range(4))
+_SOLID[:] = True
+_SOLID[[10, 32]] = False
+_STOP[[ord(","), ord(".")]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Lead bytes of U+0300 to U+037F, the combining marks.
+_MARKS[[0xCC, 0xCD]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ENCODERS: dict[str, BulkEncoder] = {}
+
+
+def encoder(path: str) -> BulkEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = BulkEncoder(path)
+    return _ENCODERS[path]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, max_item: int = MAX_ITEM, shard_windows: int = SHARD_WINDOWS, ids: bool = False) -> DataFrame:
@@ -183,11 +237,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separat
         target = shard_windows * capacity
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(doc_ids), 128):
-                part = [x or "" for x in texts.slice(at, 128).to_pylist()]
-                for doc, b in zip(doc_ids[at : at + 128], enc.encode(part), strict=True):
-                    waiting.append((doc, b + tail))
-                    held += len(b) // 4 + 1
+            data, offsets = text_buffers(texts)
+            for a, b in chunks(offsets, enc.BLOCK):
+                found, cuts = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for doc, x, y in zip(doc_ids[a:b], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    waiting.append((doc, found[x:y].tobytes() + tail))
+                    held += y - x + 1
                 while held >= 2 * target and len(waiting) > 1:
                     n = total = 0
                     while total < target:
