@@ -51,3 +51,8 @@ def split_of(doc_id: str = "doc_id"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the Arrow batches of this session by bytes: rows here can be whole blocks of documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

@@ -5,19 +5,27 @@ from __future__ import annotations
 from .automaton import op5_bpe
 from .embedding_dedup import ORACLE as VECTORS
 from .embedding_dedup import op7_embedding_dedup
+from .hilbert_search import op8_hilbert_search
+from .html_text import op3_html_text
 from .line_dedup import ORACLE as LINES
 from .line_dedup import op2_line_dedup
 from .packing import op4_packing
+from .quality import op1_quality
 from .simhash import op10_simhash
 from .substring_dedup import ORACLE as WINDOWS
 from .substring_dedup import op6_substring_dedup
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_hilbert_search": op8_hilbert_search,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 ORACLES = {
