@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .words import chunks, mix, text_buffers, words
 
 WINDOW = 13
-FLUSH_WINDOWS = 2_000_000
-BUCKET_BYTES = 4 << 20
+FLUSH_WINDOWS = 1_000_000
+BUCKET_BYTES = 2 << 20
 MOST_BUCKETS = 1 << 16
 BLOCKS = "slot int, kind int, payload binary"
 
@@ -161,7 +162,7 @@ def in_parts(rows: list[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterato
 
 
 def bucket_bits(docs: DataFrame) -> int:
-    """So many leading hash bits that a bucket holds about a million windows, by the plan's estimate of its size."""
+    """So many leading hash bits that a bucket holds about half a million windows, by the plan's estimate of its size."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(4, min(MOST_BUCKETS, size // BUCKET_BYTES).bit_length())
 
@@ -263,6 +264,7 @@ def removal(text: bytes, lost: np.ndarray, window: int) -> tuple[int, np.ndarray
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and spans (maximal removed word ranges); with ``digest`` only doc_id, the counts and kept_sha256."""
     spark = docs.sparkSession
+    small_batches(spark)
     bits = bucket_bits(docs)
     groups, tasks = 1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
