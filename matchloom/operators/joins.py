@@ -50,14 +50,12 @@ def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: s
     task and the join stays an equi-join.
     """
     p = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
-    s = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    keys = [*by, "_bucket"]
-    inside = (p[at] >= s[start]) & (p[at] <= s[end])
-    same = [p[k].eqNullSafe(s[k]) if how == "left" else p[k] == s[k] for k in keys]
-    condition = inside
-    for c in same:
-        condition = condition & c
-    return p.join(s, condition, how).drop(*[s[k] for k in keys]).drop("_bucket")
+    s = spans.withColumn("_slot", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+    s = s.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    condition = (F.col("_bucket") == F.col("_slot")) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
+    for k in by:
+        condition = condition & (F.col(k) == F.col(f"_by_{k}"))
+    return p.join(s, condition, how).drop("_bucket", "_slot", *[f"_by_{k}" for k in by])
 
 
 def overlay(base: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:

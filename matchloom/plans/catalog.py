@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_sequence
+from . import q_relational, q_sequence
 
-_MODULES = (q_sequence,)
+_MODULES = (q_sequence, q_relational)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in _MODULES:
