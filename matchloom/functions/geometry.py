@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vocab import DESTINATION_ROWS, GOAL_WIDTH, GRID_COLUMNS, GRID_ROWS, PITCH_X, PITCH_Y
@@ -21,6 +21,15 @@ def at_6(x: Column) -> Column:
     return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
+def held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row.
+
+    The optimizer copies a projected expression to every place that names it, also into lambdas and pushed filters; a generator of one row stops
+    that, at no shuffle.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def distance(x, y, to_x, to_y) -> Column:
     dx, dy = num(x) - num(to_x), num(y) - num(to_y)
     return F.sqrt(dx * dx + dy * dy)

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input has fewer splits than that: worth it before rows are unfolded hundreds of times."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions without their number in the match: no shuffle."""
     e = table(spark, sf_dir, "events")
