@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE
+from .common import ASCII_SPACE, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_KEY = 10
@@ -44,6 +44,8 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MI
     else:
         per_document = lines.groupBy("_h1", "_h2", "doc_id").agg(F.lit(1).alias("_one"))
         keys = per_document.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_documents).drop("_n")
+    # cut, so that both sides of the join are exchanges of its own and adaptive execution can split a hot line's
+    keys = cut(keys)
     drops = (
         lines.join(keys, ["_h1", "_h2"])
         .where("doc_id > _first")
