@@ -188,14 +188,14 @@ def player_scores(spark, d):
 , o AS ({sql_options('a', 0, 'team')})
 , p AS (SELECT o.*, CASE WHEN spadl_type = 'goalkick' THEN object_id END AS tk FROM o JOIN a USING (event_id))
 , q AS (SELECT *, CASE WHEN tk IS NOT NULL AND option = tk THEN 0 ELSE select_p END AS sp FROM p)
-SELECT event_id, option, floor((CASE WHEN tk IS NULL THEN sp ELSE sp / sum(sp) OVER (PARTITION BY event_id) END) * 1e7 + 0.5) / 1e7 AS select_p, {R6.format('CASE WHEN tk IS NOT NULL AND option = tk THEN 0 ELSE success_p END')} AS success_p FROM q"""
+SELECT event_id, option, floor((CASE WHEN tk IS NULL THEN sp ELSE sp / sum(sp) OVER (PARTITION BY event_id) END) * 1e10 + 0.5) / 1e10 AS select_p, {R6.format('CASE WHEN tk IS NOT NULL AND option = tk THEN 0 ELSE success_p END')} AS success_p FROM q"""
     ),
 )
 def set_piece_options(spark, d):
     """Options with the takers of set pieces taken out."""
     a = lens.raw_actions(spark, d)
     out = C.adjusted_set_pieces(options(a), a, "event_id", "object_id", "spadl_type")
-    share = F.floor(F.col("select_p") * F.lit(1e7) + F.lit(0.5)) / F.lit(1e7)
+    share = F.floor(F.col("select_p") * F.lit(1e10) + F.lit(0.5)) / F.lit(1e10)
     return out.select("event_id", "option", share.alias("select_p"), G.at_6(F.col("success_p")).alias("success_p"))
 
 
