@@ -125,7 +125,7 @@ class BulkEncoder:
     at a time.  Blocks with combining marks or what may be a special token are neither lower-cased nor cut at marks.
     """
 
-    WORDS = 600_000
+    WORDS = 400_000
     LONGEST = 64
     TOGETHER = 500
     BLOCK = 1 << 21
