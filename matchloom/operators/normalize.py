@@ -112,7 +112,7 @@ def to_actions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     from .joins import receiver_end
     from .relational import reasons
-    from .sequence import PERIOD, previous_known
+    from .sequence import by_period, previous_known
 
     marked = reasons(events, [("no_type", F.col("spadl_type").isNull()), ("negative_time", F.col("seconds") < 0), ("no_player", F.col("object_id").isNull())])
     kept = marked.where("reason = 'kept'").drop("reason")
@@ -121,7 +121,7 @@ def to_actions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     for c, top in (("start_x", PITCH_X), ("start_y", PITCH_Y)):
         kept = kept.withColumn(c, F.greatest(F.lit(0.0), F.least(F.lit(top), F.coalesce(F.col(c), F.when(F.col("spadl_type") == "foul", previous_known(c))))))
     ends = receiver_end(kept)
-    nx, ny = F.lead("start_x").over(PERIOD), F.lead("start_y").over(PERIOD)
+    nx, ny = F.lead("start_x").over(by_period()), F.lead("start_y").over(by_period())
     clear = F.col("spadl_type") == "clearance"
     ends = ends.withColumns({"_nx": nx, "_ny": ny})
     ends = ends.withColumns({"end_x": F.when(clear, F.coalesce("_nx", "start_x")).otherwise(F.coalesce("end_x", "end_from_x", "_nx", "start_x")), "end_y": F.when(clear, F.coalesce("_ny", "start_y")).otherwise(F.coalesce("end_y", "end_from_y", "_ny", "start_y"))})

@@ -9,32 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.vocab import DEFENSIVE_TOUCH, PASSES, RESTART_FOUL, RESTART_OUT, SHOTS, VALUE_GRID_TYPES
 
-MATCH = W.partitionBy("match_id").orderBy("action_id")
-PERIOD = W.partitionBy("match_id", "period_id").orderBy("action_id")
+
+def by_match() -> WindowSpec:
+    """Rows of a match in order."""
+    return W.partitionBy("match_id").orderBy("action_id")
+
+
+def by_period() -> WindowSpec:
+    """Rows of a period in order."""
+    return W.partitionBy("match_id", "period_id").orderBy("action_id")
 
 
 def next_action(events: DataFrame) -> DataFrame:
     """Adds next_player_id and next_type within the period."""
-    return events.withColumns({"next_player_id": F.lead("object_id").over(PERIOD), "next_type": F.lead("spadl_type").over(PERIOD)})
+    return events.withColumns({"next_player_id": F.lead("object_id").over(by_period()), "next_type": F.lead("spadl_type").over(by_period())})
 
 
 def previous_known(value: str | Column) -> Column:
     """The last value before this row in the period that is not null."""
-    return F.last(value, ignorenulls=True).over(PERIOD.rowsBetween(W.unboundedPreceding, -1))
+    return F.last(value, ignorenulls=True).over(by_period().rowsBetween(W.unboundedPreceding, -1))
 
 
-def filled(value: str | Column, window=PERIOD) -> Column:
-    """The last value up to this row that is not null."""
-    return F.last(value, ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, 0))
+def filled(value: str | Column, window: WindowSpec | None = None) -> Column:
+    """The last value up to this row that is not null, in its period unless another window is given."""
+    return F.last(value, ignorenulls=True).over((window or by_period()).rowsBetween(W.unboundedPreceding, 0))
 
 
 def event_seconds(ts: str = "ts") -> Column:
     """Seconds since the period's first event."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return (micros - F.first(micros).over(PERIOD)) / F.lit(1e6)
+    return (micros - F.first(micros).over(by_period())) / F.lit(1e6)
 
 
 def frame_number(seconds: Column, fps: int = 25) -> Column:
@@ -60,7 +68,7 @@ def future_returns(events: DataFrame, ahead: int = 10) -> DataFrame:
 
     A goal is a successful row with an expected goal.  Each team's outlook is one window aggregate; a row then picks its own.
     """
-    w = PERIOD.rowsBetween(0, ahead - 1)
+    w = by_period().rowsBetween(0, ahead - 1)
     goal = F.col("expected_goal").isNotNull() & F.coalesce("success", F.lit(False))
     xg = F.coalesce("expected_goal", F.lit(0.0))
 
@@ -89,8 +97,8 @@ def discounted_returns(events: DataFrame, gamma: float = 0.95) -> DataFrame:
     """
     xg = F.coalesce("expected_goal", F.lit(0.0))
     goal = (xg > 0) & F.coalesce("success", F.lit(False))
-    ends = goal | (F.lead("period_id").over(MATCH) != F.col("period_id")) | (F.lead("spadl_type").over(MATCH) == "goalkick")
-    segment = F.coalesce(F.sum(F.when(F.coalesce(ends, F.lit(False)), 1).otherwise(0)).over(MATCH.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = goal | (F.lead("period_id").over(by_match()) != F.col("period_id")) | (F.lead("spadl_type").over(by_match()) == "goalkick")
+    segment = F.coalesce(F.sum(F.when(F.coalesce(ends, F.lit(False)), 1).otherwise(0)).over(by_match().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = events.withColumn("_segment", segment)
     by = W.partitionBy("match_id", "_segment").orderBy("action_id")
     shot = F.when(xg > 0, F.struct(F.col("action_id").alias("at"), F.col("team").alias("team"), xg.alias("xg")))
@@ -105,13 +113,13 @@ def discounted_returns(events: DataFrame, gamma: float = 0.95) -> DataFrame:
     return rows.withColumn("_ahead", ahead).withColumns({"scores_xg_disc": outlook(True), "concedes_xg_disc": outlook(False)}).drop("_ahead", "_segment")
 
 
-def value_returns(events: DataFrame, ahead: int = 5, kinds=VALUE_GRID_TYPES, by_period: bool = False) -> DataFrame:
+def value_returns(events: DataFrame, ahead: int = 5, kinds=VALUE_GRID_TYPES, each_period: bool = False) -> DataFrame:
     """Adds scores_xt and concedes_xt: the largest grid value (column xt) among the next ``ahead`` eligible rows, per team; 0 without any.
 
     Eligible rows are numbered; a row looks at numbers n+1 to n+ahead, a range frame on the running number.  Periods aren't
     separated unless asked for.
     """
-    keys = ["match_id", "period_id"] if by_period else ["match_id"]
+    keys = ["match_id", "period_id"] if each_period else ["match_id"]
     ordered = W.partitionBy(*keys).orderBy("action_id")
     eligible = F.col("spadl_type").isin(*kinds) & F.col("xt").isNotNull() & F.col("team").isin("home", "away")
     numbered = events.withColumns({"_eligible": eligible, "_n": F.sum(F.when(eligible, 1).otherwise(0)).over(ordered)})
@@ -138,7 +146,7 @@ def pass_actions(events: DataFrame) -> DataFrame:
 
 def dribble_actions(events: DataFrame, kinds=("take_on", "dispossessed")) -> DataFrame:
     """Dribbles but for the last row of a period; the receipt is the next row."""
-    e = next_action(events).withColumn("_frame", F.lead("frame_id").over(MATCH)).withColumn("_last", F.lead("action_id").over(PERIOD).isNull())
+    e = next_action(events).withColumn("_frame", F.lead("frame_id").over(by_match())).withColumn("_last", F.lead("action_id").over(by_period()).isNull())
     out = e.where(F.col("spadl_type").isin(*kinds) & F.col("frame_id").isNotNull() & ~F.col("_last"))
     lost = F.col("spadl_type") == "dispossessed"
     return out.withColumns({"action_type": F.lit("dribble"), "success": F.when(lost, F.lit(False)).otherwise(F.col("success")), "receiver_id": F.col("next_player_id"), "receive_frame_id": F.col("_frame")}).drop("_frame", "_last")
@@ -153,7 +161,7 @@ def shot_actions(events: DataFrame) -> DataFrame:
 def first_after(condition: Column, value: Column, offset: int = 1, within: int | None = None) -> Column:
     """Value of the first row from ``offset`` rows on (``within`` rows at most) that meets the condition, in the period."""
     last = W.unboundedFollowing if within is None else within
-    return F.first(F.when(condition, value), ignorenulls=True).over(PERIOD.rowsBetween(offset, last))
+    return F.first(F.when(condition, value), ignorenulls=True).over(by_period().rowsBetween(offset, last))
 
 
 def post_actions(events: DataFrame) -> DataFrame:
@@ -168,10 +176,10 @@ def post_actions(events: DataFrame) -> DataFrame:
     touch = F.col("spadl_type").isin(*DEFENSIVE_TOUCH)
     e = e.withColumns(
         {
-            "_next": F.lead(here).over(PERIOD),
+            "_next": F.lead(here).over(by_period()),
             "_clear": first_after(~touch & F.col("frame_id").isNotNull(), here, 2),
             "_set": first_after(F.col("spadl_type").isin(*RESTART_FOUL), here, 1),
-            "_won": F.first(F.when((F.col("spadl_type") == "foul") & F.col("success"), here), ignorenulls=True).over(PERIOD.rowsBetween(0, 4)),
+            "_won": F.first(F.when((F.col("spadl_type") == "foul") & F.col("success"), here), ignorenulls=True).over(by_period().rowsBetween(0, 4)),
         }
     )
     usable_set = F.col("_set.frame").isNotNull() & (F.col("_set.at") < F.col("action_id") + 5)
@@ -200,7 +208,7 @@ def post_actions(events: DataFrame) -> DataFrame:
 def inserted_dribbles(events: DataFrame, gap: int = 5) -> DataFrame:
     """Dribbles between a receipt and the same player's next action at least ``gap`` frames later, as rows of their own."""
     nxt = F.struct("object_id", "spadl_type", "frame_id", "start_x", "start_y")
-    e = events.withColumn("_n", F.lead(nxt).over(PERIOD))
+    e = events.withColumn("_n", F.lead(nxt).over(by_period()))
     fits = ~F.col("offside") & ~F.col("_n.spadl_type").isin(*RESTART_OUT) & (F.col("_n.frame_id") - F.col("receive_frame_id") >= gap) & (F.col("_n.object_id") == F.col("receiver_id"))
     return e.where(fits).select(
         "match_id",
@@ -222,7 +230,7 @@ def inserted_dribbles(events: DataFrame, gap: int = 5) -> DataFrame:
 
 def one_touch(frames: int = 3) -> Column:
     """Whether the action comes within ``frames`` frames of the previous receipt."""
-    return F.coalesce(F.col("frame_id") < F.lag("receive_frame_id").over(MATCH) + frames, F.lit(False))
+    return F.coalesce(F.col("frame_id") < F.lag("receive_frame_id").over(by_match()) + frames, F.lit(False))
 
 
 def until_last_synced(events: DataFrame, synced: Column) -> DataFrame:
@@ -241,5 +249,5 @@ def jump_free_prefix(frames: DataFrame, order: str = "frame_id") -> DataFrame:
 def without_self_passes(events: DataFrame, seconds: float = 5.0, ts: str = "ts") -> DataFrame:
     """Drops a row that the same player follows within ``seconds`` by an action of the same kind in the period."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    soon = (F.lead("object_id").over(PERIOD) == F.col("object_id")) & (F.lead(micros).over(PERIOD) - micros <= F.lit(int(seconds * 1e6))) & (F.col("spadl_type") == "pass")
+    soon = (F.lead("object_id").over(by_period()) == F.col("object_id")) & (F.lead(micros).over(by_period()) - micros <= F.lit(int(seconds * 1e6))) & (F.col("spadl_type") == "pass")
     return events.withColumn("_self", F.coalesce(soon, F.lit(False))).where(~F.col("_self")).drop("_self")

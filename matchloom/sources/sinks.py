@@ -18,9 +18,9 @@ def write_table(rows: DataFrame, path: str, by: str = "match_id", mode: str = "o
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written there completely; any store that Spark knows."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(of(path)) and not fs.exists(of(f"{path}/_temporary"))
 
 
 def append_results(rows: DataFrame, path: str, run: str) -> None:
