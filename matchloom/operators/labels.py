@@ -158,30 +158,53 @@ def sanitized_xg(events: DataFrame, column: str = "expected_goal") -> DataFrame:
     return events.withColumn(column, F.when(F.col("spadl_type").isin(*SHOTS), F.expr(f"try_cast({column} AS double)")))
 
 
-#: Task: (action types, keep failures only / successes only / None, needs an intent, needs the ball in play, shortest duration).
+# Tasks as (kind, passes, dribbles, shots, intent needed, goals as nodes, condition, output filter, outputs).
 TASKS = {
-    "intent": (("pass",), None, True, False, 0.0),
-    "destination": (("pass",), None, True, True, 0.2),
-    "pass_success": (("pass",), None, True, False, 0.0),
-    "receiver": (("pass",), False, True, False, 0.0),
-    "shot_block": (("shot",), None, False, False, 0.0),
-    "scoring_success": (("pass", "dribble"), True, False, False, 0.0),
-    "scoring_failure": (("pass", "dribble"), False, False, False, 0.0),
+    "overall_scoring": ("graph_binary", True, True, True, False, False, None, None, 1),
+    "overall_conceding": ("graph_binary", True, True, True, False, False, None, None, 1),
+    "overall_return": ("graph_regression", True, True, True, False, False, None, None, 1),
+    "action_intent": ("node_selection", True, True, True, True, True, None, "teammates", 1),
+    "pass_intent": ("node_selection", True, False, False, True, False, None, "teammates", 1),
+    "pass_intent_oppo_agn": ("node_selection", True, False, False, True, False, None, "teammates", 1),
+    "action_success": ("node_binary", True, True, True, True, True, "intent", "teammates", 1),
+    "pass_success": ("node_binary", True, True, False, True, False, "intent", "teammates", 1),
+    "shot_blocking": ("graph_binary", True, False, True, False, True, None, None, 1),
+    "intent_return": ("node_binary", True, True, False, True, False, "intent", "teammates", 2),
+    "intent_return_oppo_agn": ("node_binary", True, True, False, True, False, "intent", "teammates", 2),
+    "outcome_scoring": ("node_binary", True, True, False, True, False, "success", "teammates", 2),
+    "outcome_conceding": ("node_binary", True, True, False, True, False, "success", "teammates", 2),
+    "outcome_return": ("node_regression", True, True, False, True, False, "success", "teammates", 2),
+    "success_receiver": ("node_selection", True, False, False, True, False, "direction", "teammates", 1),
+    "failure_receiver": ("node_selection", True, True, True, True, True, "intent", "opponents", 1),
+    "pass_dest": ("graph_multiclass", True, False, False, True, False, None, None, 1),
+    "pass_dest_oppo_agn": ("graph_multiclass", True, False, False, True, False, None, None, 1),
+    "dest_receiver": ("node_selection", True, False, False, True, False, "destination", None, 1),
+    "dest_scoring": ("graph_binary", True, False, False, True, False, "success", None, 2),
+    "dest_conceding": ("graph_binary", True, False, False, True, False, "success", None, 2),
 }
 
 
-def task_rows(rows: DataFrame, task: str) -> DataFrame:
-    """Rows that a task learns from."""
-    kinds, success, intent, in_play, duration = TASKS[task]
+def task_rows(rows: DataFrame, task: str, in_play: bool = False, shortest_pass: float = 0.0, shots_only: bool = False) -> DataFrame:
+    """Rows that a task learns from (action_type, success, blocked, intent_id, receiver_id, duration).
+
+    Tasks whose name begins with success or failure take those actions only; shots count as such by being blocked or not.
+    """
+    _, passes, dribbles, shots, intent, *_ = TASKS[task]
+    kinds = [k for k, on in (("pass", passes), ("dribble", dribbles), ("shot", shots)) if on]
+    shot = F.col("action_type") == "shot"
     keep = F.col("action_type").isin(*kinds)
-    if success is not None:
-        keep = keep & (F.col("success") == F.lit(success))
+    if task == "shot_blocking" and shots_only:
+        keep = keep & shot
+    if task.startswith("success"):
+        keep = keep & F.when(shot, ~F.col("blocked")).otherwise(F.col("success"))
+    if task.startswith("failure"):
+        keep = keep & F.when(shot, F.col("blocked")).otherwise(~F.col("success"))
     if intent:
         keep = keep & F.col("intent_id").isNotNull()
     if in_play:
         keep = keep & (F.col("receiver_id") != "out")
-    if duration:
-        keep = keep & (F.col("duration") >= duration)
+    if shortest_pass > 0:
+        keep = keep & ((F.col("action_type") != "pass") | (F.col("duration") >= shortest_pass))
     return rows.where(F.coalesce(keep, F.lit(False)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vocab import PITCH_X, PITCH_Y
+from ..functions.vocab import PITCH_X, PITCH_Y, SHOTS
 
 
 def period_bounds(events: DataFrame, kickoff: str = "KickOff", whistle: str = "FinalWhistle") -> DataFrame:
@@ -55,38 +55,32 @@ def keeper_oriented(events: DataFrame, keepers: DataFrame) -> DataFrame:
     return out.withColumns({"start_x": F.when(turn, half_up(PITCH_X - F.col("start_x"))).otherwise(F.col("start_x")), "start_y": F.when(turn, half_up(PITCH_Y - F.col("start_y"))).otherwise(F.col("start_y"))}).drop("_h", "_a")
 
 
-def strict_type(kind: Column, set_piece: Column, cross: Column) -> Column:
-    """Action type by raw type and set piece; later rules win, what fits none is null."""
+def strict_type(kind: Column, set_piece: Column) -> Column:
+    """Action type of a raw type (Pass, Cross, Shot, Foul) and set piece; what is none of them has none."""
     return (
-        F.when(set_piece == "penalty", "shot_penalty")
-        .when((set_piece == "free_kick") & (kind == "shot"), "shot_freekick")
-        .when((set_piece == "free_kick") & cross, "freekick_crossed")
-        .when(set_piece == "free_kick", "freekick_short")
-        .when((set_piece == "corner_kick") & cross, "corner_crossed")
-        .when(set_piece == "corner_kick", "corner_short")
-        .when(set_piece == "throw_in", "throw_in")
-        .when(set_piece == "goal_kick", "goalkick")
-        .when(kind == "shot", "shot")
-        .when((kind == "pass") & cross, "cross")
-        .when(kind.isin("pass", "foul", "tackle", "clearance", "take_on", "interception", "dispossessed", "bad_touch", "ball_recovery"), kind)
+        F.when(kind == "Pass", F.when(set_piece == "ThrowIn", "throw_in").when(set_piece == "GoalKick", "goalkick").when(set_piece == "CornerKick", "corner_short").when(set_piece == "FreeKick", "freekick_short").otherwise("pass"))
+        .when(kind == "Cross", F.when(set_piece == "CornerKick", "corner_crossed").when(set_piece == "FreeKick", "freekick_crossed").otherwise("cross"))
+        .when(kind == "Shot", F.when(set_piece == "FreeKick", "shot_freekick").when(set_piece == "Penalty", "shot_penalty").otherwise("shot"))
+        .when(kind == "Foul", "foul")
     )
 
 
-# Result and body-part ids.
+# Result and body-part ids of the action format.
 RESULTS = {"fail": 0, "success": 1, "offside": 2, "owngoal": 3, "yellow_card": 4, "red_card": 5}
-BODY_PARTS = {"foot": 0, "head": 1, "other": 2, "head/other": 3}
+BODY_PARTS = {"foot": 0, "head": 1, "other": 2, "head/other": 3, "foot_left": 4, "foot_right": 5}
+PASS_LIKE = ("pass", "cross", "throw_in", "freekick_crossed", "freekick_short", "corner_crossed", "corner_short", "goalkick")
 
 
-def result_id(success: Column, offside: Column, card: Column | None = None) -> Column:
-    """Result id; offside and cards come first."""
-    out = F.when(offside, RESULTS["offside"])
-    if card is not None:
-        out = out.when(card == "red", RESULTS["red_card"]).when(card == "yellow", RESULTS["yellow_card"])
-    return out.when(success, RESULTS["success"]).otherwise(RESULTS["fail"])
+def result_id(kind: Column, result: Column, success: Column) -> Column:
+    """Result id: a pass that was offside, else success of passes and shots, else failure (fouls always fail)."""
+    pass_like, shot = kind.isin(*PASS_LIKE), kind.isin(*SHOTS)
+    return F.when((F.lower(result) == "offside") & pass_like, RESULTS["offside"]).when((pass_like | shot) & success, RESULTS["success"]).otherwise(RESULTS["fail"])
 
 
-def body_part_id(part: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in BODY_PARTS.items() for x in kv])[F.lower(part)], F.lit(BODY_PARTS["foot"]))
+def body_part_id(kind: Column, part: Column) -> Column:
+    """Body-part id: feet for passes, hands (other) for throw-ins, what is told for shots, other for the rest."""
+    shot = F.when(part == "Head", BODY_PARTS["head"]).when(part == "LeftFoot", BODY_PARTS["foot_left"]).when(part == "RightFoot", BODY_PARTS["foot_right"]).otherwise(BODY_PARTS["foot"])
+    return F.when(kind == "throw_in", BODY_PARTS["other"]).when(kind.isin(*SHOTS), shot).when(kind.isin(*PASS_LIKE), BODY_PARTS["foot"]).otherwise(BODY_PARTS["other"])
 
 
 def contextual_type(events: DataFrame) -> DataFrame:

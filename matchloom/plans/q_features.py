@@ -348,7 +348,7 @@ def label_rows(spark, d):
 def task_filter(spark, d):
     """Rows of the destination task."""
     a = with_intent(spark, d, lens.actions(spark, d)).withColumn("duration", (F.col("receive_frame_id") - F.col("frame_id")) / F.lit(25.0))
-    return L.task_rows(a, "destination").select("event_id")
+    return L.task_rows(a, "pass_dest", in_play=True, shortest_pass=0.2).select("event_id")
 
 
 @query("l08_rotated_for_xg", with_actions(", t AS (SELECT match_id, period_id, team, avg(start_x) > 52.5 AS turn FROM a WHERE spadl_type = 'shot' GROUP BY ALL) SELECT a.event_id, CASE WHEN coalesce(turn, false) THEN 105.0::DOUBLE - start_x ELSE start_x END AS start_x, CASE WHEN coalesce(turn, false) THEN 68.0::DOUBLE - start_y ELSE start_y END AS start_y FROM a LEFT JOIN t ON a.match_id = t.match_id AND a.period_id = t.period_id AND a.team = t.team"))

@@ -76,19 +76,38 @@ def keeper_oriented(spark, d):
     return N.keeper_oriented(a, keepers).select("event_id", "start_x")
 
 
-@query("n09_strict_types", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'shot_penalty' WHEN event_id % 9 = 1 AND event_type = 'purchase' THEN 'shot_freekick' WHEN event_id % 9 = 1 AND value > 50 THEN 'freekick_crossed' WHEN event_id % 9 = 1 THEN 'freekick_short' WHEN event_id % 9 = 2 AND value > 50 THEN 'corner_crossed' WHEN event_id % 9 = 2 THEN 'corner_short' WHEN event_id % 9 = 3 THEN 'throw_in' WHEN event_type = 'purchase' THEN 'shot' WHEN event_type = 'view' AND value > 50 THEN 'cross' WHEN event_type = 'view' THEN 'pass' WHEN event_type = 'error' THEN 'foul' END AS spadl_type FROM events")
+RAW = "CASE event_type WHEN 'view' THEN 'Pass' WHEN 'click' THEN 'Cross' WHEN 'purchase' THEN 'Shot' WHEN 'error' THEN 'Foul' ELSE 'Recovery' END"
+PIECE = "CASE event_id % 9 WHEN 0 THEN 'Penalty' WHEN 1 THEN 'FreeKick' WHEN 2 THEN 'CornerKick' WHEN 3 THEN 'ThrowIn' WHEN 4 THEN 'GoalKick' END"
+STRICT = f"""WITH e AS (SELECT event_id, value, {RAW} AS k, {PIECE} AS p FROM events), t AS (SELECT *, CASE k WHEN 'Pass' THEN CASE p WHEN 'ThrowIn' THEN 'throw_in' WHEN 'GoalKick' THEN 'goalkick' WHEN 'CornerKick' THEN 'corner_short' WHEN 'FreeKick' THEN 'freekick_short' ELSE 'pass' END
+  WHEN 'Cross' THEN CASE p WHEN 'CornerKick' THEN 'corner_crossed' WHEN 'FreeKick' THEN 'freekick_crossed' ELSE 'cross' END WHEN 'Shot' THEN CASE p WHEN 'FreeKick' THEN 'shot_freekick' WHEN 'Penalty' THEN 'shot_penalty' ELSE 'shot' END WHEN 'Foul' THEN 'foul' END AS spadl_type FROM e)"""
+
+
+def strictly_typed(spark, d):
+    m = F.col("event_id") % 9
+    piece = F.when(m == 0, "Penalty").when(m == 1, "FreeKick").when(m == 2, "CornerKick").when(m == 3, "ThrowIn").when(m == 4, "GoalKick")
+    kind = F.when(F.col("event_type") == "view", "Pass").when(F.col("event_type") == "click", "Cross").when(F.col("event_type") == "purchase", "Shot").when(F.col("event_type") == "error", "Foul").otherwise("Recovery")
+    return table(spark, d, "events").withColumn("spadl_type", N.strict_type(kind, piece))
+
+
+@query("n09_strict_types", STRICT + " SELECT event_id, spadl_type FROM t")
 def strict_types(spark, d):
     """Action types from raw types and set pieces."""
-    m = F.col("event_id") % 9
-    piece = F.when(m == 0, "penalty").when(m == 1, "free_kick").when(m == 2, "corner_kick").when(m == 3, "throw_in")
-    kind = F.when(F.col("event_type") == "purchase", "shot").when(F.col("event_type") == "view", "pass").when(F.col("event_type") == "error", "foul").otherwise("other")
-    return table(spark, d, "events").select("event_id", N.strict_type(kind, piece, F.col("value") > 50).alias("spadl_type"))
+    return strictly_typed(spark, d).select("event_id", "spadl_type")
 
 
-@query("n12_result_ids", with_actions("SELECT event_id, CASE WHEN offside THEN 2 WHEN success THEN 1 ELSE 0 END AS result_id, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS bodypart_id FROM a"))
+@query(
+    "n12_result_ids",
+    STRICT
+    + """ SELECT event_id, CASE WHEN event_id % 29 = 0 AND spadl_type IN ('pass', 'cross', 'throw_in', 'freekick_crossed', 'freekick_short', 'corner_crossed', 'corner_short', 'goalkick') THEN 2 WHEN spadl_type IS NOT NULL AND spadl_type <> 'foul' AND value < 60 THEN 1 ELSE 0 END AS result_id,
+CASE WHEN spadl_type = 'throw_in' THEN 2 WHEN spadl_type LIKE 'shot%' THEN CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 0 END WHEN spadl_type IS NULL OR spadl_type = 'foul' THEN 2 ELSE 0 END AS bodypart_id FROM t""",
+)
 def result_ids(spark, d):
-    part = F.when(F.col("k") % 3 == 0, "Foot").when(F.col("k") % 3 == 1, "head").otherwise("other")
-    return lens.raw_actions(spark, d).select("event_id", N.result_id(F.col("success"), F.col("offside")).alias("result_id"), N.body_part_id(part).alias("bodypart_id"))
+    """Result and body-part ids."""
+    m = F.col("event_id") % 4
+    part = F.when(m == 0, "Head").when(m == 1, "LeftFoot").when(m == 2, "RightFoot")
+    result = F.when(F.col("event_id") % 29 == 0, "Offside")
+    k = F.col("spadl_type")
+    return strictly_typed(spark, d).select("event_id", N.result_id(k, result, F.col("value") < 60).alias("result_id"), N.body_part_id(k, part).alias("bodypart_id"))
 
 
 def typed(a):

@@ -10,12 +10,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Vendor position codes and their names.
+# Vendor position codes and their names; no code is unknown.
 POSITIONS = {
-    "TW": "goal_keeper", "IVR": "center_back", "IVL": "center_back", "IVZ": "center_back", "LV": "left_back", "RV": "right_back", "DML": "defensive_midfielder", "DMR": "defensive_midfielder",
-    "DMZ": "defensive_midfielder", "DLM": "left_midfielder", "DRM": "right_midfielder", "HL": "left_midfielder", "HR": "right_midfielder", "LM": "left_midfielder", "RM": "right_midfielder", "MZ": "central_midfielder",
-    "ZO": "attacking_midfielder", "OLM": "left_winger", "ORM": "right_winger", "LA": "left_winger", "RA": "right_winger", "HST": "second_striker", "STL": "striker", "STR": "striker", "STZ": "striker",
-}
+    "TW": "goal_keeper",
+    "IVR": "center_back",
+    "IVL": "center_back",
+    "IVZ": "center_back",
+    "RV": "right_back",
+    "LV": "left_back",
+    "DMR": "defensive_midfielder",
+    "DRM": "defensive_midfielder",
+    "DML": "defensive_midfielder",
+    "DLM": "defensive_midfielder",
+    "DMZ": "defensive_midfielder",
+    "HR": "central_midfielder",
+    "HL": "central_midfielder",
+    "MZ": "central_midfielder",
+    "RM": "right_midfielder",
+    "LM": "left_midfielder",
+    "OHR": "attacking_midfielder",
+    "OHL": "attacking_midfielder",
+    "ORM": "attacking_midfielder",
+    "OLM": "attacking_midfielder",
+    "ZO": "attacking_midfielder",
+    "RA": "right_winger",
+    "LA": "left_winger",
+    "STR": "striker",
+    "STL": "striker",
+    "STZ": "striker",
+}
 
 LINEUP = T.StructType(
     [T.StructField(n, t) for n, t in (("match_id", T.StringType()), ("contestant_name", T.StringType()), ("player_id", T.StringType()), ("object_id", T.StringType()), ("shirt_number", T.IntegerType()), ("match_name", T.StringType()), ("advanced_position", T.StringType()), ("starting", T.BooleanType()))]
@@ -41,25 +64,76 @@ def lineup_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-EVENT_KINDS = ("Play", "ShotAtGoal", "TacklingGame", "OtherBallAction", "BallClaiming", "Foul", "Caution", "Offside", "Substitution", "KickOff", "FinalWhistle", "Delete")
+_PLAY = "struct<_Team:string,_Player:string,_Recipient:string,_Evaluation:string,Pass:string,Cross:string>"
+_SHOT = "struct<_Team:string,_Player:string,_TypeOfShot:string,_xG:double,ShotWide:string,SavedShot:struct<_GoalKeeper:string>,BlockedShot:struct<_Player:string>,ShotWoodWork:string,SuccessfulShot:string>"
+_OTHER = (
+    "struct<_Team:string,_Player:string,_WinnerTeam:string,_Winner:string,_Loser:string,_PossessionChange:string,_Type:string,_DefensiveClearance:string,_TeamFouler:string,_Fouler:string,_Fouled:string,_FoulType:string,"
+    "_CardColor:string,_PlayerOut:string,_PlayerIn:string,_VALUE:string>"
+)
+# Element names of event files.
+SET_PIECES = ("KickOff", "ThrowIn", "GoalKick", "CornerKick", "FreeKick", "Penalty", "FinalWhistle")
+OTHER_KINDS = ("TacklingGame", "BallClaiming", "OtherBallAction", "Foul", "Caution", "Substitution", "Offside", "VideoAssistantAction", "Delete")
+
+
+def _play(c):
+    """(type, team, player, receiver, result, success, body part) of a play or of a shot; null if it has neither."""
+    p, s = c["Play"], c["ShotAtGoal"]
+    kind = F.when(p["Pass"].isNotNull(), "Pass").when(p["Cross"].isNotNull(), "Cross").otherwise("Play")
+    result = F.when(s["ShotWide"].isNotNull(), "OffTarget").when(s["SavedShot"].isNotNull(), "Saved").when(s["BlockedShot"].isNotNull(), "Blocked").when(s["ShotWoodWork"].isNotNull(), "Post").when(s["SuccessfulShot"].isNotNull(), "Goal")
+    body = F.when(s["_TypeOfShot"] == "head", "Head").when(s["_TypeOfShot"] == "leftLeg", "LeftFoot").when(s["_TypeOfShot"] == "rightLeg", "RightFoot")
+    catcher = F.when(result == "Saved", s["SavedShot"]["_GoalKeeper"]).when(result == "Blocked", s["BlockedShot"]["_Player"])
+    pack = lambda *x: F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(x, (("kind", "string"), ("team", "string"), ("player", "string"), ("receiver", "string"), ("result", "string"), ("success", "boolean"), ("body", "string")), strict=True)])
+    none = F.lit(None)
+    return F.when(p.isNotNull(), pack(kind, p["_Team"], p["_Player"], p["_Recipient"], p["_Evaluation"], p["_Evaluation"] == "successfullyCompleted", none)).when(
+        s.isNotNull(), pack(F.lit("Shot"), s["_Team"], s["_Player"], catcher, result, s["SuccessfulShot"].isNotNull(), body)
+    )
 
 
 def events_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Raw events of event XML: the type is the name of the child element, deleted events are dropped.
+    """Raw events of event XML, one row each, in the sixteen columns and the provider's expected goals; deleted events are dropped, periods come from ``with_periods``.
 
-    An empty child reads as an empty value and an absent one as null, so its presence is what is tested.
+    An event's kind is its child element; restarts hold a play or a shot of their own.
     """
-    child = "struct<_Player:string,_Team:string,_Evaluation:string,_Recipient:string,_xG:double,_VALUE:string>"
-    schema = "_EventId string, _EventTime string, _MatchId string, `_X-Position` double, `_Y-Position` double, " + ", ".join(f"{k} {child}" for k in EVENT_KINDS)
+    piece = f"struct<_GameSection:string,_Team:string,_Player:string,Play:{_PLAY},ShotAtGoal:{_SHOT}>"
+    names = "_EventId string, _EventTime string, _MatchId string, `_X-Position` double, `_Y-Position` double, `_X-Source-Position` double, `_Y-Source-Position` double, `_End-X-Position` double, `_End-Y-Position` double"
+    schema = f"{names}, Play {_PLAY}, ShotAtGoal {_SHOT}, " + ", ".join(f"{k} {piece}" for k in SET_PIECES) + ", " + ", ".join(f"{k} {_OTHER}" for k in OTHER_KINDS)
     rows = spark.read.format("xml").option("rowTag", "Event").schema(schema).load(path)
-    kind, body = F.lit(None).cast("string"), F.lit(None).cast(child)
-    for k in reversed(EVENT_KINDS):
-        kind = F.when(F.col(k).isNotNull(), F.lit(k)).otherwise(kind)
-        body = F.when(F.col(k).isNotNull(), F.col(k)).otherwise(body)
-    rows = rows.select(F.col("_MatchId").alias("match_id"), F.col("_EventId").alias("event_id"), utc_naive(F.col("_EventTime")).alias("utc_timestamp"), F.col("_X-Position").alias("coordinates_x"), F.col("_Y-Position").alias("coordinates_y"), kind.alias("event_type"), body.alias("b"))
-    return rows.where("event_type IS NULL OR event_type <> 'Delete'").select(
-        "match_id", "event_id", "event_type", "utc_timestamp", F.col("b._Team").alias("team_id"), F.col("b._Player").alias("player_id"), F.col("b._Recipient").alias("receiver_player_id"), F.col("b._Evaluation").alias("result"), F.col("b._xG").alias("expected_goal"), "coordinates_x", "coordinates_y",
+    found = F.lit(None).cast("string")
+    for k in OTHER_KINDS:
+        found = F.when(F.col(k).isNotNull(), F.lit(k)).otherwise(found)
+    piece_of, section = F.lit(None).cast("string"), F.lit(None).cast("string")
+    plays = _play(F.struct("Play", "ShotAtGoal"))
+    for k in SET_PIECES:
+        piece_of = F.when(F.col(k).isNotNull(), F.lit(k)).otherwise(piece_of)
+        section = F.when(F.col(k).isNotNull(), F.col(k)["_GameSection"]).otherwise(section)
+        plays = F.when(F.col(k).isNotNull(), _play(F.col(k))).otherwise(plays)
+    r = rows.select(
+        F.col("_MatchId").alias("match_id"), F.col("_EventId").alias("event_id"), utc_naive(F.col("_EventTime")).alias("utc_timestamp"), F.coalesce("_X-Position", "_X-Source-Position").alias("coordinates_x"), F.coalesce("_Y-Position", "_Y-Source-Position").alias("coordinates_y"),
+        F.col("_End-X-Position").alias("end_coordinates_x"), F.col("_End-Y-Position").alias("end_coordinates_y"), plays.alias("p"), found.alias("o"), piece_of.alias("set_piece_type"), section.alias("section"), F.col("ShotAtGoal._xG").alias("expected_goal"), *OTHER_KINDS,
+    ).where("o IS NULL OR o <> 'Delete'")
+    t, b, x, f, c, u = (F.col(k) for k in ("TacklingGame", "BallClaiming", "OtherBallAction", "Foul", "Caution", "Substitution"))
+    kind = (
+        F.when(F.col("p").isNotNull(), F.col("p.kind"))
+        .when(F.col("set_piece_type") == "FinalWhistle", "FinalWhistle")
+        .when(t["_Type"] == "air", "AerialDuel").when(t["_Type"] == "ground", "GroundDuel")
+        .when(b["_Type"] == "InterceptedBall", "Interception").when(b["_Type"] == "BallClaimed", "Recovery")
+        .when(x["_DefensiveClearance"] == "true", "Clearance").when(c.isNotNull(), "Card").otherwise(F.col("o"))
     )
+    own = lambda a: F.coalesce(*[F.col(k)[a] for k in OTHER_KINDS])
+    return r.select(
+        "match_id", "event_id", kind.alias("event_type"), F.when(F.col("section") == "firstHalf", 1).when(F.col("section") == "secondHalf", 2).otherwise(0).alias("period_id"), "utc_timestamp",
+        F.coalesce("p.team", t["_WinnerTeam"], f["_TeamFouler"], own("_Team")).alias("team_id"), F.coalesce("p.player", t["_Winner"], f["_Fouler"], u["_PlayerOut"], own("_Player")).alias("player_id"), "coordinates_x", "coordinates_y", "end_coordinates_x", "end_coordinates_y",
+        F.coalesce("p.receiver", t["_Loser"], f["_Fouled"], u["_PlayerIn"]).alias("receiver_player_id"), "set_piece_type", F.coalesce("p.result", F.when(t["_PossessionChange"] == "true", "PossessionChange"), f["_FoulType"]).alias("result"),
+        F.coalesce("p.success", F.when(t.isNotNull(), True)).alias("success"), F.col("p.body").alias("body_part_type"), F.when(c["_CardColor"] == "yellow", "Yellow").when(c["_CardColor"] == "red", "Red").alias("card_type"), "expected_goal",
+    )
+
+
+def with_periods(events: DataFrame) -> DataFrame:
+    """Every event between the first kickoff and the last final whistle of a period belongs to it; two rows of bounds per match are joined."""
+    bounds = events.where("period_id > 0").groupBy("match_id", F.col("period_id").alias("_p")).agg(F.min(F.when(F.col("set_piece_type") == "KickOff", F.col("utc_timestamp"))).alias("_a"), F.max(F.when(F.col("event_type") == "FinalWhistle", F.col("utc_timestamp"))).alias("_b"))
+    spans = bounds.groupBy("match_id").agg(F.collect_list(F.struct("_p", "_a", "_b")).alias("_s"))
+    inside = F.filter("_s", lambda q: (F.col("utc_timestamp") >= q["_a"]) & (F.col("utc_timestamp") <= q["_b"]))
+    return events.join(spans, "match_id", "left").withColumn("period_id", F.coalesce(F.array_max(F.transform(inside, lambda q: q["_p"])), "period_id")).drop("_s")
 
 
 def utc_naive(text):

@@ -12,9 +12,13 @@ from matchloom.streaming import events as stream
 INFO = """<?xml version="1.0"?><Root><MatchInformation><General MatchId="M1" KickoffTime="2024-01-01T15:00:00+01:00"/><Teams>
 <Team TeamId="T1" TeamName="Reds" Role="home"><Players><Player PersonId="P1" ShirtNumber="1" Shortname="A" PlayingPosition="TW" Starting="true"/><Player PersonId="P2" ShirtNumber="9" Shortname="B" PlayingPosition="STZ" Starting="false"/></Players></Team>
 <Team TeamId="T2" TeamName="Blues" Role="guest"><Players><Player PersonId="P3" ShirtNumber="4" Shortname="C" PlayingPosition="XX" Starting="true"/></Players></Team></Teams></MatchInformation></Root>"""
-EVENTS = """<?xml version="1.0"?><Root><Event EventId="1" EventTime="2024-07-01T15:00:00.500+02:00" MatchId="M1" X-Position="1.5" Y-Position="2.5"><Play Player="P1" Team="T1" Evaluation="successful" Recipient="P2"/></Event>
-<Event EventId="2" EventTime="2024-07-01T15:00:01+02:00" MatchId="M1"><ShotAtGoal Player="P2" Team="T1" xG="0.25"/></Event><Event EventId="3" EventTime="2024-07-01T15:00:02+02:00" MatchId="M1"><Delete/></Event>
-<Event EventId="004" EventTime="2024-07-01T15:00:03+02:00" MatchId="M1"><FinalWhistle/></Event></Root>"""
+EVENTS = """<?xml version="1.0"?><Root><Event EventId="0" EventTime="2024-07-01T14:59:59+02:00" MatchId="M1"><KickOff GameSection="firstHalf"><Play Team="T1" Player="P1" Recipient="P2" Evaluation="successfullyCompleted"><Pass/></Play></KickOff></Event>
+<Event EventId="1" EventTime="2024-07-01T15:00:00.500+02:00" MatchId="M1" X-Position="1.5" Y-Position="2.5"><Play Player="P1" Team="T1" Evaluation="unsuccessful" Recipient="P2"><Cross/></Play></Event>
+<Event EventId="2" EventTime="2024-07-01T15:00:01+02:00" MatchId="M1" X-Source-Position="9"><ShotAtGoal Player="P2" Team="T1" xG="0.25" TypeOfShot="head"><SavedShot GoalKeeper="P3"/></ShotAtGoal></Event><Event EventId="3" EventTime="2024-07-01T15:00:02+02:00" MatchId="M1"><Delete/></Event>
+<Event EventId="5" EventTime="2024-07-01T15:00:02+02:00" MatchId="M1"><FreeKick><ShotAtGoal Player="P2" Team="T1" xG="0.1" TypeOfShot="leftLeg"><SuccessfulShot/></ShotAtGoal></FreeKick></Event>
+<Event EventId="6" EventTime="2024-07-01T15:00:02.1+02:00" MatchId="M1"><TacklingGame WinnerTeam="T2" Winner="P3" Loser="P1" Type="ground" PossessionChange="true"/></Event><Event EventId="7" EventTime="2024-07-01T15:00:02.2+02:00" MatchId="M1"><Foul TeamFouler="T2" Fouler="P3" Fouled="P1" FoulType="pull"/></Event>
+<Event EventId="8" EventTime="2024-07-01T15:00:02.3+02:00" MatchId="M1"><Caution Team="T2" Player="P3" CardColor="red"/></Event><Event EventId="9" EventTime="2024-07-01T15:00:02.4+02:00" MatchId="M1"><Substitution Team="T1" PlayerOut="P1" PlayerIn="P4"/></Event>
+<Event EventId="004" EventTime="2024-07-01T15:00:03+02:00" MatchId="M1"><FinalWhistle GameSection="firstHalf"/></Event><Event EventId="10" EventTime="2024-07-01T15:10:00+02:00" MatchId="M1"><BallClaiming Type="InterceptedBall" Player="P1" Team="T1"/></Event></Root>"""
 TRACKS = """<?xml version="1.0"?><Root><FrameSet MatchId="M1" GameSection="firstHalf" TeamId="BALL" PersonId="B"><Frame N="10" T="2024-07-01T15:00:00+02:00" X="-52.5" Y="34" Z="0.1" S="3"/><Frame N="11" T="2024-07-01T15:00:00.040+02:00" X="0" Y="0" Z="0" S="3"/></FrameSet></Root>"""
 
 
@@ -27,8 +31,12 @@ def put(folder, name, text, encoding="utf-8"):
 def test_xml(spark, tmp_path):
     lineup = {r.player_id: r for r in readers.lineup_xml(spark, put(tmp_path, "i.xml", INFO)).collect()}
     assert lineup["P1"].object_id == "home_1" and lineup["P1"].advanced_position == "goal_keeper" and lineup["P3"].object_id == "away_4" and lineup["P3"].advanced_position == "unknown" and not lineup["P2"].starting
-    ev = {r.event_id: r for r in readers.events_xml(spark, put(tmp_path, "e.xml", EVENTS)).collect()}
-    assert set(ev) == {"1", "2", "004"} and ev["1"].event_type == "Play" and ev["2"].expected_goal == 0.25 and ev["004"].event_type == "FinalWhistle" and ev["1"].receiver_player_id == "P2"
+    ev = {r.event_id: r for r in readers.with_periods(readers.events_xml(spark, put(tmp_path, "e.xml", EVENTS))).collect()}
+    assert {k: r.event_type for k, r in ev.items()} == {"0": "Pass", "1": "Cross", "2": "Shot", "5": "Shot", "6": "GroundDuel", "7": "Foul", "8": "Card", "9": "Substitution", "004": "FinalWhistle", "10": "Interception"}
+    assert {k: r.period_id for k, r in ev.items()} == {k: int(k != "10") for k in ev}
+    assert ev["2"].expected_goal == 0.25 and (ev["2"].result, ev["2"].receiver_player_id, ev["2"].body_part_type, ev["2"].success, ev["2"].coordinates_x) == ("Saved", "P3", "Head", False, 9.0)
+    assert (ev["5"].set_piece_type, ev["5"].result, ev["5"].success, ev["5"].body_part_type) == ("FreeKick", "Goal", True, "LeftFoot") and ev["0"].success and ev["0"].set_piece_type == "KickOff" and ev["1"].success is False
+    assert (ev["6"].player_id, ev["6"].receiver_player_id, ev["6"].result) == ("P3", "P1", "PossessionChange") and (ev["7"].team_id, ev["7"].result) == ("T2", "pull") and ev["8"].card_type == "Red" and (ev["9"].player_id, ev["9"].receiver_player_id) == ("P1", "P4")
     assert str(ev["1"].utc_timestamp) == "2024-07-01 13:00:00.500000" and ev["1"].coordinates_x == 1.5
     t = readers.tracking_xml(spark, put(tmp_path, "t.xml", TRACKS)).orderBy("frame_id").collect()
     assert [(r.frame_id, r.period_id, r.x, r.y, r.z) for r in t] == [(10, 1, 0.0, 68.0, 0.1), (11, 1, 52.5, 34.0, 0.0)]
