@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import remembered
+
 #: Fixed value: the public byte-level pre-split pattern (white space by Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -182,13 +184,8 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_COMPILED: dict[str, Automaton] = {}
-
-
 def compiled(path: str) -> Automaton:
-    if path not in _COMPILED:
-        _COMPILED[path] = Automaton(path)
-    return _COMPILED[path]
+    return remembered(("automaton", path), lambda: Automaton(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

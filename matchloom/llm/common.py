@@ -56,3 +56,14 @@ def partitions(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound the Arrow batches of this session by bytes: rows here can be whole blocks of documents."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+_REMEMBERED: dict = {}
+
+
+def remembered(key, build):
+    """A large object that a worker keeps between tasks; the worker keeps one, so an operator's doesn't outlive the next operator's."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = build()
+    return _REMEMBERED[key]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, split_of
+from .common import partitions, remembered, split_of
 from .labels import sample, targets, with_targets
 from .words import chunks, text_buffers
 
@@ -201,18 +201,13 @@ def evidence(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nda
 class Model:
     """Counts in both classes, and the logistic function of the mean log ratio."""
 
-    _tables: dict[int, np.ndarray] = {}
-
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         self.codes, self.counts, self.slope, self.shift = codes, counts, np.zeros(3), -50.0
         self.key = hash((len(codes), int(counts.sum()), int((codes.astype(np.int64) * counts[:, 1]).sum()))) if len(codes) else 0
 
     def table(self) -> np.ndarray:
         """The log ratios, built once in each worker."""
-        if self.key not in self._tables:
-            self._tables.clear()
-            self._tables[self.key] = ratios(self.codes, self.counts)
-        return self._tables[self.key]
+        return remembered(("ratios", self.key), lambda: ratios(self.codes, self.counts))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Newton steps on the logistic loss with a small ridge."""
