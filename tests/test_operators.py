@@ -275,3 +275,35 @@ def test_self_pass_filter(spark):
     rows = [(1, 1, i, "pass", o, t + dt.timedelta(seconds=s)) for i, (o, s) in enumerate((("home_2", 0), ("home_2", 3), ("home_3", 5), ("home_3", 20)))]
     d = spark.createDataFrame(rows, "match_id long, period_id int, action_id long, spadl_type string, object_id string, ts timestamp_ntz")
     assert [r.action_id for r in sequence.without_self_passes(d).orderBy("action_id").collect()] == [1, 2, 3]
+
+
+def test_logistic_fit_recovers_weights(spark):
+    from matchloom.operators import scoring
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(4000, 2))
+    y = r.random(4000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x[:, 0] - x[:, 1])))
+    d = spark.createDataFrame([(float(a), float(b), bool(g)) for (a, b), g in zip(x, y)], "distance double, angle double, goal boolean")
+    intercept, w = scoring.fit_expected_goals(d, ("distance", "angle"))
+    assert abs(intercept - 0.5) < 0.15 and abs(w["distance"] - 1.5) < 0.2 and abs(w["angle"] + 1) < 0.2
+    got = spark.createDataFrame([(1.0, 2.0)], "distance double, angle double").select(features.logistic(w, intercept).alias("p")).first().p
+    assert math.isclose(got, 1 / (1 + math.exp(-(intercept + w["distance"] + 2 * w["angle"]))))
+
+
+def test_graph_scores_match_a_loop(spark):
+    from matchloom.operators import scoring
+
+    r = np.random.default_rng(1)
+    rows = [(e, i, float(r.normal()), float(r.random() * 105), float(r.random() * 68), float(i < 3), float(i == 0), 0.0) for e in (1, 2) for i in range(6)]
+    d = spark.createDataFrame(rows, "event_id long, ordinal int, f double, x double, y double, teammate double, possessor double, goal double").repartition(3)
+    w = scoring.random_weights(3, 8)
+    out = {(q.event_id, q.ordinal): q.output for q in scoring.graph_scores(d, ["f", "x", "y"], w).collect()}
+    for e in (1, 2):
+        n = [q for q in rows if q[0] == e]
+        edges = np.array([[[math.hypot(a[3] - b[3], a[4] - b[4]) / 100, float(a[5] == b[5])] for b in n] for a in n])
+        want = scoring.graph_forward(np.array([[q[2], q[3], q[4]] for q in n]), edges, w)[:, 0]
+        assert np.allclose([out[e, i] for i in range(6)], want)
+    p = scoring.selection(scoring.graph_scores(d, ["f", "x", "y"], w), d).groupBy("event_id").agg(F.sum("p").alias("s"), F.count("*").alias("n")).collect()
+    assert all(math.isclose(q.s, 1) and q.n == 2 for q in p)
+    post = scoring.posteriors(d, ["f", "x", "y"], scoring.random_weights(4, 8)).groupBy("event_id", "option").agg(F.sum("posterior").alias("s"), F.count("*").alias("n")).collect()
+    assert len(post) == 4 and all(math.isclose(q.s, 1) and q.n == 3 for q in post)
