@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,25 @@ def remembered(key, build):
         _REMEMBERED.clear()
         _REMEMBERED[key] = build()
     return _REMEMBERED[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers wait for their next task between operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow`` with batches bounded by bytes, and a worker trimmed after each task."""
+    small_batches(rows.sparkSession)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return rows.mapInArrow(trimmed, schema)

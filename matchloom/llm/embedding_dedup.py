@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, mapped, partitions
 from .components import components
 from .vectors import matrix, usable
 
@@ -135,7 +135,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, chunk: int =
                     yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in CLASS), lists], [*CLASS, "names"])
 
     kinds = {f.name: f.dataType.simpleString() for f in marked.withColumn("_salt", F.lit(0).cast("long")).schema.fields}
-    marked = marked.withColumn("_salt", F.xxhash64("label")).select(*CLASS).mapInArrow(named, ", ".join(f"{c} {kinds[c]}" for c in CLASS) + ", names array<long>")
+    marked = marked.withColumn("_salt", F.xxhash64("label")).select(*CLASS).transform(mapped, named, ", ".join(f"{c} {kinds[c]}" for c in CLASS) + ", names array<long>")
     marked = cut(marked)
     entries = marked.select(F.explode("names").alias("bucket"), "class")
     full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -187,7 +187,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, chunk: int =
         if held:
             yield from unit()
 
-    found = cut(dealt.select("bucket", "low", "high", "part", "class", "n", "embedding", "names").mapInArrow(compared, FOUND))
+    found = cut(dealt.select("bucket", "low", "high", "part", "class", "n", "embedding", "names").transform(mapped, compared, FOUND))
     sums = found.where("kind = 0").groupBy("class").agg(F.sum("value").alias("linked"))
     parts_of = components(found.where("kind = 1").select(F.col("class").alias("a"), F.col("value").alias("b")), "a", "b")
     of = (

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import mapped, partitions
 from .vectors import matrix, usable
 from .words import mix
 
@@ -145,7 +145,6 @@ def best(query: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarra
 def search(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each vec_id divisible by ``every``."""
     spark = rows.sparkSession
-    small_batches(spark)
     valid = rows.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     some = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     lengths = [len(r.v) for r in some]
@@ -243,9 +242,9 @@ def search(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             yield rows_of([(at, *close())])
 
     n = partitions(spark)
-    visits = valid.mapInArrow(placed, VISITS).repartition(n, "slot").sortWithinPartitions("slot", "kind")
-    found = visits.mapInArrow(searched, FOUND).repartition(n, "query_id").sortWithinPartitions("query_id")
-    return found.mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
+    visits = valid.transform(mapped, placed, VISITS).repartition(n, "slot").sortWithinPartitions("slot", "kind")
+    found = visits.transform(mapped, searched, FOUND).repartition(n, "query_id").sortWithinPartitions("query_id")
+    return found.transform(mapped, merged, "query_id long, rank int, vec_id long, score double")
 
 
 def op8_hilbert_search(spark, sf_dir: str) -> DataFrame:

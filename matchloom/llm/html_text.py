@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -212,7 +214,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [extract(x) for x in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", "html").transform(mapped, run, SCHEMA)
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import remembered
-from .words import chunks, text_buffers, words
+from .common import mapped, remembered
+from .words import WordTable, chunks, text_buffers, words
 
 CAPACITY = 4096
 SHARD_WINDOWS = 256
@@ -117,58 +117,6 @@ def plan(lengths: list[int], capacity: int, max_item: int) -> list[tuple[int, in
     return pieces
 
 
-class WordTable:
-    """Open addressing in arrays: hash of a word to its ids, some 50 bytes a word, found for whole blocks at once."""
-
-    def __init__(self, bits: int = 21):
-        self.bits, self.most = bits, (1 << bits) * 6 // 10
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.entry = np.zeros(1 << self.bits, np.int32)
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.words = self.ids = 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Entry of each hash, or -1."""
-        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
-        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        mask = (1 << self.bits) - 1
-        while len(left):
-            k = self.keys[slot]
-            hit = k == hashes[left]
-            out[left[hit]] = self.entry[slot[hit]]
-            go = ~hit & (k != 0)
-            left, slot = left[go], (slot[go] + 1) & mask
-        return out
-
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> np.ndarray:
-        """Entries of new, distinct hashes."""
-        n = len(hashes)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int32, n) // 4
-        while self.words + n > len(self.start):
-            self.start, self.length = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.length, np.zeros_like(self.length)))
-        while self.ids + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        entry = np.arange(self.words, self.words + n)
-        self.start[entry], self.length[entry] = self.ids + np.cumsum(size) - size, size
-        self.pool[self.ids : self.ids + len(flat)] = flat
-        self.words, self.ids = self.words + n, self.ids + len(flat)
-        left, slot, mask = np.arange(n), (hashes >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(left):
-            free = np.nonzero(self.keys[slot] == 0)[0]
-            _, first = np.unique(slot[free], return_index=True)
-            won = free[first]
-            self.keys[slot[won]], self.entry[slot[won]] = hashes[left[won]], entry[left[won]]
-            go = np.ones(len(left), bool)
-            go[won] = False
-            left, slot = left[go], (slot[go] + 1) & mask
-        return entry
-
-
 class BulkEncoder:
     """Token ids through the ``tokenizers`` library, asked once for each word that a task doesn't remember.
 
@@ -179,7 +127,7 @@ class BulkEncoder:
     """
 
     TOGETHER = 500
-    BLOCK = 1 << 21
+    BLOCK = 1 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -213,20 +161,11 @@ class BulkEncoder:
             data = _LOWER[data]
         starts, stops, hashes = words(data, offsets, solid, cuts)
         distinct, at, inverse = np.unique(np.maximum(hashes, np.uint64(1)), return_index=True, return_inverse=True)
-        table = self.table
-        if table.words + len(distinct) > table.most:
-            table.clear()
-            while len(distinct) > table.most:
-                table.bits, table.most = table.bits + 1, 2 * table.most
-                table.clear()
-        entry = table.find(distinct)
-        fresh = np.nonzero(entry < 0)[0]
-        if len(fresh):
-            spans = zip(starts[at[fresh]].tolist(), stops[at[fresh]].tolist(), strict=True)
-            entry[fresh] = table.add(distinct[fresh], self.ask([data[a:b].tobytes().decode() for a, b in spans]))
-        lengths, begins = table.length[entry][inverse].astype(np.int64), table.start[entry][inverse]
-        ends = np.cumsum(lengths)
-        ids = table.pool[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+        def fill(fresh: np.ndarray) -> list[bytes]:
+            return self.ask([data[a:b].tobytes().decode() for a, b in zip(starts[at[fresh]].tolist(), stops[at[fresh]].tolist(), strict=True)])
+
+        ids, ends = self.table.gather(distinct, inverse, fill)
         return ids, np.concatenate(([0], ends))[np.searchsorted(starts, offsets)]
 
 
@@ -290,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separat
         if waiting:
             yield flush(len(waiting))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(mapped, run, schema)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_of
+from .common import mapped, split_of
 from .labels import sample, targets, with_targets
 from .words import chunks, text_buffers, words
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
                     ["doc_id", "y", "which", "value"],
                 )
 
-    rows = with_targets(docs.select("doc_id", "text", "n_chars"), sample(targets(labels, target).select("doc_id", "y"), most)).mapInArrow(extracted, "doc_id long, y int, which binary, value binary")
+    rows = with_targets(docs.select("doc_id", "text", "n_chars"), sample(targets(labels, target).select("doc_id", "y"), most)).transform(mapped, extracted, "doc_id long, y int, which binary, value binary")
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.which))
     which = [np.frombuffer(r.which, "<i4") for r in got]
     row = np.repeat(np.arange(len(got)), [len(x) for x in which])
@@ -179,7 +179,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     fold = F.coalesce(split_of() == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", "n_chars", fold).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", "n_chars", fold).transform(mapped, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped, remembered
 from .components import components
 
 RADIUS = 2
@@ -57,11 +57,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("simhash", tuple)
         for batch in batches:
             fp = np.array([simhash(t) for at in range(0, batch.num_rows, 128) for t in batch.column("text").slice(at, 128).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").transform(mapped, run, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import mapped, remembered
 from .words import chunks, mix, text_buffers, words
 
 WINDOW = 13
@@ -171,6 +171,7 @@ def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: in
     """Blocks of windows that documents lose, by document group."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("windows", tuple)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -238,7 +239,7 @@ def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: in
         if lost:
             yield from emit()
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, BLOCKS).repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(merged, BLOCKS)
+    return docs.select("doc_id", "text").transform(mapped, hashed, BLOCKS).repartition(tasks, "slot").sortWithinPartitions("slot").transform(mapped, merged, BLOCKS)
 
 
 def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
@@ -264,7 +265,6 @@ def removal(text: bytes, lost: np.ndarray, window: int) -> tuple[int, np.ndarray
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and spans (maximal removed word ranges); with ``digest`` only doc_id, the counts and kept_sha256."""
     spark = docs.sparkSession
-    small_batches(spark)
     bits = bucket_bits(docs)
     groups, tasks = 1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
@@ -331,8 +331,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
                             yield finished(part, *table)
 
     lost = lost_windows(docs, window, bits, groups, tasks)
-    texts = docs.mapInArrow(grouped, BLOCKS)
-    return lost.union(texts).repartition(tasks, "slot").sortWithinPartitions("slot", "kind").mapInArrow(reduced, schema)
+    texts = docs.transform(mapped, grouped, BLOCKS)
+    return lost.union(texts).repartition(tasks, "slot").sortWithinPartitions("slot", "kind").transform(mapped, reduced, schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

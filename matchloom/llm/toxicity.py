@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, remembered, split_of
+from .common import mapped, partitions, remembered, split_of
 from .labels import sample, targets, with_targets
 from .words import chunks, text_buffers
 
@@ -129,7 +129,7 @@ def count_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([close()[1]], pa.binary())], ["block", "payload"])
 
     schema = "block int, payload binary"
-    rows = docs.select("text", "y").mapInArrow(counted, schema).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(summed, schema).collect()
+    rows = docs.select("text", "y").transform(mapped, counted, schema).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").transform(mapped, summed, schema).collect()
     if not rows:
         return np.zeros(0, np.int32), np.zeros((0, 2), np.int64)
     codes = [np.frombuffer(r.payload, np.int32, len(r.payload) // 20) for r in rows]
@@ -238,7 +238,7 @@ def ratio_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 x[a:b] = evidence(shared.value.table(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T.copy())], [*keep, "x0", "x1", "x2"])
 
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", x0 double, x1 double, x2 double")
+    return docs.select(*keep, *(["text"] if "text" not in keep else [])).transform(mapped, run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", x0 double, x1 double, x2 double")
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = SAMPLE) -> Model:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -80,3 +80,69 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to
         at = to
+
+
+class WordTable:
+    """Open addressing in arrays: hash of a word to its ids, some 50 bytes a word, found for whole blocks at once."""
+
+    def __init__(self, bits: int = 21):
+        self.bits, self.most = bits, (1 << bits) * 6 // 10
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.zeros(1 << self.bits, np.int32)
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self.words = self.ids = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1."""
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        mask = (1 << self.bits) - 1
+        while len(left):
+            k = self.keys[slot]
+            hit = k == hashes[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            go = ~hit & (k != 0)
+            left, slot = left[go], (slot[go] + 1) & mask
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Entries of new, distinct hashes."""
+        n = len(hashes)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int32, n) // 4
+        while self.words + n > len(self.start):
+            self.start, self.length = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.length, np.zeros_like(self.length)))
+        while self.ids + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        entry = np.arange(self.words, self.words + n)
+        self.start[entry], self.length[entry] = self.ids + np.cumsum(size) - size, size
+        self.pool[self.ids : self.ids + len(flat)] = flat
+        self.words, self.ids = self.words + n, self.ids + len(flat)
+        left, slot, mask = np.arange(n), (hashes >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(left):
+            free = np.nonzero(self.keys[slot] == 0)[0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.entry[slot[won]] = hashes[left[won]], entry[left[won]]
+            go = np.ones(len(left), bool)
+            go[won] = False
+            left, slot = left[go], (slot[go] + 1) & mask
+        return entry
+
+    def gather(self, distinct: np.ndarray, inverse: np.ndarray, fill: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, given as places in the distinct hashes, and where each word's end; ``fill`` gives the ids of new ones."""
+        if self.words + len(distinct) > self.most:
+            while len(distinct) > self.most:
+                self.bits, self.most = self.bits + 1, 2 * self.most
+            self.clear()
+        entry = self.find(distinct)
+        fresh = np.nonzero(entry < 0)[0]
+        if len(fresh):
+            entry[fresh] = self.add(distinct[fresh], fill(fresh))
+        lengths, begins = self.length[entry][inverse].astype(np.int64), self.start[entry][inverse]
+        ends = np.cumsum(lengths)
+        return self.pool[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
