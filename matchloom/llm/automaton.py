@@ -18,16 +18,23 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import remembered
+from .common import mapped, remembered
+from .words import WordTable, chunks, text_buffers, words
 
 #: Fixed value: the public byte-level pre-split pattern (white space by Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+_BLANK, _ODD = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Lead bytes of the white space beyond ASCII.
+_ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
 
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
@@ -39,7 +46,7 @@ def byte_alphabet() -> dict[str, int]:
 class Automaton:
     """Compiled from a byte-level tokenizer file; ``labels`` are the bytes that each token's arc emits."""
 
-    WORDS_KEPT = 400_000
+    WORDS_KEPT = 200_000
     LONGEST_KEPT = 64
 
     def __init__(self, path: str):
@@ -66,6 +73,7 @@ class Automaton:
         self.arcs: dict[int, int] = {}
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.chunks = WordTable()
 
     def gadget(self, step: int, u: int, v: int, merged: int) -> None:
         old = self.target[u]
@@ -119,7 +127,7 @@ class Automaton:
         """The next state, or -1; table entries are made once."""
         at = self.arcs.get(state << 20 | token)
         if at is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 500_000:
                 self.arcs.clear()
             at = self.arcs[state << 20 | token] = self.target[token] if self.has_arc(state, token, 1 << 60) else -1
         return at
@@ -180,6 +188,44 @@ class Automaton:
                 (known if len(w) <= self.LONGEST_KEPT else long)[w] = self.word(w)
         return list(chain.from_iterable(known[w] if w in known else long[w] for w in words))
 
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+        """Ids of each of some texts in one byte array.
+
+        A single blank between other characters always goes with what follows it, and a single line end is a word by itself, so texts are
+        cut there; the distinct pieces of the block are looked up by hash, and only new ones go through the automaton.  Texts that may
+        hold other white space than ASCII's, or a special token, are encoded by themselves.
+        """
+        n = len(offsets) - 1
+        odd = np.concatenate(([0], np.cumsum(_ODD[data])))
+        slow = odd[offsets[1:]] > odd[offsets[:-1]]
+        if self.special and (b"<|" in data.tobytes() or not all(t.startswith("<|") for t in self.special)):
+            slow = np.array([s or any(t.encode() in data[a:b].tobytes() for t in self.special) for s, a, b in zip(slow.tolist(), offsets[:-1], offsets[1:], strict=True)], bool)
+        out: list[list[int]] = [[]] * n
+        if not slow.all() and len(data):
+            blank = _BLANK[data]
+            alone = np.zeros(len(data), bool)
+            alone[1:-1] = ~blank[:-2] & ~blank[2:]
+            cuts = alone & (data == 32)
+            line = alone & (data == 10)
+            cuts |= line
+            cuts[1:] |= line[:-1]
+            starts, stops, hashes = words(data, offsets, np.ones(len(data), bool), cuts)
+            quick = ~slow[np.searchsorted(offsets, starts, "right") - 1]
+            starts, stops, hashes = starts[quick], stops[quick], hashes[quick]
+            distinct, at, inverse = np.unique(np.maximum(hashes, np.uint64(1)), return_index=True, return_inverse=True)
+
+            def fill(fresh: np.ndarray) -> list[bytes]:
+                spans = zip(starts[at[fresh]].tolist(), stops[at[fresh]].tolist(), strict=True)
+                return [np.array(self.encode_plain(data[a:b].tobytes().decode()), "<u4").tobytes() for a, b in spans]
+
+            ids, ends = self.chunks.gather(distinct, inverse, fill)
+            cut = np.concatenate(([0], ends))[np.searchsorted(starts, offsets)].tolist()
+            flat = ids.tolist()
+            out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for d in np.nonzero(slow)[0].tolist():
+            out[d] = self.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode())
+        return out
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -194,11 +240,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = compiled(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([a.encode(x or "") for x in part.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            data, offsets = text_buffers(batch.column("text"))
+            for i, j in chunks(offsets):
+                got = a.encode_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").transform(mapped, run, "doc_id long, ids array<int>")
 
 
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
@@ -211,7 +258,7 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([a.decode(x or []) for x in part.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").transform(mapped, run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -221,15 +268,15 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         a = compiled(path)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for at in range(0, batch.num_rows, 128):
-                for text in batch.column("text").slice(at, 128).to_pylist():
-                    ids = a.encode(text or "")
+            data, offsets = text_buffers(batch.column("text"))
+            for i, j in chunks(offsets):
+                for ids in a.encode_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     out[0].append(len(ids))
                     out[1].append(hashlib.sha256(",".join(map(a.decimal.__getitem__, ids)).encode()).hexdigest())
                     out[2].append(hashlib.sha256(a.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").transform(mapped, run, SCHEMA)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
