@@ -32,35 +32,36 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MI
     in the smallest ``doc_id`` among them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.withColumns({"_lines": F.split(text, "\n", -1), "_version": F.xxhash64(text)})
+    # internal names begin with __line_, so that no column of the input is in the way
+    whole = docs.withColumns({"__line_lines": F.split(text, "\n", -1), "__line_version": F.xxhash64(text)})
     lines = (
         docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_key))
-        .select("doc_id", F.xxhash64(text).alias("_version"), F.posexplode(F.transform(F.split(text, "\n", -1), line_key)).alias("_pos", "_key"))
-        .where(F.char_length("_key") >= min_key)
-        .select("doc_id", "_version", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+        .select("doc_id", F.xxhash64(text).alias("__line_version"), F.posexplode(F.transform(F.split(text, "\n", -1), line_key)).alias("__line_pos", "__line_key"))
+        .where(F.char_length("__line_key") >= min_key)
+        .select("doc_id", "__line_version", "__line_pos", F.xxhash64("__line_key").alias("__line_h1"), F.xxhash64(F.lit(1), "__line_key").alias("__line_h2"))
     )
     if min_documents <= 2:
-        keys = lines.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+        keys = lines.groupBy("__line_h1", "__line_h2").agg(F.min("doc_id").alias("__line_first"), F.max("doc_id").alias("__line_last")).where("__line_first < __line_last").drop("__line_last")
     else:
-        per_document = lines.groupBy("_h1", "_h2", "doc_id").agg(F.lit(1).alias("_one"))
-        keys = per_document.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_documents).drop("_n")
+        per_document = lines.groupBy("__line_h1", "__line_h2", "doc_id").agg(F.lit(1).alias("__line_one"))
+        keys = per_document.groupBy("__line_h1", "__line_h2").agg(F.min("doc_id").alias("__line_first"), F.count("*").alias("__line_n")).where(F.col("__line_n") >= min_documents).drop("__line_n")
     # cut, so that both sides of the join are exchanges of its own and adaptive execution can split a hot line's
     keys = cut(keys)
     drops = (
-        lines.join(keys, ["_h1", "_h2"])
-        .where("doc_id > _first")
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("_version").alias("_of"))
-        .agg(F.collect_set("_pos").alias("_drop"))
+        lines.join(keys, ["__line_h1", "__line_h2"])
+        .where("doc_id > __line_first")
+        .groupBy(F.col("doc_id").alias("__line_doc"), F.col("__line_version").alias("__line_of"))
+        .agg(F.collect_set("__line_pos").alias("__line_drop"))
     )
-    joined = whole.join(drops, (F.col("doc_id") == F.col("_doc")) & (F.col("_version") == F.col("_of")), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"), lambda i: F.get(F.col("_lines"), i))
+    joined = whole.join(drops, (F.col("doc_id") == F.col("__line_doc")) & (F.col("__line_version") == F.col("__line_of")), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__line_lines") - 1), "__line_drop"), lambda i: F.get(F.col("__line_lines"), i))
     return joined.withColumns(
         {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
+            "n_lines": F.size("__line_lines").cast("long"),
+            "n_dropped": F.coalesce(F.size("__line_drop"), F.lit(0)).cast("long"),
+            "kept_text": F.when(F.col("__line_drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
         }
-    ).drop("_lines", "_version", "_doc", "_of", "_drop")
+    ).drop("__line_lines", "__line_version", "__line_doc", "__line_of", "__line_drop")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

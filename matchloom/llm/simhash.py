@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: the smallest doc_id of each component stays, and rows without an id."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 

@@ -15,7 +15,8 @@ The first shuffle moves about nine bytes a window.  Blocks and groups are sized
 that memory stays the same at any input size.
 
 Edge cases: a null or empty text has no words; documents of fewer than 13 words have no window; rows with a null
-``doc_id`` are returned whole and lend no windows; rows with the same ``doc_id`` are one document; other columns are carried along.
+``doc_id`` are returned whole and lend no windows; rows with the same ``doc_id`` are one document; other columns are carried along, but for
+those that have the names of the result's.
 """
 
 from __future__ import annotations
@@ -264,7 +265,7 @@ def removal(text: bytes, lost: np.ndarray, window: int) -> tuple[int, np.ndarray
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and spans (maximal removed word ranges); with ``digest`` only doc_id, the counts and kept_sha256."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("kept_text", "n_words", "n_removed", "spans")
     bits = bucket_bits(docs)
     groups, tasks = 1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]

@@ -9,7 +9,8 @@ fitted on at most ``SAMPLE`` documents of one fold that lends no counts.
 
 The counts have at most 32^5 entries by construction, whatever the corpus; that bounds what is sent to the driver and to tasks.
 
-Edge cases: a null or empty text has no evidence; without labels of both kinds every score is 0; a null ``doc_id`` is
+Edge cases: a null or empty text has no evidence; without labels of both kinds every score is 0; if the calibration fold has one kind only, words must add up to
+some 19 nats beyond ``TELLING`` for a score of one half; a null ``doc_id`` is
 scored and not held out; repeated rows are scored alike.
 """
 
@@ -36,6 +37,8 @@ THRESHOLD = 0.5
 TELLING = 3.0
 BLOCK_BITS = 10
 HELD = 4_000_000
+#: Names of the evidence columns, unlike any of the input.
+EVIDENCE = ("__evidence_0", "__evidence_1", "__evidence_2")
 
 _SPACE = 26
 _SYMBOL = np.full(256, 28, np.uint8)
@@ -211,10 +214,10 @@ class Model:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Newton steps on the logistic loss with a small ridge."""
-        scale = np.maximum(x.std(0), 1e-9) if len(x) else np.ones(3)
         if not len(y) or y.min() == y.max():
-            self.slope, self.shift = 1 / scale, 0.0
+            self.slope, self.shift = np.array([0.0, 0.0, 2.0]), -6.0
             return
+        scale = np.maximum(x.std(0), 1e-9)
         a = np.concatenate((x / scale, np.ones((len(x), 1))), 1)
         ridge = np.array([0.1, 0.1, 0.1, 1e-3])
         w = np.zeros(4)
@@ -226,7 +229,7 @@ class Model:
 
 
 def ratio_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The kept columns and the evidence (x0, x1, x2) in every text."""
+    """The kept columns and the evidence in every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema.fields}
 
@@ -236,9 +239,9 @@ def ratio_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             x = np.zeros((batch.num_rows, 3))
             for a, b in chunks(offsets):
                 x[a:b] = evidence(shared.value.table(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T.copy())], [*keep, "x0", "x1", "x2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T.copy())], [*keep, *EVIDENCE])
 
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).transform(mapped, run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", x0 double, x1 double, x2 double")
+    return docs.select(*keep, *(["text"] if "text" not in keep else [])).transform(mapped, run, ", ".join(f"`{c}` {types[c]}" for c in keep) + "".join(f", {c} double" for c in EVIDENCE))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = SAMPLE) -> Model:
@@ -250,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
         return model
     held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
     rows = ratio_rows(held, model, "doc_id", "y").collect()
-    model.calibrate(np.array([[r.x0, r.x1, r.x2] for r in rows]).reshape(-1, 3), np.array([r.y for r in rows], np.float64))
+    model.calibrate(np.array([[r[c] for c in EVIDENCE] for r in rows]).reshape(-1, 3), np.array([r.y for r in rows], np.float64))
     return model
 
 
@@ -258,7 +261,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score and predicted of every document."""
     fold = F.coalesce(split_of() == 0, F.lit(False)).alias("held_out")
     rows = ratio_rows(docs.select("doc_id", "text", fold), model, "doc_id", "held_out")
-    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), sum((F.col(f"x{i}") * F.lit(float(w)) for i, w in enumerate(model.slope)), F.lit(model.shift))))
+    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), sum((F.col(c) * F.lit(float(w)) for c, w in zip(EVIDENCE, model.slope, strict=True)), F.lit(model.shift))))
     return rows.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -273,6 +276,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns; the model learns from these documents."""
     model = train(docs, labels)
-    z = sum((F.col(f"x{i}") * F.lit(float(w)) for i, w in enumerate(model.slope)), F.lit(model.shift))
+    z = sum((F.col(c) * F.lit(float(w)) for c, w in zip(EVIDENCE, model.slope, strict=True)), F.lit(model.shift))
     cutoff = float(np.log(threshold / (1 - threshold)))
     return ratio_rows(docs, model, *docs.columns).where(z < cutoff).select(*docs.columns)

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchloom.llm import automaton, html_text, line_dedup, packing, quality, simhash, substring_dedup, toxicity
@@ -324,3 +325,16 @@ def test_runs_look_back_over_text_starts():
     data, offsets = np.frombuffer(b"abcab", np.uint8), np.array([0, 3, 5])
     code = toxicity.runs(data, offsets)
     assert [[c >> 5 * k & 31 for k in range(5)] for c in code.tolist()] == [[0, 26, 26, 26, 26], [1, 0, 26, 26, 26], [2, 1, 0, 26, 26], [0, 26, 26, 26, 26], [1, 0, 26, 26, 26]]
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, "a line that two documents share", "p", 1, 2.0), (2, "a line that two documents share\nand another one", "q", 2, 3.0), (None, None, None, None, None)]
+    d = frame(spark, rows, "doc_id long, text string, _drop string, n_words int, x0 double").withColumn("fp", F.lit(7)).withColumn("component_id", F.lit("c")).withColumn("_h1", F.lit(1)).withColumn("y", F.lit(5))
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    assert (out[2].n_dropped, out[2].kept_text, out[2]._drop, out[2]._h1) == (1, "and another one", "q", 1)
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(d).collect()}
+    assert (out[2].n_words, out[2]._drop, out[2].fp) == (9, "q", 7)
+    assert simhash.one_of_each(d).columns == d.columns and simhash.one_of_each(d).count() == 3
+    labels = frame(spark, [(1, 1), (2, 0)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(d, labels)
+    assert kept.columns == d.columns and {r.x0 for r in kept.collect()} == {2.0, 3.0, None}
