@@ -107,7 +107,7 @@ ACTIONS = """
     FROM events)
 """
 SNAPSHOT = """
-  SELECT a.event_id, j AS ordinal, (CASE WHEN j <= 11 THEN 'home' ELSE 'away' END) || '_' || (CASE WHEN j <= 11 THEN j ELSE j - 11 END) AS object_id,
+  SELECT a.event_id, j::INTEGER AS ordinal, (CASE WHEN j <= 11 THEN 'home' ELSE 'away' END) || '_' || (CASE WHEN j <= 11 THEN j ELSE j - 11 END) AS object_id,
     CASE WHEN j <= 11 THEN 'home' ELSE 'away' END AS team, j IN (1, 12) AS keeper, false AS goal,
     ((a.event_id * 37 + j * 911) % 10501) / 100.0::DOUBLE AS x, ((a.event_id * 53 + j * 577) % 6801) / 100.0::DOUBLE AS y,
     ((a.event_id * 7 + j * 131) % 1001) / 100.0::DOUBLE - 5.0::DOUBLE AS vx, ((a.event_id * 11 + j * 173) % 1001) / 100.0::DOUBLE - 5.0::DOUBLE AS vy

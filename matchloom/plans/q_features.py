@@ -183,7 +183,7 @@ def sparse_edges(spark, d):
     return X.sparse_edges(X.edges(snapshots(spark, d))).groupBy("event_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("g10_kept_nodes", with_actions(ROTATED + "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY ordinal) - 1 AS new_ordinal, ordinal FROM r WHERE tm", True))
+@query("g10_kept_nodes", with_actions(ROTATED + "SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY ordinal) - 1)::INTEGER AS new_ordinal, ordinal FROM r WHERE tm", True))
 def kept_nodes(spark, d):
     """Nodes without opponents, with new ordinals."""
     n = X.nodes(snapshots(spark, d)).select("event_id", F.col("n.ordinal").alias("ordinal"), F.col("n.teammate").alias("keep"))
@@ -235,7 +235,7 @@ def xg_features(spark, d):
     "g18_destination_features",
     with_actions(
         ROTATED
-        + f""", c AS (SELECT i AS cell, (i % 12)::DOUBLE * 8.75::DOUBLE + 4.375::DOUBLE AS cx, (i // 12)::DOUBLE * 8.5::DOUBLE + 4.25::DOUBLE AS cy FROM range(0, 96) t(i))
+        + f""", c AS (SELECT i::INTEGER AS cell, (i % 12)::DOUBLE * 8.75::DOUBLE + 4.375::DOUBLE AS cx, (i // 12)::DOUBLE * 8.5::DOUBLE + 4.25::DOUBLE AS cy FROM range(0, 96) t(i))
 SELECT r.event_id, cell, {R6.format('any_value(cx) - any_value(px)')} AS dx, {R6.format('any_value(cy) - any_value(py)')} AS dy, {R6.format('min(CASE WHEN r.tm THEN ' + dist('cx', 'cy', 'r.x', 'r.y') + ' END)')} AS nearest_teammate,
   {R6.format('min(CASE WHEN NOT r.tm THEN ' + dist('cx', 'cy', 'r.x', 'r.y') + ' END)')} AS nearest_opponent, {R6.format('min(CASE WHEN NOT r.tm THEN ' + seg('px', 'py', 'cx', 'cy', 'r.x', 'r.y') + ' END)')} AS lane_opponent
 FROM r JOIN {SHOTS_ONLY} q ON q.event_id = r.event_id JOIN p ON p.event_id = r.event_id, c WHERE NOT r.goal GROUP BY r.event_id, cell""",
@@ -327,8 +327,8 @@ def blocked_augmentations(spark, d):
         + f""", j AS (SELECT i.*, s.ordinal AS io, s.team AS iteam, t.ordinal AS ro, t.team AS rteam FROM i LEFT JOIN s ON s.event_id = i.event_id AND s.object_id = i.intent_id LEFT JOIN s t ON t.event_id = i.event_id AND t.object_id = i.receiver_id)
 , f AS (SELECT *, spadl_type IN ('pass', 'cross') AS ps FROM j)
 SELECT match_id, action_id, ps::INT AS is_pass, (spadl_type NOT IN ('pass', 'cross', 'shot'))::INT AS is_dribble, (spadl_type = 'shot')::INT AS is_shot, 24 AS n_players,
- CASE WHEN io IS NULL OR iteam <> team THEN -1 WHEN io >= 23 THEN 11 ELSE (io - 1) % 11 END AS intent_index,
- CASE WHEN receiver_id = 'out' OR spadl_type NOT IN ('pass', 'cross', 'shot') THEN -1 WHEN rteam = team THEN (ro - 1) % 11 ELSE 12 + (ro - 1) % 11 END AS receiver_index,
+ (CASE WHEN io IS NULL OR iteam <> team THEN -1 WHEN io >= 23 THEN 11 ELSE (io - 1) % 11 END)::INTEGER AS intent_index,
+ (CASE WHEN receiver_id = 'out' OR spadl_type NOT IN ('pass', 'cross', 'shot') THEN -1 WHEN rteam = team THEN (ro - 1) % 11 ELSE 12 + (ro - 1) % 11 END)::INTEGER AS receiver_index,
  CASE WHEN ps THEN floor((receive_frame_id - frame_id) / 25.0::DOUBLE * 100 + 0.5) / 100 ELSE 0.0::DOUBLE END AS duration,
  CASE WHEN ps THEN CASE WHEN team = 'away' THEN 105.0::DOUBLE - start_x ELSE start_x END ELSE -105.0::DOUBLE END AS start_x, CASE WHEN ps THEN CASE WHEN team = 'away' THEN 68.0::DOUBLE - end_y ELSE end_y END ELSE -68.0::DOUBLE END AS end_y, success::INT AS success FROM f""",
         True,

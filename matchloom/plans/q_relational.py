@@ -174,7 +174,7 @@ def valid_snapshots(spark, d):
     "a01_zone_sums",
     with_actions(
         """
-, g AS (SELECT team, i AS bin_x, j AS bin_y FROM (SELECT DISTINCT team FROM a), range(0, 4) x(i), range(0, 3) y(j))
+, g AS (SELECT team, i::INTEGER AS bin_x, j::INTEGER AS bin_y FROM (SELECT DISTINCT team FROM a), range(0, 4) x(i), range(0, 3) y(j))
 , s AS (SELECT team, CASE WHEN start_x < 26.25 THEN 0 WHEN start_x < 52.5 THEN 1 WHEN start_x < 78.75 THEN 2 WHEN start_x < 105 THEN 3 END AS bin_x,
         CASE WHEN start_y < 20 THEN 0 WHEN start_y < 48 THEN 1 WHEN start_y < 68 THEN 2 END AS bin_y, sum(k)::DOUBLE AS total FROM a WHERE spadl_type = 'goalkick' GROUP BY ALL)
 SELECT g.team, g.bin_x, g.bin_y, coalesce(total, 0) AS total FROM g LEFT JOIN s ON g.team = s.team AND g.bin_x = s.bin_x AND g.bin_y = s.bin_y"""
@@ -395,6 +395,6 @@ def sample(spark, d):
     return R.sample(table(spark, d, "events").select("event_id"), F.col("event_id"), 200)
 
 
-@query("o04_top_per_group", "SELECT user_id, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3")
+@query("o04_top_per_group", "SELECT user_id, event_id, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3")
 def top_per_group(spark, d):
     return R.top_per_group(table(spark, d, "events"), ["user_id"], [F.col("value").desc(), F.col("event_id")], 3).select("user_id", "event_id", "value", "rank")
