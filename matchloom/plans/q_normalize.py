@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import external as E
 from ..operators import normalize as N
 from ..operators import relational as R
 from ..operators import sync as Y
@@ -261,3 +262,21 @@ def phases(spark, d):
     spans = T.playing_spans(a.select("match_id", "object_id", "frame_id", F.col("start_x").alias("x")))
     out = T.phases(spans, a.select("match_id", "period_id", "frame_id"))
     return out.select("match_id", "start_frame", "end_frame", F.size("active_players").cast("long").alias("n_players"))
+
+
+@query("n29_frame_numbers", "SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) - 1 AS frame_id FROM orders")
+def frame_numbers(spark, d):
+    """Place of each date among a customer's distinct dates."""
+    return E.frame_numbers(table(spark, d, "orders"), ["o_custkey"], "o_orderdate").select("o_orderkey", "frame_id")
+
+
+@query(
+    "n08_right_team_reflected",
+    with_actions(
+        """, m AS (SELECT match_id, period_id, team, object_id, avg(start_x) AS m FROM a GROUP BY ALL), n AS (SELECT match_id, period_id, avg(CASE WHEN team = 'home' THEN m END) AS h, avg(CASE WHEN team = 'away' THEN m END) AS w FROM m GROUP BY ALL)
+SELECT a.event_id, CASE WHEN coalesce(team = CASE WHEN h > w THEN 'home' WHEN w > h THEN 'away' END, false) THEN 105.0::DOUBLE - start_x ELSE start_x END AS start_x FROM a JOIN n ON a.match_id = n.match_id AND a.period_id = n.period_id"""
+    ),
+)
+def right_team_reflected(spark, d):
+    """The team on the right of each period turned."""
+    return E.right_team_reflected(lens.raw_actions(spark, d)).select("event_id", "start_x")

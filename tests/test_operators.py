@@ -307,3 +307,26 @@ def test_graph_scores_match_a_loop(spark):
     assert all(math.isclose(q.s, 1) and q.n == 2 for q in p)
     post = scoring.posteriors(d, ["f", "x", "y"], scoring.random_weights(4, 8)).groupBy("event_id", "option").agg(F.sum("posterior").alias("s"), F.count("*").alias("n")).collect()
     assert len(post) == 4 and all(math.isclose(q.s, 1) and q.n == 3 for q in post)
+
+
+def test_external_frames(spark):
+    from matchloom.operators import external
+
+    players = [(1, 1, "0.04", 7, 1, "-10", "5", "A", "A", None), (1, 1, "0.04", 7, 1, "-10", "5", "A", "A", None), (1, 1, "0.08", 7, 1, "-9", "5", "A", "A", 1.0), (1, 1, "0.08", 8, 2, "50", "0", "B", "A", None), (1, 1, "0.08", 9, 3, "0", "0", "B", "A", None), (1, 1, "0.12", 8, 2, "x", "0", "B", "A", None)]
+    p = external.clean_players(spark.createDataFrame(players, "game_id int, half int, abs_time string, uefa_player_id int, role int, centroid_x string, centroid_y string, team string, possession_team string, BallReceipt double"))
+    b = external.clean_ball(spark.createDataFrame([(1, 1, 0.08, 1.0, 2.0, 0.1), (1, 1, 0.08, 0.5, 2.0, 0.1), (1, 1, 0.2, None, 2.0, 0.1)], "game_id int, half int, abs_time double, ball_x double, ball_y double, ball_z double"))
+    names = external.object_names(p, normalize.stable_teams(p))
+    assert p.count() == 3 and b.count() == 1 and {(r.uefa_player_id, r.object_id) for r in names.collect()} == {(7, "home_1"), (8, "away_1")}
+    meta = external.frame_meta(p, b, names).orderBy("frame_id").collect()
+    assert [(r.frame_id, r.ball_x, r.possessor) for r in meta] == [(0, None, None), (1, 0.5, "home_1")]
+    long = {(r.abs_time, r.object_id): (r.x, r.y) for r in external.long_tracking(p, b, names).collect()}
+    assert long == {(0.04, "home_1"): (42.5, 39.0), (0.08, "home_1"): (43.5, 39.0), (0.08, "away_1"): (102.5, 34.0), (0.08, "ball"): (53.0, 36.0)}
+
+
+def test_lineup_lookup(spark):
+    from matchloom.operators import external
+
+    e = spark.createDataFrame([(1, "p", "q"), (1, "q", None), (2, "p", "p")], "match_id long, player_id string, receiver_player_id string")
+    lineup = spark.createDataFrame([(1, "p", "home_1"), (1, "q", "home_2")], "match_id long, player_id string, object_id string")
+    assert {(r.match_id, r.player_id, r.object_id, r.receiver_id) for r in external.by_lineup(e, lineup).collect()} == {(1, "p", "home_1", "home_2"), (1, "q", "home_2", None), (2, "p", None, None)}
+    assert value(spark, external.clock_frame(F.lit("01:02"))) == 1550
