@@ -3,9 +3,10 @@
 A page is read once with a pattern that finds tags, comments and raw elements (script, style and the like, whose content is skipped).  Text
 between block-level tags is a block.  Blocks inside menus, headers, footers, asides, forms, adverts, notices, comments and
 the like (by element, role, class or id) are out.  The first pass judges the others by themselves: many link characters: out; long or
-rich in stop words: in; in between: open.  In the second pass an open block takes the label of its nearest decided neighbour within its
+rich in stop words: in; in between: open.  Inline elements of that kind are out alone, up to their closing tag.  In the second pass an open block takes the label of its nearest decided neighbour within its
 own article, or page if none is marked, both sides counting; it is in if there is none and it holds no link.  If a page marks its article
-(``article``, ``main`` or that role), text outside of it is out, and in it long blocks need no stop words.
+(``article``, ``main`` or that role), text outside of it is out, and in it long blocks need no stop words.  An article in a container
+that is out by class or id alone (``layout-with-sidebar``) is in, unless another one is in fewer of them.
 
 Edge cases: null or empty html gives an empty text; unclosed elements end with their parent or with the page; a page of
 plain text is one block; character references are decoded once, as HTML5 says; repeated rows and null ids are kept.
@@ -65,10 +66,10 @@ WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("article", "heading", "label", "links", "out", "parts")
+    __slots__ = ("article", "depth", "heading", "label", "links", "out", "parts")
 
-    def __init__(self, out: bool, article: int, heading: bool):
-        self.out, self.article, self.heading = out, article, heading
+    def __init__(self, out: bool, article: int, depth: int, heading: bool):
+        self.out, self.article, self.depth, self.heading = out, article, depth, heading
         self.parts: list[str] = []
         self.links = 0
         self.label = None
@@ -92,8 +93,10 @@ def words_of(attributes: str) -> tuple[set[str], str, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks with what contains them."""
     found: list[Block] = []
-    # name, out, number of the article around
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    # name, whether it is inline, elements around that are out by themselves and by class or id (since the article began), number of the article around
+    stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
+    # of each article: containers that are out by class or id
+    depths = [0]
     block: Block | None = None
     links = articles = at = 0
 
@@ -101,9 +104,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal block
         if not piece or (block is None and not piece.strip()):
             return
+        _, inline, hard, soft, article = stack[-1]
+        if inline:
+            marks = hard + soft
+            _, _, hard, soft, article = next(x for x in reversed(stack) if not x[1])
+            if marks and not hard + soft:
+                return
         if block is None:
-            _, out, article = stack[-1]
-            block = Block(out, article, any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-4:]))
+            block = Block(hard + soft > 0, article, depths[article], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-4:]))
             found.append(block)
         block.parts.append(piece)
         if links:
@@ -122,14 +130,28 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             text(" ")
             continue
-        if name not in BLOCK and name not in OUT:
-            if m["close"] or name in VOID or not m["attrs"]:
+        inline = name not in BLOCK and name not in OUT
+        if inline:
+            if name in VOID or m["attrs"].rstrip().endswith("/"):
                 continue
-            names, role, hidden = words_of(m["attrs"])
-            if not (hidden or role in OUT_ROLES or names & OUT_WORDS):
-                continue
-            if m["attrs"].rstrip().endswith("/"):
+            # of inline elements only marked ones are on the stack, and those of the same name in them
+            at_name = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            if m["close"]:
+                if at_name:
+                    _, _, hard, soft, article = stack[at_name]
+                    hard, soft = hard - stack[at_name - 1][2], soft - stack[at_name - 1][3] if article == stack[at_name - 1][4] else 0
+                    above = stack[at_name + 1 :]
+                    if any(not x[1] for x in above):
+                        # closed within a block that began in it
+                        block = None
+                    stack[at_name:] = [(n, i, h - hard, s - soft if a == article else s, a) for n, i, h, s, a in above]
                 continue
+            if not at_name:
+                if not m["attrs"]:
+                    continue
+                names, role, hidden = words_of(m["attrs"])
+                if not (hidden or role in OUT_ROLES or names & OUT_WORDS):
+                    continue
         block, links = (None, 0) if name in BLOCK or name in OUT else (block, links)
         if m["close"]:
             for i in range(len(stack) - 1, 0, -1):
@@ -139,7 +161,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
-        if len(stack) > 1:
+        if len(stack) > 1 and not inline:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p" and name in BLOCK:
                     del stack[i:]
@@ -149,18 +171,21 @@ def blocks(page: str) -> list[Block]:
                     if name not in ("tr", "tbody", "tfoot"):
                         break
                     continue
-                if stack[i][0] not in ("b", "i", "em", "strong", "span", "u", "td", "th", "tr", "p") or stack[i][0] in PARENTS.get(name, ()):
+                if (not stack[i][1] and stack[i][0] not in ("td", "th", "tr", "p")) or stack[i][0] in PARENTS.get(name, ()):
                     break
-        _, out, article = stack[-1]
+        _, _, hard, soft, article = stack[-1]
         names, role, hidden = words_of(m["attrs"]) if m["attrs"] else (set(), "", False)
         own_article = name in ("article", "main") or role in ("article", "main")
         if article:
             names -= KEPT_IN_ARTICLE
-        bad = hidden or name in OUT or role in OUT_ROLES or (name == "header" and not article) or (bool(names & OUT_WORDS) and not own_article and name not in ("body", "html"))
-        if own_article and not out and not article:
+        hard += hidden or name in OUT or role in OUT_ROLES or (name == "header" and not article)
+        soft += bool(names & OUT_WORDS) and not own_article and name not in ("body", "html")
+        if own_article and not hard and not article:
             articles += 1
             article = articles
-        stack.append((name, out or bad, article))
+            depths.append(soft)
+            soft = 0
+        stack.append((name, inline, hard, soft, article))
     text(page[at:] if page[at:].find("<") < 0 else re.sub(r"<[^>]*\Z", "", page[at:]))
     return found
 
@@ -172,7 +197,10 @@ def clean(block: Block) -> str:
 def extract(page: str | None) -> str:
     """The main text of a page."""
     found = [(b, t) for b in blocks(page or "") if (t := clean(b))]
-    marked = any(b.article and not b.out for b, _ in found)
+    inside = [b.depth for b, _ in found if b.article and not b.out]
+    marked = bool(inside)
+    for b, _ in found:
+        b.out = b.out or bool(b.article and marked and b.depth > min(inside))
     # first pass: each block by itself
     for b, t in found:
         if b.out or (marked and not b.article):

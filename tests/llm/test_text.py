@@ -338,3 +338,29 @@ def test_columns_with_clashing_names_stay(spark):
     labels = frame(spark, [(1, 1), (2, 0)], "doc_id long, toxic int")
     kept = toxicity.without_toxic(d, labels)
     assert kept.columns == d.columns and {r.x0 for r in kept.collect()} == {2.0, 3.0, None}
+
+
+def test_html_marked_inline_elements_end_with_their_tag():
+    body = "This is a long enough sentence of the article that has all the words in it which one would look for. " * 2
+    p = f"<p>{body}</p>"
+    t = body.strip()
+    whole = f"T\n{t}\n{t}"
+    for mark in ('<span class="share">x</span>', '<i class="fa fa-comment" aria-hidden="true"></i>', '<small role="note" class="ad">x</small>', '<span class="share"><span>x</span>y</span>', '<em class="promo">x<b>y</b></em>'):
+        assert html_text.extract(f"<article><h1>T</h1>{mark}{p}{p}</article>") == whole
+        assert html_text.extract(f"<body><h1>T</h1>{mark}{p}{p}</body>") == whole
+        assert html_text.extract(f"<article><h1>T</h1><p>{mark} {body}</p><p>{body}{mark}</p></article>") == whole
+    # text around a mark is one block, the mark's own is out
+    assert html_text.extract(f'<article><h1>T</h1><p>{body}<span class="notice">not this</span>{body}</p></article>') == f"T\n{t} {t}"
+    # what a marked inline element holds stays out, blocks included
+    assert html_text.extract(f'<article><h1>T</h1>{p}<span class="share"><div>{body}</div><span>a</span>{body}</span>{p}</article>') == whole
+    # closed inside a block that began in it
+    assert html_text.extract(f'<article><h1>T</h1><i class="share"><div>x</i>{p}</div>{p}</article>') == whole
+
+
+def test_html_articles_in_containers_out_by_class():
+    body = "This is a long enough sentence of the article that has all the words in it which one would look for. " * 2
+    p, t = f"<p>{body}</p>", body.strip()
+    assert html_text.extract(f'<body><div class="layout-with-sidebar"><div class="menu">{p}</div><article><h1>T</h1>{p}<div class="share">{p}</div></article></div></body>') == f"T\n{t}"
+    # not those in more such containers than another one, nor those out by element or role
+    assert html_text.extract(f'<div class="layout-with-sidebar"><article>{p}</article><div class="comments"><article>{p}{p}</article></div></div>') == t
+    assert html_text.extract(f"<article>{p}</article><aside><article>{p}{p}</article></aside>") == t
