@@ -7,11 +7,15 @@ twice inside the row, in generated code; per-node sums are pre-aggregated in the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.vocab import PITCH_X, PITCH_Y
+from ..functions.vocab import DESTINATION_COLUMNS, DESTINATION_ROWS, PITCH_X, PITCH_Y
 
 EPS = 1e-6
 NODE = ("teammate", "keeper", "goal", "x", "y", "vx", "vy", "speed", "accel", "goal_dist", "goal_cos", "goal_sin", "ball_z", "possessor", "poss_dist", "poss_cos", "poss_sin", "vel_cos", "vel_sin")
@@ -153,6 +157,35 @@ def destination_features(snapshots: DataFrame, columns: int, rows: int, key: str
     return agg.select(key, "cell", F.col("_b.c.x").alias("x"), F.col("_b.c.y").alias("y"), (F.col("_b.c.x") - F.col("_b.poss.x")).alias("dx"), (F.col("_b.c.y") - F.col("_b.poss.y")).alias("dy"), "nearest_teammate", "nearest_opponent", "lane_opponent")
 
 
+def destination_grid(snapshots: DataFrame, columns: int = DESTINATION_COLUMNS, rows: int = DESTINATION_ROWS, key: str = "event_id") -> DataFrame:
+    """``destination_features`` of fine grids, one row a graph: dx of each column, dy of each row, and the other features of each cell, x fastest; null where a side has no player."""
+    x, y = (np.arange(columns) + 0.5) * (PITCH_X / columns), (np.arange(rows) + 0.5) * (PITCH_Y / rows)
+    cx, cy = np.tile(x, rows)[:, None], np.repeat(y, columns)[:, None]
+
+    def nearest(dx: np.ndarray, dy: np.ndarray):
+        return np.sqrt((dx * dx + dy * dy).min(1)) if dx.shape[1] else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 100):
+                out = []
+                for k, px, py, players in batch.iloc[first : first + 100].itertuples(index=False):
+                    side = {t: np.array([[q["x"], q["y"]] for q in players if not q["goal"] and q["teammate"] == t], float).reshape(-1, 2) for t in (True, False)}
+                    (mx, my), (ox, oy) = side[True].T, side[False].T
+                    if np.isnan(px):
+                        out.append((k, None, None, nearest(cx - mx, cy - my), nearest(cx - ox, cy - oy), None))
+                        continue
+                    lx, ly = cx - px, cy - py
+                    length = lx * lx + ly * ly
+                    t = np.clip(((ox - px) * lx + (oy - py) * ly) / np.where(length > 0, length, 1), 0, 1) * (length > 0)
+                    out.append((k, x - px, y - py, nearest(cx - mx, cy - my), nearest(cx - ox, cy - oy), nearest(px + t * lx - ox, py + t * ly - oy)))
+                yield pd.DataFrame(out, columns=[key, "dx", "dy", "nearest_teammate", "nearest_opponent", "lane_opponent"])
+
+    # some 170 KB a row
+    cells = ", ".join(f"{c} array<double>" for c in ("dx", "dy", "nearest_teammate", "nearest_opponent", "lane_opponent"))
+    return snapshots.select(key, F.col("poss.x").cast("double").alias("_px"), F.col("poss.y").cast("double").alias("_py"), "players").mapInPandas(run, f"{key} {dict(snapshots.dtypes)[key]}, {cells}")
+
+
 def target_features(snapshots: DataFrame, target: str = "receiver_id", key: str = "event_id", compat: bool = True) -> DataFrame:
     """41 features of the possessor and the intended target; without a target its 20 are -100.
 

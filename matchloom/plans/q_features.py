@@ -243,11 +243,17 @@ FROM r JOIN {SHOTS_ONLY} q ON q.event_id = r.event_id JOIN p ON p.event_id = r.e
     ),
 )
 def destination_features(spark, d):
-    """Features of 96 destination cells for every shot."""
+    """Features of 96 destination cells for every shot: a part of ``g18_destination_grid`` that SQL can follow."""
     s = snapshots(spark, d).where("spadl_type = 'shot'")
     return six(X.destination_features(s, 12, 8).select("event_id", "cell", "dx", "dy", "nearest_teammate", "nearest_opponent", "lane_opponent"), ["event_id", "cell"])
 
 
+@query("g18_destination_grid")
+def destination_grid(spark, d):
+    """Features of all 7140 destination cells for every action, a row each (held against the operator of the 96 cells in tests)."""
+    return X.destination_grid(snapshots(spark, d))
+
+
 @query("g19_cell_index", with_actions(f"SELECT event_id, CAST((67 - floor(least(end_y, 68 - 1e-9) / 68 * 68)) * 105 + floor(least(end_x, 105 - 1e-9) / 105 * 105) AS INTEGER) AS cell, {R6.format('sqrt((105 - end_x) * (105 - end_x) + (end_y - 34) * (end_y - 34))')} AS goal_distance, {R6.format('atan2(end_y - 34, 105 - end_x)')} AS goal_angle FROM a"))
 def cell_index(spark, d):
     """Destination cell and polar place of the end of each action."""

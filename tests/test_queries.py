@@ -48,3 +48,19 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() >= 0
+
+
+def test_destination_grid_is_whole(spark):
+    from matchloom.operators import features as X
+    from matchloom.plans.q_features import snapshots
+
+    s = snapshots(spark, DIR)
+    assert spark.read.parquet(f"{DIR}/events.parquet").count() == entry_points.queries()["g18_destination_grid"](spark, DIR).where("size(nearest_teammate) = 7140 AND size(lane_opponent) = 7140 AND size(dx) = 105 AND size(dy) = 68").select("event_id").distinct().count()
+    some = s.where("event_id % 97 = 0 AND spadl_type <> 'shot'")
+    grid = {r.event_id: r for r in X.destination_grid(some).collect()}
+    cells = X.destination_features(some, 105, 68).where("cell % 61 = 0").collect()
+    assert len(grid) > 3 and len(cells) == len(grid) * 118
+    for r in cells:
+        g = grid[r.event_id]
+        got = (g.dx[r.cell % 105], g.dy[r.cell // 105], g.nearest_teammate[r.cell], g.nearest_opponent[r.cell], g.lane_opponent[r.cell])
+        assert got == pytest.approx((r.dx, r.dy, r.nearest_teammate, r.nearest_opponent, r.lane_opponent), abs=1e-9)
