@@ -246,9 +246,8 @@ def shot_anomalies(spark, d):
 
 @query("g11_delaunay_edges")
 def delaunay_edges(spark, d):
-    """Triangulated neighbours around every shot (a kernel: held against known figures in tests)."""
-    s = G.held(lens.raw_actions(spark, d).where("spadl_type = 'shot'"), players=lens.players())
-    return T.delaunay(lens.spread(s).withColumn("players", F.slice("players", 1, 12)))
+    """Triangulated neighbours of all nodes around every action (a kernel: held against known figures in tests)."""
+    return T.delaunay(G.held(lens.spread(lens.raw_actions(spark, d)), players=lens.players()))
 
 
 @query("w05_phases", with_actions("""

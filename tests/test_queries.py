@@ -64,3 +64,29 @@ def test_destination_grid_is_whole(spark):
         g = grid[r.event_id]
         got = (g.dx[r.cell % 105], g.dy[r.cell // 105], g.nearest_teammate[r.cell], g.nearest_opponent[r.cell], g.lane_opponent[r.cell])
         assert got == pytest.approx((r.dx, r.dy, r.nearest_teammate, r.nearest_opponent, r.lane_opponent), abs=1e-9)
+
+
+def test_delaunay_edges_of_every_action(spark):
+    from matchloom.functions import geometry as G
+    from matchloom.plans import lens
+
+    rows = entry_points.queries()["g11_delaunay_edges"](spark, DIR).collect()
+    edges = {}
+    for r in rows:
+        edges.setdefault(r.event_id, set()).add((r.source, r.target))
+    a = G.held(lens.raw_actions(spark, DIR), players=lens.players())
+    assert len(edges) == a.count() and {x for e in edges.values() for pair in e for x in pair} == set(range(1, 25))
+
+    def half(points):
+        out = []
+        for x, y in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) < (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out[:-1]
+
+    # a triangulation of n points with h of them on its rim has 3n - 3 - h edges, in both directions here
+    for s in a.where("event_id % 7 = 0").select("event_id", "players").collect():
+        at = sorted({(round(p["x"] * 100), round(p["y"] * 100)) for p in s.players})
+        if len(at) == 24:
+            assert len(edges[s.event_id]) == 2 * (3 * 24 - 3 - len(half(at)) - len(half(at[::-1])))
