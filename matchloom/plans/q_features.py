@@ -172,8 +172,14 @@ SHOTS_ONLY = "(SELECT * FROM a WHERE spadl_type = 'shot')"
     with_actions(ROTATED + f"SELECT pr.event_id, ordinal AS source, oo AS target, {R6.format(dist('x', 'y', 'ox', 'oy'))} AS distance, (tm = otm)::INT::DOUBLE AS same_team FROM pr JOIN {SHOTS_ONLY} q ON q.event_id = pr.event_id", True),
 )
 def shot_graph_edges(spark, d):
-    """The complete graph around every shot."""
-    s = snapshots(spark, d).where("spadl_type = 'shot'")
+    """The complete graph around every shot: the part of ``g08_graph_edges`` that has an SQL twin."""
+    return graph_edges(spark, d, "spadl_type = 'shot'")
+
+
+@query("g08_graph_edges")
+def graph_edges(spark, d, where: str = "true"):
+    """The complete graph around every action."""
+    s = snapshots(spark, d).where(where)
     return X.edges(s).select("event_id", "source", "target", G.at_6(F.col("distance")).alias("distance"), "same_team")
 
 

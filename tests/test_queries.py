@@ -90,3 +90,10 @@ def test_delaunay_edges_of_every_action(spark):
         at = sorted({(round(p["x"] * 100), round(p["y"] * 100)) for p in s.players})
         if len(at) == 24:
             assert len(edges[s.event_id]) == 2 * (3 * 24 - 3 - len(half(at)) - len(half(at[::-1])))
+
+
+def test_graphs_of_every_action(spark):
+    n = spark.read.parquet(f"{DIR}/events.parquet").count()
+    q = entry_points.queries()
+    for name, key in (("g08_graph_edges", "source"), ("m04_graph_selection", "ordinal"), ("m05_graph_posteriors", "option")):
+        assert q[name](spark, DIR).select("event_id").distinct().count() == n, name
