@@ -1,7 +1,7 @@
 """Toxicity: two class-conditional Kneser-Ney models over symbols, compared per symbol.
 
 Texts are read as symbols: 26 letters (case folded), white space, digits, marks, and three for other bytes.  Spark counts
-all runs of five symbols in every labelled text, by class.  In each class, a symbol after four others has its discounted
+all runs of five symbols in the labelled texts of folds 2 to 4, by class.  In each class, a symbol after four others has its discounted
 share of the class's counts, and the rest of the mass goes to the next shorter run, whose continuation counts
 are shared by both classes; so what is rare in either class is judged alike by both.  The score is a logistic function of
 the mean log ratio per symbol and of how far single words' log ratios go beyond ``TELLING``, per word and in all; it is
@@ -72,7 +72,7 @@ def gather(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def count_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their counts in both classes over all of (text, y): pre-summed in tasks, summed by groups of codes in Spark."""
+    """Codes and their counts in both classes over the given rows of (text, y): pre-summed in tasks, summed by groups of codes in Spark."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
