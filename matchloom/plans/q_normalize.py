@@ -238,9 +238,22 @@ def synced_matches(spark, d):
 
 @query("l04_shot_anomalies")
 def shot_anomalies(spark, d):
-    """Shots whose ball path turns, and turns at a post (a kernel: held against drawn paths in tests)."""
-    ball = dense(spark, d).where("object_id = 'ball'")
-    shots = ball.select("match_id").distinct().select("match_id", F.lit(0).cast("long").alias("action_id"), F.lit(15).cast("long").alias("frame_id"), F.lit(80).cast("long").alias("receive_frame_id"))
+    """Every shot, and whether its ball path turns, and turns at a post (a kernel: held against drawn paths in tests).
+
+    The ball goes from the shot's start to its end between the shot's frames at 25 a second; every fifth shot goes by way of another spot.
+    """
+    a = lens.actions(spark, d).where("spadl_type = 'shot'")
+    shots = a.select("match_id", "action_id", "event_id", (F.col("action_id") * 1000).alias("frame_id"), (F.col("action_id") * 1000 + (F.col("receive_frame_id") - F.col("frame_id")) * 25).alias("receive_frame_id"), "start_x", "start_y", "end_x", "end_y")
+    f = F.explode(F.sequence("frame_id", "receive_frame_id"))
+    ball = shots.select("*", f.alias("_f"))
+    share = (F.col("_f") - F.col("frame_id")) / (F.col("receive_frame_id") - F.col("frame_id"))
+    bend = F.when(F.col("event_id") % 5 == 0, F.lit(1.0) - F.abs(share * 2 - 1)).otherwise(F.lit(0.0))
+
+    def at(axis: str, other: int):
+        straight = F.col(f"start_{axis}") + share * (F.col(f"end_{axis}") - F.col(f"start_{axis}"))
+        return (straight + bend * (F.lit(float(other)) - straight)).alias(axis)
+
+    ball = ball.select("match_id", F.col("_f").alias("frame_id"), at("x", 105), at("y", 30))
     return T.shot_anomalies(shots, ball)
 
 
@@ -256,11 +269,17 @@ def delaunay_edges(spark, d):
 , iv AS (SELECT match_id, pt AS sf, lead(pt) OVER (PARTITION BY match_id ORDER BY pt) - 1 AS ef FROM bd), iw AS (SELECT iv.* FROM iv JOIN en ON iv.match_id = en.match_id AND sf >= s AND ef <= e WHERE ef IS NOT NULL)
 SELECT iw.match_id, sf AS start_frame, ef AS end_frame, count(*) AS n_players FROM iw JOIN sp ON sp.match_id = iw.match_id AND i <= sf AND o >= ef GROUP BY ALL"""))
 def phases(spark, d):
-    """Intervals with a constant set of players."""
-    a = lens.actions(spark, d).where("period_id = 1")
+    """Intervals with a constant set of players in first periods: the part of ``w05_phases_of_periods`` that has an SQL twin."""
+    return phases_of_periods(spark, d, "period_id = 1").select("match_id", "start_frame", "end_frame", "n_players")
+
+
+@query("w05_phases_of_periods")
+def phases_of_periods(spark, d, where: str = "true"):
+    """Intervals of every period with a constant set of players."""
+    a = lens.actions(spark, d).where(where)
     spans = T.playing_spans(a.select("match_id", "object_id", "frame_id", F.col("start_x").alias("x")))
     out = T.phases(spans, a.select("match_id", "period_id", "frame_id"))
-    return out.select("match_id", "start_frame", "end_frame", F.size("active_players").cast("long").alias("n_players"))
+    return out.select("match_id", "period_id", "start_frame", "end_frame", F.size("active_players").cast("long").alias("n_players"))
 
 
 @query("n29_frame_numbers", "SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) - 1 AS frame_id FROM orders")

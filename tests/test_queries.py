@@ -97,3 +97,23 @@ def test_graphs_of_every_action(spark):
     q = entry_points.queries()
     for name, key in (("g08_graph_edges", "source"), ("m04_graph_selection", "ordinal"), ("m05_graph_posteriors", "option")):
         assert q[name](spark, DIR).select("event_id").distinct().count() == n, name
+
+
+def test_phases_of_both_periods(spark, duck):
+    whole = entry_points.queries()["w05_phases_of_periods"](spark, DIR)
+    assert {r.period_id for r in whole.select("period_id").distinct().collect()} == {1, 2}
+    from matchloom.plans.lens import with_actions
+
+    # every frame of the table between a match's period's first and last is in exactly one phase, if a player is on
+    a = duck.execute(with_actions("SELECT match_id, period_id, frame_id FROM a")).fetchall()
+    spans = {}
+    for r in whole.collect():
+        spans.setdefault((r.match_id, r.period_id), []).append((r.start_frame, r.end_frame))
+    assert all(sum(s <= f <= e for s, e in spans[m, p]) == 1 for m, p, f in a)
+
+
+def test_every_shot_is_judged(spark):
+    out = entry_points.queries()["l04_shot_anomalies"](spark, DIR).collect()
+    shots = spark.read.parquet(f"{DIR}/events.parquet").where("event_type = 'purchase'").count()
+    assert len(out) == len({(r.match_id, r.action_id) for r in out}) == shots
+    assert {r.anomaly for r in out} == {True, False}
