@@ -4,19 +4,26 @@ The automaton reads tokens and accepts exactly the token sequences that the merg
 with an arc for each byte.  Then the merges are applied in order, one gadget each.  For the merge of ``u`` and ``v`` all
 arcs labelled ``u`` are led to a copy of their target without its ``v`` arc, and every state with a ``u`` arc gets an
 arc with the merged label to where ``v`` led.  All arcs of one label share a target, so a state is kept as its
-parent and the one arc taken from it, and the table of arcs is filled from those as pairs come up.  For any
-word exactly one path spells it, so encoding goes through the byte positions once, each with its one live state.
+parent and the one arc taken from it.
+
+Compiling numbers the states so that all descendants of a state are a range, and writes down for every token the ranges of states
+that lack its arc: a complete table of transitions, where (state, token) is looked up by binary search and leads to the token's own state.
+A second table is the trie of the tokens' bytes.  Since every prefix of a word is accepted along exactly one path, each
+byte position has one live state.  Encoding goes through the positions once, forward: the trie names the tokens that begin there, and
+the table tells which of them have an arc from the live state; each makes the position where it ends live.  Nothing is tried
+twice or taken back, and all new pieces of a block go through the tables together.
 
 Edge cases: a null or empty text has no tokens (its digests are those of the empty string); repeated rows and null ids are kept
-as they are; the special token's text in a document becomes the special id, as the library does it.
+as they are; words of any length are encoded in time linear in it; the special token's text in a document becomes the special id, as the library does it;
+columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import mapped, remembered
-from .words import WordTable, chunks, text_buffers, words
+from .words import Lanes, WordTable, chunks, spans, text_buffers
 
 #: Fixed value: the public byte-level pre-split pattern (white space by Unicode property).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -36,6 +43,17 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+def outermost(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of ranges that are nested or apart, those in no other one, and neighbours joined; in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -48,20 +66,23 @@ class Automaton:
 
     WORDS_KEPT = 200_000
     LONGEST_KEPT = 64
+    #: Words up to so many bytes go through the tables side by side, one byte position at a time; longer ones each by itself.
+    TOGETHER = 64
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels: dict[int, bytes] = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if t not in self.special}
-        self.labels |= {i: t.encode() for t, i in self.special.items()}
-        self.decimal = {i: str(i) for i in self.labels}
-        self.tokens = {b: i for i, b in self.labels.items() if i not in set(self.special.values())}
-        self.length = {i: len(b) for b, i in self.tokens.items()}
-        #: every prefix of a token, with the token's id or -1; for each token the longest other one that starts it, or -1
-        self.prefixes = {b[:n]: -1 for b in self.tokens for n in range(1, len(b))} | self.tokens
-        self.shorter = {i: next((self.tokens[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.tokens), -1) for b, i in self.tokens.items()}
+        size = 1 + max(*vocab.values(), *self.special.values())
+        self.labels: list[bytes] = [b""] * size
+        for t, i in vocab.items():
+            self.labels[i] = t.encode() if t in self.special else bytes(byte[c] for c in t)
+        for t, i in self.special.items():
+            self.labels[i] = t.encode()
+        self.decimal = [str(i) for i in range(size)]
+        special = set(self.special.values())
+        self.tokens = {self.labels[i]: i for t, i in vocab.items() if i not in special}
         # state 0 is the start; a state is its parent without one arc, taken away at some step
         self.parent, self.without, self.since = [-1], [-1], [-1]
         self.target = {i: 0 for b, i in self.tokens.items() if len(b) == 1}
@@ -69,10 +90,10 @@ class Automaton:
         for step, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.gadget(step, vocab[a], vocab[b], vocab[a + b])
-        self.index()
-        self.arcs: dict[int, int] = {}
+        self.compile(size)
+        self.grow_trie()
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.chunks = WordTable()
 
     def gadget(self, step: int, u: int, v: int, merged: int) -> None:
@@ -84,115 +105,176 @@ class Automaton:
         self.target[merged] = old if u == v else self.target[v]
         self.made[merged] = (step, u)
 
-    def index(self) -> None:
-        """States in depth-first order, so that ancestry is a comparison, and for each token the states that lack it."""
+    def compile(self, size: int) -> None:
+        """The table of transitions: each token's own state, and the bounds of the ranges of states that lack its arc."""
         n = len(self.parent)
         children: list[list[int]] = [[] for _ in range(n)]
-        self.takers: dict[int, list[int]] = {}
-        self.depth, self.enter, self.leave = [0] * n, [0] * n, [0] * n
+        takers: dict[int, list[int]] = {}
+        enter, leave = [0] * n, [0] * n
         for s in range(1, n):
             children[self.parent[s]].append(s)
-            self.depth[s] = self.depth[self.parent[s]] + 1
-            self.takers.setdefault(self.without[s], []).append(s)
+            takers.setdefault(self.without[s], []).append(s)
         clock, stack = 0, [0]
         while stack:
             s = stack.pop()
             if s < 0:
-                self.leave[~s] = clock
+                leave[~s] = clock
                 continue
-            self.enter[s] = clock
+            enter[s] = clock
             clock += 1
             stack.append(~s)
             stack += children[s]
+        own = np.zeros(size, np.int64)
+        for t, s in self.target.items():
+            own[t] = enter[s]
+        # what a token's arc needs of its first part: that had an arc when the merge was made
+        needs: dict[int, list[tuple[int, int]]] = {}
+        keys: list[np.ndarray] = []
+        for t in self.target:
+            needs.setdefault(t, [])
+        for t, (step, first) in self.made.items():
+            taken = takers.get(first, ())
+            before = taken[: bisect_right(taken, step, key=self.since.__getitem__)]
+            needs[t] = outermost([(enter[z], leave[z]) for z in before] + needs[first])
+        for t in self.target:
+            lack = outermost([(enter[z], leave[z]) for z in takers.get(t, ())] + needs[t])
+            if lack:
+                keys.append((t << 32) + np.array(lack, np.int64).ravel())
+        self.own = own
+        self.lacks = np.sort(np.concatenate(keys))
+        self.first_key = np.searchsorted(self.lacks, np.arange(size, dtype=np.int64) << 32)
+
+    def has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Table look-up: a state that is within an odd number of a token's bounds lacks its arc."""
+        return (np.searchsorted(self.lacks, (token.astype(np.int64) << 32) + state, "right") - self.first_key[token]) & 1 == 0
+
+    def grow_trie(self) -> None:
+        """Nodes of the tokens' bytes: sorted (node, byte) keys, their children, and the token that ends at each node."""
+        number, keys, ends = {b"": 0}, [], [-1]
+        for b, i in self.tokens.items():
+            for n in range(1, len(b) + 1):
+                if b[:n] not in number:
+                    number[b[:n]] = len(ends)
+                    keys.append(number[b[: n - 1]] << 8 | b[n - 1])
+                    ends.append(-1)
+            ends[number[b]] = i
+        keys_of = np.array(keys, np.int64)
+        order = np.argsort(keys_of)
+        self.trie_keys, self.trie_nodes, self.trie_ends = keys_of[order], order + 1, np.array(ends, np.int64)
+        self.roots = np.zeros(256, np.int64)
+        self.roots[keys_of[keys_of < 256]] = np.nonzero(keys_of < 256)[0] + 1
+
+    def tokens_at(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every (position, token, length) of a token that begins at a position and ends by its ``stop``, shorter ones first."""
+        at, node, length = np.arange(len(data)), self.roots[data], 1
+        places, found, lengths = [], [], []
+        while len(at):
+            token = self.trie_ends[node]
+            hit = token >= 0
+            places.append(at[hit])
+            found.append(token[hit])
+            lengths.append(np.full(int(hit.sum()), length))
+            going = at + length < stop[at]
+            at, node = at[going], node[going]
+            key = node << 8 | data[at + length]
+            place = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+            going = self.trie_keys[place] == key
+            at, node, length = at[going], self.trie_nodes[place[going]], length + 1
+        return np.concatenate(places or [at]), np.concatenate(found or [at]), np.concatenate(lengths or [at])
+
+    def spell(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (little-endian, four bytes each) of pre-split words, none of them empty."""
+        out: list[bytes] = [b""] * len(pieces)
+        short = [i for i, w in enumerate(pieces) if len(w) <= self.TOGETHER]
+        for i, w in enumerate(pieces):
+            if len(w) > self.TOGETHER:
+                out[i] = self.spell_long(w)
+        if not short:
+            return out
+        data = np.frombuffer(b"".join([pieces[i] for i in short]), np.uint8)
+        sizes = np.array([len(pieces[i]) for i in short])
+        n = len(sizes)
+        word = np.repeat(np.arange(n), sizes)
+        stop = np.cumsum(sizes)
+        place, token, length = self.tokens_at(data, np.repeat(stop, sizes))
+        # a word of so many bytes has one more positions: each is an entry of ``last``, the token that ends there
+        begin = stop - sizes + np.arange(n)
+        start = place + word[place]
+        ahead = start - begin[word[place]]
+        order = np.argsort(ahead, kind="stable")
+        start, token, length = start[order], token[order], length[order]
+        cuts = np.searchsorted(ahead[order], np.arange(int(sizes.max()) + 1))
+        last = np.full(len(data) + n, -1, np.int64)
+        state = np.zeros(len(data) + n, np.int64)
+        span = np.zeros(len(data) + n, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            s, t, k = start[a:b], token[a:b], length[a:b]
+            ok = self.has_arc(state[s], t)
+            to = s[ok] + k[ok]
+            last[to], span[to] = t[ok], k[ok]
+            state[to] = self.own[t[ok]]
+        at, which = begin + sizes, np.arange(n)
+        ids, words, turns = [], [], []
+        while len(which):
+            ids.append(last[at])
+            words.append(which)
+            turns.append(np.full(len(which), -len(turns)))
+            at = at - span[at]
+            going = at > begin[which]
+            at, which = at[going], which[going]
+        which, turn = np.concatenate(words), np.concatenate(turns)
+        order = np.lexsort((turn, which))
+        flat, counts = np.concatenate(ids)[order].astype("<u4").tobytes(), np.bincount(which, minlength=n)
+        ends = (4 * np.cumsum(counts)).tolist()
+        for i, a, b in zip(short, [0, *ends[:-1]], ends, strict=True):
+            out[i] = flat[a:b]
+        return out
 
-    def has_arc(self, state: int, token: int, before: int) -> bool:
-        """Whether the state has the token's arc before a step: its first part had one when it was made, and none took it since."""
-        if token in self.made:
-            step, first = self.made[token]
-            if not self.has_arc(state, first, step + 1):
-                return False
-        takers = self.takers.get(token)
-        if not takers:
-            return True
-        if self.depth[state] < len(takers):
-            while state:
-                if self.without[state] == token and self.since[state] < before:
-                    return False
-                state = self.parent[state]
-            return True
-        at = self.enter[state]
-        return not any(self.since[x] < before and self.enter[x] <= at < self.leave[x] for x in takers)
-
-    def step(self, state: int, token: int) -> int:
-        """The next state, or -1; table entries are made once."""
-        at = self.arcs.get(state << 20 | token)
-        if at is None:
-            if len(self.arcs) > 500_000:
-                self.arcs.clear()
-            at = self.arcs[state << 20 | token] = self.target[token] if self.has_arc(state, token, 1 << 60) else -1
-        return at
-
-    def word(self, text: str) -> tuple[int, ...]:
-        """The one accepted path through a pre-split word: longest arc first, back from positions found dead."""
-        w = text.encode()
-        n, arcs, prefixes, shorter, length = len(w), self.arcs, self.prefixes, self.shorter, self.length
-        t = self.tokens.get(w, -1)
-        if t >= 0 and self.step(0, t) >= 0:
-            return (t,)
-        path: list[int] = []
-        states: list[int] = []
-        dead: set[int] = set()
-        i = s = 0
-        while i < n:
-            t, j = -1, i + 1
-            while j <= n and (x := prefixes.get(w[i:j])) is not None:
-                if x >= 0:
-                    t = x
-                j += 1
-            while True:
-                while t >= 0:
-                    if i + length[t] not in dead:
-                        at = arcs.get(s << 20 | t)
-                        if at is None:
-                            at = self.step(s, t)
-                        if at >= 0:
-                            break
-                    t = shorter[t]
-                if t >= 0:
-                    break
-                dead.add(i)
-                t, s = path.pop(), states.pop()
-                i -= length[t]
-                t = shorter[t]
-            path.append(t)
-            states.append(s)
-            i, s = i + length[t], at
-        return tuple(path)
+    def spell_long(self, w: bytes) -> bytes:
+        """As ``spell``, for one word, position by position."""
+        place, token, length = self.tokens_at(np.frombuffer(w, np.uint8), np.full(len(w), len(w)))
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(len(w) + 1)).tolist()
+        token, length = token[order], length[order]
+        own, first = self.own[token].tolist(), self.first_key[token].tolist()
+        keys, token, length = (token << 32).tolist(), token.tolist(), length.tolist()
+        last, state, lacks, seen = [-1] * (len(w) + 1), [0] * (len(w) + 1), self.lacks, {}
+        for i in range(len(w)):
+            s = state[i]
+            for j in range(cuts[i], cuts[i + 1]):
+                key = keys[j] + s
+                ok = seen.get(key)
+                if ok is None:
+                    ok = seen[key] = (int(lacks.searchsorted(key, "right")) - first[j]) & 1 == 0
+                if ok:
+                    last[i + length[j]], state[i + length[j]] = j, own[j]
+        ids, at = [], len(w)
+        while at:
+            ids.append(token[last[at]])
+            at -= length[last[at]]
+        return np.array(ids[::-1], "<u4").tobytes()
 
     def encode(self, text: str) -> list[int]:
         if self.splitter is not None and any(t in text for t in self.special):
-            return [i for x in self.splitter.split(text) if x for i in ([self.special[x]] if x in self.special else self.encode_plain(x))]
-        return self.encode_plain(text)
+            return [i for x in self.splitter.split(text) if x for i in ([self.special[x]] if x in self.special else np.frombuffer(self.encode_plain([x])[0], "<u4").tolist())]
+        return np.frombuffer(self.encode_plain([text])[0], "<u4").tolist()
 
-    def encode_plain(self, text: str) -> list[int]:
-        known, words = self.known, WORDS.findall(text)
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        known, split = self.known, [WORDS.findall(t) for t in texts]
         if len(known) > self.WORDS_KEPT:
             known.clear()
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, words)))
-        except KeyError:
-            pass
-        long = {}
-        for w in set(words):
-            if w not in known:
-                (known if len(w) <= self.LONGEST_KEPT else long)[w] = self.word(w)
-        return list(chain.from_iterable(known[w] if w in known else long[w] for w in words))
+        new = [w for w in {w for words in split for w in words} if w not in known]
+        made = dict(zip(new, self.spell([w.encode() for w in new]), strict=True))
+        out = [b"".join([known[w] if w in known else made[w] for w in words]) for words in split]
+        known.update((w, ids) for w, ids in made.items() if len(w) <= self.LONGEST_KEPT)
+        return out
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
         """Ids of each of some texts in one byte array.
 
         A single blank between other characters always goes with what follows it, and a single line end is a word by itself, so texts are
-        cut there; the distinct pieces of the block are looked up by hash, and only new ones go through the automaton.  Texts that may
+        cut there; the distinct pieces of the block are looked up by hash and compared byte for byte, and only new ones go through the automaton.  Texts that may
         hold other white space than ASCII's, or a special token, are encoded by themselves.
         """
         n = len(offsets) - 1
@@ -209,16 +291,14 @@ class Automaton:
             line = alone & (data == 10)
             cuts |= line
             cuts[1:] |= line[:-1]
-            starts, stops, hashes = words(data, offsets, np.ones(len(data), bool), cuts)
+            starts, stops = spans(data, offsets, np.ones(len(data), bool), cuts)
             quick = ~slow[np.searchsorted(offsets, starts, "right") - 1]
-            starts, stops, hashes = starts[quick], stops[quick], hashes[quick]
-            distinct, at, inverse = np.unique(np.maximum(hashes, np.uint64(1)), return_index=True, return_inverse=True)
+            starts, stops = starts[quick], stops[quick]
 
             def fill(fresh: np.ndarray) -> list[bytes]:
-                spans = zip(starts[at[fresh]].tolist(), stops[at[fresh]].tolist(), strict=True)
-                return [np.array(self.encode_plain(data[a:b].tobytes().decode()), "<u4").tobytes() for a, b in spans]
+                return self.encode_plain([data[a:b].tobytes().decode() for a, b in zip(starts[fresh].tolist(), stops[fresh].tolist(), strict=True)])
 
-            ids, ends = self.chunks.gather(distinct, inverse, fill)
+            ids, ends = self.chunks.gather(Lanes(data, starts, stops), fill)
             cut = np.concatenate(([0], ends))[np.searchsorted(starts, offsets)].tolist()
             flat = ids.tolist()
             out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
