@@ -1,15 +1,16 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 Every task streams its own documents, so nothing is shuffled and no key can run hot.  Consecutive documents of
-a partition form shards of about ``SHARD_WINDOWS`` windows.  In a shard, every full window of a long document is a
-sequence by itself; what remains is cut into items of at most ``max_item`` tokens, and multiway differencing deals the
+a partition form shards of about ``SHARD_WINDOWS`` windows, or of ``MOST_DOCUMENTS`` documents if these are tiny.  In a shard, every full window of a long document is a
+sequence by itself; what remains is cut into items of at most ``max_item`` tokens (neighbouring tiny ones make one item), and multiway differencing deals the
 items out: it keeps merging the two partial partitions with the widest spread, largest window on smallest.  It starts at
 the least window count that could hold the shard, and while the fullest window exceeds the capacity the count rises by
 one.  The last shard of a partition takes up to twice as many windows, so that no small rest is left over; a partition
 that holds less than one window in all is written as power-of-two sequences, which need no padding.
 
 Edge cases: a null or empty text has only its separator token; a null ``doc_id`` is packed like any other; repeated rows are
-packed each on its own; an empty table gives no pieces; columns other than the two named are not read.
+packed each on its own; a text of any length is cut into full windows and one rest; among equal spreads and sizes the earlier item goes first, so
+a partition's pieces are the same at every run; an empty table gives no pieces; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -18,49 +19,55 @@ import heapq
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mapped, remembered
-from .words import WordTable, chunks, text_buffers, words
+from .words import Lanes, WordTable, chunks, spans, text_buffers
 
 CAPACITY = 4096
 SHARD_WINDOWS = 256
 MAX_ITEM = 1024
+#: Neighbouring items below this many tokens are dealt out together, up to this many.
+TOGETHER = 128
+#: Shards of tiny documents end here.
+MOST_DOCUMENTS = 1 << 17
 SEPARATOR = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Deal ``sizes`` into ``k`` windows by the largest differencing method; the item numbers of each window."""
+    """Deal ``sizes`` into ``k`` windows by the largest differencing method; the item numbers of each window.
+
+    A partial partition is its filled windows only, largest first, so memory follows the items and not items times windows.
+    """
     n = len(sizes)
     left: list[int] = []
     right: list[int] = []
-    heap = []
-    for i, size in enumerate(sizes):
-        sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[0], nodes[0] = size, i
-        heap.append((-int(size) if k > 1 else 0, i, sums, nodes))
+    heap = [(-int(size) if k > 1 else 0, i, np.array([size]), np.array([i])) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     tie = n
     while len(heap) > 1:
         _, _, a, na = heapq.heappop(heap)
         _, _, b, nb = heapq.heappop(heap)
-        nb = nb[::-1]
-        sums, nodes = a + b[::-1], np.where(na >= 0, na, nb)
-        for j in np.nonzero((na >= 0) & (nb >= 0))[0]:
-            left.append(int(na[j]))
-            right.append(int(nb[j]))
-            nodes[j] = n + len(left) - 1
+        # largest on smallest: only where both are filled do two windows become one
+        alone, other = min(len(a), k - len(b)), min(len(b), k - len(a))
+        both = len(a) - alone
+        joined = n + len(left) + np.arange(both)
+        left += na[alone:].tolist()
+        right += nb[other:][::-1].tolist()
+        sums = np.concatenate((a[:alone], a[alone:] + b[other:][::-1], b[:other]))
+        nodes = np.concatenate((na[:alone], joined, nb[:other]))
         order = np.argsort(-sums, kind="stable")
         sums, nodes = sums[order], nodes[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), tie, sums, nodes))
+        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), tie, sums, nodes))
         tie += 1
     windows = []
     for root in heap[0][3] if heap else []:
-        stack, items = [int(root)] if root >= 0 else [], []
+        stack, items = [int(root)], []
         while stack:
             x = stack.pop()
             if x < n:
@@ -83,7 +90,9 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def plan(lengths: list[int], capacity: int, max_item: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document number, start, length, sequence number, offset) of documents with these token counts."""
-    pieces, sequence, items = [], 0, []
+    pieces, sequence = [], 0
+    items: list[list[tuple[int, int, int]]] = []
+    weights: list[int] = []
     total = sum(lengths)
     if total < capacity:
         offset, room = 0, 1 << max(total, 1).bit_length() - 1
@@ -104,13 +113,17 @@ def plan(lengths: list[int], capacity: int, max_item: int) -> list[tuple[int, in
         parts = -(-(n - start) // max_item)
         for i in range(parts):
             take = -(-(n - start) // (parts - i))
-            items.append((d, start, take))
+            if weights and weights[-1] + take <= min(TOGETHER, capacity):
+                items[-1].append((d, start, take))
+                weights[-1] += take
+            else:
+                items.append([(d, start, take)])
+                weights.append(take)
             start += take
     if items:
-        for window in windows_of([x[2] for x in items], capacity):
+        for window in windows_of(weights, capacity):
             offset = 0
-            for i in window:
-                d, start, take = items[i]
+            for d, start, take in chain.from_iterable(items[i] for i in window):
                 pieces.append((d, start, take, sequence, offset))
                 offset += take
             sequence += 1
@@ -122,7 +135,7 @@ class BulkEncoder:
 
     The vocabulary drops white space and never joins across it, lower-cases, and splits a comma or full stop off a word before white
     space.  So texts are cut at blanks and line ends and before such a mark, lower-cased in ASCII, and hashed as byte
-    arrays; the distinct words of a block of texts are looked up by hash, and new ones go to the library many
+    arrays; the distinct words of a block of texts are looked up by hash and compared byte for byte, and new ones go to the library many
     at a time.  Blocks with combining marks or what may be a special token are neither lower-cased nor cut at marks.
     """
 
@@ -159,13 +172,12 @@ class BulkEncoder:
             cuts[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
             cuts[:-1] &= ~solid[1:] | np.isin(np.arange(1, len(data)), offsets)
             data = _LOWER[data]
-        starts, stops, hashes = words(data, offsets, solid, cuts)
-        distinct, at, inverse = np.unique(np.maximum(hashes, np.uint64(1)), return_index=True, return_inverse=True)
+        starts, stops = spans(data, offsets, solid, cuts)
 
         def fill(fresh: np.ndarray) -> list[bytes]:
-            return self.ask([data[a:b].tobytes().decode() for a, b in zip(starts[at[fresh]].tolist(), stops[at[fresh]].tolist(), strict=True)])
+            return self.ask([data[a:b].tobytes().decode() for a, b in zip(starts[fresh].tolist(), stops[fresh].tolist(), strict=True)])
 
-        ids, ends = self.table.gather(distinct, inverse, fill)
+        ids, ends = self.table.gather(Lanes(data, starts, stops), fill)
         return ids, np.concatenate(([0], ends))[np.searchsorted(starts, offsets)]
 
 
@@ -220,9 +232,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separat
                 for doc, x, y in zip(doc_ids[a:b], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     waiting.append((doc, found[x:y].tobytes() + tail))
                     held += y - x + 1
-                while held >= 2 * target and len(waiting) > 1:
+                while (held >= 2 * target or len(waiting) >= 2 * MOST_DOCUMENTS) and len(waiting) > 1:
                     n = total = 0
-                    while total < target:
+                    while total < target and n < MOST_DOCUMENTS:
                         total += len(waiting[n][1]) // 4
                         n += 1
                     yield flush(n)
