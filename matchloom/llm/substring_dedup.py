@@ -11,8 +11,9 @@ Three passes, all over whole texts.
 3. Documents, as compressed blocks of the same groups, meet their lost windows; the covered words are removed in
    maximal intervals.
 
-The first shuffle moves about nine bytes a window.  Blocks and groups are sized from the plan's size estimate, so
-that memory stays the same at any input size.
+The first shuffle moves about nine bytes a window.  There are as many buckets and groups as the texts' bytes (summed up beforehand)
+need, so that memory stays the same at any input size.  Beyond 2^14 buckets (64 GB of text) windows are dealt like in a radix
+sort: by the leading bits first, and within those, many blocks together, by the next ones, so that blocks stay large.
 
 Edge cases: a null or empty text has no words; documents of fewer than 13 words have no window; rows with a null
 ``doc_id`` are returned whole and lend no windows; rows with the same ``doc_id`` are one document; other columns are carried along, but for
@@ -27,14 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import mapped, remembered
 from .words import chunks, mix, text_buffers, words
 
 WINDOW = 13
 FLUSH_WINDOWS = 1_000_000
-BUCKET_BYTES = 2 << 20
-MOST_BUCKETS = 1 << 16
+#: Bytes of text whose windows make a bucket, on average: some 600,000 windows, two million at most.
+BUCKET_BYTES = 4 << 20
+#: Leading hash bits that one pass deals by.
+PASS_BITS = 14
 BLOCKS = "slot int, kind int, payload binary"
 
 _WORD_BASE, _CHECK_BASE = 0xD1342543DE82EF95, 0xA0761D6478BD642F
@@ -163,12 +167,27 @@ def in_parts(rows: list[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterato
 
 
 def bucket_bits(docs: DataFrame) -> int:
-    """So many leading hash bits that a bucket holds about half a million windows, by the plan's estimate of its size."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4, min(MOST_BUCKETS, size // BUCKET_BYTES).bit_length())
+    """So many leading hash bits that a bucket holds the windows of about ``BUCKET_BYTES``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, (size // BUCKET_BYTES).bit_length())
 
 
-def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: int) -> DataFrame:
+def dealt(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of each window's smallest document by leading bits, and of the windows that other documents have lost already.
+
+    The latter only pass through the next step, whatever their slot.
+    """
+    h, c, d = (np.concatenate(x) for x in zip(*held, strict=True))
+    keep, gone = firsts(h, c, d)
+    rows = [(s, 1, p) for s, p in pack_lost(d[gone], h[gone], groups)]
+    h, c, d = h[keep], c[keep], d[keep]
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = [0, *(np.nonzero(np.diff(slot))[0] + 1).tolist(), len(slot)]
+    rows += [(int(slot[a]), 0, pack_windows(h[a:b], c[a:b], d[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    yield from in_parts(rows)
+
+
+def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: int, pass_bits: int = PASS_BITS) -> DataFrame:
     """Blocks of windows that documents lose, by document group."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,17 +195,6 @@ def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: in
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, c, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            keep, gone = firsts(h, c, d)
-            # these only pass through the next step; groups and buckets are the same in number
-            rows = [(s, 1, p) for s, p in pack_lost(d[gone], h[gone], groups)]
-            h, c, d = h[keep], c[keep], d[keep]
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = [0, *(np.nonzero(np.diff(slot))[0] + 1).tolist(), len(slot)]
-            rows += [(int(slot[a]), 0, pack_windows(h[a:b], c[a:b], d[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-            yield from in_parts(rows)
-
         for batch in batches:
             ids = batch.column("doc_id")
             batch = batch.filter(ids.is_valid())
@@ -198,10 +206,30 @@ def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: in
                     held.append((h, c, ids[a:b][r]))
                     count += len(h)
                 if count >= FLUSH_WINDOWS:
-                    yield from flush()
+                    yield from dealt(held, min(bits, pass_bits), groups)
                     held, count = [], 0
         if held:
-            yield from flush()
+            yield from dealt(held, min(bits, pass_bits), groups)
+
+    def finer(to: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            count, at = 0, -1
+            for batch in batches:
+                for slot, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if kind:
+                        yield blocks([(slot, 1, payload.as_py())])
+                        continue
+                    if held and (slot != at or count >= 2 * FLUSH_WINDOWS):
+                        yield from dealt(held, to, groups)
+                        held, count = [], 0
+                    at = slot
+                    held.append(unpack_windows(payload.as_py()))
+                    count += len(held[-1][0])
+            if held:
+                yield from dealt(held, to, groups)
+
+        return run
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lost: list[tuple[np.ndarray, np.ndarray]] = []
@@ -240,7 +268,13 @@ def lost_windows(docs: DataFrame, window: int, bits: int, groups: int, tasks: in
         if lost:
             yield from emit()
 
-    return docs.select("doc_id", "text").transform(mapped, hashed, BLOCKS).repartition(tasks, "slot").sortWithinPartitions("slot").transform(mapped, merged, BLOCKS)
+    def by_slot(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "slot").sortWithinPartitions("slot")
+
+    windows = by_slot(docs.select("doc_id", "text").transform(mapped, hashed, BLOCKS))
+    for have in range(pass_bits, bits, pass_bits):
+        windows = by_slot(windows.transform(mapped, finer(min(bits, have + pass_bits)), BLOCKS))
+    return windows.transform(mapped, merged, BLOCKS)
 
 
 def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
@@ -263,7 +297,7 @@ def removal(text: bytes, lost: np.ndarray, window: int) -> tuple[int, np.ndarray
     return len(starts), removed, b" ".join([w for w, r in zip(kept, removed.tolist(), strict=True) if not r])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False, pass_bits: int = PASS_BITS) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and spans (maximal removed word ranges); with ``digest`` only doc_id, the counts and kept_sha256."""
     spark, docs = docs.sparkSession, docs.drop("kept_text", "n_words", "n_removed", "spans")
     bits = bucket_bits(docs)
@@ -331,7 +365,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
                         if part.num_rows:
                             yield finished(part, *table)
 
-    lost = lost_windows(docs, window, bits, groups, tasks)
+    lost = lost_windows(docs, window, bits, groups, tasks, pass_bits)
     texts = docs.transform(mapped, grouped, BLOCKS)
     return lost.union(texts).repartition(tasks, "slot").sortWithinPartitions("slot", "kind").transform(mapped, reduced, schema)
 
