@@ -1,10 +1,10 @@
 """HTML main text by two-pass block rules.
 
-A page is read once with a pattern that finds tags, comments and raw elements (script, style and the like, whose content is skipped).  Text
+A page is read once, in linear time, for tags, comments and raw elements (script, style and the like, whose content is skipped).  Text
 between block-level tags is a block.  Blocks inside menus, headers, footers, asides, forms, adverts, notices, comments and
 the like (by element, role, class or id) are out.  The first pass judges the others by themselves: many link characters: out; long or
 rich in stop words: in; in between: open.  Inline elements of that kind are out alone, up to their closing tag.  In the second pass an open block takes the label of its nearest decided neighbour within its
-own article, or page if none is marked, both sides counting; it is in if there is none and it holds no link.  If a page marks its article
+own article, or page if none is marked, both sides counting; it is in if there is none and it holds no link.  In a marked article an open block without any link is in whatever its neighbours are: there, neighbours decide on short blocks with links only.  If a page marks its article
 (``article``, ``main`` or that role), text outside of it is out, and in it long blocks need no stop words.  An article in a container
 that is out by class or id alone (``layout-with-sidebar``) is in, unless another one is in fewer of them.
 
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from .common import mapped
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|title)\b[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>"
-    r"|<[!?][^>]*+>",
-    re.S | re.I,
-)
+#: Elements whose content isn't markup, or is no text of the page.
+RAW = frozenset("script style noscript template iframe svg math textarea select object title".split())
+_TAG = r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+_QUOTED = r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+"
+TAG = re.compile(rf"{_TAG}(?P<attrs>{_QUOTED})>|<[!?][^>]*+>")
+#: Where quotes don't count.
+LOOSE_TAG = re.compile(rf"{_TAG}(?P<attrs>[^>]*+)>|<[!?][^>]*+>")
+OPEN = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 #: Elements that end a block.
 BLOCK = frozenset(
@@ -65,6 +67,34 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 WORD = re.compile(r"\w+")
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, name (lower case; none for comments, declarations and raw elements), whether it closes, and attributes of each tag.
+
+    Linear in the page: past the last ``>`` no tag is looked for, and once a tag doesn't end outside of quotes it ends at the next
+    ``>``, and quotes are ordinary characters from there on.
+    """
+    last, at, pattern = page.rfind(">") + 1, 0, TAG
+    while opened := OPEN.search(page, at):
+        start = at = opened.start()
+        if page.startswith("<!--", at):
+            at = page.find("-->", at + 4)
+            at = len(page) if at < 0 else at + 3
+            yield start, at, None, False, ""
+            continue
+        m = pattern.match(page, at, last) if at < last else None
+        if m is None and at < last and pattern is TAG:
+            pattern = LOOSE_TAG
+            m = pattern.match(page, at, last)
+        if m is None:
+            at += 1
+            continue
+        at, name = m.end(), m["name"] and m["name"].lower()
+        if name in RAW and not m["close"] and not (name in ("svg", "math") and m["attrs"].endswith("/")):
+            stop = RAW_END[name].search(page, at)
+            at, name = stop.end() if stop else len(page), None
+        yield start, at, name, bool(m["close"]), m["attrs"] or ""
+
+
 class Block:
     __slots__ = ("article", "depth", "heading", "label", "links", "out", "parts")
 
@@ -117,26 +147,24 @@ def blocks(page: str) -> list[Block]:
         if links:
             block.links += len(piece.strip())
 
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+    for start, stop, name, closes, attributes in tokens(page):
+        text(page[at:start])
+        at = stop
         if name is None:
             continue
-        name = name.lower()
         if name == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if closes else 1
             continue
         if name == "br":
             text(" ")
             continue
         inline = name not in BLOCK and name not in OUT
         if inline:
-            if name in VOID or m["attrs"].rstrip().endswith("/"):
+            if name in VOID or attributes.rstrip().endswith("/"):
                 continue
             # of inline elements only marked ones are on the stack, and those of the same name in them
             at_name = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if m["close"]:
+            if closes:
                 if at_name:
                     _, _, hard, soft, article = stack[at_name]
                     hard, soft = hard - stack[at_name - 1][2], soft - stack[at_name - 1][3] if article == stack[at_name - 1][4] else 0
@@ -147,13 +175,13 @@ def blocks(page: str) -> list[Block]:
                     stack[at_name:] = [(n, i, h - hard, s - soft if a == article else s, a) for n, i, h, s, a in above]
                 continue
             if not at_name:
-                if not m["attrs"]:
+                if not attributes:
                     continue
-                names, role, hidden = words_of(m["attrs"])
+                names, role, hidden = words_of(attributes)
                 if not (hidden or role in OUT_ROLES or names & OUT_WORDS):
                     continue
         block, links = (None, 0) if name in BLOCK or name in OUT else (block, links)
-        if m["close"]:
+        if closes:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -174,7 +202,7 @@ def blocks(page: str) -> list[Block]:
                 if (not stack[i][1] and stack[i][0] not in ("td", "th", "tr", "p")) or stack[i][0] in PARENTS.get(name, ()):
                     break
         _, _, hard, soft, article = stack[-1]
-        names, role, hidden = words_of(m["attrs"]) if m["attrs"] else (set(), "", False)
+        names, role, hidden = words_of(attributes) if attributes else (set(), "", False)
         own_article = name in ("article", "main") or role in ("article", "main")
         if article:
             names -= KEPT_IN_ARTICLE
