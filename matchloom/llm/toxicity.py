@@ -1,216 +1,206 @@
-"""Toxicity: two class-conditional Kneser-Ney models over symbols, compared per symbol.
+"""Toxicity: two class-conditional Kneser-Ney models over the spelling of words, compared per word.
 
-Texts are read as symbols: 26 letters (case folded), white space, digits, marks, and three for other bytes.  Spark counts
-all runs of five symbols in the labelled texts of folds 2 to 4, by class.  In each class, a symbol after four others has its discounted
-share of the class's counts, and the rest of the mass goes to the next shorter run, whose continuation counts
-are shared by both classes; so what is rare in either class is judged alike by both.  The score is a logistic function of
-the mean log ratio per symbol and of how far single words' log ratios go beyond ``TELLING``, per word and in all; it is
-fitted on at most ``SAMPLE`` documents of one fold that lends no counts.
+An expression is a word (a run of letters and their marks, lower-cased) up to its eighth code point, its end counting as one; in scripts written
+without blanks one begins at every letter.  Spark counts, by class, every beginning of every expression in the labelled texts.  In each class the
+next code point after such a beginning has its discounted share of the class's counts, and the rest of the mass goes to what follows the
+last two, the last one or no code points: continuation counts that both classes share.  So what is rare in either class is judged
+alike by both, and where the toxic class has no counts of its own both models are taken as the shared ones.
 
-The counts have at most 32^5 entries by construction, whatever the corpus; that bounds what is sent to the driver and to tasks.
+The log ratio of a word is the sum over its code points.  What a word has beyond ``TELLING`` is its evidence; a text's are the mean evidence per
+word, the highest mean over ``PASSAGE`` words in a row, and the logarithm of the sum.  The score is a logistic function of these,
+fitted on at most ``SAMPLE`` documents of one fold that lends no counts to it; then all folds but the held-out one lend counts.
 
-Edge cases: a null or empty text has no evidence; without labels of both kinds every score is 0; if the calibration fold has one kind only, words must add up to
-some 19 nats beyond ``TELLING`` for a score of one half; a null ``doc_id`` is
-scored and not held out; repeated rows are scored alike.
+Counts grow with the labelled texts and stay in Spark.  Of their ratios, scoring needs those on the way to a word with evidence.  Up to
+``BROADCAST_ROWS`` of them (40 bytes each) are broadcast; beyond that, the words of the texts are joined to them.  Both ways give the same scores.
+
+Edge cases: a null or empty text, and one without letters, has no evidence; a text of any length is read whole; without labels of both kinds every
+score is 0; if the calibration fold has one kind only, evidence must come to some 19 nats for a score of one half; a null ``doc_id`` is
+scored and not held out; repeated rows are scored alike and, in ``labels``, count as their mean; other columns of any name are kept by ``without_toxic``
+and else not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, remembered, split_of
+from .common import cut, mapped, remembered, split_of
 from .labels import sample, targets, with_targets
-from .words import chunks, text_buffers
+from .words import chunks, mix
 
-ORDER = 5
-BITS = 5
-SYMBOLS = 1 << BITS
-DISCOUNT = 0.75
+DEPTH = 8
+#: Discounts of counts of one, two, and three or more; that of the shared counts.
+DISCOUNTS = (0.9, 1.3, 1.6)
+SHARED_DISCOUNT = 0.75
 SAMPLE = 4000
 CALIBRATION_FOLD = 1
 THRESHOLD = 0.5
-TELLING = 3.0
-BLOCK_BITS = 10
-HELD = 4_000_000
-#: Names of the evidence columns, unlike any of the input.
+TELLING = 2.5
+PASSAGE = 32
+BROADCAST_ROWS = 1_000_000
+HELD = 1_000_000
+#: Names of columns that are unlike any of the input.
 EVIDENCE = ("__evidence_0", "__evidence_1", "__evidence_2")
+KEYS = ("__text_1", "__text_2")
+COUNTS = ("o1", "t1", "o", "t")
 
-_SPACE = 26
-_SYMBOL = np.full(256, 28, np.uint8)
-_SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(26)
-_SYMBOL[[9, 10, 11, 12, 13, 32]] = _SPACE
-_SYMBOL[48:58] = 27
-_SYMBOL[128:] = 29 + np.arange(128) % 3
+_ROOT = np.uint64(0x243F6A8885A308D3)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Code points that stand for the two ends of a word; no letters.
+BEGIN, END = 2, 3
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code of the run of five symbols that ends at each byte; white space stands before a text."""
-    s = _SYMBOL[data].astype(np.int32)
-    code = s.copy()
-    for k in range(1, ORDER):
-        before = np.empty_like(s)
-        before[k:] = s[:-k] if k < len(s) else s[:0]
-        before[:k] = _SPACE
-        for j in range(k):
-            at = offsets[:-1] + j
-            before[at[at < offsets[1:]]] = _SPACE
-        code |= before << (BITS * k)
-    return code
+def letters() -> np.ndarray:
+    """0 for code points that are no letters or marks, 1 for those that are, 2 for letters of scripts written without blanks."""
+    kind = np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x30000)], np.uint8)
+    for a, b in ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA000), (0xF900, 0xFB00), (0x20000, 0x30000)):
+        kind[a:b] *= 2
+    return kind
 
 
-def gather(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and the sums of their rows of counts."""
-    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    total = np.zeros((len(code), 2), np.int64)
-    np.add.at(total, inverse, np.concatenate(counts))
-    return code, total
+class Expressions:
+    """The expressions in some texts: which text each is of, and, length by length, hashes of their beginnings."""
 
+    def __init__(self, texts: list[str | None]):
+        low = [(t or "").lower() for t in texts]
+        # a line end after each text parts it from the next
+        offsets = np.cumsum([0, *(len(t) + 1 for t in low)])
+        self.points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = letter_kinds()[np.minimum(self.points, 0x2FFFF)]
+        inside = kind > 0
+        edge = inside.copy()
+        edge[1:] &= ~inside[:-1]
+        begins = edge | (kind == 2)
+        ends = np.nonzero(inside[:-1] & ~inside[1:])[0] + 1
+        self.start = np.nonzero(begins)[0]
+        self.stop = ends[np.cumsum(edge)[self.start] - 1]
+        self.row = np.searchsorted(offsets, self.start, "right") - 1
 
-def count_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their counts in both classes over the given rows of (text, y): pre-summed in tasks, summed by groups of codes in Spark."""
+    def level(self, which: np.ndarray, h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the expressions ``which``, whose hashes so far are ``h``: the hashes one code point on, that code point, and whether they go on."""
+        at = self.start[which] + depth
+        ends = at >= self.stop[which]
+        last = np.where(ends, END, self.points[at]).astype(np.int32)
+        return mix(h * _STEP + last.astype(np.uint64)), last, ~ends & (depth + 1 < DEPTH)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            code, total = gather(codes, counts)
-            # by a hash of the code: near codes are common together and would fill a few tasks
-            block = (code.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - BLOCK_BITS)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            code, total, block = code[order], total[order], block[order]
-            cuts = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), len(code)]
-            spans = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([int(block[a]) for a, _ in spans], pa.int32()), pa.array([code[a:b].tobytes() + total[a:b].tobytes() for a, b in spans], pa.binary())], ["block", "payload"])
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        which = np.arange(len(self.start))
+        h = np.full(len(which), _ROOT)
+        for depth in range(DEPTH if len(which) else 0):
+            h, last, going = self.level(which, h, depth)
+            yield depth, which, h, last, going
+            which, h = which[going], h[going]
 
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            for a, b in chunks(offsets):
-                code = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                toxic = np.repeat(y[a:b] == 1, np.diff(offsets[a : b + 1]))
-                for k in (0, 1):
-                    part, times = np.unique(code[toxic == bool(k)], return_counts=True)
-                    codes.append(part)
-                    counts.append(np.stack((times * (1 - k), times * k), 1))
-                if sum(map(len, codes)) > HELD:
-                    code, total = gather(codes, counts)
-                    if len(code) > HELD // 2:
-                        yield flush()
-                        codes, counts = [], []
-                    else:
-                        codes, counts = [code], [total]
-        if codes:
-            yield flush()
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
-
-        def close() -> tuple[int, bytes]:
-            codes = [np.frombuffer(p, np.int32, len(p) // 20) for p in parts]
-            code, total = gather(codes, [np.frombuffer(p, np.int64, -1, 4 * len(c)).reshape(-1, 2) for p, c in zip(parts, codes, strict=True)])
-            return at, code.tobytes() + total.tobytes()
 
-        for batch in batches:
-            out = []
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if block != at:
-                    if parts:
-                        out.append(close())
-                    at, parts = block, []
-                parts.append(payload)
-                if len(parts) > 64:
-                    parts = [close()[1]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["block", "payload"])
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([close()[1]], pa.binary())], ["block", "payload"])
-
-    schema = "block int, payload binary"
-    rows = docs.select("text", "y").transform(mapped, counted, schema).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").transform(mapped, summed, schema).collect()
-    if not rows:
-        return np.zeros(0, np.int32), np.zeros((0, 2), np.int64)
-    codes = [np.frombuffer(r.payload, np.int32, len(r.payload) // 20) for r in rows]
-    return gather(codes, [np.frombuffer(r.payload, np.int64, -1, 4 * len(c)).reshape(-1, 2) for r, c in zip(rows, codes, strict=True)])
-
-
-def shared_backoff(codes: np.ndarray) -> np.ndarray:
-    """p(symbol | three before), from continuation counts of both classes together, down to the uniform distribution."""
-    p = np.full(1, 1 / SYMBOLS)
-    seen = np.unique(codes)
-    levels = []
-    for order in range(ORDER - 1, 0, -1):
-        counts = np.bincount(seen & ((1 << (BITS * order)) - 1), minlength=1 << (BITS * order))
-        levels.append(counts)
-        seen = np.nonzero(counts)[0]
-    for counts in reversed(levels):
-        table = counts.reshape(-1, SYMBOLS).astype(np.float64)
-        total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS) if p.size > 1 else np.full((1, SYMBOLS), p[0]), (max(1, len(table) // max(1, p.size // SYMBOLS)), 1))
-        mixed = (np.maximum(table - DISCOUNT, 0) + DISCOUNT * kinds * lower) / np.maximum(total, 1)
-        p = np.where(total > 0, mixed, lower).ravel()
-    return p
-
-
-def ratios(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log p(toxic) - log p(ordinary) of every code, as float16."""
-    lower = shared_backoff(codes)
-    out = np.zeros(1 << (BITS * ORDER), np.float16)
-    size = 1 << (BITS * (ORDER - 1))
-    for first in range(SYMBOLS):
-        a, b = np.searchsorted(codes, [first * size, (first + 1) * size])
-        if a == b:
-            continue
-        logs = []
-        for k in (1, 0):
-            c = np.zeros(size)
-            c[codes[a:b] - first * size] = counts[a:b, k]
-            c = c.reshape(-1, SYMBOLS)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            p = np.where(total > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * lower.reshape(-1, SYMBOLS)) / np.maximum(total, 1), lower.reshape(-1, SYMBOLS))
-            logs.append(np.log(p))
-        out[first * size : (first + 1) * size] = (logs[0] - logs[1]).ravel()
-    return out
+_LETTERS: list[np.ndarray] = []
 
 
-def evidence(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each text: the mean log ratio per symbol, and what words beyond ``TELLING`` add up to, per word and (as a logarithm) in all."""
-    n = len(offsets) - 1
-    out = np.zeros((n, 3))
-    if not len(data):
-        return out
-    each = table[runs(data, offsets)].astype(np.float64)
-    total = np.concatenate(([0.0], np.cumsum(each)))
-    out[:, 0] = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-    letter = _SYMBOL[data] < _SPACE
-    begins = letter.copy()
-    begins[1:] &= ~letter[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[first] = True
-    at = np.nonzero(begins)[0]
-    beyond = np.maximum(np.add.reduceat(each, at) - TELLING, 0)
-    row = np.searchsorted(offsets, at, "right") - 1
-    much = np.bincount(row, beyond, n)
-    out[:, 1] = much / np.maximum(np.bincount(row, minlength=n), 1)
-    out[:, 2] = np.log1p(much)
-    return out
+def letter_kinds() -> np.ndarray:
+    if not _LETTERS:
+        _LETTERS.append(letters())
+    return _LETTERS[0]
 
 
-class Model:
-    """Counts in both classes, and the logistic function of the mean log ratio."""
+NODES = "h long, parent long, a int, b int, c int, path array<long>, o1 long, t1 long, o long, t long"
+
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.codes, self.counts, self.slope, self.shift = codes, counts, np.zeros(3), -50.0
-        self.key = hash((len(codes), int(counts.sum()), int((codes.astype(np.int64) * counts[:, 1]).sum()))) if len(codes) else 0
+def count_beginnings(docs: DataFrame) -> DataFrame:
+    """Beginnings of expressions in (text, y, calibrates): hash, that without its last code point, the last three code points, the hashes on the way, and class counts without and with the calibration fold."""
+    names = [x.split()[0] for x in NODES.split(", ")]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            y, apart = batch.column("y").to_numpy(zero_copy_only=False), batch.column("calibrates").to_numpy(zero_copy_only=False)
+            sizes = np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))
+            for i, j in chunks(sizes, HELD):
+                words = Expressions(texts[i:j])
+                row = words.row
+                toxic, aside = y[i:j][row] == 1, apart[i:j][row].astype(bool)
+                trail = np.zeros((len(row), DEPTH), np.int64)
+                symbols = np.zeros((len(row), DEPTH + 3), np.int32)
+                symbols[:, 2] = BEGIN
+                for depth, which, h, last, _ in words.levels():
+                    if not len(which):
+                        break
+                    trail[which, depth], symbols[which, depth + 3] = h.view(np.int64), last
+                    _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+                    counts = [np.bincount(inverse, (toxic[which] == k) & keep, len(at)).astype(np.int64) for keep in (~aside[which], True) for k in (False, True)]
+                    rows = which[at]
+                    flat = pa.array(trail[rows, : depth + 1].ravel())
+                    paths = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (depth + 1)), flat)
+                    parent = trail[rows, depth - 1] if depth else np.full(len(at), _ROOT).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(parent), *(pa.array(symbols[rows, depth + k].copy()) for k in (1, 2, 3)), paths, *map(pa.array, counts)], names)
+
+    rows = docs.select("text", "y", "calibrates").transform(mapped, counted, NODES)
+    return rows.groupBy("h", "parent", "a", "b", "c", "path").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def discount(n: Column) -> Column:
+    return F.when(n <= 0, 0.0).when(n == 1, DISCOUNTS[0]).when(n == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
+
+
+def shared_backoff(nodes: DataFrame) -> DataFrame:
+    """q of the last of each three code points (a, b, c), by version v: interpolated continuation counts of both classes together, down to the uniform distribution."""
+    three = nodes.groupBy("v", "a", "b", "c").agg(F.count("*").alias("n"))
+    two = three.groupBy("v", "b", "c").agg(F.count("*").alias("n"))
+    one = two.groupBy("v", "c").agg(F.count("*").alias("n"))
+
+    def interpolated(grams: DataFrame, context: list[str], lower: DataFrame | None) -> DataFrame:
+        of = grams.groupBy(*context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        both = grams.join(of, context)
+        both = both.withColumn("q", 1 / (F.col("kinds") + 1)) if lower is None else both.join(lower, lower.columns[:-1])
+        q = (F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")
+        return both.select(*context, "c", q.alias("q"))
+
+    return interpolated(three, ["v", "a", "b"], interpolated(two, ["v", "b"], interpolated(one, ["v"], None)))
+
+
+def ratios(nodes: DataFrame, telling: float = TELLING) -> DataFrame:
+    """Of counts without (v = 0) and with the calibration fold (v = 1): h, ratio (of a word that ends there), beyond (of one that goes on as no counted one does)
+    and open (words go on from it), for all beginnings on the way to a ratio above ``telling`` and those one step off it."""
+    versions = F.array(*(F.struct(F.lit(v).alias("v"), F.col(o).alias("o"), F.col(t).alias("t")) for v, o, t in ((0, "o1", "t1"), (1, "o", "t"))))
+    nodes = nodes.select("h", "parent", "a", "b", "c", "path", F.explode(versions).alias("of")).select("h", "parent", "a", "b", "c", "path", "of.*").where("o + t > 0")
+    after = nodes.groupBy("v", "parent").agg(*(F.sum(k).alias(f"all_{k}") for k in "ot"), *(F.sum(discount(F.col(k))).alias(f"left_{k}") for k in "ot"))
+
+    def left(k: str) -> Column:
+        return F.when(F.col(f"all_{k}") > 0, F.col(f"left_{k}") / F.col(f"all_{k}")).otherwise(1.0)
+
+    def share(k: str) -> Column:
+        return F.when(F.col(f"all_{k}") > 0, (F.col(k) - discount(F.col(k))) / F.col(f"all_{k}")).otherwise(0.0) + left(k) * F.col("q")
+
+    inside = nodes.join(after.where("all_t > 0"), ["v", "parent"]).join(shared_backoff(nodes), ["v", "a", "b", "c"])
+    steps = cut(inside.select("v", "h", "parent", "path", "t", F.log(share("t") / share("o")).alias("step")))
+    onward = after.select("v", F.col("parent").alias("h"), F.log(left("t") / left("o")).alias("onward"))
+    sums = steps.select("v", "h", F.explode("path").alias("on")).join(steps.select("v", F.col("h").alias("on"), "step"), ["v", "on"]).groupBy("v", "h").agg(F.sum("step").alias("ratio"))
+    opens = F.coalesce(F.col("t") > 0, F.lit(False)) & F.col("onward").isNotNull()
+    known = cut(steps.join(sums, ["v", "h"]).join(onward, ["v", "h"], "left").select("v", "h", "parent", "path", "ratio", F.when(opens, F.col("ratio") + F.col("onward")).otherwise(F.col("ratio")).alias("beyond"), opens.alias("open")))
+    way = known.where(F.greatest("ratio", "beyond") > telling).select("v", F.explode("path").alias("parent")).distinct()
+    near = known.join(way, ["v", "parent"], "left_semi").union(known.where(F.size("path") == 1).select("v", "parent", *[c for c in known.columns if c not in ("v", "parent")]))
+    return near.select("v", "h", "ratio", "beyond", "open").distinct()
 
-    def table(self) -> np.ndarray:
-        """The log ratios, built once in each worker."""
-        return remembered(("ratios", self.key), lambda: ratios(self.codes, self.counts))
+
+class Model:
+    """Ratios, and the logistic function of the evidence.
+
+    ``rows`` is the frame of ratios; ``table`` has them as arrays in order of hash if they are few enough to be sent to every task, else None.
+    """
+
+    def __init__(self, rows: DataFrame | None, most: int = BROADCAST_ROWS):
+        self.rows, self.table = rows, (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, bool))
+        self.slope, self.shift = np.zeros(3), -50.0
+        if rows is not None:
+            got = rows.limit(most + 1).toPandas()
+            self.table = None
+            if len(got) <= most:
+                h = got["h"].to_numpy(np.int64).view(np.uint64)
+                order = np.argsort(h)
+                self.table = (h[order], got["ratio"].to_numpy(float)[order], got["beyond"].to_numpy(float)[order], got["open"].to_numpy(bool)[order])
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Newton steps on the logistic loss with a small ridge."""
@@ -227,42 +217,127 @@ class Model:
             w -= np.clip(np.linalg.solve(h, a.T @ (p - y) + ridge * w), -3, 3)
         self.slope, self.shift = w[:3] / scale, float(w[3])
 
+    def logit(self) -> Column:
+        z = sum((F.col(c) * F.lit(float(w)) for c, w in zip(EVIDENCE, self.slope, strict=True)), F.lit(self.shift))
+        return F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))
+
+
+def word_ratios(table: tuple, words: Expressions) -> np.ndarray:
+    """The log ratio of each expression: that of the deepest known beginning, as far as words go on from it."""
+    hashes, ratio, beyond, opens = table
+    out = np.zeros(len(words.start))
+    which = np.arange(len(out))
+    h = np.full(len(out), _ROOT)
+    for depth in range(DEPTH if len(hashes) else 0):
+        h, _, going = words.level(which, h, depth)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[at] == h
+        which, h, at, going = which[hit], h[hit], at[hit], going[hit] & opens[at[hit]]
+        out[which] = np.where(going, beyond[at], ratio[at])
+        which, h = which[going], h[going]
+        if not len(which):
+            break
+    return out
+
 
-def ratio_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+def evidence(table: tuple, texts: list[str | None]) -> np.ndarray:
+    """Of each text: mean evidence per word, the highest mean of a passage, and the logarithm of the sum."""
+    n = len(texts)
+    out = np.zeros((n, 3))
+    words = Expressions(texts)
+    row = words.row
+    if not len(row):
+        return out
+    each = np.maximum(word_ratios(table, words) - TELLING, 0)
+    total = np.concatenate(([0.0], np.cumsum(each)))
+    first = np.searchsorted(row, np.arange(n + 1))
+    much, count = total[first[1:]] - total[first[:-1]], np.diff(first)
+    out[:, 0] = much / np.maximum(count, 1)
+    passage = total[np.minimum(np.arange(len(row)) + PASSAGE, first[row + 1])] - total[:-1]
+    filled = count > 0
+    out[filled, 1] = np.maximum.reduceat(passage, first[:-1][filled]) / PASSAGE
+    out[:, 2] = np.log1p(np.maximum(much, 0))
+    return out
+
+
+def evidence_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The kept columns and the evidence in every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model.table is None:
+        return joined_evidence(docs, model, *keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model.table)
     types = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity", tuple)
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
+            texts = batch.column("text").to_pylist()
             x = np.zeros((batch.num_rows, 3))
-            for a, b in chunks(offsets):
-                x[a:b] = evidence(shared.value.table(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in chunks(np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))):
+                x[a:b] = evidence(shared.value, texts[a:b])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T.copy())], [*keep, *EVIDENCE])
 
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).transform(mapped, run, ", ".join(f"`{c}` {types[c]}" for c in keep) + "".join(f", {c} double" for c in EVIDENCE))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = SAMPLE) -> Model:
-    """Counts over every labelled document of three folds, fitted to the labels of a fourth."""
+def joined_evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """As ``evidence_rows``, for ratios that are too many to broadcast: beginnings of words meet them in a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, k1, k2 = batch.column("text").to_pylist(), batch.column(KEYS[0]).to_numpy(), batch.column(KEYS[1]).to_numpy()
+            for i, j in chunks(np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))):
+                words = Expressions(texts[i:j])
+                row = words.row
+                number = np.arange(len(row)) - np.searchsorted(row, row)
+                size = np.bincount(row, minlength=j - i)
+                for depth, which, h, _, going in words.levels():
+                    r = row[which]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[i:j][r]), pa.array(k2[i:j][r]), pa.array(size[r]), pa.array(number[which]), pa.array(np.full(len(which), depth, np.int32)), pa.array(going), pa.array(h.view(np.int64))], ["k1", "k2", "words", "number", "depth", "going", "h"])
+
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({KEYS[0]: F.xxhash64(text), KEYS[1]: F.xxhash64(F.lit(1), text)})
+    distinct = keyed.select(*KEYS, "text").dropDuplicates(list(KEYS))
+    rows = distinct.transform(mapped, run, "k1 long, k2 long, words long, number long, depth int, going boolean, h long")
+    # as all beginnings on the way are known, and on from a closed one there are none, the deepest match is the walk's end
+    met = rows.join(model.rows, "h").select("k1", "k2", "words", "number", "depth", F.when(F.col("going") & F.col("open"), F.col("beyond")).otherwise(F.col("ratio")).alias("r"))
+    each = met.groupBy("k1", "k2", "words", "number").agg((F.max_by("r", "depth") - TELLING).alias("e")).where("e > 0")
+    # a passage with the most evidence can be moved to begin with evidence
+    spread = each.select("k1", "k2", "words", "number", "e", F.floor(F.col("number") / PASSAGE).alias("part"))
+    both = spread.select("k1", "k2", "number", "e", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
+    begins = spread.select("k1", "k2", "words", "part", F.col("number").alias("begin"))
+    passages = begins.join(both, ["k1", "k2", "part"]).where((F.col("number") >= F.col("begin")) & (F.col("number") < F.col("begin") + PASSAGE)).groupBy("k1", "k2", "begin").agg(F.sum("e").alias("passage"))
+    sums = each.groupBy("k1", "k2").agg(F.sum("e").alias("much"), F.first("words").alias("words"))
+    most = passages.groupBy("k1", "k2").agg((F.max("passage") / PASSAGE).alias("most"))
+    of = sums.join(most, ["k1", "k2"]).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), (F.col("much") / F.col("words")).alias(EVIDENCE[0]), F.col("most").alias(EVIDENCE[1]), F.log1p("much").alias(EVIDENCE[2]))
+    out = keyed.join(of, (F.col(KEYS[0]) == F.col("__k1")) & (F.col(KEYS[1]) == F.col("__k2")), "left")
+    return out.select(*(F.col(f"`{c}`") for c in keep), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in EVIDENCE))
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = SAMPLE, broadcast: int = BROADCAST_ROWS) -> Model:
+    """Counts over every labelled document outside the held-out fold; calibrated on one of these folds with the counts of the others."""
     known = targets(labels, target)
     docs = docs.select("doc_id", "text")
-    model = Model(*count_runs(with_targets(docs, known.where(F.col("fold") != CALIBRATION_FOLD).select("doc_id", "y"))))
-    if not len(model.codes) or not model.counts.sum(0).all():
-        return model
-    held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
-    rows = ratio_rows(held, model, "doc_id", "y").collect()
-    model.calibrate(np.array([[r[c] for c in EVIDENCE] for r in rows]).reshape(-1, 3), np.array([r.y for r in rows], np.float64))
+    labelled = with_targets(docs, known.select("doc_id", "y", (F.col("fold") == CALIBRATION_FOLD).alias("calibrates")))
+    nodes = cut(count_beginnings(labelled))
+    sums = nodes.agg(*(F.sum(c) for c in COUNTS)).first()
+    if not sums[2] or not sums[3]:
+        return Model(None)
+    rows = ratios(nodes)
+    model = Model(rows.where("v = 1").drop("v"), broadcast)
+    x, y = np.zeros((0, 3)), np.zeros(0)
+    if sums[0] and sums[1]:
+        held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
+        got = evidence_rows(held, Model(rows.where("v = 0").drop("v"), broadcast), "doc_id", "y").collect()
+        x, y = np.array([[r[c] for c in EVIDENCE] for r in got]).reshape(-1, 3), np.array([r.y for r in got], np.float64)
+    model.calibrate(x, y)
     return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     fold = F.coalesce(split_of() == 0, F.lit(False)).alias("held_out")
-    rows = ratio_rows(docs.select("doc_id", "text", fold), model, "doc_id", "held_out")
-    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), sum((F.col(c) * F.lit(float(w)) for c, w in zip(EVIDENCE, model.slope, strict=True)), F.lit(model.shift))))
-    return rows.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = evidence_rows(docs.select("doc_id", "text", fold), model, "doc_id", "held_out")
+    return rows.select("doc_id", "held_out", (1 / (1 + F.exp(-model.logit()))).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -273,9 +348,8 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns; the model learns from these documents."""
-    model = train(docs, labels)
-    z = sum((F.col(c) * F.lit(float(w)) for c, w in zip(EVIDENCE, model.slope, strict=True)), F.lit(model.shift))
+    model = train(docs, labels, broadcast=broadcast)
     cutoff = float(np.log(threshold / (1 - threshold)))
-    return ratio_rows(docs, model, *docs.columns).where(z < cutoff).select(*docs.columns)
+    return evidence_rows(docs, model, *docs.columns).where(model.logit() < cutoff).select(*docs.columns)
