@@ -36,6 +36,23 @@ def corpus(folder, spark):
     return labels
 
 
+def test_empty_tables_null_ids_and_clashing_names(spark, tmp_path):
+    d = str(tmp_path)
+    names = "doc_id long, text string, lang string, source string, n_chars long, y int, fp long, kept_text string, __evidence_0 double, h long"
+    line = "a line of the kind that more than one document holds, with thirteen words and some more"
+    rows = [(1, line, "en", "s", 1, 1, 2, "k", 0.5, 3), (2, line + "\nother", "en", "s", 1, 1, 2, "k", 0.5, 3), (None, line, "en", "s", 1, 1, 2, "k", 0.5, 3), (None, None, None, None, None, None, None, None, None, None), (3, None, "en", "s", 0, 1, 2, "k", 0.5, 3)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), d).count() == 0
+        docs = stage(spark, docs, d)
+        assert docs.columns == COLUMNS
+        docs.write.parquet(f"{d}/{name}")
+        docs = spark.read.parquet(f"{d}/{name}")
+    assert sorted(((r.doc_id or 0), r.text or "") for r in docs.collect()) == [(0, ""), (0, line), (1, line), (2, "other"), (3, "")]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), d).count() == 0
+
+
 def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 

@@ -101,7 +101,7 @@ def key(x):
     return (x[0] is None, *x[:0], str(x))
 
 
-def test_windows_against_brute_force(spark):
+def test_windows_against_brute_force(spark, monkeypatch):
     r = random.Random(2)
     passages = [[f"p{j}_{i}" for i in range(r.randint(5, 40))] for j in range(6)]
     rows = list(EDGE)
@@ -113,6 +113,9 @@ def test_windows_against_brute_force(spark):
     for parts in (1, 5):
         got = [(x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.remove_repeats(frame(spark, rows).repartition(parts)).collect()]
         assert sorted(got, key=key) == sorted(brute_windows(rows), key=key)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 64)
+    got = [(x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.remove_repeats(frame(spark, rows).repartition(4), pass_bits=4).collect()]
+    assert sorted(got, key=key) == sorted(brute_windows(rows), key=key)
     digest = substring_dedup.remove_repeats(frame(spark, rows), digest=True).collect()
     assert sorted((x.doc_id or -1, x.kept_sha256) for x in digest) == sorted((d or -1, sha(k)) for d, _, _, k in brute_windows(rows))
 
@@ -225,6 +228,19 @@ def test_packing_is_exact_and_gapless(spark):
     assert waste < 4096 * 3 * 2
 
 
+def plain_differencing(sizes, k):
+    """The largest differencing method on whole k-tuples of windows."""
+    parts = sorted(([s] + [0] * (k - 1) for s in sizes), key=lambda p: p[-1] - p[0])
+    while len(parts) > 1:
+        a, b = parts[0], parts[1]
+        new = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        rest, at = parts[2:], 0
+        while at < len(rest) and rest[at][0] - rest[at][-1] >= new[0] - new[-1]:
+            at += 1
+        parts = [*rest[:at], new, *rest[at:]]
+    return parts[0]
+
+
 def test_differencing_is_near_equal():
     r = random.Random(1)
     sizes = [r.randint(1, 1000) for _ in range(400)]
@@ -233,6 +249,52 @@ def test_differencing_is_near_equal():
     assert sorted(i for x in w for i in x) == list(range(400)) and max(total) - min(total) < 60
     assert all(sum(sizes[i] for i in x) <= 4096 for x in packing.windows_of(sizes, 4096))
     assert packing.plan([], 4096, 1024) == []
+    for k in (1, 2, 3, 7, 30):
+        # distinct spreads, so that no tie decides
+        sizes = [2**i + 3**i for i in range(20)]
+        assert sorted((sum(sizes[i] for i in x) for x in packing.differencing(sizes, k)), reverse=True) == [x for x in plain_differencing(sizes, k) if x]
+
+
+def test_many_tiny_documents():
+    lengths = [1] * 100_000 + [3] * 30_000
+    pieces = packing.plan(lengths, 4096, 1024)
+    assert len(pieces) == len(lengths) and max(p[3] for p in pieces) + 1 == -(-sum(lengths) // 4096)
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_cancel_out_in_polynomial_hashes(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, w = Tokenizer.from_file(path), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pairs = [(x, x.translate(str.maketrans("ab", "ba"))) for x in map(thue_morse, (1024, 2048, 4096))]
+    texts = [x for p in pairs for x in (*p, " ".join(p))]
+    docs = frame(spark, list(enumerate(texts))).coalesce(1)
+    assert {r.doc_id: r.ids for r in automaton.encode_documents(docs, path).collect()} == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    got = {}
+    for p in sorted(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True).collect(), key=lambda p: p.start):
+        got.setdefault(p.doc_id, []).extend(p.ids)
+    assert got == {i: [*w.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    passage = " ".join(f"q{i}" for i in range(12))
+    rows = [(i, f"{x} {passage}") for i, x in enumerate(texts[:2] + texts[3:5])]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()] == [0] * 4
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    from matchloom.llm import words
+
+    monkeypatch.setattr(words.Lanes, "hashes", lambda self: self.lengths.astype(np.uint64))
+    data = np.frombuffer(b"ab cd ab ef abc xyz abc 0123456789 0123456780 0123456789", np.uint8)
+    table = words.WordTable(6)
+    for _ in range(2):
+        lanes = words.Lanes(data, *words.spans(data, np.zeros(0, np.int64)))
+        starts, stops = words.spans(data, np.zeros(0, np.int64))
+        ids, ends = table.gather(lanes, lambda which: [np.array([starts[i], int.from_bytes(data[starts[i] : stops[i]].tobytes()[-3:])], "<u4").tobytes() for i in which.tolist()])
+        assert [int(ids[e - 1]) for e in ends] == [int.from_bytes(data[a:b].tobytes()[-3:]) for a, b in zip(starts.tolist(), stops.tolist())]
 
 
 def test_automaton_matches_library(spark):
@@ -295,6 +357,9 @@ def test_quality_held_out(spark):
     assert [r.held_out for r in out if r.doc_id is None] == [False]
     none = quality.score(docs, quality.train(docs, labels.limit(0))).collect()
     assert len({r.score for r in none}) == 1
+    assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
+    twice = quality.score(docs.union(docs), quality.train(docs, labels.union(labels))).collect()
+    assert len(twice) == 1806 and {(r.doc_id, r.score) for r in twice} == {(r.doc_id, r.score) for r in out}
 
 
 def test_factorisation_identity():
@@ -308,23 +373,90 @@ def test_factorisation_identity():
 
 def test_toxicity_held_out(spark):
     docs, labels = labelled(spark)
-    out = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels)).collect()
-    assert len(out) == 903 and accuracy(out, labels, "toxic") > 0.93
+    docs = docs.union(docs.where("doc_id < 20"))
+    model = toxicity.train(docs.where("doc_id IS NULL OR doc_id >= 0").dropDuplicates(), labels.union(labels.where("doc_id < 40")))
+    out = toxicity.score(docs.select("doc_id", "text"), model).collect()
+    assert len(out) == 923 and accuracy(out, labels, "toxic") > 0.97 and all(0 <= r.score <= 1 for r in out)
+    assert len({(r.doc_id, r.score) for r in out}) == 903
     none = toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()
     assert all(r.predicted == 0 for r in none)
-
-
-def test_backoff_sums_to_one():
-    r = np.random.default_rng(2)
-    codes = np.unique(r.integers(0, 1 << 25, 400)).astype(np.int32)
-    p = toxicity.shared_backoff(codes).reshape(-1, 32)
-    assert p.shape == (32**3, 32) and np.allclose(p.sum(1), 1) and (p > 0).all()
-
-
-def test_runs_look_back_over_text_starts():
-    data, offsets = np.frombuffer(b"abcab", np.uint8), np.array([0, 3, 5])
-    code = toxicity.runs(data, offsets)
-    assert [[c >> 5 * k & 31 for k in range(5)] for c in code.tolist()] == [[0, 26, 26, 26, 26], [1, 0, 26, 26, 26], [2, 1, 0, 26, 26], [0, 26, 26, 26, 26], [1, 0, 26, 26, 26]]
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    # only the calibration fold has both kinds, or only the others have
+    for fold in ("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) = 1", "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) > 1"):
+        assert toxicity.score(docs, toxicity.train(docs, labels.where(fold))).count() == 923
+
+
+def brute_ratios(train):
+    """Both Kneser-Ney models in plain code: log ratio of a word as the model's docstring defines it."""
+    count, depth = [{}, {}], toxicity.DEPTH
+    for text, y in train:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            s = ("^" + w + "$")[: depth + 1]
+            for i in range(2, len(s) + 1):
+                count[y][s[:i]] = count[y].get(s[:i], 0) + 1
+    nodes = set(count[0]) | set(count[1])
+    grams = {3: {}, 2: {}, 1: {}}
+    for p in nodes:
+        grams[3][("\0" + p)[-3:]] = grams[3].get(("\0" + p)[-3:], 0) + 1
+    for n in (2, 1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] = grams[n].get(g[1:], 0) + 1
+
+    def q(p):
+        r = 1 / (len(grams[1]) + 1)
+        for n in (1, 2, 3):
+            g = ("\0" + p)[-n:]
+            after = [v for k, v in grams[n].items() if k[:-1] == g[:-1]]
+            r = (max(grams[n][g] - 0.75, 0) + 0.75 * len(after) * r) / sum(after)
+        return r
+
+    off = lambda n: 0 if n <= 0 else toxicity.DISCOUNTS[min(n, 3) - 1]
+
+    def left(y, h):
+        after = [v for k, v in count[y].items() if k[:-1] == h]
+        return sum(map(off, after)) / sum(after) if after else 1.0
+
+    def share(y, p):
+        total = sum(v for k, v in count[y].items() if k[:-1] == p[:-1])
+        n = count[y].get(p, 0)
+        return ((n - off(n)) / total if total else 0) + left(y, p[:-1]) * q(p)
+
+    def word(w):
+        s, r = ("^" + w + "$")[: depth + 1], 0.0
+        for i in range(2, len(s) + 1):
+            if s[:i] not in nodes:
+                return r + np.log(left(1, s[: i - 1]) / left(0, s[: i - 1]))
+            r += np.log(share(1, s[:i]) / share(0, s[:i]))
+            if s[:i] not in count[1]:
+                break
+        return r
+
+    return word
+
+
+def test_toxicity_against_plain_models(spark):
+    r = random.Random(1)
+    syllables = ["ba", "ke", "lo", "m", "ü", "st"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+    train = [(" ".join(word() for _ in range(40)) + (" bakelo stüm mmmbast" * 2 if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(30)]
+    plain = brute_ratios(train)
+    nodes = toxicity.count_beginnings(spark.createDataFrame([(t, y, i % 2 == 0) for i, (t, y) in enumerate(train)], "text string, y int, calibrates boolean"))
+    model = toxicity.Model(toxicity.ratios(nodes).where("v = 1").drop("v"))
+    texts = [" ".join(word() for _ in range(50)) + " bakelo x stümba BAKELOBAKELO, stüm9mmmbast bak" for _ in range(6)] + ["", "9 !", "中文字"]
+    words = toxicity.Expressions(texts)
+    got = np.maximum(toxicity.word_ratios(model.table, words), toxicity.TELLING)
+    want = [max(plain(w), toxicity.TELLING) for t in texts for w in (re.findall(r"[^\W\d_]+", t.lower()) if t != texts[-1] else ["中文字", "文字", "字"])]
+    assert np.allclose(got, want) and (np.array(want) > toxicity.TELLING).sum() > 10
+    # ratios too many to broadcast: the same evidence through a join
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, texts[0]])], DOCS)
+    few = {r.doc_id: r[1:] for r in toxicity.evidence_rows(docs, model, "doc_id").collect()}
+    model.table = None
+    many = {r.doc_id: r[1:] for r in toxicity.evidence_rows(docs, model, "doc_id").collect()}
+    assert few.keys() == many.keys() and all(np.allclose(few[i], many[i]) for i in few) and few[0][2] > 0
+    # the highest passage in plain code
+    each = np.maximum([plain(w) - toxicity.TELLING for w in re.findall(r"[^\W\d_]+", texts[0].lower())], 0)
+    best = max(each[i : i + toxicity.PASSAGE].sum() for i in range(len(each))) / toxicity.PASSAGE
+    assert np.allclose(few[0], [each.mean(), best, np.log1p(each.sum())])
 
 
 def test_columns_with_clashing_names_stay(spark):
@@ -364,3 +496,14 @@ def test_html_articles_in_containers_out_by_class():
     # not those in more such containers than another one, nor those out by element or role
     assert html_text.extract(f'<div class="layout-with-sidebar"><article>{p}</article><div class="comments"><article>{p}{p}</article></div></div>') == t
     assert html_text.extract(f"<article>{p}</article><aside><article>{p}{p}</article></aside>") == t
+
+
+def test_html_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 350_000, '<a "' * 250_001 + ">", "<a '> '" * 100_000, "</a " * 200_000 + "x>", "<!-- " * 100_000, "<script>" * 100_000):
+        html_text.extract(page)
+    assert time.perf_counter() - began < 10
+    assert html_text.extract("text <!-- open") == "text" and html_text.extract("<p>a</p><script>var x = 1") == "a" and html_text.extract("<svg/><p>hello</p>") == "hello"
+    assert html_text.extract("<p title='it>first</p><p>second</p>") == "first\nsecond"

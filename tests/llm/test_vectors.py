@@ -79,6 +79,42 @@ def test_search_recall_and_ties(spark):
     assert hit / n >= 0.9
 
 
+def test_search_narrow_windows_over_many_parts(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(150, 32))
+    x = centres[r.integers(0, 150, 6000)] + r.normal(size=(6000, 32)) * 0.1
+    x[1000:3000] = x[1000]
+    x = x.astype(np.float32)
+    fits = []
+    plain = hilbert_search.Curves.fit
+    monkeypatch.setattr(hilbert_search.Curves, "fit", lambda self, gaps: (plain(self, gaps), fits.append((self.used, self.half))))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for q in hilbert_search.search(rows, part=256).collect():
+        got.setdefault(q.query_id, {})[q["rank"]] = (q.vec_id, q.score)
+    # the windows of all curves together hold less than a fifth of the distinct vectors
+    assert fits[0][0] * 2 * fits[0][1] < 0.2
+    y = x.astype(float)
+    hit = 0
+    assert sorted(got) == list(range(0, 6000, 20))
+    for q, found in got.items():
+        s = (y * y[q]).sum(1)
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(6000), -s))[:20]
+        assert sorted(found) == list(range(1, 21)) and all(np.isclose(score, s[i]) for i, score in found.values())
+        assert [found[k] for k in range(1, 21)] == sorted(found.values(), key=lambda p: (-p[1], p[0]))
+        hit += len(set(best.tolist()) & {i for i, _ in found.values()})
+    assert hit / (20 * len(got)) >= 0.9
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.99, 0.1], 1), (20, [1.0, 0.0], 1), (20, [0.0, 1.0], 1)]
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (20, 0, 20, True), (20, 3, 1, False)]
+    found = hilbert_search.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.query_id for r in found} == {20} and all(r.vec_id in (1, 2) for r in found)
+
+
 def test_hilbert_curve_is_continuous():
     cells = np.array([[i, j] for i in range(8) for j in range(8)])
     order = cells[np.argsort(hilbert_search.hilbert_keys(cells, 3))]
