@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet to the shared folder
 and reads them again for the next.  All stages but the last return the columns of ``documents``, with ``n_chars`` the
 length of the text as it then is.  Rows whose text a stage leaves empty go on as empty documents; SimHash near-dedup keeps one.
+
+Edge cases, for every stage: an empty table gives an empty one; a null text counts as empty; a row with a null ``doc_id`` is judged by its own text
+alone (the toxicity model scores it, no other document makes it lose lines or passages, and it is never dropped as a copy), and goes on; rows that
+repeat a ``doc_id`` are one document to line and passage dedup, and all stay if that id stays; columns beside those of ``documents`` are left behind, whatever their names;
+texts of any length are read whole; of equal lines, copies and passages the smallest ``doc_id`` keeps its own.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import line_dedup, packing, simhash, substring_dedup, toxicity
-from matchloom.llm.common import stored, table
+from matchloom.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,8 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the last stage packs."""
-    docs = table(spark, sf_dir, "documents")
+    """The pieces that the last stage packs; it reads the table of the stage before, which stays in the shared folder, and the others are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
