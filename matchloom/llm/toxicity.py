@@ -6,12 +6,13 @@ next code point after such a beginning has its discounted share of the class's c
 last two, the last one or no code points: continuation counts that both classes share.  So what is rare in either class is judged
 alike by both, and where the toxic class has no counts of its own both models are taken as the shared ones.
 
-The log ratio of a word is the sum over its code points.  What a word has beyond ``TELLING`` is its evidence; a text's are the mean evidence per
-word, the highest mean over ``PASSAGE`` words in a row, and the logarithm of the sum.  The score is a logistic function of these,
-fitted on at most ``SAMPLE`` documents of one fold that lends no counts to it; then all folds but the held-out one lend counts.
+A beginning is telling if the toxic texts have it at least ``TWICE`` and, as a share of all words, ``OFTEN`` times as often as the ordinary ones.
+The log ratio of a word is the sum over its code points along the beginnings that lead to telling ones, to the first step off them.  What a word
+has beyond ``TELLING`` is its evidence; a text's are the mean evidence per word, the highest mean over ``PASSAGE`` words in a row, and
+the logarithm of the sum.  The score is a logistic function of these, fitted on at most ``SAMPLE`` documents of one fold, which lends no counts.
 
-Counts grow with the labelled texts and stay in Spark.  Of their ratios, scoring needs those on the way to a word with evidence.  Up to
-``BROADCAST_ROWS`` of them (40 bytes each) are broadcast; beyond that, the words of the texts are joined to them.  Both ways give the same scores.
+Counts grow with the labelled texts and stay in Spark.  Of their ratios, scoring needs those on the way to telling beginnings and one step off it.  Up to
+``BROADCAST_ROWS`` of them (25 bytes each) are broadcast; beyond that, the words of the texts are joined to them.  Both ways give the same scores.
 
 Edge cases: a null or empty text, and one without letters, has no evidence; a text of any length is read whole; without labels of both kinds every
 score is 0; if the calibration fold has one kind only, evidence must come to some 19 nats for a score of one half; a null ``doc_id`` is
@@ -41,18 +42,19 @@ SAMPLE = 4000
 CALIBRATION_FOLD = 1
 THRESHOLD = 0.5
 TELLING = 2.5
+TWICE = 2
+OFTEN = 4
 PASSAGE = 32
 BROADCAST_ROWS = 1_000_000
 HELD = 1_000_000
 #: Names of columns that are unlike any of the input.
 EVIDENCE = ("__evidence_0", "__evidence_1", "__evidence_2")
 KEYS = ("__text_1", "__text_2")
-COUNTS = ("o1", "t1", "o", "t")
 
 _ROOT = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Code points that stand for the two ends of a word; no letters.
-BEGIN, END = 2, 3
+#: Code points that stand for the end of a word and for no code point; no letters.
+END, NONE = 3, 2
 
 
 def letters() -> np.ndarray:
@@ -70,7 +72,8 @@ class Expressions:
         low = [(t or "").lower() for t in texts]
         # a line end after each text parts it from the next
         offsets = np.cumsum([0, *(len(t) + 1 for t in low)])
-        self.points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.text = "\n".join([*low, ""])
+        self.points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = letter_kinds()[np.minimum(self.points, 0x2FFFF)]
         inside = kind > 0
         edge = inside.copy()
@@ -106,39 +109,35 @@ def letter_kinds() -> np.ndarray:
     return _LETTERS[0]
 
 
-NODES = "h long, parent long, a int, b int, c int, path array<long>, o1 long, t1 long, o long, t long"
+def hashes(strings: list[str]) -> np.ndarray:
+    """The hashes that ``Expressions`` gives these beginnings."""
+    sizes = np.array(list(map(len, strings)), np.int64)
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start, h = np.cumsum(sizes) - sizes, np.full(len(sizes), _ROOT)
+    for depth in range(DEPTH):
+        on = np.nonzero(sizes > depth)[0]
+        h[on] = mix(h[on] * _STEP + points[start[on] + depth].astype(np.uint64))
+    return h
 
 
 def count_beginnings(docs: DataFrame) -> DataFrame:
-    """Beginnings of expressions in (text, y, calibrates): hash, that without its last code point, the last three code points, the hashes on the way, and class counts without and with the calibration fold."""
-    names = [x.split()[0] for x in NODES.split(", ")]
+    """p, o and t: beginnings of expressions in (text, y), with how many expressions of ordinary and of toxic texts have them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            y, apart = batch.column("y").to_numpy(zero_copy_only=False), batch.column("calibrates").to_numpy(zero_copy_only=False)
-            sizes = np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))
-            for i, j in chunks(sizes, HELD):
+            texts, y = batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False)
+            for i, j in chunks(np.concatenate(([0], np.cumsum([len(t or "") for t in texts]))), HELD):
                 words = Expressions(texts[i:j])
-                row = words.row
-                toxic, aside = y[i:j][row] == 1, apart[i:j][row].astype(bool)
-                trail = np.zeros((len(row), DEPTH), np.int64)
-                symbols = np.zeros((len(row), DEPTH + 3), np.int32)
-                symbols[:, 2] = BEGIN
+                toxic, end = y[i:j][words.row] == 1, chr(END)
                 for depth, which, h, last, _ in words.levels():
                     if not len(which):
                         break
-                    trail[which, depth], symbols[which, depth + 3] = h.view(np.int64), last
                     _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    counts = [np.bincount(inverse, (toxic[which] == k) & keep, len(at)).astype(np.int64) for keep in (~aside[which], True) for k in (False, True)]
-                    rows = which[at]
-                    flat = pa.array(trail[rows, : depth + 1].ravel())
-                    paths = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (depth + 1)), flat)
-                    parent = trail[rows, depth - 1] if depth else np.full(len(at), _ROOT).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(parent), *(pa.array(symbols[rows, depth + k].copy()) for k in (1, 2, 3)), paths, *map(pa.array, counts)], names)
+                    counts = [np.bincount(inverse, toxic[which] == k, len(at)).astype(np.int64) for k in (False, True)]
+                    strings = [words.text[a : a + depth + (not e)] + e * end for a, e in zip(words.start[which[at]].tolist(), (last[at] == END).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(strings), *map(pa.array, counts)], ["p", "o", "t"])
 
-    rows = docs.select("text", "y", "calibrates").transform(mapped, counted, NODES)
-    return rows.groupBy("h", "parent", "a", "b", "c", "path").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    return docs.select("text", "y").transform(mapped, counted, "p string, o long, t long").groupBy("p").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
 
 
 def discount(n: Column) -> Column:
@@ -146,27 +145,29 @@ def discount(n: Column) -> Column:
 
 
 def shared_backoff(nodes: DataFrame) -> DataFrame:
-    """q of the last of each three code points (a, b, c), by version v: interpolated continuation counts of both classes together, down to the uniform distribution."""
-    three = nodes.groupBy("v", "a", "b", "c").agg(F.count("*").alias("n"))
-    two = three.groupBy("v", "b", "c").agg(F.count("*").alias("n"))
-    one = two.groupBy("v", "c").agg(F.count("*").alias("n"))
-
-    def interpolated(grams: DataFrame, context: list[str], lower: DataFrame | None) -> DataFrame:
-        of = grams.groupBy(*context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        both = grams.join(of, context)
-        both = both.withColumn("q", 1 / (F.col("kinds") + 1)) if lower is None else both.join(lower, lower.columns[:-1])
-        q = (F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")
-        return both.select(*context, "c", q.alias("q"))
-
-    return interpolated(three, ["v", "a", "b"], interpolated(two, ["v", "b"], interpolated(one, ["v"], None)))
-
-
-def ratios(nodes: DataFrame, telling: float = TELLING) -> DataFrame:
-    """Of counts without (v = 0) and with the calibration fold (v = 1): h, ratio (of a word that ends there), beyond (of one that goes on as no counted one does)
-    and open (words go on from it), for all beginnings on the way to a ratio above ``telling`` and those one step off it."""
-    versions = F.array(*(F.struct(F.lit(v).alias("v"), F.col(o).alias("o"), F.col(t).alias("t")) for v, o, t in ((0, "o1", "t1"), (1, "o", "t"))))
-    nodes = nodes.select("h", "parent", "a", "b", "c", "path", F.explode(versions).alias("of")).select("h", "parent", "a", "b", "c", "path", "of.*").where("o + t > 0")
-    after = nodes.groupBy("v", "parent").agg(*(F.sum(k).alias(f"all_{k}") for k in "ot"), *(F.sum(discount(F.col(k))).alias(f"left_{k}") for k in "ot"))
+    """q of the last of each three code points: interpolated continuation counts of both classes together, down to the uniform distribution."""
+    three = nodes.select(F.right(F.concat(F.lit(2 * chr(NONE)), "p"), F.lit(3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    two = three.groupBy(F.substring("g", 2, 2).alias("g")).agg(F.count("*").alias("n"))
+    one = two.groupBy(F.substring("g", 2, 1).alias("g")).agg(F.count("*").alias("n"))
+
+    def interpolated(grams: DataFrame, size: int, lower: DataFrame | None) -> DataFrame:
+        grams = grams.select("g", "n", F.substring("g", 1, size - 1).alias("before"), F.substring("g", 2, size - 1).alias("shorter"))
+        both = grams.join(grams.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "before")
+        both = both.withColumn("q", 1 / (F.col("kinds") + 1)) if lower is None else both.join(lower.withColumnRenamed("g", "shorter"), "shorter")
+        return both.select("g", ((F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")).alias("q"))
+
+    return interpolated(three, 3, interpolated(two, 2, interpolated(one, 1, None)))
+
+
+def ratios(nodes: DataFrame) -> DataFrame:
+    """h, ratio (of a word that ends there), beyond (of one that goes on as no counted one does) and open (words go on from it), for all beginnings on
+    the way to telling ones and those one step off it."""
+    ordinary, toxic = nodes.where(F.length("p") == 1).agg(F.sum("o"), F.sum("t")).first()
+    tells = (F.col("t") >= TWICE) & (F.col("t") * float(ordinary) > F.col("o") * float(OFTEN * toxic))
+    ways = F.transform(F.sequence(F.lit(0), F.length("p")), lambda i: F.left("p", i))
+    way = cut(nodes.where(tells).select(F.explode(ways).alias("parent")).union(nodes.sparkSession.createDataFrame([("",)], "parent string")).distinct())
+    near = cut(nodes.withColumn("parent", F.left("p", F.length("p") - 1)).join(way, "parent", "left_semi").select("p", "parent", "o", "t"))
+    after = near.groupBy("parent").agg(*(F.sum(k).alias(f"all_{k}") for k in "ot"), *(F.sum(discount(F.col(k))).alias(f"left_{k}") for k in "ot"))
 
     def left(k: str) -> Column:
         return F.when(F.col(f"all_{k}") > 0, F.col(f"left_{k}") / F.col(f"all_{k}")).otherwise(1.0)
@@ -174,15 +175,17 @@ def ratios(nodes: DataFrame, telling: float = TELLING) -> DataFrame:
     def share(k: str) -> Column:
         return F.when(F.col(f"all_{k}") > 0, (F.col(k) - discount(F.col(k))) / F.col(f"all_{k}")).otherwise(0.0) + left(k) * F.col("q")
 
-    inside = nodes.join(after.where("all_t > 0"), ["v", "parent"]).join(shared_backoff(nodes), ["v", "a", "b", "c"])
-    steps = cut(inside.select("v", "h", "parent", "path", "t", F.log(share("t") / share("o")).alias("step")))
-    onward = after.select("v", F.col("parent").alias("h"), F.log(left("t") / left("o")).alias("onward"))
-    sums = steps.select("v", "h", F.explode("path").alias("on")).join(steps.select("v", F.col("h").alias("on"), "step"), ["v", "on"]).groupBy("v", "h").agg(F.sum("step").alias("ratio"))
-    opens = F.coalesce(F.col("t") > 0, F.lit(False)) & F.col("onward").isNotNull()
-    known = cut(steps.join(sums, ["v", "h"]).join(onward, ["v", "h"], "left").select("v", "h", "parent", "path", "ratio", F.when(opens, F.col("ratio") + F.col("onward")).otherwise(F.col("ratio")).alias("beyond"), opens.alias("open")))
-    way = known.where(F.greatest("ratio", "beyond") > telling).select("v", F.explode("path").alias("parent")).distinct()
-    near = known.join(way, ["v", "parent"], "left_semi").union(known.where(F.size("path") == 1).select("v", "parent", *[c for c in known.columns if c not in ("v", "parent")]))
-    return near.select("v", "h", "ratio", "beyond", "open").distinct()
+    lower = F.right(F.concat(F.lit(2 * chr(NONE)), "p"), F.lit(3))
+    steps = cut(near.join(after, "parent").withColumn("g", lower).join(shared_backoff(nodes), "g").select("p", F.log(share("t") / share("o")).alias("step")))
+    onward = after.select(F.col("parent").alias("p"), F.log(left("t") / left("o")).alias("onward"))
+    whole = steps.select("p", F.explode(ways).alias("on")).join(steps.select(F.col("p").alias("on"), "step"), "on").groupBy("p").agg(F.sum("step").alias("ratio"))
+    known = whole.join(onward, "p", "left").select("p", "ratio", (F.col("ratio") + F.coalesce("onward", F.lit(0.0))).alias("beyond"), F.col("onward").isNotNull().alias("open"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column("p").to_pylist()).view(np.int64)), *(batch.column(c) for c in ("ratio", "beyond", "open"))], ["h", "ratio", "beyond", "open"])
+
+    return known.transform(mapped, numbered, "h long, ratio double, beyond double, open boolean")
 
 
 class Model:
@@ -314,21 +317,17 @@ def joined_evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = SAMPLE, broadcast: int = BROADCAST_ROWS) -> Model:
-    """Counts over every labelled document outside the held-out fold; calibrated on one of these folds with the counts of the others."""
+    """Counts over every labelled document of three folds; calibrated on the labels of a fourth."""
     known = targets(labels, target)
     docs = docs.select("doc_id", "text")
-    labelled = with_targets(docs, known.select("doc_id", "y", (F.col("fold") == CALIBRATION_FOLD).alias("calibrates")))
-    nodes = cut(count_beginnings(labelled))
-    sums = nodes.agg(*(F.sum(c) for c in COUNTS)).first()
-    if not sums[2] or not sums[3]:
+    nodes = cut(count_beginnings(with_targets(docs, known.where(F.col("fold") != CALIBRATION_FOLD).select("doc_id", "y"))))
+    sums = nodes.agg(F.sum("o"), F.sum("t")).first()
+    if not sums[0] or not sums[1]:
         return Model(None)
-    rows = ratios(nodes)
-    model = Model(rows.where("v = 1").drop("v"), broadcast)
-    x, y = np.zeros((0, 3)), np.zeros(0)
-    if sums[0] and sums[1]:
-        held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
-        got = evidence_rows(held, Model(rows.where("v = 0").drop("v"), broadcast), "doc_id", "y").collect()
-        x, y = np.array([[r[c] for c in EVIDENCE] for r in got]).reshape(-1, 3), np.array([r.y for r in got], np.float64)
+    model = Model(cut(ratios(nodes)), broadcast)
+    held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
+    got = evidence_rows(held, model, "doc_id", "y").collect()
+    x, y = np.array([[r[c] for c in EVIDENCE] for r in got]).reshape(-1, 3), np.array([r.y for r in got], np.float64)
     model.calibrate(x, y)
     return model
 

@@ -421,14 +421,19 @@ def brute_ratios(train):
         n = count[y].get(p, 0)
         return ((n - off(n)) / total if total else 0) + left(y, p[:-1]) * q(p)
 
+    total = [sum(v for p, v in count[y].items() if len(p) == 2) for y in (0, 1)]
+    tells = [p for p, t in count[1].items() if t >= toxicity.TWICE and t * total[0] > toxicity.OFTEN * count[0].get(p, 0) * total[1]]
+    way = {"^"} | {p[:i] for p in tells for i in range(1, len(p) + 1)}
+    parents = {p[:-1] for p in nodes}
+
     def word(w):
         s, r = ("^" + w + "$")[: depth + 1], 0.0
         for i in range(2, len(s) + 1):
+            if s[: i - 1] not in way:
+                break
             if s[:i] not in nodes:
-                return r + np.log(left(1, s[: i - 1]) / left(0, s[: i - 1]))
+                return r + (np.log(left(1, s[: i - 1]) / left(0, s[: i - 1])) if s[: i - 1] in parents else 0)
             r += np.log(share(1, s[:i]) / share(0, s[:i]))
-            if s[:i] not in count[1]:
-                break
         return r
 
     return word
@@ -440,8 +445,8 @@ def test_toxicity_against_plain_models(spark):
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
     train = [(" ".join(word() for _ in range(40)) + (" bakelo stüm mmmbast" * 2 if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(30)]
     plain = brute_ratios(train)
-    nodes = toxicity.count_beginnings(spark.createDataFrame([(t, y, i % 2 == 0) for i, (t, y) in enumerate(train)], "text string, y int, calibrates boolean"))
-    model = toxicity.Model(toxicity.ratios(nodes).where("v = 1").drop("v"))
+    nodes = toxicity.count_beginnings(spark.createDataFrame(train, "text string, y int"))
+    model = toxicity.Model(toxicity.ratios(nodes))
     texts = [" ".join(word() for _ in range(50)) + " bakelo x stümba BAKELOBAKELO, stüm9mmmbast bak" for _ in range(6)] + ["", "9 !", "中文字"]
     words = toxicity.Expressions(texts)
     got = np.maximum(toxicity.word_ratios(model.table, words), toxicity.TELLING)
