@@ -46,10 +46,29 @@ def adjusted_set_pieces(options: DataFrame, actions: DataFrame, key: str, player
     ).drop("_taker", "_kind")
 
 
-def possession_values(actions: DataFrame, before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Adds start, end, diff and defense_type to actions (team, action_type, spadl_type, success, offside, receiver_id, next_type, end_player_id, end_type)."""
+def total_value(options: Column) -> Column:
+    """Value of a row's array of options, weighted by their selection."""
+
+    def value(o: Column) -> Column:
+        good, bad = o["s_score"] - o["s_concede"], o["f_score"] - o["f_concede"]
+        return o["select_p"] * (o["success_p"] * good + (1 - o["success_p"]) * bad)
+
+    return F.aggregate(options, F.lit(0.0), lambda acc, o: acc + value(o))
+
+
+def possession_values(actions: DataFrame, before: DataFrame | str, after: DataFrame | str, key: str) -> DataFrame:
+    """Adds start, end, diff and defense_type to actions (team, action_type, spadl_type, success, offside, receiver_id, next_type, end_player_id, end_type).
+
+    Options before and after are long tables, or names of columns of ``actions`` that hold them as arrays; then nothing is joined or shuffled.
+    """
+    if isinstance(before, str) and isinstance(after, str):
+        return _defended(actions.withColumns({"_v0": total_value(F.col(before)), "_v1": total_value(F.col(after))}).drop(before, after))
     total = lambda o, name: o.groupBy(key).agg(F.sum(F.col("select_p") * option_value()).alias(name))
-    a = actions.join(total(before, "_v0"), key, "left").join(total(after, "_v1"), key, "left")
+    return _defended(actions.join(total(before, "_v0"), key, "left").join(total(after, "_v1"), key, "left"))
+
+
+def _defended(a: DataFrame) -> DataFrame:
+    """start, end, diff and defense_type of actions with the value before (_v0) and after (_v1)."""
     yes = lambda c: F.coalesce(c, F.lit(False))
     start = F.when(yes(F.col("spadl_type").startswith("corner")), F.lit(CORNER_VALUE)).otherwise(F.col("_v0"))
     a = a.withColumn("start", start)

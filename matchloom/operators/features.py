@@ -1,8 +1,8 @@
 """Features of snapshots: nodes, edges, tables and destination cells.
 
-A snapshot is one row with the possessor and an array of players (ordinal, object_id, team, keeper, goal, x, y, vx, vy).  Pairs come from unfolding that array
-twice inside the row, in generated code; per-node sums are pre-aggregated in the same task, so at most one row per node is shuffled and a frame's
-24 x 24 pairs never are.
+A snapshot is one row with the possessor, the ball's height (``ball_z``, 0 if the column isn't there) and an array of players (ordinal, object_id, team, keeper, goal, x, y,
+vx, vy and, if known, accel).  Pairs come from unfolding that array twice inside the row, in generated code; sums per node group by the node itself, so they are hash
+aggregates that are pre-aggregated in the same task.  Where the rows are partitioned by their key already, nothing is shuffled; else at most one row per node is.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ NODE_MORE = ("near_opponents", "nearest_opponent", "closer_opponents", "lane_dis
 def oriented(snapshots: DataFrame, key: str = "event_id", team: str = "team") -> DataFrame:
     """Snapshots with the attack from left to right, as key, possessor and array ``players`` with teammate flags."""
     away = F.col(team) == "away"
+    known = snapshots.schema["players"].dataType.elementType.names
     players = F.transform(
         "players",
         lambda p: F.struct(
@@ -37,10 +38,12 @@ def oriented(snapshots: DataFrame, key: str = "event_id", team: str = "team") ->
             F.when(away, F.lit(PITCH_Y) - p["y"]).otherwise(p["y"]).alias("y"),
             F.when(away, -p["vx"]).otherwise(p["vx"]).alias("vx"),
             F.when(away, -p["vy"]).otherwise(p["vy"]).alias("vy"),
+            (p["accel"] if "accel" in known else F.lit(0.0)).alias("accel"),
         ),
     )
+    height = F.col("ball_z") if "ball_z" in snapshots.columns else F.lit(0.0)
     out = G.held(snapshots, _turned=players).drop("players").withColumnRenamed("_turned", "players")
-    return G.held(out, poss=F.get(F.filter("players", lambda p: p["object_id"] == F.col("object_id")), 0))
+    return G.held(out, poss=F.get(F.filter("players", lambda p: p["object_id"] == F.col("object_id")), 0).withField("ball_z", height))
 
 
 def nodes(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
@@ -70,11 +73,11 @@ def base_features() -> dict[str, Column]:
         "vx": n["vx"],
         "vy": n["vy"],
         "speed": F.sqrt(n["vx"] * n["vx"] + n["vy"] * n["vy"]),
-        "accel": F.lit(0.0),
+        "accel": n["accel"],
         "goal_dist": goal,
         "goal_cos": goal_dx / (goal + EPS),
         "goal_sin": goal_dy / (goal + EPS),
-        "ball_z": F.lit(0.0),
+        "ball_z": p["ball_z"],
         "possessor": (n["object_id"] == p["object_id"]).cast("double"),
         "poss_dist": dist,
         "poss_cos": dx / (dist + EPS),
@@ -105,9 +108,8 @@ def pair_features() -> dict[str, Column]:
 def node_features(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
     """25 features per node: those of the node, and sums and minima over its opponents."""
     rival = F.col("n.teammate") != F.col("o.teammate")
-    more = pairs(snapshots, key).where(rival).groupBy(key, F.col("n.ordinal").alias("ordinal")).agg(F.any_value(F.struct("n", "poss")).alias("_b"), *[c.alias(k) for k, c in pair_features().items()])
-    flat = more.withColumns({"n": F.col("_b.n"), "poss": F.col("_b.poss")})
-    return flat.select(key, "ordinal", *[c.alias(k) for k, c in base_features().items()], *NODE_MORE)
+    more = pairs(snapshots, key).where(rival).groupBy(key, "n", "poss").agg(*[c.alias(k) for k, c in pair_features().items()])
+    return more.select(key, F.col("n.ordinal").alias("ordinal"), *[c.alias(k) for k, c in base_features().items()], *NODE_MORE)
 
 
 def edges(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
@@ -151,10 +153,10 @@ def destination_features(snapshots: DataFrame, columns: int, rows: int, key: str
     c, o, p = F.col("c"), F.col("o"), F.col("poss")
     dist = G.distance(c["x"], c["y"], o["x"], o["y"])
     lane = G.segment_distance(p["x"], p["y"], c["x"], c["y"], o["x"], o["y"])
-    agg = flat.groupBy(key, F.col("c.cell").alias("cell")).agg(
-        F.any_value(F.struct("c", "poss")).alias("_b"), F.min(F.when(o["teammate"], dist)).alias("nearest_teammate"), F.min(F.when(~o["teammate"], dist)).alias("nearest_opponent"), F.min(F.when(~o["teammate"], lane)).alias("lane_opponent")
+    agg = flat.groupBy(key, "c", "poss").agg(
+        F.min(F.when(o["teammate"], dist)).alias("nearest_teammate"), F.min(F.when(~o["teammate"], dist)).alias("nearest_opponent"), F.min(F.when(~o["teammate"], lane)).alias("lane_opponent")
     )
-    return agg.select(key, "cell", F.col("_b.c.x").alias("x"), F.col("_b.c.y").alias("y"), (F.col("_b.c.x") - F.col("_b.poss.x")).alias("dx"), (F.col("_b.c.y") - F.col("_b.poss.y")).alias("dy"), "nearest_teammate", "nearest_opponent", "lane_opponent")
+    return agg.select(key, F.col("c.cell").alias("cell"), F.col("c.x").alias("x"), F.col("c.y").alias("y"), (F.col("c.x") - F.col("poss.x")).alias("dx"), (F.col("c.y") - F.col("poss.y")).alias("dy"), "nearest_teammate", "nearest_opponent", "lane_opponent")
 
 
 def destination_grid(snapshots: DataFrame, columns: int = DESTINATION_COLUMNS, rows: int = DESTINATION_ROWS, key: str = "event_id") -> DataFrame:
@@ -189,7 +191,7 @@ def destination_grid(snapshots: DataFrame, columns: int = DESTINATION_COLUMNS, r
 def target_features(snapshots: DataFrame, target: str = "receiver_id", key: str = "event_id", compat: bool = True) -> DataFrame:
     """41 features of the possessor and the intended target; without a target its 20 are -100.
 
-    With ``compat`` the acceleration columns repeat the speed, as the established feature set has them; else they are 0 here (snapshots carry no acceleration).
+    With ``compat`` the acceleration columns repeat the speed, as the established feature set has them; else they are the players' own.
     """
     s = G.held(snapshots, t=F.get(F.filter("players", lambda q: q["object_id"] == F.col(target)), 0), _keeper=F.get(F.filter("players", lambda q: q["keeper"] & ~q["teammate"]), 0))
     s = s.select(key, "poss", "t", F.col("_keeper").alias("k"), F.explode(F.filter("players", lambda q: ~q["teammate"])).alias("o"))
@@ -197,8 +199,7 @@ def target_features(snapshots: DataFrame, target: str = "receiver_id", key: str
     goal = lambda q: G.distance(q["x"], q["y"], PITCH_X, PITCH_Y / 2)
     count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
     gap = lambda q: G.distance(q["x"], q["y"], o["x"], o["y"])
-    agg = s.groupBy(key).agg(
-        F.any_value(F.struct("poss", "t", "k")).alias("_b"),
+    a = s.groupBy(key, "poss", "t", "k").agg(
         count(gap(p) <= 3).alias("p_near"),
         F.min(gap(p)).alias("p_nearest"),
         count(goal(o) < goal(p)).alias("p_closer"),
@@ -210,9 +211,8 @@ def target_features(snapshots: DataFrame, target: str = "receiver_id", key: str
         count(G.in_corridor(p["x"], p["y"], t["x"], t["y"], o["x"], o["y"])).alias("interceptors"),
         F.min(G.lane_distance(p["x"], p["y"], t["x"], t["y"], o["x"], o["y"])).alias("lane_opponent"),
     )
-    a = agg.withColumns({"poss": F.col("_b.poss"), "t": F.col("_b.t"), "k": F.col("_b.k")})
     speed = lambda q: F.sqrt(q["vx"] * q["vx"] + q["vy"] * q["vy"])
-    accel = speed if compat else (lambda q: F.lit(0.0))
+    accel = speed if compat else (lambda q: q["accel"])
     keeper = G.line_angle(p["x"], p["y"], k["x"], k["y"], PITCH_X, PITCH_Y / 2)
     turn = G.vector_angle(t["vx"], t["vy"], p["vx"], p["vy"])
     dx, dy = p["x"] - t["x"], p["y"] - t["y"]
@@ -220,7 +220,7 @@ def target_features(snapshots: DataFrame, target: str = "receiver_id", key: str
     mine = {
         "p_x": p["x"], "p_y": p["y"], "p_vx": p["vx"], "p_vy": p["vy"], "p_speed": speed(p), "p_accel": accel(p), "p_goal_dist": goal(p),
         "p_goal_cos": (p["x"] - PITCH_X) / (goal(p) + EPS), "p_goal_sin": (p["y"] - PITCH_Y / 2) / (goal(p) + EPS), "p_near": F.col("p_near"), "p_nearest": F.col("p_nearest"), "p_closer": F.col("p_closer"),
-        "p_blockers": F.col("p_blockers"), "ball_z": F.lit(0.0), "keeper_x": k["x"], "keeper_y": k["y"], "keeper_cos": F.cos(keeper), "keeper_sin": F.sin(keeper),
+        "p_blockers": F.col("p_blockers"), "ball_z": p["ball_z"], "keeper_x": k["x"], "keeper_y": k["y"], "keeper_cos": F.cos(keeper), "keeper_sin": F.sin(keeper),
     }
     theirs = {
         "t_x": t["x"], "t_y": t["y"], "t_vx": t["vx"], "t_vy": t["vy"], "t_speed": speed(t), "t_accel": accel(t), "t_goal_dist": goal(t), "t_goal_cos": (t["x"] - PITCH_X) / (goal(t) + EPS),

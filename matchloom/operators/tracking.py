@@ -1,12 +1,17 @@
 """Long tracking: kinematics per object, phases, orientation, possession views, freezing, synthetic actions, shot paths.
 
-Kernels that need order run per (match, period, object) through Arrow: one object's half is some 70,000 rows, whatever the number of matches.
+Kernels that need order run track by track: rows are sorted within partitions by (match, period, object) and frame, and pass through Arrow in batches; a
+task holds one batch and one track, some 70,000 rows for a whole half.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +25,49 @@ KINEMATICS = "match_id long, period_id int, object_id string, frame_id long, x d
 def with_kinematics(tracking: DataFrame, fps: float = FPS) -> DataFrame:
     """(match_id, period_id, object_id, frame_id, x, y) with velocity, speed, acceleration and change of speed."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_id")
-        k = kernels.kinematics(rows["x"].to_numpy(float), rows["y"].to_numpy(float), fps)
-        return rows.assign(**k, accel_v=kernels.speed_change(k["speed"], fps))
-
-    return tracking.select("match_id", "period_id", "object_id", "frame_id", "x", "y").groupBy("match_id", "period_id", "object_id").applyInPandas(run, KINEMATICS)
+    names = [c.split()[0] for c in KINEMATICS.split(", ")]
+
+    def tracks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole tracks, one after the other in ``rows``."""
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            return
+        x, y = (rows.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        starts = [0, *(np.nonzero(changes(rows))[0] + 1).tolist(), rows.num_rows]
+        parts = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            k = kernels.kinematics(x[a:b], y[a:b], fps)
+            parts.append((*(k[c] for c in ("vx", "vy", "speed", "accel")), kernels.speed_change(k["speed"], fps)))
+        made = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+        yield from pa.Table.from_arrays([*rows.columns, *made], names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            ends = np.nonzero(changes(rows))[0]
+            if len(ends):
+                # the last track may go on in the next batch
+                yield from tracks(rows.slice(0, int(ends[-1]) + 1))
+                held = rows.slice(int(ends[-1]) + 1).to_batches()
+        if held:
+            yield from tracks(pa.Table.from_batches(held))
+
+    keys = ["match_id", "period_id", "object_id"]
+    rows = tracking.select(F.col("match_id").cast("long").alias("match_id"), F.col("period_id").cast("int").alias("period_id"), "object_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(run, KINEMATICS)
+
+
+def changes(rows: pa.Table) -> np.ndarray:
+    """Whether the row after each one but the last is of another track."""
+    out = np.zeros(max(rows.num_rows - 1, 0), bool)
+    for c in ("match_id", "period_id", "object_id"):
+        column = rows.column(c).combine_chunks()
+        out |= pa.compute.not_equal(column.slice(1), column.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False) if len(out) else out
+    return out
 
 
 def playing_spans(tracking: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where a small input has fewer splits than that: worth it before rows are unfolded hundreds of times."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+def spread(rows: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows dealt out by their key before they are unfolded hundreds of times: one narrow shuffle, after which sums and joins by the key (and by more) need none.
+
+    The number of partitions is given, since adaptive execution would merge the narrow rows into few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.least(F.col("value") / F.lit(500.0), F.lit(0.99))).alias("expected_goal"),
         success.alias("success"),
         (n % 29 == 0).alias("offside"),
+        ((n % 23) / F.lit(10.0)).alias("ball_z"),
         F.when(n % 13 == 0, "out").when(success, F.concat_ws("_", team, ((k + 3) % 11 + 1).cast("string"))).otherwise(F.concat_ws("_", other, ((k + 5) % 11 + 1).cast("string"))).alias("receiver_id"),
     )
 
@@ -63,7 +65,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def players(n=None):
-    """Array of the 22 players and two goals around an action: (ordinal, object, team, keeper, goal, x, y, vx, vy)."""
+    """Array of the 22 players and two goals around an action: (ordinal, object, team, keeper, goal, x, y, vx, vy, accel)."""
     n = F.col("event_id") if n is None else n
 
     def one(j):
@@ -79,12 +81,13 @@ def players(n=None):
             (((n * 53 + j * 577) % 6801) / F.lit(100.0)).alias("y"),
             (((n * 7 + j * 131) % 1001) / F.lit(100.0) - F.lit(5.0)).alias("vx"),
             (((n * 11 + j * 173) % 1001) / F.lit(100.0) - F.lit(5.0)).alias("vy"),
+            (((n * 3 + j * 29) % 401) / F.lit(100.0)).alias("accel"),
         )
 
     def goal(ordinal: int, team: str, x: float):
         return F.struct(
             F.lit(ordinal).alias("ordinal"), F.lit(f"{team}_goal").alias("object_id"), F.lit(team).alias("team"), F.lit(False).alias("keeper"), F.lit(True).alias("goal"),
-            F.lit(x).alias("x"), F.lit(34.0).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"),
+            F.lit(x).alias("x"), F.lit(34.0).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("accel"),
         )
 
     return F.concat(F.transform(F.sequence(F.lit(1), F.lit(22)), one), F.array(goal(23, "home", 105.0), goal(24, "away", 0.0)))
@@ -98,7 +101,7 @@ ACTIONS = """
       (CASE WHEN event_id % 2 = 0 THEN 'home' ELSE 'away' END) || '_' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 11 + 1) AS object_id,
       ((event_id * 37) % 10501) / 100.0::DOUBLE AS start_x, ((event_id * 53) % 6801) / 100.0::DOUBLE AS start_y,
       ((event_id * 41) % 10501) / 100.0::DOUBLE AS end_x, ((event_id * 59) % 6801) / 100.0::DOUBLE AS end_y,
-      CASE WHEN event_type = 'purchase' THEN least(value / 500.0::DOUBLE, 0.99::DOUBLE) END AS expected_goal, value < 60 AS success, event_id % 29 = 0 AS offside,
+      CASE WHEN event_type = 'purchase' THEN least(value / 500.0::DOUBLE, 0.99::DOUBLE) END AS expected_goal, value < 60 AS success, event_id % 29 = 0 AS offside, (event_id % 23) / 10.0::DOUBLE AS ball_z,
       CASE WHEN event_id % 13 = 0 THEN 'out'
            WHEN value < 60 THEN (CASE WHEN event_id % 2 = 0 THEN 'home' ELSE 'away' END) || '_' || ((CAST(json_extract_string(props, '$.k') AS INTEGER) + 3) % 11 + 1)
            ELSE (CASE WHEN event_id % 2 = 0 THEN 'away' ELSE 'home' END) || '_' || ((CAST(json_extract_string(props, '$.k') AS INTEGER) + 5) % 11 + 1) END AS receiver_id,
@@ -110,13 +113,13 @@ SNAPSHOT = """
   SELECT a.event_id, j::INTEGER AS ordinal, (CASE WHEN j <= 11 THEN 'home' ELSE 'away' END) || '_' || (CASE WHEN j <= 11 THEN j ELSE j - 11 END) AS object_id,
     CASE WHEN j <= 11 THEN 'home' ELSE 'away' END AS team, j IN (1, 12) AS keeper, false AS goal,
     ((a.event_id * 37 + j * 911) % 10501) / 100.0::DOUBLE AS x, ((a.event_id * 53 + j * 577) % 6801) / 100.0::DOUBLE AS y,
-    ((a.event_id * 7 + j * 131) % 1001) / 100.0::DOUBLE - 5.0::DOUBLE AS vx, ((a.event_id * 11 + j * 173) % 1001) / 100.0::DOUBLE - 5.0::DOUBLE AS vy
+    ((a.event_id * 7 + j * 131) % 1001) / 100.0::DOUBLE - 5.0::DOUBLE AS vx, ((a.event_id * 11 + j * 173) % 1001) / 100.0::DOUBLE - 5.0::DOUBLE AS vy, ((a.event_id * 3 + j * 29) % 401) / 100.0::DOUBLE AS accel
   FROM a, range(1, 23) t(j)
-  UNION ALL SELECT event_id, 23, 'home_goal', 'home', false, true, 105.0::DOUBLE, 34.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM a
-  UNION ALL SELECT event_id, 24, 'away_goal', 'away', false, true, 0.0::DOUBLE, 34.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM a
+  UNION ALL SELECT event_id, 23, 'home_goal', 'home', false, true, 105.0::DOUBLE, 34.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM a
+  UNION ALL SELECT event_id, 24, 'away_goal', 'away', false, true, 0.0::DOUBLE, 34.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM a
 """
 
 
 def with_actions(body: str, snapshot: bool = False) -> str:
     """A DuckDB query with the CTE ``a`` (and ``s``) before it; ``body`` may begin with further CTEs after a comma."""
-    return f"WITH a AS ({ACTIONS})" + (f", s AS ({SNAPSHOT})" if snapshot else "") + " " + body
+    return f"WITH a AS MATERIALIZED ({ACTIONS})" + (f", s AS MATERIALIZED ({SNAPSHOT})" if snapshot else "") + " " + body

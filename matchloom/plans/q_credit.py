@@ -53,9 +53,22 @@ def context(spark, d):
     return a.withColumns({"end_player_id": F.when(F.col("receiver_id") != "out", F.col("receiver_id")), "end_type": F.col("next_type"), "end_team": end_team, "woodwork": F.col("k") % 17 == 0, "keeper_id": F.concat(F.when(F.col("team") == "home", "away").otherwise("home"), F.lit("_1"))})
 
 
+def made_up(c: str, j, shift: int):
+    m, k, q, by = OPTIONS[c]
+    return ((F.col("event_id") * m + j * k + shift) % q).cast("double") / F.lit(by)
+
+
+def with_options(rows, **shifts: int):
+    """``options`` as array columns of the row, without names; the weights are summed up once a row."""
+    numbers = F.sequence(F.lit(1), F.lit(12))
+    weight = lambda s: F.aggregate(numbers, F.lit(0.0), lambda acc, j: acc + made_up("w", j, s))
+    rows = G.held(rows, **{f"_sum{n}": weight(s) for n, s in shifts.items()})
+    each = lambda n, s: F.transform(numbers, lambda j: F.struct((made_up("w", j, s) / F.col(f"_sum{n}")).alias("select_p"), *[made_up(c, j, s).alias(c) for c in OPTIONS if c != "w"]))
+    return G.held(rows, **{n: each(n, s) for n, s in shifts.items()}).drop(*[f"_sum{n}" for n in shifts])
+
+
 def values(spark, d):
-    c = context(spark, d)
-    return C.possession_values(c, options(c), options(c, 9, "end_team"), "event_id")
+    return C.possession_values(with_options(context(spark, d), _before=0, _after=9), "_before", "_after", "event_id")
 
 
 VALUE_OF = "success_p * (s_score - s_concede) + (1 - success_p) * (f_score - f_concede)"

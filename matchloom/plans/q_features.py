@@ -13,7 +13,7 @@ from ..operators import labels as L
 from ..operators import sequence as S
 from . import lens
 from .lens import with_actions
-from .q_sequence import R6
+from .q_sequence import R6, RETURNS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 ROTATED = """
-, r AS (SELECT a.event_id, a.object_id AS me, s.ordinal, s.object_id, s.team = a.team AS tm, s.keeper, s.goal,
+, r AS (SELECT a.event_id, a.object_id AS me, a.ball_z, s.ordinal, s.object_id, s.team = a.team AS tm, s.keeper, s.goal, s.accel,
   CASE WHEN a.team = 'away' THEN 105.0::DOUBLE - s.x ELSE s.x END AS x, CASE WHEN a.team = 'away' THEN 68.0::DOUBLE - s.y ELSE s.y END AS y,
   CASE WHEN a.team = 'away' THEN -s.vx ELSE s.vx END AS vx, CASE WHEN a.team = 'away' THEN -s.vy ELSE s.vy END AS vy FROM a JOIN s ON a.event_id = s.event_id)
 , p AS (SELECT event_id, x AS px, y AS py, vx AS pvx, vy AS pvy FROM r WHERE object_id = me)
@@ -102,8 +102,8 @@ MORE = f"""
   FROM pr GROUP BY event_id, ordinal)
 """
 BASE = {
-    "teammate": "r.tm::INT::DOUBLE", "keeper": "r.keeper::INT::DOUBLE", "goal": "r.goal::INT::DOUBLE", "x": "r.x", "y": "r.y", "vx": "r.vx", "vy": "r.vy", "speed": "sqrt(r.vx * r.vx + r.vy * r.vy)", "accel": "0.0::DOUBLE",
-    "goal_dist": GOAL("r.x", "r.y"), "goal_cos": f"(r.x - 105.0::DOUBLE) / ({GOAL('r.x', 'r.y')} + 1e-6::DOUBLE)", "goal_sin": f"(r.y - 34.0::DOUBLE) / ({GOAL('r.x', 'r.y')} + 1e-6::DOUBLE)", "ball_z": "0.0::DOUBLE",
+    "teammate": "r.tm::INT::DOUBLE", "keeper": "r.keeper::INT::DOUBLE", "goal": "r.goal::INT::DOUBLE", "x": "r.x", "y": "r.y", "vx": "r.vx", "vy": "r.vy", "speed": "sqrt(r.vx * r.vx + r.vy * r.vy)", "accel": "r.accel",
+    "goal_dist": GOAL("r.x", "r.y"), "goal_cos": f"(r.x - 105.0::DOUBLE) / ({GOAL('r.x', 'r.y')} + 1e-6::DOUBLE)", "goal_sin": f"(r.y - 34.0::DOUBLE) / ({GOAL('r.x', 'r.y')} + 1e-6::DOUBLE)", "ball_z": "r.ball_z",
     "possessor": "(r.object_id = r.me)::INT::DOUBLE", "poss_dist": dist("r.x", "r.y", "px", "py"), "poss_cos": f"(r.x - px) / ({dist('r.x', 'r.y', 'px', 'py')} + 1e-6::DOUBLE)", "poss_sin": f"(r.y - py) / ({dist('r.x', 'r.y', 'px', 'py')} + 1e-6::DOUBLE)",
     "vel_cos": f"cos({vangle('r.vx', 'r.vy', 'pvx', 'pvy')})", "vel_sin": f"sin({vangle('r.vx', 'r.vy', 'pvx', 'pvy')})",
 }
@@ -202,12 +202,12 @@ def kept_nodes(spark, d):
         ROTATED
         + f""", t AS (SELECT r.event_id, r.x AS tx, r.y AS ty, r.vx AS tvx, r.vy AS tvy FROM r JOIN a ON a.event_id = r.event_id AND a.receiver_id = r.object_id)
 , k AS (SELECT event_id, arg_min(x, ordinal) AS kx, arg_min(y, ordinal) AS ky FROM r WHERE keeper AND NOT tm GROUP BY event_id)
-, g AS (SELECT r.event_id, any_value(px) AS px, any_value(py) AS py, any_value(pvx) AS pvx, any_value(pvy) AS pvy, any_value(tx) AS tx, any_value(ty) AS ty, any_value(tvx) AS tvx, any_value(tvy) AS tvy, any_value(kx) AS kx, any_value(ky) AS ky,
+, g AS (SELECT r.event_id, any_value(px) AS px, any_value(py) AS py, any_value(pvx) AS pvx, any_value(pvy) AS pvy, any_value(tx) AS tx, any_value(ty) AS ty, any_value(tvx) AS tvx, any_value(tvy) AS tvy, any_value(kx) AS kx, any_value(ky) AS ky, any_value(r.ball_z) AS bz,
   count(*) FILTER (WHERE {dist('px', 'py', 'r.x', 'r.y')} <= 3)::DOUBLE AS p_near, min({dist('px', 'py', 'r.x', 'r.y')}) AS p_nearest, count(*) FILTER (WHERE {GOAL('r.x', 'r.y')} < {GOAL('px', 'py')})::DOUBLE AS p_closer, count(*) FILTER (WHERE {shot_triangle('px', 'py', 'r.x', 'r.y')})::DOUBLE AS p_blockers,
   count(*) FILTER (WHERE {dist('tx', 'ty', 'r.x', 'r.y')} <= 3)::DOUBLE AS t_near, min({dist('tx', 'ty', 'r.x', 'r.y')}) AS t_nearest, count(*) FILTER (WHERE {GOAL('r.x', 'r.y')} < {GOAL('tx', 'ty')})::DOUBLE AS t_closer, count(*) FILTER (WHERE {shot_triangle('tx', 'ty', 'r.x', 'r.y')})::DOUBLE AS t_blockers,
   count(*) FILTER (WHERE {corridor('px', 'py', 'tx', 'ty', 'r.x', 'r.y')})::DOUBLE AS interceptors, min({lane('px', 'py', 'tx', 'ty', 'r.x', 'r.y')}) AS lane_opponent
   FROM r JOIN p ON p.event_id = r.event_id JOIN k ON k.event_id = r.event_id LEFT JOIN t ON t.event_id = r.event_id WHERE NOT r.tm GROUP BY r.event_id)
-SELECT event_id, {R6.format('px')} AS p_x, {R6.format('py')} AS p_y, {R6.format('sqrt(pvx * pvx + pvy * pvy)')} AS p_speed, {R6.format(GOAL('px', 'py'))} AS p_goal_dist, p_near, {R6.format('p_nearest')} AS p_nearest, p_closer, p_blockers,
+SELECT event_id, {R6.format('px')} AS p_x, {R6.format('py')} AS p_y, {R6.format('sqrt(pvx * pvx + pvy * pvy)')} AS p_speed, {R6.format(GOAL('px', 'py'))} AS p_goal_dist, p_near, {R6.format('p_nearest')} AS p_nearest, p_closer, p_blockers, {R6.format('bz')} AS ball_z,
   {R6.format(f"cos({vangle('kx - px', 'ky - py', '105.0::DOUBLE - px', '34.0::DOUBLE - py')})")} AS keeper_cos,
   CASE WHEN tx IS NULL THEN -100 ELSE {R6.format('tx')} END AS t_x, CASE WHEN tx IS NULL THEN -100 ELSE t_near END AS t_near, CASE WHEN tx IS NULL THEN -100 ELSE {R6.format('t_nearest')} END AS t_nearest, CASE WHEN tx IS NULL THEN -100 ELSE t_closer END AS t_closer, CASE WHEN tx IS NULL THEN -100 ELSE t_blockers END AS t_blockers,
   CASE WHEN tx IS NULL THEN -100 ELSE {R6.format(dist('px', 'py', 'tx', 'ty'))} END AS pass_dist, CASE WHEN tx IS NULL THEN -100 ELSE interceptors END AS interceptors, CASE WHEN tx IS NULL THEN -100 ELSE {R6.format('lane_opponent')} END AS lane_opponent,
@@ -216,9 +216,9 @@ SELECT event_id, {R6.format('px')} AS p_x, {R6.format('py')} AS p_y, {R6.format(
     ),
 )
 def target_features(spark, d):
-    """Features of the possessor and its target (18 of the 41 are compared)."""
+    """Features of the possessor and its target (19 of the 41 are compared)."""
     out = X.target_features(snapshots(spark, d))
-    names = ["p_x", "p_y", "p_speed", "p_goal_dist", "p_near", "p_nearest", "p_closer", "p_blockers", "keeper_cos", "t_x", "t_near", "t_nearest", "t_closer", "t_blockers", "pass_dist", "interceptors", "lane_opponent", "turn_cos"]
+    names = ["p_x", "p_y", "p_speed", "p_goal_dist", "p_near", "p_nearest", "p_closer", "p_blockers", "ball_z", "keeper_cos", "t_x", "t_near", "t_nearest", "t_closer", "t_blockers", "pass_dist", "interceptors", "lane_opponent", "turn_cos"]
     return six(out.select("event_id", *names), ["event_id"])
 
 
@@ -335,25 +335,31 @@ def blocked_augmentations(spark, d):
 @query(
     "l02_label_rows",
     with_actions(
-        INTENT.replace("FROM a LEFT JOIN b", "FROM a LEFT JOIN b")
-        + f""", j AS (SELECT i.*, s.ordinal AS io, s.team AS iteam, t.ordinal AS ro, t.team AS rteam FROM i LEFT JOIN s ON s.event_id = i.event_id AND s.object_id = i.intent_id LEFT JOIN s t ON t.event_id = i.event_id AND t.object_id = i.receiver_id)
-, f AS (SELECT *, spadl_type IN ('pass', 'cross') AS ps FROM j)
-SELECT match_id, action_id, ps::INT AS is_pass, (spadl_type NOT IN ('pass', 'cross', 'shot'))::INT AS is_dribble, (spadl_type = 'shot')::INT AS is_shot, 24 AS n_players,
+        INTENT
+        + f""", rt AS (WITH x0 AS (SELECT 1) {RETURNS} SELECT match_id, action_id, scores, scores_xg, concedes, concedes_xg FROM r)
+, vt AS (WITH e AS (SELECT *, CASE WHEN k % 5 <> 0 THEN k / 100.0::DOUBLE END AS xt FROM a), f AS (SELECT *, spadl_type IN ('pass', 'cross', 'shot') AND xt IS NOT NULL AS el FROM e)
+   , n AS (SELECT *, sum(CASE WHEN el THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY action_id) AS nth FROM f)
+   SELECT x.match_id, x.action_id, coalesce(max(CASE WHEN y.team = x.team THEN y.xt END), 0) AS scores_xt, coalesce(max(CASE WHEN y.team <> x.team THEN y.xt END), 0) AS concedes_xt
+   FROM n x LEFT JOIN n y ON x.match_id = y.match_id AND y.el AND y.nth BETWEEN x.nth + 1 AND x.nth + 5 AND y.action_id > x.action_id GROUP BY x.match_id, x.action_id)
+, j AS (SELECT i.*, s.ordinal AS io, s.team AS iteam, s.x AS ix, s.y AS iy, t.ordinal AS ro, t.team AS rteam FROM i LEFT JOIN s ON s.event_id = i.event_id AND s.object_id = i.intent_id LEFT JOIN s t ON t.event_id = i.event_id AND t.object_id = i.receiver_id)
+, f AS (SELECT *, spadl_type IN ('pass', 'cross') AS ps, team = 'away' AS aw FROM j)
+SELECT f.match_id, f.action_id, ps::INT AS is_pass, (spadl_type NOT IN ('pass', 'cross', 'shot'))::INT AS is_dribble, (spadl_type = 'shot')::INT AS is_shot, 24 AS n_players,
  (CASE WHEN io IS NULL OR iteam <> team THEN -1 WHEN io >= 23 THEN 11 ELSE (io - 1) % 11 END)::INTEGER AS intent_index,
  (CASE WHEN receiver_id = 'out' OR spadl_type NOT IN ('pass', 'cross', 'shot') THEN -1 WHEN rteam = team THEN (ro - 1) % 11 ELSE 12 + (ro - 1) % 11 END)::INTEGER AS receiver_index,
  CASE WHEN ps THEN floor((receive_frame_id - frame_id) / 25.0::DOUBLE * 100 + 0.5) / 100 ELSE 0.0::DOUBLE END AS duration,
- CASE WHEN ps THEN CASE WHEN team = 'away' THEN 105.0::DOUBLE - start_x ELSE start_x END ELSE -105.0::DOUBLE END AS start_x, CASE WHEN ps THEN CASE WHEN team = 'away' THEN 68.0::DOUBLE - end_y ELSE end_y END ELSE -68.0::DOUBLE END AS end_y, success::INT AS success FROM f""",
+ {', '.join(f"{R6.format(f'coalesce(CASE WHEN ps THEN CASE WHEN aw THEN {w}.0::DOUBLE - {c} ELSE {c} END END, -{w}.0::DOUBLE)')} AS {n}" for c, n, w in (('start_x', 'start_x', 105), ('start_y', 'start_y', 68), ('end_x', 'end_x', 105), ('end_y', 'end_y', 68), ('ix', 'intent_x', 105), ('iy', 'intent_y', 68)))},
+ 1 AS is_real, (event_id % 7 = 3 AND spadl_type = 'shot')::INT AS blocked, success::INT AS success, scores, {R6.format('scores_xg')} AS scores_xg, concedes, {R6.format('concedes_xg')} AS concedes_xg, {R6.format('scores_xt')} AS scores_xt, {R6.format('concedes_xt')} AS concedes_xt
+ FROM f JOIN rt ON rt.match_id = f.match_id AND rt.action_id = f.action_id JOIN vt ON vt.match_id = f.match_id AND vt.action_id = f.action_id""",
         True,
     ),
 )
 def label_rows(spark, d):
-    """The exported label row of every action (returns are compared by their own queries)."""
+    """The exported label row of every action, all 23 columns (and the match)."""
     a = with_intent(spark, d, lens.actions(spark, d))
     spot = F.get(F.filter("players", lambda q: q["object_id"] == F.col("intent_id")), 0)
-    a = G.held(a, _s=spot).withColumns({"intent_x": F.col("_s.x"), "intent_y": F.col("_s.y"), "blocked": F.lit(False), "xt": F.lit(0.0)})
-    a = S.value_returns(S.future_returns(a))
-    keep = ["match_id", "action_id", "is_pass", "is_dribble", "is_shot", "n_players", "intent_index", "receiver_index", "duration", "start_x", "end_y", "success"]
-    return L.label_rows(a).select(*keep)
+    a = G.held(a, _s=spot).withColumns({"intent_x": F.col("_s.x"), "intent_y": F.col("_s.y"), "blocked": (F.col("event_id") % 7 == 3) & (F.col("spadl_type") == "shot"), "xt": F.when(F.col("k") % 5 != 0, F.col("k") / F.lit(100.0))})
+    out = L.label_rows(S.value_returns(S.future_returns(a)))
+    return six(out, [c for c in out.columns if not (c.endswith(("_xg", "_xt")) or c.startswith(("start_", "end_")) or c in ("intent_x", "intent_y"))])
 
 
 @query("l06_task_filter", with_actions(INTENT + "SELECT event_id FROM i WHERE spadl_type IN ('pass', 'cross') AND intent_id IS NOT NULL AND receiver_id <> 'out' AND (receive_frame_id - frame_id) / 25.0 >= 0.2", True))
