@@ -19,11 +19,6 @@ def option_value() -> Column:
     return F.col("success_p") * good + (1 - F.col("success_p")) * bad
 
 
-def with_goal_option(passes: DataFrame, shots: DataFrame, key: str) -> DataFrame:
-    """Options of passes and of shots in one long table."""
-    return passes.unionByName(shots)
-
-
 def adjusted_set_pieces(options: DataFrame, actions: DataFrame, key: str, player: str = "end_player_id", kind: str = "end_type", penalty_as_success: bool = False) -> DataFrame:
     """Options of set pieces: a penalty can only be shot (worth its fixed value), the taker isn't an option, nor is the goal from a throw-in; the rest is renormalised."""
     from ..functions.vocab import RESTARTS
@@ -170,11 +165,6 @@ def player_scores(credits: DataFrame, lineup: DataFrame, times: DataFrame) -> Da
     return lineup.join(scores, "object_id").join(times, "object_id").na.fill(0.0)
 
 
-def on_target_value(xg: Column, keeper_share: Column) -> Column:
-    """Expected goals of a shot given that it is on target."""
-    return F.least(xg / F.greatest(F.lit(1.0) - (F.lit(1.0) - xg) * F.lit(SHOT_OUT_SHARE), F.lit(1e-6)), F.lit(1.0)) * keeper_share
-
-
 def propensity_weights(rows: DataFrame, p: str, floor: float = 0.01) -> DataFrame:
     """Adds weight: inverse probabilities, floored and divided by their mean over all rows (one number, so no window over everything)."""
     inverse = 1 / F.greatest(F.col(p), F.lit(floor))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import FPS, PITCH_X, PITCH_Y
 from . import kernels
+from .joins import within
 
 KINEMATICS = "match_id long, period_id int, object_id string, frame_id long, x double, y double, vx double, vy double, speed double, accel double, accel_v double"
 
@@ -128,7 +129,7 @@ def anchor_faults(receipts: DataFrame) -> DataFrame:
 def possession_view(frames: DataFrame, possessions: DataFrame) -> DataFrame:
     """Frames of each possession with one frame of context before it, turned so that the possession attacks to the right and calls itself home."""
     spans = possessions.select("match_id", "possession_id", F.col("team").alias("_team"), "right_to_left", (F.col("frame_start") - 1).alias("_a"), F.col("frame_end").alias("_b"))
-    rows = frames.join(spans, "match_id").where("frame_id BETWEEN _a AND _b")
+    rows = within(frames, spans, ["match_id"], "frame_id", "_a", "_b")
     name = F.when(F.col("object_id").rlike("^(home|away)"), F.concat(F.when(F.substring("object_id", 1, 4) == F.col("_team"), "home").otherwise("away"), F.expr("substring(object_id, 5)"))).otherwise(F.col("object_id"))
     return rotated(rows.withColumn("object_id", name), F.col("right_to_left")).withColumn("has_ball", F.col("frame_id") > F.col("_a")).drop("_a", "_b", "_team", "right_to_left")
 
@@ -160,7 +161,8 @@ def shot_anomalies(shots: DataFrame, ball: DataFrame) -> DataFrame:
 
     The join is bounded by each shot's own frames; the path is simplified per shot.
     """
-    path = shots.select("match_id", "action_id", F.col("frame_id").alias("_a"), F.col("receive_frame_id").alias("_b")).join(ball.select("match_id", "frame_id", "x", "y"), "match_id").where("frame_id BETWEEN _a AND _b")
+    path = shots.select("match_id", "action_id", F.col("frame_id").alias("_a"), F.col("receive_frame_id").alias("_b"))
+    path = within(ball.select("match_id", "frame_id", "x", "y"), path, ["match_id"], "frame_id", "_a", "_b")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_id")

@@ -26,6 +26,17 @@ def event_rules() -> dict[str, Column]:
     }
 
 
+def baseline_rules() -> dict[str, Column]:
+    """The baseline synchroniser's input: events with a start on the pitch."""
+    return {k: c for k, c in event_rules().items() if k != "object_id"} | {"player_id": F.col("player_id").isNotNull()}
+
+
+def synced_rules() -> dict[str, Column]:
+    """Synced events: a frame is a whole number from 0 on, or missing."""
+    whole = (F.col("frame_id") >= 0) & (F.col("frame_id") == F.floor("frame_id"))
+    return {"period_id": F.col("period_id").isin(1, 2), "ts": F.col("ts").isNotNull(), "frame_id": F.col("frame_id").isNull() | whole, "player_id": F.col("player_id").isNotNull(), "spadl_type": F.col("spadl_type").isin(*ACTION_TYPES), "success": F.col("success").isNotNull()}
+
+
 def tracking_rules() -> dict[str, Column]:
     return {
         "frame_id": (F.col("frame_id") >= 0) & (F.col("frame_id") == F.floor("frame_id")),

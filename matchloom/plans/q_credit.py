@@ -47,8 +47,7 @@ def sql_options(source: str, shift: int, team: str) -> str:
 
 def context(spark, d):
     """Actions with their intents and what follows them."""
-    a = with_intent(spark, d, lens.actions(spark, d)).drop("players", "poss")
-    a = S.next_action(a)
+    a = with_intent(spark, d, S.next_action(lens.actions(spark, d))).drop("players", "poss")
     end_team = F.when(F.col("receiver_id") == "out", F.col("team")).otherwise(F.substring("receiver_id", 1, 4))
     return a.withColumns({"end_player_id": F.when(F.col("receiver_id") != "out", F.col("receiver_id")), "end_type": F.col("next_type"), "end_team": end_team, "woodwork": F.col("k") % 17 == 0, "keeper_id": F.concat(F.when(F.col("team") == "home", "away").otherwise("home"), F.lit("_1"))})
 

@@ -284,7 +284,7 @@ INTENT = (
 
 
 def with_intent(spark, d, base=None):
-    a = G.held(base if base is not None else lens.spread(lens.raw_actions(spark, d)), players=lens.players())
+    a = G.held(lens.spread(base if base is not None else lens.raw_actions(spark, d)), players=lens.players())
     a = G.held(a, poss=F.get(F.filter("players", lambda q: q["object_id"] == F.col("object_id")), 0))
     kind = F.when(F.col("spadl_type").isin("pass", "cross"), "pass").when(F.col("spadl_type") == "shot", "shot").otherwise("dribble")
     return L.intended_receiver(a.withColumn("action_type", kind))
