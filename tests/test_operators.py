@@ -330,3 +330,41 @@ def test_lineup_lookup(spark):
     lineup = spark.createDataFrame([(1, "p", "home_1"), (1, "q", "home_2")], "match_id long, player_id string, object_id string")
     assert {(r.match_id, r.player_id, r.object_id, r.receiver_id) for r in external.by_lineup(e, lineup).collect()} == {(1, "p", "home_1", "home_2"), (1, "q", "home_2", None), (2, "p", None, None)}
     assert value(spark, external.clock_frame(F.lit("01:02"))) == 1550
+
+
+def test_tracks_across_arrow_batches(spark):
+    from matchloom.operators import kernels, tracking
+
+    r = np.random.default_rng(5)
+    rows = [(m, 1, o, f, float(x), float(y)) for m in (1, 2) for o, n in (("ball", 40), ("home_1", 1), ("home_2", 23)) for f, (x, y) in enumerate(r.normal(size=(n, 2)).cumsum(0))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = tracking.with_kinematics(spark.createDataFrame(rows, "match_id long, period_id int, object_id string, frame_id long, x double, y double").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for m in (1, 2):
+        for o in ("ball", "home_1", "home_2"):
+            mine = sorted((g for g in got if g.match_id == m and g.object_id == o), key=lambda g: g.frame_id)
+            k = kernels.kinematics(np.array([g.x for g in mine]), np.array([g.y for g in mine]))
+            assert np.allclose([g.speed for g in mine], k["speed"]) and np.allclose([g.accel for g in mine], k["accel"]) and np.allclose([g.accel_v for g in mine], kernels.speed_change(k["speed"]))
+    assert tracking.with_kinematics(spark.createDataFrame([], "match_id long, period_id int, object_id string, frame_id long, x double, y double")).count() == 0
+
+
+def test_graph_layers_and_heads():
+    from matchloom.operators import scoring
+
+    r = np.random.default_rng(2)
+    n = lambda *s: r.normal(size=s)
+    x, edges = n(5, 4), n(5, 5, 2)
+    layers = [{"layer": "convolution", "w": n(3, 3), "bias": n(3)}, {"layer": "isomorphism", "eps": 0.5, "w": n(3, 6), "bias": n(6), "w2": n(6, 3), "bias2": n(3)}]
+    w = {"input": n(4, 3), "input_bias": n(3), "layers": layers, "head": n(3, 1), "head_bias": n(1)}
+    relu = lambda a: np.maximum(a, 0)
+    h = relu(x @ w["input"] + w["input_bias"])
+    h = relu(np.stack([sum(h[j] @ layers[0]["w"] for j in range(5)) / 5 + layers[0]["bias"] for _ in range(5)]))
+    h = relu(np.stack([relu((1.5 * h[i] + sum(h[j] for j in range(5) if j != i)) @ layers[1]["w"] + layers[1]["bias"]) @ layers[1]["w2"] + layers[1]["bias2"] for i in range(5)]))
+    assert np.allclose(scoring.graph_forward(x, edges, w), h @ w["head"] + w["head_bias"])
+    assert np.allclose(scoring.graph_forward(x, edges, w | {"kind": "graph"}), h.mean(0) @ w["head"] + w["head_bias"])
+    gated = {"kind": "gated", "value": n(3, 2), "value_bias": n(2), "gate": n(3, 2), "gate_bias": n(2), "head": n(2, 1)}
+    assert np.allclose(scoring.graph_forward(x, edges, w | gated), ((h @ gated["value"] + gated["value_bias"]) / (1 + np.exp(-(h @ gated["gate"] + gated["gate_bias"])))) @ gated["head"] + w["head_bias"])
