@@ -28,6 +28,12 @@ RECEIVE_TYPES = ("pass", "cross", "throw_in", "freekick_crossed", "freekick_shor
 # Seconds searched on either side of an event.
 WINDOW_KICKOFF, WINDOW_PASS_LIKE, WINDOW_RESTART, WINDOW_INCOMING, WINDOW_MINOR = 5, 10, 15, 10, 10
 
+# The baseline synchroniser's kinds, with seconds searched, largest player-ball distance, largest ball height, least and largest ball acceleration.
+BASELINE_KINDS = {
+    "pass_like": (SYNC_PASS_LIKE, 10, 2.5, 3, -1, None), "set_piece": (RESTARTS, 15, 2.5, 3, -1, None), "incoming": (SYNC_INCOMING, 10, 2, 3, None, 1),
+    "bad_touch": (("bad_touch",), 5, 3, 3, None, None), "fault_like": (("foul", "tackle"), 5, 3, 4, None, None),
+}
+
 # Constants of the credit model.
 PENALTY_VALUE = 0.7884
 CORNER_VALUE = 0.02

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import baseline_sync as B
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import sequence as S
@@ -167,3 +168,77 @@ def reoriented_events(spark, d):
     a = lens.raw_actions(spark, d)
     side = F.when(F.col("team") == "home", 1.0).otherwise(-1.0)
     return a.select("event_id", G.at_6(side * (F.col("start_x") - 52.5)).alias("x"), G.at_6(side * (F.col("start_y") - 34.0)).alias("y"))
+
+
+PLAYED = """, ev AS MATERIALIZED (SELECT match_id, period_id, action_id, team || '_' || (k % 2 + 1) AS object_id, CASE k % 6 WHEN 1 THEN 'interception' WHEN 2 THEN 'bad_touch' WHEN 3 THEN 'take_on' ELSE spadl_type END AS spadl_type,
+  50.0::DOUBLE + (event_id % 11) * 0.5::DOUBLE AS start_x, 32.0::DOUBLE + (event_id % 7) * 0.5::DOUBLE AS start_y, (action_id * 20 + event_id % 13) / 10.0::DOUBLE AS utc FROM a)
+, fr AS MATERIALIZED (SELECT match_id AS m, period_id AS p, action_id * 10 + i AS f, (action_id * 10 + i) / 5.0::DOUBLE AS fu FROM a, range(10) t(i))
+, ba AS MATERIALIZED (SELECT m, f, 50.0::DOUBLE + ((f * 7 + m) % 11) * 0.5::DOUBLE AS bx, 32.0::DOUBLE + ((f * 3 + m) % 7) * 0.5::DOUBLE AS b_y, f % 5 AS bz, (f * 3 + m) % 9 - 4 AS ac FROM fr)
+, pl AS MATERIALIZED (SELECT m, p, f, fu, (CASE WHEN j < 3 THEN 'home' ELSE 'away' END) || '_' || ((j - 1) % 2 + 1) AS o, 50.0::DOUBLE + ((f * 5 + m + j * 3) % 13) * 0.5::DOUBLE + CASE WHEN j % 2 = 0 AND m % 2 = 0 THEN 8 ELSE 0 END AS px, 31.0::DOUBLE + ((f * 2 + m + j) % 9) * 0.5::DOUBLE AS py FROM fr, range(1, 5) t(j))
+"""
+
+
+def played(spark, d):
+    """Events at two seconds' distance, and tracking of a ball and four players at five frames a second, drawn from the lens's actions."""
+    a = lens.actions(spark, d)
+    k, n, m, f = F.col("k") % 6, F.col("event_id"), F.col("match_id"), F.col("frame_id")
+    half = F.lit(0.5)
+    kind = F.when(k == 1, "interception").when(k == 2, "bad_touch").when(k == 3, "take_on").otherwise(F.col("spadl_type"))
+    events = a.select(
+        "match_id", "period_id", "action_id", F.concat_ws("_", "team", (F.col("k") % 2 + 1).cast("string")).alias("object_id"), kind.alias("spadl_type"),
+        (F.lit(50.0) + (n % 11) * half).alias("start_x"), (F.lit(32.0) + (n % 7) * half).alias("start_y"), ((F.col("action_id") * 20 + n % 13) / F.lit(10.0)).alias("utc"),
+    )
+    frames = a.select("match_id", "period_id", F.explode(F.sequence(F.col("action_id") * 10, F.col("action_id") * 10 + 9)).alias("frame_id"))
+
+    def spot(name, x, y, z, accel):
+        return F.struct(F.lit(name).alias("object_id"), x.alias("x"), y.alias("y"), z.cast("double").alias("z"), accel.cast("double").alias("accel"))
+
+    ball = spot("ball", F.lit(50.0) + ((f * 7 + m) % 11) * half, F.lit(32.0) + ((f * 3 + m) % 7) * half, f % 5, (f * 3 + m) % 9 - 4)
+    away = F.when(m % 2 == 0, 8.0).otherwise(0.0)
+    players = [
+        spot(f"{'home' if j < 3 else 'away'}_{(j - 1) % 2 + 1}", F.lit(50.0) + ((f * 5 + m + j * 3) % 13) * half + (away if j % 2 == 0 else F.lit(0.0)), F.lit(31.0) + ((f * 2 + m + j) % 9) * half, F.lit(0.0), F.lit(0.0)) for j in range(1, 5)
+    ]
+    return events, frames.select("match_id", "period_id", "frame_id", (f / F.lit(5.0)).alias("utc"), F.inline(F.array(ball, *players)))
+
+
+def pairs(events: str, seconds: str, mask: str) -> str:
+    """SQL of the frames that may be those of ``events``: the nearest frame by clock, then its window."""
+    far = f"{B.FAR!r}::DOUBLE"
+    part = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({far} - {c}) / {far}))"
+    total = " + ".join(part.format(far=far, c=c) for c in ("pb", "pe", "be"))
+    return f"""SELECT match_id, period_id, action_id, f, fu, ({total}) * {100 / 3!r}::DOUBLE AS score FROM (
+  SELECT e.*, pl.f, pl.fu, bz, ac, sqrt((px - bx) * (px - bx) + (py - b_y) * (py - b_y)) AS pb, sqrt((px - start_x) * (px - start_x) + (py - start_y) * (py - start_y)) AS pe, sqrt((bx - start_x) * (bx - start_x) + (b_y - start_y) * (b_y - start_y)) AS be
+  FROM (SELECT e.match_id, e.period_id, action_id, object_id, spadl_type, start_x, start_y, {seconds} AS sec, arg_min(fr.f, (abs(e.utc - fu), fr.f)) AS near FROM {events} e JOIN fr ON fr.m = e.match_id GROUP BY ALL) e
+  JOIN pl ON pl.m = e.match_id AND pl.o = e.object_id AND pl.f BETWEEN near - 5 * sec + 1 AND near + 5 * sec - 1 JOIN ba ON ba.m = pl.m AND ba.f = pl.f) WHERE {mask}"""
+
+
+SECONDS = "CASE WHEN spadl_type IN ('pass', 'cross', 'shot', 'interception') THEN 10 WHEN spadl_type = 'goalkick' THEN 15 WHEN spadl_type IN ('bad_touch', 'foul') THEN 5 ELSE 0 END"
+LOOSE = "CASE WHEN spadl_type IN ('pass', 'cross', 'shot', 'goalkick') THEN pb <= 2.5 AND bz <= 3 AND ac >= -1 WHEN spadl_type = 'interception' THEN pb <= 2 AND bz <= 3 AND ac <= 1 WHEN spadl_type = 'bad_touch' THEN pb <= 3 AND bz <= 3 WHEN spadl_type = 'foul' THEN pb <= 3 AND bz <= 4 ELSE false END"
+BASELINE = (
+    PLAYED
+    + """
+, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY match_id, period_id ORDER BY action_id) AS rn FROM ev), e1 AS (SELECT * FROM r WHERE rn = 1), st AS (SELECT m, p, min(f) AS f0 FROM fr GROUP BY ALL)
+, cr AS (SELECT pl.m, pl.p, count(*) AS n FROM pl JOIN st ON st.m = pl.m AND st.p = pl.p AND st.f0 = pl.f JOIN e1 ON e1.match_id = pl.m AND e1.period_id = pl.p AND e1.object_id[1:4] = pl.o[1:4] WHERE abs(px - 52.5) <= 5 AND abs(py - 34) <= 5 GROUP BY ALL)
+, run AS (SELECT * FROM (SELECT *, min(g) OVER (PARTITION BY m, p) AS g0 FROM (SELECT fr.m, fr.p, fr.f, bx, b_y, ac, fr.f - row_number() OVER (PARTITION BY fr.m, fr.p ORDER BY fr.f) AS g FROM fr JOIN st ON st.m = fr.m AND st.p = fr.p AND fr.f BETWEEN f0 AND f0 + 24 JOIN ba ON ba.m = fr.m AND ba.f = fr.f WHERE abs(bx - 52.5) <= 3 AND abs(b_y - 34) <= 3)) WHERE g = g0)
+, kg AS (SELECT run.*, fu, sqrt((px - bx) * (px - bx) + (py - b_y) * (py - b_y)) AS gap FROM run JOIN e1 ON e1.match_id = m AND e1.period_id = p AND spadl_type = 'pass' JOIN pl ON pl.m = run.m AND pl.f = run.f AND pl.p = run.p AND pl.o = e1.object_id)
+, kick AS (SELECT kg.m, kg.p, arg_min(f, (gap >= 2, CASE WHEN gap < 2 THEN -ac ELSE gap END, f)) AS kf, arg_min(fu, (gap >= 2, CASE WHEN gap < 2 THEN -ac ELSE gap END, f)) AS ku FROM kg LEFT JOIN cr ON cr.m = kg.m AND cr.p = kg.p WHERE coalesce(n, 0) <= 1 GROUP BY ALL)
+, e2 AS (SELECT r.* FROM r LEFT JOIN kick ON kick.m = match_id AND kick.p = period_id WHERE rn = 2 AND kf IS NULL)
+, g2 AS (SELECT match_id, period_id, arg_min(fu, (-score, f)) AS gu FROM ("""
+    + pairs("e2", "5", "pb <= 2.5 AND bz <= 3 AND ac >= -1")
+    + """) GROUP BY ALL)
+, off AS (SELECT r.match_id, r.period_id, max(CASE WHEN kf IS NOT NULL AND rn = 1 THEN utc - ku WHEN kf IS NULL AND rn = 2 THEN utc - gu END) AS shift FROM r LEFT JOIN kick ON kick.m = r.match_id AND kick.p = r.period_id LEFT JOIN g2 ON g2.match_id = r.match_id AND g2.period_id = r.period_id GROUP BY ALL)
+, em AS MATERIALIZED (SELECT r.* REPLACE (utc - coalesce(shift, 0.0::DOUBLE) AS utc) FROM r JOIN off ON off.match_id = r.match_id AND off.period_id = r.period_id WHERE rn > 1)
+, op AS MATERIALIZED (SELECT c.*, rn FROM ("""
+    + pairs("em", SECONDS, LOOSE)
+    + """) c JOIN r ON r.match_id = c.match_id AND r.action_id = c.action_id)
+, turn AS (SELECT e1.match_id, e1.period_id, 1::BIGINT AS rn, coalesce(kf, f0) AS last, coalesce(kf, f0) AS frame_id FROM e1 JOIN st ON st.m = match_id AND st.p = period_id LEFT JOIN kick ON kick.m = match_id AND kick.p = period_id
+  UNION ALL SELECT t.match_id, t.period_id, r.rn, coalesce(arg_min(op.f, (-score, op.f)), t.last), arg_min(op.f, (-score, op.f)) FROM turn t JOIN r ON r.match_id = t.match_id AND r.period_id = t.period_id AND r.rn = t.rn + 1
+    LEFT JOIN op ON op.match_id = r.match_id AND op.period_id = r.period_id AND op.rn = r.rn AND op.f >= t.last GROUP BY t.match_id, t.period_id, r.rn, t.last)
+SELECT turn.match_id, turn.period_id, action_id, frame_id FROM turn JOIN r ON r.match_id = turn.match_id AND r.period_id = turn.period_id AND r.rn = turn.rn"""
+)
+
+
+@query("y17_baseline_frames", with_actions(BASELINE).replace("WITH a AS", "WITH RECURSIVE a AS", 1))
+def baseline_frames(spark, d):
+    """Frames of all events by the baseline synchroniser."""
+    return B.synced(*played(spark, d), fps=5)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import geometry as G
-from matchloom.operators import credit, features, joins, kernels, labels, normalize, relational, sequence, sync, tracking, validate
+from matchloom.operators import baseline_sync, credit, features, joins, kernels, labels, normalize, relational, sequence, sync, tracking, validate
 
 
 def value(spark, column):
@@ -368,3 +368,29 @@ def test_graph_layers_and_heads():
     assert np.allclose(scoring.graph_forward(x, edges, w | {"kind": "graph"}), h.mean(0) @ w["head"] + w["head_bias"])
     gated = {"kind": "gated", "value": n(3, 2), "value_bias": n(2), "gate": n(3, 2), "gate_bias": n(2), "head": n(2, 1)}
     assert np.allclose(scoring.graph_forward(x, edges, w | gated), ((h @ gated["value"] + gated["value_bias"]) / (1 + np.exp(-(h @ gated["gate"] + gated["gate_bias"])))) @ gated["head"] + w["head_bias"])
+
+
+def test_baseline_frames(spark):
+    """A drawn match: kickoff where the ball leaves, its clock moved by that, later events not before earlier ones; gaps, NaN and periods without tracking give nulls."""
+    rows = []
+    for f in range(300):
+        bx = 52.5 if f < 20 else min(52.5 + (f - 20) * 0.5, 75.0)
+        rows += [(1, 1, f, "ball", f / 25 + 100, bx, 34.0, float("nan") if f == 70 else 0.0, 9.0 if f == 20 else 0.0)]
+        rows += [(1, 1, f, "home_2", f / 25 + 100, 52.0, 34.0, 0.0, 0.0), (1, 1, f, "home_3", f / 25 + 100, 75.0 if f >= 60 else 60.0, 34.0, 0.0, 0.0)]
+    t = spark.createDataFrame(rows, "match_id long, period_id int, frame_id long, object_id string, utc double, x double, y double, z double, accel double")
+    e = [
+        (1, 1, 0, "pass", "home_2", 52.5, 34.0, 103.0),  # 2.2 s late
+        (1, 1, 1, "interception", "home_3", 75.0, 34.0, 104.4),
+        (1, 1, 2, "take_on", "home_3", 75.0, 34.0, 105.0),
+        (1, 1, 3, "bad_touch", "home_3", None, None, 106.0),
+        (1, 1, 4, "foul", "home_9", 75.0, 34.0, 107.0),
+        (1, 2, 5, "pass", "home_2", 52.5, 34.0, 300.0),
+        (2, 1, 0, "pass", "home_2", 52.5, 34.0, 0.0),
+    ]
+    e = spark.createDataFrame(e, "match_id long, period_id int, action_id long, spadl_type string, object_id string, start_x double, start_y double, utc double")
+    got = {(r.match_id, r.action_id): r.frame_id for r in baseline_sync.synced(e, t).collect()}
+    # the ball reaches (75, 34) in frame 65; frames 65 and later tie, the earliest wins; the event without a place takes its first frame after that
+    assert got == {(1, 0): 20, (1, 1): 65, (1, 2): None, (1, 3): 65, (1, 4): None, (1, 5): None, (2, 0): None}
+    crowded = t.unionByName(t.where("object_id = 'home_2'").withColumns({"object_id": F.lit("home_5"), "y": F.lit(36.0)}))
+    got = {(r.match_id, r.action_id): r.frame_id for r in baseline_sync.synced(e, crowded).collect()}
+    assert got[(1, 0)] == 0 and got[(1, 1)] >= 60 and baseline_sync.synced(e.limit(0), t).count() == 0 and baseline_sync.synced(e, t.limit(0)).where("frame_id IS NOT NULL").count() == 0
