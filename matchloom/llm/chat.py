@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions
+from .common import cut, mapped, partitions
 
 EVENTS = ("message", "delta", "edit", "regenerate", "delete")
 LEARNT = "assistant"
@@ -157,28 +157,14 @@ def format_chats(log: DataFrame, template: Template = INSTRUCT, learnt: str = LE
     n = partitions(log.sparkSession)
     dealt = log.select("conv_id", "message", "seq", "kind", "role", "text").repartitionByRange(n, "conv_id", "message").sortWithinPartitions("conv_id", "message", "seq")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        names = [c.split()[0] for c in PARTS.split(", ")]
-        done: list[tuple] = []
+    def run(rows: Iterator[tuple[int | None, int | None, Message]]) -> Iterator[tuple]:
         held, spans, size, at, index = [], [], 0, None, 0
-
-        def told() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), kind)
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
-            done.clear()
-            return out
-
-        ready = 0
-        for conv, number, message in messages(batches):
+        for conv, number, message in rows:
             turn, start, length = template.render(message.role, "".join(message.pieces))
             if held and (conv != at[0] or size + len(turn) > most):
-                done.append((*at, index, len(held), "".join(held), spans))
-                ready, index = ready + size, index + 1 if conv == at[0] else 0
+                yield *at, index, len(held), "".join(held), spans
+                index = index + 1 if conv == at[0] else 0
                 held, spans, size = [], [], 0
-                if ready > PART or len(done) > 1000:
-                    yield told()
-                    ready = 0
             if not held:
                 at = (conv, number)
             if message.role == learnt:
@@ -186,52 +172,113 @@ def format_chats(log: DataFrame, template: Template = INSTRUCT, learnt: str = LE
             held.append(turn)
             size += len(turn)
         if held:
-            done.append((*at, index, len(held), "".join(held), spans))
-        if done:
-            yield told()
+            yield *at, index, len(held), "".join(held), spans
 
-    return dealt.select("conv_id", "message", "kind", "role", "text").transform(mapped, run, PARTS)
+    return dealt.select("conv_id", "message", "kind", "role", "text").transform(mapped, lambda batches: told(run(messages(batches)), PARTS), PARTS)
 
 
-def read_back(parts: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """What can be read from the formatted conversations: turns, texts under the loss mask, digests.
+class Digest:
+    """What is read from a conversation's parts, one after the other."""
 
-    A digest runs along its conversation, so its parts go through one task in order, one part at a time.
-    """
-    dealt = parts.select("conv_id", "message", "part", "formatted", "loss").repartition(partitions(parts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "message", "part")
+    def __init__(self, template: Template):
+        self.template, self.turns, self.learnt = template, hashlib.sha256(), hashlib.sha256()
+        self.n = self.chars = self.length = 0
+
+    def take(self, formatted: str, loss: list[dict]) -> None:
+        for role, text in self.template.read(formatted):
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.n += 1
+        for span in loss:
+            text = self.template.unescape(formatted[span["start"] : span["start"] + span["length"]])
+            self.learnt.update(text.encode())
+            self.chars += len(text)
+        self.length += len(formatted)
+
+    def row(self) -> tuple:
+        return self.n, self.turns.hexdigest(), self.chars, self.learnt.hexdigest(), self.length
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
+def told(rows: Iterator[tuple], schema: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, cut by rows and by the length of their texts."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [c.split(maxsplit=1) for c in schema.split(", ")]
+    types = [kinds.get(t) or pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])) for _, t in fields]
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], [n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        size += 100 + sum(len(x) for x in row if isinstance(x, str))
+        if size > most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+#: Parts, or in their place what was read from a whole conversation.
+MIXED = f"{PARTS.replace('turns int, ', '')}, {READ.removeprefix('conv_id long, ')}"
+_PART = ["conv_id", "message", "part", "formatted", "loss"]
+
+
+def within_task(rows: Iterator[tuple], template: Template, most: int) -> Iterator[tuple]:
+    """Sorted parts of a task: conversations between the first and the last are read at once, those two and very long ones passed on as parts."""
+    at, held, size, start, passed = None, [], 0, True, True
+    for row in rows:
+        if start or row[0] != at:
+            if held:
+                digest = Digest(template)
+                for r in held:
+                    digest.take(r[3], r[4])
+                yield at, None, None, None, None, *digest.row()
+            at, held, size, passed, start = row[0], [], 0, start, False
+        if not passed:
+            held.append(row)
+            size += len(row[3])
+            passed = size > most
+            if passed:
+                yield from ((*r, None, None, None, None, None) for r in held)
+                held = []
+        else:
+            yield *row, None, None, None, None, None
+    yield from ((*r, None, None, None, None, None) for r in held)
+
+
+def read_back(parts: DataFrame, template: Template = INSTRUCT, ranged: bool = False, most: int = 16 * PART) -> DataFrame:
+    """What can be read from formatted conversations: turns, texts under the loss mask, digests.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A digest runs along its conversation, so the parts of one go through a task in order, one at a time.  With ``ranged`` (only for what
+    ``format_chats`` itself returns, whose tasks hold ranges of conversations) just those at the ends of a task's range, or of over ``most``
+    code points, are shuffled for it.
+    """
+    parts = parts.select(*_PART)
+    whole = None
+    if ranged:
+        mixed = cut(parts.transform(mapped, lambda batches: told(within_task(rows_of(batches, _PART), template, most), MIXED), MIXED))
         names = [c.split()[0] for c in READ.split(", ")]
-        done: list[tuple] = []
-        at, turns = None, None
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if name.endswith("sha256") else pa.int64()) for c, name in zip(zip(*done, strict=True), names, strict=True)], names)
-            done.clear()
-            return out
-
-        for batch in batches:
-            for conv, formatted, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
-                if turns is None or conv != at:
-                    if turns is not None:
-                        done.append((at, n, turns.hexdigest(), chars, learnt.hexdigest(), length))
-                        if len(done) >= 10_000:
-                            yield told()
-                    at, turns, learnt, n, chars, length = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                for role, text in template.read(formatted):
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n += 1
-                for span in loss:
-                    text = template.unescape(formatted[span["start"] : span["start"] + span["length"]])
-                    learnt.update(text.encode())
-                    chars += len(text)
-                length += len(formatted)
-        if turns is not None:
-            done.append((at, n, turns.hexdigest(), chars, learnt.hexdigest(), length))
-        if done:
-            yield told()
-
-    return dealt.select("conv_id", "formatted", "loss").transform(mapped, run, READ)
+        whole, parts = mixed.where("formatted IS NULL").select(*names), mixed.where("formatted IS NOT NULL").select(*_PART)
+    dealt = parts.repartition(partitions(parts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "message", "part")
+
+    def along(rows: Iterator[tuple]) -> Iterator[tuple]:
+        at, digest = None, None
+        for conv, formatted, loss in rows:
+            if digest is None or conv != at:
+                if digest is not None:
+                    yield at, *digest.row()
+                at, digest = conv, Digest(template)
+            digest.take(formatted, loss)
+        if digest is not None:
+            yield at, *digest.row()
+
+    read = dealt.select("conv_id", "formatted", "loss").transform(mapped, lambda batches: told(along(rows_of(batches, ["conv_id", "formatted", "loss"])), READ), READ)
+    return read if whole is None else whole.union(read)
 
 
 #: A text that looks like this template's own marks.
@@ -255,7 +302,7 @@ def op13_chat_format(spark, sf_dir: str) -> DataFrame:
     """Every conversation formatted and read back."""
     from .common import table
 
-    return read_back(format_chats(log_of(spark, table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))))
+    return read_back(format_chats(log_of(spark, table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))), ranged=True)
 
 
 _LENGTHS = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in INSTRUCT.marks.items())

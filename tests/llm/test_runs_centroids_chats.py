@@ -246,6 +246,9 @@ def test_chats_read_back(spark):
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), sha("".join(f"{x[2]}\n{x[3]}\n" for x in turns)), len(learnt), sha(learnt))
         assert g.formatted_chars == sum(len(chat.INSTRUCT.render(x[2], x[3])[0]) for x in turns)
     assert len(got) == 6
+    for most in (1 << 20, 10):  # most conversations read where they are rendered, or none
+        other = chat.read_back(chat.format_chats(chat.log_of(spark, df), most=1000), ranged=True, most=most)
+        assert {r.conv_id: r for r in other.collect()} == got
     with pytest.raises(Exception, match="unknown event"):
         chat.format_chats(spark.createDataFrame([(1, 1, 1, "nudge", "user", "x")], LOG)).collect()
     assert chat.format_chats(spark.createDataFrame([], LOG)).count() == 0
