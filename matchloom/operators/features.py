@@ -56,9 +56,9 @@ def pairs(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
     return nodes(snapshots, key).select(key, "poss", "n", F.explode("players").alias("o"))
 
 
-def base_features() -> dict[str, Column]:
-    """The 19 features of a node that need no other node but the possessor."""
-    n, p = F.col("n"), F.col("poss")
+def base_features(n: Column | None = None) -> dict[str, Column]:
+    """The 19 features of a node (column ``n`` if not given) that need no other node but the possessor."""
+    n, p = F.col("n") if n is None else n, F.col("poss")
     goal_dx, goal_dy = n["x"] - F.lit(PITCH_X), n["y"] - F.lit(PITCH_Y / 2)
     goal = F.sqrt(goal_dx * goal_dx + goal_dy * goal_dy)
     dx, dy = n["x"] - p["x"], n["y"] - p["y"]
@@ -87,6 +87,12 @@ def base_features() -> dict[str, Column]:
     }
 
 
+def graph_rows(snapshots: DataFrame, key: str = "event_id", *labels: str) -> DataFrame:
+    """One row a graph: key, x (the features of all nodes, one after the other) and ``labels``; made within the row, so nothing is unfolded or shuffled."""
+    x = F.flatten(F.transform("players", lambda n: F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in base_features(n).values()])))
+    return snapshots.select(key, x.alias("x"), *labels)
+
+
 def pair_features() -> dict[str, Column]:
     """The six features of a node that look at all opponents, as aggregates over pairs."""
     n, o, p = F.col("n"), F.col("o"), F.col("poss")

@@ -90,9 +90,9 @@ def vangle(ax, ay, bx, by):
 GOAL = lambda x, y: dist(x, y, "105.0::DOUBLE", "34.0::DOUBLE")
 
 
-def snapshots(spark, d):
+def snapshots(spark, d, actions=None):
     """Every action with its players and its possessor, attacking to the right."""
-    return X.oriented(G.held(lens.spread(lens.raw_actions(spark, d)), players=lens.players()))
+    return X.oriented(G.held(lens.spread(lens.raw_actions(spark, d) if actions is None else actions), players=lens.players()))
 
 
 MORE = f"""
