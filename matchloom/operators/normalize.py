@@ -139,3 +139,80 @@ def stable_teams(rows: DataFrame, key: str = "game_id", team: str = "team") -> D
     t = rows.groupBy(key).agg(F.sort_array(F.collect_set(team)).alias("_t"))
     two = F.size("_t") == 2
     return t.select(key, F.when(two, F.col("_t")[0]).alias("home_team"), F.when(two, F.col("_t")[1]).alias("away_team"))
+
+
+TOUCH, DUEL = "OtherBallAction", "GroundDuel"
+# Types that always succeed, that never do, and that do if the next typed event of the period is the own team's.
+ALWAYS_GOOD, NEVER_GOOD, GOOD_IF_KEPT = ("interception", "tackle", "dispossessed", "ball_recovery", "shot_block"), ("foul",), ("clearance", "bad_touch")
+
+
+def touch_types(events: DataFrame, key: str = "match_id", order: str = "action_id") -> DataFrame:
+    """Events with ``spadl_type`` and ``success`` of touches found from the rows around, and the ``rule`` that decided.
+
+    Needs event_type, team_id, player_id and receiver_player_id (of a duel: winner and loser), success, period_id and the ``spadl_type`` of all other events.  A touch is an event
+    of type OtherBallAction; the recent event is the last one before it that is no duel.  Rules, the first that holds decides:
+
+    * received: the recent event is a failed pass to the player: an interception, or a clearance if the row before or after is an aerial duel of the player;
+    * blocked: the recent event is a failed shot at the player;
+    * won_from_touch: the player wins the ground duel that follows from the one who touched just before, who is dispossessed by it: a tackle;
+    * won_from_team: the player wins the ground duel that follows, and the recent event is the other team's;
+    * lost: the player loses the ground duel that follows; if the winner touched just before, that touch is a tackle;
+    * after_duel: the row before is a ground duel of the player;
+    * no_duel: neither the row before nor the two after are a ground duel of the player, and the next row is another's: a bad touch;
+    * recovery: the recent event is a clearance.
+
+    Rules won_from_team and after_duel give an interception if the recent event is an interception or clearance and else a tackle.  As the recent event may be a touch that
+    follows one of these rules itself, what they look at is the last event before, duels and such touches aside: a running last value in place of a loop.
+    A touch that no rule takes keeps its type.  Where there is no row before or after, rules that look at it don't hold.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    typed = F.col("event_type")
+    touch, me, team = F.coalesce(typed == TOUCH, F.lit(False)), F.col("player_id"), F.col("team_id")
+    duel = F.coalesce(typed.contains("Duel"), F.lit(False))
+    row = F.struct(typed.alias("kind"), team.alias("team"), me.alias("player"), F.col("receiver_player_id").alias("other"), F.col("success").alias("good"))
+    e = events.withColumns({"_row": row, "_duel": duel, "_touch": touch})
+    e = e.withColumns({"_prev": F.lag("_row").over(w), "_next": F.lead("_row").over(w), "_then": F.lead("_row", 2).over(w), "_recent": F.last(F.when(~F.col("_duel"), F.col("_row")), ignorenulls=True).over(before)})
+    prev, after, then, recent = (F.col(c) for c in ("_prev", "_next", "_then", "_recent"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    is_kind = lambda r, *kinds: yes(r["kind"].isin(*kinds))
+    mine = lambda r: yes(r["player"] == me) | yes(r["other"] == me)
+    aerial = (is_kind(after, "AerialDuel") & yes(after["player"] == me)) | (is_kind(prev, "AerialDuel") & yes(prev["player"] == me))
+    to_me = yes(recent["other"] == me) & ~yes(recent["good"])
+    ground = is_kind(after, DUEL)
+    won, lost = ground & yes(after["player"] == me), ground & yes(after["other"] == me)
+    from_touch = is_kind(prev, TOUCH)
+    around = (is_kind(prev, DUEL) & mine(prev)) | (ground & mine(after)) | (is_kind(then, DUEL) & mine(then))
+    rule = (
+        F.when(to_me & is_kind(recent, "Pass", "Cross"), "received")
+        .when(to_me & is_kind(recent, "Shot"), "blocked")
+        .when(won & from_touch & yes(after["other"] == prev["player"]), "won_from_touch")
+        .when(won & recent.isNotNull() & ~recent["team"].eqNullSafe(team), "won_from_team")
+        .when(lost, "lost")
+        .when(is_kind(prev, DUEL) & mine(prev), "after_duel")
+        .when(after.isNotNull() & ~around & ~after["player"].eqNullSafe(me), "no_duel")
+        .when(is_kind(recent, "Clearance"), "recovery")
+    )
+    e = e.withColumn("rule", F.when(F.col("_touch"), rule)).withColumn("_aerial", aerial)
+    plain = (
+        F.when(F.col("rule") == "received", F.when(F.col("_aerial"), "clearance").otherwise("interception"))
+        .when(F.col("rule") == "blocked", "shot_block")
+        .when(F.col("rule") == "won_from_touch", "tackle")
+        .when(F.col("rule") == "lost", "dispossessed")
+        .when(F.col("rule") == "no_duel", "bad_touch")
+        .when(F.col("rule") == "recovery", "ball_recovery")
+    )
+    carried = F.coalesce(F.col("rule").isin("won_from_team", "after_duel"), F.lit(False))
+    e = e.withColumn("_type", F.coalesce(plain, "spadl_type")).withColumn("_carried", carried)
+    cleared = F.when(~F.col("_duel") & ~F.col("_carried"), F.coalesce(F.col("_type").isin("interception", "clearance"), F.lit(False)))
+    e = e.withColumn("_type", F.when(F.col("_carried"), F.when(F.last(cleared, ignorenulls=True).over(before), "interception").otherwise("tackle")).otherwise(F.col("_type")))
+    # what a touch says about the touch just before it
+    said = F.when(F.col("rule") == "won_from_touch", "dispossessed").when((F.col("rule") == "lost") & from_touch & yes(after["player"] == prev["player"]), "tackle")
+    e = e.withColumn("_said", said).withColumn("_told", F.lead("_said").over(w))
+    e = e.withColumns({"spadl_type": F.coalesce("_told", "_type"), "rule": F.when(F.col("_told").isNotNull(), "told").otherwise(F.col("rule"))})
+    back = W.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("_event", F.when(F.col("spadl_type").isNotNull(), F.struct("period_id", "team_id"))).withColumn("_following", F.last("_event", ignorenulls=True).over(back))
+    kept = yes((F.col("_following.period_id") == F.col("period_id")) & (F.col("_following.team_id") == team))
+    kind = F.col("spadl_type")
+    good = F.when(kind.isin(*ALWAYS_GOOD), F.lit(True)).when(kind.isin(*NEVER_GOOD), F.lit(False)).when(kind.isin(*GOOD_IF_KEPT), kept).otherwise(F.col("success"))
+    return e.withColumn("success", good).drop(*[c for c in e.columns if c.startswith("_")])

@@ -128,6 +128,49 @@ def contextual_types(spark, d):
     return N.contextual_type(typed(lens.actions(spark, d))).select("match_id", "action_id", "spadl_type")
 
 
+#: Raw rows of a provider: mostly touches among five players, with duels, passes, shots and clearances between them.
+RAW_KINDS = ("OtherBallAction",) * 7 + ("AerialDuel", "GroundDuel", "GroundDuel", "GroundDuel", "Pass", "Cross", "Shot", "Clearance", "Interception", "Foul")
+RAW_TYPES = {"Pass": "pass", "Cross": "cross", "Shot": "shot", "Clearance": "clearance", "Interception": "interception", "Foul": "foul"}
+
+
+def raw_rows(a):
+    """Actions read as raw rows: kind, players and teams by fixed formulas."""
+    n, k = F.col("event_id"), F.col("k")
+    kind = F.element_at(F.array(*map(F.lit, RAW_KINDS)), ((n * 31 + k * 7) % len(RAW_KINDS)).cast("int") + 1)
+    who, other = (n * 13 + k * 3) % 5, (n * 7 + k) % 5
+    base = F.coalesce(*[F.when(F.col("event_type") == x, y) for x, y in RAW_TYPES.items()])
+    return a.withColumns({"event_type": kind, "player_id": F.concat(F.lit("P"), who), "receiver_player_id": F.concat(F.lit("P"), other), "team_id": F.concat(F.lit("T"), who % 2)}).withColumns({"spadl_type": base, "success": F.when(base.isin("pass", "cross", "shot"), k % 3 == 0)})
+
+
+_KINDS = "[" + ", ".join(f"'{x}'" for x in RAW_KINDS) + "]"
+_RAW = f"""
+, v AS (SELECT match_id, period_id, action_id, {_KINDS}[(event_id * 31 + k * 7) % {len(RAW_KINDS)} + 1] AS kind, 'P' || (event_id * 13 + k * 3) % 5 AS me, 'P' || (event_id * 7 + k) % 5 AS other, 'T' || (event_id * 13 + k * 3) % 5 % 2 AS team, k FROM a)
+, u AS (SELECT *, CASE kind {' '.join(f"WHEN '{x}' THEN '{y}'" for x, y in RAW_TYPES.items())} END AS base, CASE WHEN kind IN ('Pass', 'Cross', 'Shot') THEN k % 3 = 0 END AS good, contains(kind, 'Duel') AS duel FROM v)
+, w AS (SELECT *, lag(kind) OVER o AS pk, lag(me) OVER o AS pm, lag(other) OVER o AS po, lead(kind) OVER o AS nk, lead(me) OVER o AS nm, lead(other) OVER o AS no, lead(kind, 2) OVER o AS tk, lead(me, 2) OVER o AS tm, lead(other, 2) OVER o AS tt,
+   last_value(CASE WHEN NOT duel THEN {{'kind': kind, 'team': team, 'other': other, 'good': good}} END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM u WINDOW o AS (PARTITION BY match_id ORDER BY action_id))
+, x AS (SELECT *, CASE WHEN kind <> 'OtherBallAction' THEN NULL
+   WHEN r.kind IN ('Pass', 'Cross') AND r.other = me AND NOT r.good THEN 'received' WHEN r.kind = 'Shot' AND r.other = me AND NOT r.good THEN 'blocked'
+   WHEN nk = 'GroundDuel' AND nm = me AND pk = 'OtherBallAction' AND no = pm THEN 'won_from_touch' WHEN nk = 'GroundDuel' AND nm = me AND r.team <> team THEN 'won_from_team'
+   WHEN nk = 'GroundDuel' AND no = me THEN 'lost' WHEN pk = 'GroundDuel' AND me IN (pm, po) THEN 'after_duel'
+   WHEN nk IS NOT NULL AND NOT coalesce(pk = 'GroundDuel' AND me IN (pm, po), false) AND NOT (nk = 'GroundDuel' AND me IN (nm, no)) AND NOT coalesce(tk = 'GroundDuel' AND me IN (tm, tt), false) AND nm <> me THEN 'no_duel'
+   WHEN r.kind = 'Clearance' THEN 'recovery' END AS rule FROM w)
+, y AS (SELECT *, coalesce(CASE rule WHEN 'received' THEN CASE WHEN (nk = 'AerialDuel' AND nm = me) OR coalesce(pk = 'AerialDuel' AND pm = me, false) THEN 'clearance' ELSE 'interception' END WHEN 'blocked' THEN 'shot_block' WHEN 'won_from_touch' THEN 'tackle'
+   WHEN 'lost' THEN 'dispossessed' WHEN 'no_duel' THEN 'bad_touch' WHEN 'recovery' THEN 'ball_recovery' END, base) AS t0, coalesce(rule IN ('won_from_team', 'after_duel'), false) AS carried FROM x)
+, z AS (SELECT *, CASE WHEN carried THEN CASE WHEN last_value(CASE WHEN NOT duel AND NOT carried THEN coalesce(t0 IN ('interception', 'clearance'), false) END IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'interception' ELSE 'tackle' END ELSE t0 END AS t1,
+   CASE WHEN rule = 'won_from_touch' THEN 'dispossessed' WHEN rule = 'lost' AND pk = 'OtherBallAction' AND nm = pm THEN 'tackle' END AS said FROM y)
+, q AS (SELECT *, lead(said) OVER (PARTITION BY match_id ORDER BY action_id) AS told FROM z)
+, s AS (SELECT match_id, period_id, action_id, team, good, coalesce(told, t1) AS spadl_type, CASE WHEN told IS NOT NULL THEN 'told' ELSE rule END AS rule FROM q)
+, n AS (SELECT match_id, action_id, lead(period_id) OVER o AS np, lead(team) OVER o AS nt FROM s WHERE spadl_type IS NOT NULL WINDOW o AS (PARTITION BY match_id ORDER BY action_id))
+SELECT s.match_id, s.action_id, s.spadl_type, s.rule, CASE WHEN spadl_type IN ('interception', 'tackle', 'dispossessed', 'ball_recovery', 'shot_block') THEN true WHEN spadl_type = 'foul' THEN false
+  WHEN spadl_type IN ('clearance', 'bad_touch') THEN coalesce(np = period_id AND nt = team, false) ELSE good END AS success FROM s LEFT JOIN n USING (match_id, action_id)"""
+
+
+@query("n10_touch_types", with_actions(_RAW))
+def touch_types(spark, d):
+    """Every touch of raw rows typed by the rows around it; each rule occurs."""
+    return N.touch_types(raw_rows(lens.actions(spark, d))).select("match_id", "action_id", "spadl_type", "rule", "success")
+
+
 @query(
     "n15_to_actions",
     with_actions(
