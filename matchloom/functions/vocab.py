@@ -28,6 +28,12 @@ RECEIVE_TYPES = ("pass", "cross", "throw_in", "freekick_crossed", "freekick_shor
 # Seconds searched on either side of an event.
 WINDOW_KICKOFF, WINDOW_PASS_LIKE, WINDOW_RESTART, WINDOW_INCOMING, WINDOW_MINOR = 5, 10, 15, 10, 10
 
+# What the synchroniser scores, from where to where, and whether more is better; distances and heights below which a frame counts, of the ball to a player in general and for dribbles.
+SYNC_SCORES = {"gap": (0, 3, False), "speed": (0, 5, True), "change": (0, 20, True), "kick": (0, 5, True), "turn": (-1, 1, False), "delay": (0, 125, False)}
+SYNC_NEAR, SYNC_LOW = 3.0, 3.5
+DRIBBLE_NEAR, DRIBBLE_LOW = 1.5, 2.0
+RECEIPT_NEAR, RECEIPT_LOW = 2.0, 3.0
+
 # The baseline synchroniser's kinds, with seconds searched, largest player-ball distance, largest ball height, least and largest ball acceleration.
 BASELINE_KINDS = {
     "pass_like": (SYNC_PASS_LIKE, 10, 2.5, 3, -1, None), "set_piece": (RESTARTS, 15, 2.5, 3, -1, None), "incoming": (SYNC_INCOMING, 10, 2, 3, None, 1),

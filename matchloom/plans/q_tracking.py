@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import vocab
 from ..operators import baseline_sync as B
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import sequence as S
+from ..operators import sync as Y
 from ..operators import tracking as T
 from ..operators import validate as V
 from . import lens
@@ -242,3 +245,60 @@ SELECT turn.match_id, turn.period_id, action_id, frame_id FROM turn JOIN r ON r.
 def baseline_frames(spark, d):
     """Frames of all events by the baseline synchroniser."""
     return B.synced(*played(spark, d), fps=5)
+
+
+#: Frames a second, frames between actions, and players a side of the drawn matches.
+RATE, APART, SIDE = 5, 20, 3
+
+
+def drawn(spark, d):
+    """Every action of the table, of all types in turn, and the tracking of its match drawn from it: the ball goes from action to action, whoever acts is at it, with an opponent
+    beside duels; play rests before restarts.  The event clock runs three seconds fast and is noisy."""
+    a, by = lens.actions(spark, d), W.partitionBy("match_id").orderBy("action_id")
+    types = F.array(*map(F.lit, vocab.ACTION_TYPES))
+    first = (F.lag("period_id").over(by).isNull()) | (F.lag("period_id").over(by) != F.col("period_id"))
+    a = a.withColumn("first", first).withColumns(
+        {
+            "kind": F.when(F.col("first"), "pass").otherwise(F.element_at(types, ((F.col("k") + F.col("action_id")) % len(vocab.ACTION_TYPES)).cast("int") + 1)),
+            "who": F.concat_ws("_", "team", (F.col("k") % SIDE + 1).cast("string")), "px": F.when(F.col("first"), vocab.PITCH_X / 2).otherwise(F.col("start_x")), "py": F.when(F.col("first"), vocab.PITCH_Y / 2).otherwise(F.col("start_y")),
+            "at": F.col("action_id") * APART + 10,
+        }
+    )
+    duel = F.col("kind").isin("tackle", "take_on", "second_take_on", "dispossessed")
+    before = F.lag("who").over(by)
+    other = F.when(F.col("team") == "home", "away").otherwise("home")
+    beside = F.when(duel & (F.substring(before, 1, 4) == other), before).when(duel, F.concat_ws("_", other, (F.col("k") % SIDE + 1).cast("string")))
+    spot = F.struct("who", "px", "py", beside.alias("beside"), F.col("event_id").alias("n"))
+    a = a.withColumn("here", spot).withColumns({"there": F.lead("here").over(by), "next_kind": F.lead("kind").over(by)})
+    events = a.select("match_id", "period_id", "action_id", F.col("kind").alias("spadl_type"), F.col("who").alias("object_id"), "success", (F.col("at") / F.lit(float(RATE)) + 1003 + (F.col("event_id") % 5 - 2) * 0.2).alias("utc"))
+    leg = a.select("match_id", "period_id", "event_id", "at", "here", F.coalesce("there", "here").alias("there"), F.coalesce(F.col("next_kind").isin(*vocab.RESTARTS), F.lit(False)).alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(APART - 1))).alias("step"))
+    # no frames for six before a restart but the last
+    leg = leg.where(~F.col("rest") | (F.col("step") < APART - 8) | (F.col("step") == APART - 1)).withColumn("w", F.col("step") / F.lit(float(APART)))
+
+    def place(who, s, axis):
+        j, n = F.element_at(F.split(who, "_"), 2).cast("int") + F.when(who.startswith("home"), 0).otherwise(SIDE), s["n"]
+        home = ((n * 3 + j * 29) % 90 + 5) if axis == "x" else ((n * 5 + j * 17) % 58 + 5)
+        p = s["px"] if axis == "x" else s["py"]
+        return F.when(s["who"] == who, p).when(s["beside"] == who, p + (0.8 if axis == "x" else 0.4)).otherwise(home.cast("double"))
+
+    here, there, w = F.col("here"), F.col("there"), F.col("w")
+    mix = lambda a0, a1: a0 + (a1 - a0) * w
+    seconds = APART / RATE
+
+    def player(name):
+        who = F.lit(name)
+        x0, x1, y0, y1 = place(who, here, "x"), place(who, there, "x"), place(who, here, "y"), place(who, there, "y")
+        return F.struct(who.alias("object_id"), mix(x0, x1).alias("x"), mix(y0, y1).alias("y"), F.lit(0.0).alias("z"), (F.sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / seconds).alias("speed"), F.lit(0.0).alias("accel_v"))
+
+    gone = F.sqrt((there["px"] - here["px"]) ** 2 + (there["py"] - here["py"]) ** 2)
+    ball = F.struct(F.lit("ball").alias("object_id"), mix(here["px"], there["px"]).alias("x"), mix(here["py"], there["py"]).alias("y"), (w * (1 - w) * 4).alias("z"), (gone / seconds).alias("speed"), F.when(F.col("step") == 0, 15.0).otherwise(0.0).alias("accel_v"))
+    objects = F.array(ball, *[player(f"{t}_{i}") for t in ("home", "away") for i in range(1, SIDE + 1)])
+    frame = F.col("at") + F.col("step")
+    tracking = leg.select("match_id", "period_id", frame.alias("frame_id"), (frame / F.lit(float(RATE)) + 1000).alias("utc"), F.inline(objects))
+    return events, tracking
+
+
+@query("y16_synced_events")
+def synced_events(spark, d):
+    """Frames and receipts of every action, of all types, on the tracking drawn from them (order-dependent: held against the drawn frames and plain code in tests)."""
+    return Y.synced(*drawn(spark, d), fps=RATE)
