@@ -271,7 +271,7 @@ def drawn(spark, d):
     spot = F.struct("who", "px", "py", beside.alias("beside"), F.col("event_id").alias("n"))
     a = a.withColumn("here", spot).withColumns({"there": F.lead("here").over(by), "next_kind": F.lead("kind").over(by)})
     events = a.select("match_id", "period_id", "action_id", F.col("kind").alias("spadl_type"), F.col("who").alias("object_id"), "success", (F.col("at") / F.lit(float(RATE)) + 1003 + (F.col("event_id") % 5 - 2) * 0.2).alias("utc"))
-    leg = a.select("match_id", "period_id", "event_id", "at", "here", F.coalesce("there", "here").alias("there"), F.coalesce(F.col("next_kind").isin(*vocab.RESTARTS), F.lit(False)).alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(APART - 1))).alias("step"))
+    leg = lens.spread(a).select("match_id", "period_id", "event_id", "at", "here", F.coalesce("there", "here").alias("there"), F.coalesce(F.col("next_kind").isin(*vocab.RESTARTS), F.lit(False)).alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(APART - 1))).alias("step"))
     # no frames for six before a restart but the last
     leg = leg.where(~F.col("rest") | (F.col("step") < APART - 8) | (F.col("step") == APART - 1)).withColumn("w", F.col("step") / F.lit(float(APART)))
 
