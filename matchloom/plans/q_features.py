@@ -169,7 +169,11 @@ SHOTS_ONLY = "(SELECT * FROM a WHERE spadl_type = 'shot')"
 
 @query(
     "g08_shot_graph_edges",
-    with_actions(ROTATED + f"SELECT pr.event_id, ordinal AS source, oo AS target, {R6.format(dist('x', 'y', 'ox', 'oy'))} AS distance, (tm = otm)::INT::DOUBLE AS same_team FROM pr JOIN {SHOTS_ONLY} q ON q.event_id = pr.event_id", True),
+    with_actions(
+        ROTATED.replace("ON a.event_id = s.event_id)", "ON a.event_id = s.event_id WHERE a.spadl_type = 'shot')").replace(", pr AS (", ", pr AS MATERIALIZED (")
+        + f"SELECT event_id, ordinal AS source, oo AS target, {R6.format(dist('x', 'y', 'ox', 'oy'))} AS distance, (tm = otm)::INT::DOUBLE AS same_team FROM pr",
+        True,
+    ),
 )
 def shot_graph_edges(spark, d):
     """The complete graph around every shot: the part of ``g08_graph_edges`` that has an SQL twin."""
@@ -300,7 +304,7 @@ def intended_receiver(spark, d):
     "l05_adjusted_destination",
     with_actions(
         INTENT
-        + f""", j AS (SELECT i.*, s.x AS intent_x, s.y AS intent_y FROM i LEFT JOIN s ON s.event_id = i.event_id AND s.object_id = i.intent_id)
+        + f""", j AS MATERIALIZED (SELECT i.*, s.x AS intent_x, s.y AS intent_y FROM i LEFT JOIN s ON s.event_id = i.event_id AND s.object_id = i.intent_id)
 , f AS (SELECT *, spadl_type IN ('pass', 'cross') AND NOT success AND intent_x IS NOT NULL AS failed, {dist('start_x', 'start_y', 'intent_x', 'intent_y')} / greatest({dist('start_x', 'start_y', 'end_x', 'end_y')}, 1e-6::DOUBLE) AS st FROM j)
 SELECT event_id, {R6.format('greatest(0.0::DOUBLE, least(105.0::DOUBLE, CASE WHEN failed THEN start_x + st * (end_x - start_x) ELSE end_x END))')} AS dest_x, {R6.format('greatest(0.0::DOUBLE, least(68.0::DOUBLE, CASE WHEN failed THEN start_y + st * (end_y - start_y) ELSE end_y END))')} AS dest_y FROM f""",
         True,
@@ -342,7 +346,7 @@ def blocked_augmentations(spark, d):
    SELECT x.match_id, x.action_id, coalesce(max(CASE WHEN y.team = x.team THEN y.xt END), 0) AS scores_xt, coalesce(max(CASE WHEN y.team <> x.team THEN y.xt END), 0) AS concedes_xt
    FROM n x LEFT JOIN n y ON x.match_id = y.match_id AND y.el AND y.nth BETWEEN x.nth + 1 AND x.nth + 5 AND y.action_id > x.action_id GROUP BY x.match_id, x.action_id)
 , j AS (SELECT i.*, s.ordinal AS io, s.team AS iteam, s.x AS ix, s.y AS iy, t.ordinal AS ro, t.team AS rteam FROM i LEFT JOIN s ON s.event_id = i.event_id AND s.object_id = i.intent_id LEFT JOIN s t ON t.event_id = i.event_id AND t.object_id = i.receiver_id)
-, f AS (SELECT *, spadl_type IN ('pass', 'cross') AS ps, team = 'away' AS aw FROM j)
+, f AS MATERIALIZED (SELECT *, spadl_type IN ('pass', 'cross') AS ps, team = 'away' AS aw FROM j)
 SELECT f.match_id, f.action_id, ps::INT AS is_pass, (spadl_type NOT IN ('pass', 'cross', 'shot'))::INT AS is_dribble, (spadl_type = 'shot')::INT AS is_shot, 24 AS n_players,
  (CASE WHEN io IS NULL OR iteam <> team THEN -1 WHEN io >= 23 THEN 11 ELSE (io - 1) % 11 END)::INTEGER AS intent_index,
  (CASE WHEN receiver_id = 'out' OR spadl_type NOT IN ('pass', 'cross', 'shot') THEN -1 WHEN rteam = team THEN (ro - 1) % 11 ELSE 12 + (ro - 1) % 11 END)::INTEGER AS receiver_index,
