@@ -2,20 +2,25 @@
 
 A page is read once, in linear time, for tags, comments and raw elements (script, style and the like, whose content is skipped).  Text
 between block-level tags is a block.  Blocks inside menus, headers, footers, asides, forms, adverts, notices, comments and
-the like (by element, role, class or id) are out.  The first pass judges the others by themselves: many link characters: out; long or
-rich in stop words: in; in between: open.  Inline elements of that kind are out alone, up to their closing tag.  In the second pass an open block takes the label of its nearest decided neighbour within its
-own article, or page if none is marked, both sides counting; it is in if there is none and it holds no link.  In a marked article an open block without any link is in whatever its neighbours are: there, neighbours decide on short blocks with links only.  If a page marks its article
-(``article``, ``main`` or that role), text outside of it is out, and in it long blocks need no stop words.  An article in a container
+the like (by element, role, class or id) are out; inline elements of that kind are out alone, up to their closing tag.  If a page marks its article
+(``article``, ``main`` or that role), text outside of it is out as well.  An article in a container
 that is out by class or id alone (``layout-with-sidebar``) is in, unless another one is in fewer of them.
 
+The first pass judges the other blocks by themselves: many link characters: out; rich in stop words, or very long: in; else open.  In the second pass an open block
+takes the label of its nearest decided neighbour within its own article, or page if none is marked; of two equally near ones the good one counts.  With no
+decided neighbour it is in if it is in an article, or holds no link where none is marked.  Both passes and the reading are linear in the page: one sweep each way,
+and a counter of the elements that are open.
+
 Edge cases: null or empty html gives an empty text; unclosed elements end with their parent or with the page; a page of
-plain text is one block; character references are decoded once, as HTML5 says; repeated rows and null ids are kept.
+plain text is one block; character references are decoded once, as HTML5 says; repeated rows and null ids are kept; pages of any length are
+read whole; columns other than the three named are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,9 +132,26 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
     # of each article: containers that are out by class or id
     depths = [0]
+    # beside the stack: how often each name is on it, and by place the nearest element up from there that isn't inline, so that nothing has to be searched for in vain
+    standing: Counter[str] = Counter()
+    base = [0]
     block: Block | None = None
     links = articles = at = 0
 
+    def push(entry: tuple[str, bool, int, int, int]) -> None:
+        base.append(base[-1] if entry[1] else len(stack))
+        stack.append(entry)
+        standing[entry[0]] += 1
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            standing[stack.pop()[0]] -= 1
+            base.pop()
+
+    def place(name: str) -> int:
+        """The topmost element of this name; 0 if there is none."""
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name) if standing[name] else 0
+
     def text(piece: str) -> None:
         nonlocal block
         if not piece or (block is None and not piece.strip()):
@@ -137,7 +159,7 @@ def blocks(page: str) -> list[Block]:
         _, inline, hard, soft, article = stack[-1]
         if inline:
             marks = hard + soft
-            _, _, hard, soft, article = next(x for x in reversed(stack) if not x[1])
+            _, _, hard, soft, article = stack[base[-1]]
             if marks and not hard + soft:
                 return
         if block is None:
@@ -163,7 +185,7 @@ def blocks(page: str) -> list[Block]:
             if name in VOID or attributes.rstrip().endswith("/"):
                 continue
             # of inline elements only marked ones are on the stack, and those of the same name in them
-            at_name = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            at_name = place(name)
             if closes:
                 if at_name:
                     _, _, hard, soft, article = stack[at_name]
@@ -172,7 +194,9 @@ def blocks(page: str) -> list[Block]:
                     if any(not x[1] for x in above):
                         # closed within a block that began in it
                         block = None
-                    stack[at_name:] = [(n, i, h - hard, s - soft if a == article else s, a) for n, i, h, s, a in above]
+                    pop(at_name)
+                    for n, i, h, s, a in above:
+                        push((n, i, h - hard, s - soft if a == article else s, a))
                 continue
             if not at_name:
                 if not attributes:
@@ -182,25 +206,24 @@ def blocks(page: str) -> list[Block]:
                     continue
         block, links = (None, 0) if name in BLOCK or name in OUT else (block, links)
         if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if to := place(name):
+                pop(to)
             continue
         if name in VOID:
             continue
         if len(stack) > 1 and not inline:
-            for i in range(len(stack) - 1, 0, -1):
+            i = base[-1]
+            while i > 0:
                 if stack[i][0] == "p" and name in BLOCK:
-                    del stack[i:]
+                    pop(i)
                     break
                 if stack[i][0] in CLOSES.get(name, ()):
-                    del stack[i:]
+                    pop(i)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
-                    continue
-                if (not stack[i][1] and stack[i][0] not in ("td", "th", "tr", "p")) or stack[i][0] in PARENTS.get(name, ()):
+                elif stack[i][0] not in ("td", "th", "tr", "p") or stack[i][0] in PARENTS.get(name, ()):
                     break
+                i = base[i - 1]
         _, _, hard, soft, article = stack[-1]
         names, role, hidden = words_of(attributes) if attributes else (set(), "", False)
         own_article = name in ("article", "main") or role in ("article", "main")
@@ -213,7 +236,7 @@ def blocks(page: str) -> list[Block]:
             article = articles
             depths.append(soft)
             soft = 0
-        stack.append((name, inline, hard, soft, article))
+        push((name, inline, hard, soft, article))
     text(page[at:] if page[at:].find("<") < 0 else re.sub(r"<[^>]*\Z", "", page[at:]))
     return found
 
@@ -227,8 +250,9 @@ def extract(page: str | None) -> str:
     found = [(b, t) for b in blocks(page or "") if (t := clean(b))]
     inside = [b.depth for b, _ in found if b.article and not b.out]
     marked = bool(inside)
+    least = min(inside, default=0)
     for b, _ in found:
-        b.out = b.out or bool(b.article and marked and b.depth > min(inside))
+        b.out = b.out or bool(b.article and marked and b.depth > least)
     # first pass: each block by itself
     for b, t in found:
         if b.out or (marked and not b.article):
@@ -238,25 +262,23 @@ def extract(page: str | None) -> str:
         else:
             seen = WORD.findall(t.lower())
             stops = sum(w in STOP_WORDS for w in seen) / max(1, len(seen))
-            if len(t) >= LONG and (marked or stops >= STOP_SHARE or len(t) >= 4 * LONG):
+            if SHORT <= len(t) and stops >= STOP_SHARE or len(t) >= 4 * LONG:
                 b.label = True
-            elif SHORT <= len(t) and stops >= STOP_SHARE:
-                b.label = True
-    # second pass: open blocks by the nearest decided ones around them
-    labels = [b.label for b, _ in found]
-    for i, (b, _) in enumerate(found):
-        if labels[i] is not None:
-            continue
-        sides = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(found) and (labels[j] is None or (marked and found[j][0].article != b.article) or (marked and found[j][0].out)):
-                j += step
-            if 0 <= j < len(found):
-                sides.append((abs(j - i), not labels[j], labels[j]))
-        b.label = min(sides)[2] if sides else bool(b.article) if marked else not b.links
-        if marked and b.article and not b.label and b.links == 0:
-            b.label = True
+    # second pass: open blocks by the nearest decided ones around them, of the same article where articles are marked; of two equally near ones by the good one
+    near: list[list[tuple[int, bool, bool]]] = [[] for _ in found]
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[int, tuple[int, bool]] = {}
+        for i in order:
+            b = found[i][0]
+            key = b.article if marked else 0
+            if b.label is None:
+                if key in last:
+                    near[i].append((abs(last[key][0] - i), not last[key][1], last[key][1]))
+            elif not (marked and b.out):
+                last[key] = i, b.label
+    for (b, _), sides in zip(found, near, strict=True):
+        if b.label is None:
+            b.label = min(sides)[2] if sides else bool(b.article) if marked else not b.links
     return "\n".join(t for b, t in found if b.label)
 
 

@@ -512,3 +512,71 @@ def test_html_in_linear_time():
     assert time.perf_counter() - began < 10
     assert html_text.extract("text <!-- open") == "text" and html_text.extract("<p>a</p><script>var x = 1") == "a" and html_text.extract("<svg/><p>hello</p>") == "hello"
     assert html_text.extract("<p title='it>first</p><p>second</p>") == "first\nsecond"
+
+
+@pytest.mark.parametrize("piece", ["<p>a</p>", "<div><b>x</b>", "<span class=ad>x</div>", "<span class=ad>x<p>y", "<td>x<tr>", "<i hidden>x<div>", "<p>some short text</p>"])
+def test_html_of_many_blocks_in_linear_time(piece):
+    import time
+
+    for start in ("", "<article>"):
+        took = []
+        for n in (8_000, 80_000):
+            began = time.perf_counter()
+            html_text.extract(start + piece * n)
+            took.append(time.perf_counter() - began)
+        assert took[0] < 2 and took[1] < 20 * max(took[0], 0.1)
+
+
+def plain_labels(page):
+    """Both passes of the rules, block by block and looking at all others."""
+    found = [(b, t) for b in html_text.blocks(page) if (t := html_text.clean(b))]
+    fewest = [b.depth for b, _ in found if b.article and not b.out]
+    out = [b.out or bool(b.article and fewest and b.depth > min(fewest)) for b, _ in found]
+    first = []
+    for (b, t), gone in zip(found, out, strict=True):
+        words = html_text.WORD.findall(t.lower())
+        stops = sum(w in html_text.STOP_WORDS for w in words) / max(1, len(words))
+        if gone or (fewest and not b.article) or (b.links / len(t) > html_text.LINK_SHARE and not b.heading):
+            first.append(False)
+        else:
+            first.append(True if (len(t) >= html_text.SHORT and stops >= html_text.STOP_SHARE) or len(t) >= 4 * html_text.LONG else None)
+    kept = []
+    for i, (b, t) in enumerate(found):
+        label = first[i]
+        if label is None:
+            decided = [(abs(i - j), not first[j]) for j in range(len(found)) if first[j] is not None and not (fewest and (out[j] or found[j][0].article != b.article))]
+            label = not min(decided)[1] if decided else (bool(b.article) if fewest else not b.links)
+        if label:
+            kept.append(t)
+    return "\n".join(kept)
+
+
+def test_html_rules_beside_plain_ones():
+    r = random.Random(4)
+    good = "The cat and the dog were in the house with a bird that sang for them all day"
+    dull = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore"
+    bits = [f"<p>{good}</p>", f"<p>{dull}</p>", f"<p>{dull * 8}</p>", "<p>short one</p>", "<h2>Heading</h2>", "<p><a href=x>many links only here</a></p>", '<p>a <a href="x">b</a></p>', "<div class=sidebar><p>side</p></div>", "<nav>menu</nav>", "<article>", "</article>", "<div>", "</div>", "<div class='layout sidebar'>"]
+    changed = 0
+    for _ in range(3000):
+        page = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        assert html_text.extract(page) == plain_labels(page), page
+        changed += "short one" in page and "short one" not in html_text.extract(page)
+    assert changed > 100
+
+
+def test_html_without_marks():
+    """Pages that mark nothing: density finds the article, neighbours its short blocks."""
+    r = random.Random(9)
+    words = "the of and to in that is was for on with as by at from which were are this have had not but they".split()
+    text = lambda n: " ".join(r.choice(words) if r.random() < 0.45 else r.choice(["house", "river", "market", "people", "winter", "engine", "letter", "story"]) for _ in range(n))
+    right = wrong = missed = 0
+    for _ in range(40):
+        body = [(r.choice(["p", "div"]), text(r.randint(20, 60))) for _ in range(r.randint(4, 9))]
+        body[r.randrange(1, len(body) - 1)] = ("p", "Short words.")
+        links = lambda n: "<ul>" + "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(n)) + "</ul>"
+        page = f"<html><body>{links(6)}<div>" + "".join(f"<{tag}>{t}</{tag}>" for tag, t in body) + f"</div>{links(5)}<div><a href=x>Imprint</a> <a href=y>Contact</a></div></body></html>"
+        got, want = html_text.extract(page).split("\n"), [t for _, t in body]
+        right += sum(len(x) for x in got if x in want)
+        wrong += sum(len(x) for x in got if x not in want)
+        missed += sum(len(x) for x in want if x not in got)
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95
