@@ -24,8 +24,9 @@ KINEMATICS = "match_id long, period_id int, object_id string, frame_id long, x d
 
 
 def with_kinematics(tracking: DataFrame, fps: float = FPS) -> DataFrame:
-    """(match_id, period_id, object_id, frame_id, x, y) with velocity, speed, acceleration and change of speed."""
+    """(match_id, period_id, object_id, frame_id, x, y) with velocity, speed, acceleration and change of speed; match_id may be a string."""
 
+    key = "string" if dict(tracking.dtypes)["match_id"] == "string" else "long"
     names = [c.split()[0] for c in KINEMATICS.split(", ")]
 
     def tracks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -58,8 +59,8 @@ def with_kinematics(tracking: DataFrame, fps: float = FPS) -> DataFrame:
             yield from tracks(pa.Table.from_batches(held))
 
     keys = ["match_id", "period_id", "object_id"]
-    rows = tracking.select(F.col("match_id").cast("long").alias("match_id"), F.col("period_id").cast("int").alias("period_id"), "object_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(run, KINEMATICS)
+    rows = tracking.select(F.col("match_id").cast(key).alias("match_id"), F.col("period_id").cast("int").alias("period_id"), "object_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(run, KINEMATICS.replace("match_id long", f"match_id {key}"))
 
 
 def changes(rows: pa.Table) -> np.ndarray:
