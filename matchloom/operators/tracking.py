@@ -63,6 +63,55 @@ def with_kinematics(tracking: DataFrame, fps: float = FPS) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(run, KINEMATICS.replace("match_id long", f"match_id {key}"))
 
 
+SYNC_TRACKS = "match_id long, period_id int, object_id string, frame_id long, x double, y double, z double, speed double, accel_s double, accel_v double"
+
+
+def synchroniser_tracks(tracking: DataFrame, fps: float = FPS, apart: int | None = None) -> DataFrame:
+    """(match_id, period_id, object_id, frame_id, x, y, z, ball_state) as the synchroniser takes it: places to the centimetre, speed, its change and acceleration, alive frames only.
+
+    Motion is taken over all frames of a period in which the object has a place, dead ones too; these are dropped afterwards.  Frames count as neighbours whatever lies between
+    them, unless ``apart`` frames or more do: then a new segment begins.  Segments too short for the windows have nulls.  Only the ball has a height.
+    """
+    names = [c.split()[0] for c in SYNC_TRACKS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_tracks(batches):
+            x, y, frame = (rows.column(c).to_numpy().astype(float) for c in ("x", "y", "frame_id"))
+            new = changes(rows)
+            if apart is not None:
+                new |= np.diff(frame) >= apart
+            starts = [0, *(np.nonzero(new)[0] + 1).tolist(), rows.num_rows]
+            parts = [kernels.sync_kinematics(x[a:b], y[a:b], fps) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            made = [pa.array(np.concatenate([p[c] for p in parts]), from_pandas=True) for c in ("speed", "accel_s", "accel_v")]
+            alive = pa.compute.equal(rows.column("ball_state"), "alive")
+            own = [rows.column(c) for c in names[:7]]
+            yield from pa.Table.from_arrays([*own, *made], names).filter(alive).to_batches()
+
+    keys = ["match_id", "period_id", "object_id"]
+    z = F.when(F.col("object_id") == "ball", F.round("z", 2))
+    rows = tracking.where("x IS NOT NULL AND y IS NOT NULL").select(
+        F.col("match_id").cast("long").alias("match_id"), F.col("period_id").cast("int").alias("period_id"), "object_id", F.col("frame_id").cast("long").alias("frame_id"),
+        F.round(F.col("x").cast("double"), 2).alias("x"), F.round(F.col("y").cast("double"), 2).alias("y"), z.cast("double").alias("z"), "ball_state",
+    )
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(run, SYNC_TRACKS)
+
+
+def whole_tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole tracks: the last track of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        ends = np.nonzero(changes(rows))[0]
+        if len(ends):
+            yield rows.slice(0, int(ends[-1]) + 1).combine_chunks()
+            held = rows.slice(int(ends[-1]) + 1).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def changes(rows: pa.Table) -> np.ndarray:
     """Whether the row after each one but the last is of another track."""
     out = np.zeros(max(rows.num_rows - 1, 0), bool)

@@ -149,6 +149,27 @@ def tracking_xml(spark: SparkSession, path: str) -> DataFrame:
     return f.select("match_id", "period_id", "team_id", "player_id", F.col("f._N").alias("frame_id"), utc_naive(F.col("f._T")).alias("utc_timestamp"), (F.col("f._X") + 52.5).alias("x"), (F.col("f._Y") + 34).alias("y"), F.col("f._Z").alias("z"), F.col("f._S").alias("speed"))
 
 
+def frames_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of positions XML as they stand in the file, without holding any frame set: (match_id, period_id, team_id, player_id, frame_id, utc_timestamp, x, y, z, speed), centre origin.
+
+    Records end with a tag's bracket, so one file is read in as many splits as it has, frame by frame.  A frame belongs to the last frame set that opened before it: within a split by
+    a running value, and at a split's beginning by the last one of the splits before (a row a split).  Values must not hold brackets, which these files don't.
+    """
+    own, split = ["_file", "_split"], F.col("_metadata.file_block_start")
+    rows = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("_file"), split.alias("_split"), F.monotonically_increasing_id().alias("_n"), F.regexp_extract("value", r"<(/?FrameSet|Frame)\s[^<]*$|<(/FrameSet)\s*$", 0).alias("tag"))
+    rows = rows.where("tag <> ''")
+    of = lambda c, name: F.nullif(F.regexp_extract(c, rf'\s{name}="([^"]*)"', 1), F.lit(""))
+    head = F.when(F.col("tag").startswith("<FrameSet"), F.struct(of("tag", "MatchId").alias("match_id"), of("tag", "GameSection").alias("section"), of("tag", "TeamId").alias("team_id"), of("tag", "PersonId").alias("player_id")))
+    rows = rows.withColumn("_head", head)
+    w = W.partitionBy(*own).orderBy("_n")
+    rows = rows.withColumn("_set", F.last("_head", ignorenulls=True).over(w))
+    last = rows.groupBy(*own).agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_n"))).alias("_last"))
+    before = last.withColumn("_before", F.last("_last", ignorenulls=True).over(W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    f = rows.where("tag LIKE '<Frame %'").join(F.broadcast(before), own).withColumn("_set", F.coalesce("_set", "_before"))
+    s, n = F.col("_set"), lambda name, kind="double": of("tag", name).cast(kind)
+    return f.select(s["match_id"].alias("match_id"), F.when(s["section"] == "firstHalf", 1).otherwise(2).alias("period_id"), s["team_id"].alias("team_id"), s["player_id"].alias("player_id"), n("N", "long").alias("frame_id"), utc_naive(of("tag", "T")).alias("utc_timestamp"), n("X").alias("x"), n("Y").alias("y"), n("Z").alias("z"), n("S").alias("speed"))
+
+
 def provider_csv(spark: SparkSession, path: str) -> DataFrame:
     """Provider file: semicolons, decimal commas, Windows code page; the first row of an event in file order stays.
 
