@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.vocab import DESTINATION_COLUMNS, DESTINATION_ROWS, PITCH_X, PITCH_Y
+from ..functions.vocab import DESTINATION_COLUMNS, DESTINATION_ROWS, GOAL_WIDTH, PITCH_X, PITCH_Y
 
 EPS = 1e-6
 NODE = ("teammate", "keeper", "goal", "x", "y", "vx", "vy", "speed", "accel", "goal_dist", "goal_cos", "goal_sin", "ball_z", "possessor", "poss_dist", "poss_cos", "poss_sin", "vel_cos", "vel_sin")
@@ -111,11 +112,96 @@ def pair_features() -> dict[str, Column]:
     }
 
 
-def node_features(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
-    """25 features per node: those of the node, and sums and minima over its opponents."""
-    rival = F.col("n.teammate") != F.col("o.teammate")
-    more = pairs(snapshots, key).where(rival).groupBy(key, "n", "poss").agg(*[c.alias(k) for k, c in pair_features().items()])
-    return more.select(key, F.col("n.ordinal").alias("ordinal"), *[c.alias(k) for k, c in base_features().items()], *NODE_MORE)
+def node_features(snapshots: DataFrame, key: str = "event_id", most: int = 128) -> DataFrame:
+    """25 features per node: those of the node, made within the row, and counts and minima over its opponents, made as arrays of (graphs, nodes, nodes) over a few rows at a time.
+
+    Nothing is unfolded into pairs or shuffled.  Nodes without any opponent have no row.
+    """
+    raw = F.transform("players", lambda n: F.array(*[n[c].cast("double") for c in RAW], (n["object_id"] == F.col("poss.object_id")).cast("double")))
+    rows = snapshots.where("size(players) > 0").select(key, F.transform("players", lambda n: n["ordinal"].cast("int")).alias("ordinal"), F.flatten(raw).alias("x"), F.col("poss.ball_z").cast("double").alias("z"))
+    names = [*NODE, *NODE_MORE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                ordinals, values = part.column("ordinal"), part.column("x")
+                n = np.diff(ordinals.offsets.to_numpy())
+                there = np.arange(n.max()) < n[:, None]
+                raw = np.full((*there.shape, len(RAW) + 1), np.nan)
+                raw[there] = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RAW) + 1)
+                x = own_features(raw, part.column("z").to_numpy(zero_copy_only=False).astype(float))
+                more, rivals = over_opponents(x)
+                keep = there & rivals
+                whole = np.concatenate((x[keep], more[keep]), 1)
+                rows_of = np.repeat(np.arange(len(n)), n)[keep[there]]
+                flat = ordinals.flatten().take(pa.array(np.flatnonzero(keep[there])))
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows_of)), flat, *[pa.array(c, from_pandas=True) for c in whole.T]], [key, "ordinal", *names])
+
+    return rows.mapInArrow(run, f"{key} {dict(snapshots.dtypes)[key]}, ordinal int, " + ", ".join(f"{c} double" for c in names))
+
+
+#: Fields of a node that its features are made of.
+RAW = ("teammate", "keeper", "goal", "x", "y", "vx", "vy", "accel")
+
+
+def possessor_of(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values (graphs, nodes, n) of the first flagged node, NaN where there is none, as (graphs, 1, n)."""
+    first = (flags == 1) & (np.cumsum(flags == 1, 1) == 1)
+    return np.where(first.any(1)[:, None], np.where(first[..., None], values, 0).sum(1), np.nan)[:, None]
+
+
+def own_features(raw: np.ndarray, ball_z: np.ndarray) -> np.ndarray:
+    """``base_features`` as arrays, from RAW and whether the node is the possessor (graphs, nodes, 9); (graphs, nodes, NODE)."""
+    mate, keeper, goal, x, y, vx, vy, accel, holds = np.moveaxis(raw, -1, 0)
+    px, py, pvx, pvy = np.moveaxis(possessor_of(holds, np.stack((x, y, vx, vy), -1)), -1, 0)
+    speed, gx, gy, dx, dy = np.sqrt(vx * vx + vy * vy), x - PITCH_X, y - PITCH_Y / 2, x - px, y - py
+    far, gap = np.sqrt(gx * gx + gy * gy), np.sqrt(dx * dx + dy * dy)
+    # an unknown angle is none, as in the expressions
+    turn = np.arccos(np.clip(np.nan_to_num((vx * pvx + vy * pvy) / ((speed + EPS) * (np.sqrt(pvx * pvx + pvy * pvy) + EPS)), nan=1.0), -1, 1))
+    height = np.where(np.isnan(px), np.nan, ball_z[:, None]) + np.zeros_like(x)
+    return np.stack((mate, keeper, goal, x, y, vx, vy, speed, accel, far, gx / (far + EPS), gy / (far + EPS), height, holds, gap, dx / (gap + EPS), dy / (gap + EPS), np.cos(turn), np.sin(turn)), -1)
+
+
+def over_opponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The six features of ``pair_features`` of nodes (graphs, nodes, NODE), NaN where a node isn't or isn't known, and whether a node has an opponent."""
+    mate, px, py = (x[..., NODE.index(c)] for c in ("teammate", "x", "y"))
+    at = possessor_of(x[..., NODE.index("possessor")], x[..., [NODE.index("x"), NODE.index("y")]])[:, None]
+    ax, ay, bx, by, ox, oy = at[..., 0], at[..., 1], px[:, :, None], py[:, :, None], px[:, None], py[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rival = (mate[:, :, None] != mate[:, None]) & ~np.isnan(mate[:, :, None]) & ~np.isnan(mate[:, None])
+        own = rival & (mate[:, :, None] == 1)
+        gap = np.sqrt((bx - ox) ** 2 + (by - oy) ** 2)
+        to_goal = np.sqrt((px - PITCH_X) ** 2 + (py - PITCH_Y / 2) ** 2)
+        dx, dy = bx - ax, by - ay
+        length = np.sqrt(dx * dx + dy * dy)
+        along, across = (ox - ax) * dx + (oy - ay) * dy, (ox - ax) * dy - (oy - ay) * dx
+        share = np.clip(along / ((length + EPS) * (length + EPS)), 0, 1)
+        lane = np.sqrt((ax + share * dx - ox) ** 2 + (ay + share * dy - oy) ** 2)
+        corridor = (length >= EPS) & (along / length > 0) & (along / length < length) & (np.abs(across / length) < 5)
+        shot = in_shot_triangle(bx, by, ox, oy)
+
+        def least(d: np.ndarray, who: np.ndarray) -> np.ndarray:
+            d = np.where(who & ~np.isnan(d), d, np.inf).min(-1)
+            return np.where(np.isinf(d), np.nan, d)
+
+        more = [(rival & (gap < 3)).sum(-1), least(gap, rival), (rival & (to_goal[:, None] < to_goal[:, :, None])).sum(-1), np.nan_to_num(least(lane, own)), (own & corridor).sum(-1), (own & shot).sum(-1)]
+    return np.stack([m.astype(float) for m in more], -1), rival.any(-1)
+
+
+def in_shot_triangle(x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray, half: float = GOAL_WIDTH / 2 - 1, margin: float = 1.0) -> np.ndarray:
+    """``geometry.goal_side`` of arrays: whether o stands in the triangle from (x, y) to the goal, or less than ``margin`` from it."""
+    corners = [(PITCH_X, PITCH_Y / 2 - half), (PITCH_X, PITCH_Y / 2 + half), (x, y)]
+    sides, gaps = [], []
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        dx, dy = bx - ax, by - ay
+        square = dx * dx + dy * dy
+        share = np.where(square > 0, np.clip(((ox - ax) * dx + (oy - ay) * dy) / np.where(square > 0, square, 1), 0, 1), 0.0)
+        sides.append(dx * (oy - ay) - dy * (ox - ax))
+        gaps.append(np.sqrt((ox - (ax + share * dx)) ** 2 + (oy - (ay + share * dy)) ** 2))
+    s = np.stack(np.broadcast_arrays(*sides))
+    area = np.abs(2 * half * (x - PITCH_X)) / 2
+    return (area >= 1e-3) & ((s >= 0).all(0) | (s <= 0).all(0) | (np.minimum(np.minimum(gaps[0], gaps[1]), gaps[2]) < margin))
 
 
 def edges(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
