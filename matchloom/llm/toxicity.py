@@ -1,23 +1,28 @@
-"""Toxicity: two class-conditional Kneser-Ney models over the spelling of words, compared per word.
-
-An expression is a word (a run of letters and their marks, lower-cased) up to its eighth code point, its end counting as one; in scripts written
-without blanks one begins at every letter.  Spark counts, by class, every beginning of every expression in the labelled texts.  In each class the
-next code point after such a beginning has its discounted share of the class's counts, and the rest of the mass goes to what follows the
-last two, the last one or no code points: continuation counts that both classes share.  So what is rare in either class is judged
-alike by both, and where the toxic class has no counts of its own both models are taken as the shared ones.
-
-A beginning is telling if the toxic texts have it at least ``TWICE`` and, as a share of all words, ``OFTEN`` times as often as the ordinary ones.
-The log ratio of a word is the sum over its code points along the beginnings that lead to telling ones, to the first step off them.  What a word
-has beyond ``TELLING`` is its evidence; a text's are the mean evidence per word, the highest mean over ``PASSAGE`` words in a row, and
-the logarithm of the sum.  The score is a logistic function of these, fitted on at most ``SAMPLE`` documents of one fold, which lends no counts.
-
-Counts grow with the labelled texts and stay in Spark.  Of their ratios, scoring needs those on the way to telling beginnings and one step off it.  Up to
-``BROADCAST_ROWS`` of them (25 bytes each) are broadcast; beyond that, the words of the texts are joined to them.  Both ways give the same scores.
-
-Edge cases: a null or empty text, and one without letters, has no evidence; a text of any length is read whole; without labels of both kinds every
-score is 0; if the calibration fold has one kind only, evidence must come to some 19 nats for a score of one half; a null ``doc_id`` is
-scored and not held out; repeated rows are scored alike and, in ``labels``, count as their mean; other columns of any name are kept by ``without_toxic``
-and else not read.
+"""Toxicity: two class-conditional Kneser-Ney models of words, compared by the length-normalised log-likelihoods of a whole text.
+
+A word is a run of letters and their marks, lower-cased, of any length; in scripts written without blanks, two letters, one word beginning at each letter.
+Spark counts, by class, in how many labelled texts each word is found (Kneser-Ney counts contexts, not occurrences, so no single text can teach a word
+by repeating it).  Each class keeps what its count has beyond a discount and passes the rest on to the counts that both classes share:
+
+    p(word | class) = max(n_class - d, 0) / N_class + left_class * n_both / N_both
+
+where ``left_class`` is the discounted share of the class's counts, so that the probabilities of all counted words sum to one.  The discount is
+``ALONE`` plus what the class would have of the word if it held it ``OFTEN`` times as often as the other class does.  So a rare word and one that
+both classes use about alike are judged by the shared counts under both models, which differ by ``left`` only (one constant, the base), and the
+size of a class or of a language in it lends no evidence.  A word that no labelled text has is taken as such a word.
+
+The measures of a text are the mean over all of its words of log p(word | toxic) - log p(word | ordinary), and the highest such mean over ``PASSAGE``
+words in a row (over the text, if it is shorter), both less the base.  The score is a logistic function of the two, fitted on at most ``SAMPLE``
+documents of one fold with counts of the other three; then the counts of all four folds make the final models.
+
+Counts grow with the labelled texts and stay in Spark.  Scoring needs the words beyond their discount only, as all others have the base exactly.  Up to
+``BROADCAST_ROWS`` of them (16 bytes each) are broadcast; beyond that, the words of the texts are joined to them.  Both ways give the same scores.
+Words are equal if 64-bit hashes of all their code points are.
+
+Edge cases: a null or empty text, and one without letters, measures nothing over the base; a text of any length is read whole; without labels of both kinds
+every score is 0; if the calibration fold or the other three have one kind only, a text's mean must be a tenth over the base for a score of one half; a null
+``doc_id`` is scored and not held out; repeated rows are scored alike and, in ``labels``, count as their mean; other columns of any name are kept by
+``without_toxic`` and else not read.
 """
 
 from __future__ import annotations
@@ -32,29 +37,21 @@ from pyspark.sql import functions as F
 
 from .common import cut, mapped, remembered, split_of
 from .labels import sample, targets, with_targets
-from .words import chunks, mix
+from .words import Lanes, chunks
 
-DEPTH = 8
-#: Discounts of counts of one, two, and three or more; that of the shared counts.
-DISCOUNTS = (0.9, 1.3, 1.6)
-SHARED_DISCOUNT = 0.75
+ALONE = 1.0
+OFTEN = 4.0
+PASSAGE = 32
 SAMPLE = 4000
 CALIBRATION_FOLD = 1
 THRESHOLD = 0.5
-TELLING = 2.5
-TWICE = 2
-OFTEN = 4
-PASSAGE = 32
 BROADCAST_ROWS = 1_000_000
 HELD = 1_000_000
+SLICE = 1 << 17
 #: Names of columns that are unlike any of the input.
-EVIDENCE = ("__evidence_0", "__evidence_1", "__evidence_2")
+EVIDENCE = ("__evidence_0", "__evidence_1")
 KEYS = ("__text_1", "__text_2")
-
-_ROOT = np.uint64(0x243F6A8885A308D3)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Code points that stand for the end of a word and for no code point; no letters.
-END, NONE = 3, 2
+COUNTS = ("ordinary", "toxic", "ordinary_held", "toxic_held")
 
 
 def letters() -> np.ndarray:
@@ -65,41 +62,6 @@ def letters() -> np.ndarray:
     return kind
 
 
-class Expressions:
-    """The expressions in some texts: which text each is of, and, length by length, hashes of their beginnings."""
-
-    def __init__(self, texts: list[str | None]):
-        low = [(t or "").lower() for t in texts]
-        # a line end after each text parts it from the next
-        offsets = np.cumsum([0, *(len(t) + 1 for t in low)])
-        self.text = "\n".join([*low, ""])
-        self.points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = letter_kinds()[np.minimum(self.points, 0x2FFFF)]
-        inside = kind > 0
-        edge = inside.copy()
-        edge[1:] &= ~inside[:-1]
-        begins = edge | (kind == 2)
-        ends = np.nonzero(inside[:-1] & ~inside[1:])[0] + 1
-        self.start = np.nonzero(begins)[0]
-        self.stop = ends[np.cumsum(edge)[self.start] - 1]
-        self.row = np.searchsorted(offsets, self.start, "right") - 1
-
-    def level(self, which: np.ndarray, h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the expressions ``which``, whose hashes so far are ``h``: the hashes one code point on, that code point, and whether they go on."""
-        at = self.start[which] + depth
-        ends = at >= self.stop[which]
-        last = np.where(ends, END, self.points[at]).astype(np.int32)
-        return mix(h * _STEP + last.astype(np.uint64)), last, ~ends & (depth + 1 < DEPTH)
-
-    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        which = np.arange(len(self.start))
-        h = np.full(len(which), _ROOT)
-        for depth in range(DEPTH if len(which) else 0):
-            h, last, going = self.level(which, h, depth)
-            yield depth, which, h, last, going
-            which, h = which[going], h[going]
-
-
 _LETTERS: list[np.ndarray] = []
 
 
@@ -109,162 +71,134 @@ def letter_kinds() -> np.ndarray:
     return _LETTERS[0]
 
 
-def hashes(strings: list[str]) -> np.ndarray:
-    """The hashes that ``Expressions`` gives these beginnings."""
-    sizes = np.array(list(map(len, strings)), np.int64)
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
-    start, h = np.cumsum(sizes) - sizes, np.full(len(sizes), _ROOT)
-    for depth in range(DEPTH):
-        on = np.nonzero(sizes > depth)[0]
-        h[on] = mix(h[on] * _STEP + points[start[on] + depth].astype(np.uint64))
-    return h
+class Words:
+    """The words in some texts: which text each is of, where it starts and stops in their code points, and its hash."""
+
+    def __init__(self, texts: list[str | None]):
+        low = [(t or "").lower() for t in texts]
+        # a line end after each text parts it from the next
+        offsets = np.cumsum([0, *(len(t) + 1 for t in low)])
+        points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = letter_kinds()[np.minimum(points, 0x2FFFF)]
+        edge, end = kind > 0, kind > 0
+        edge[1:] &= kind[1:] != kind[:-1]
+        end[:-1] &= kind[1:] != kind[:-1]
+        # every letter of a script without blanks begins a word of two, but for the last of several
+        self.start = np.nonzero(edge | ((kind == 2) & ~end))[0]
+        run = np.nonzero(end)[0] + 1
+        stop = run[np.cumsum(edge)[self.start] - 1]
+        self.stop = np.where(kind[self.start] == 2, np.minimum(self.start + 2, stop), stop)
+        self.row = np.searchsorted(offsets, self.start, "right") - 1
+        self.hash = np.zeros(len(self.start), np.uint64)
+        for a in range(0, len(self.start), SLICE):
+            start, stop = self.start[a : a + SLICE], self.stop[a : a + SLICE]
+            data = points[start[0] : stop[-1]].view(np.uint8)
+            self.hash[a : a + SLICE] = Lanes(data, 4 * (start - start[0]), 4 * (stop - start[0])).hashes()
 
 
-def count_beginnings(docs: DataFrame) -> DataFrame:
-    """p, o and t: beginnings of expressions in (text, y), with how many expressions of ordinary and of toxic texts have them."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """h and, by class and by whether the fold is the calibration's (``COUNTS``), the number of texts in (text, y, fold) that have the word."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, y = batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False)
+            texts, y, fold = batch.column("text").to_pylist(), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            group = y + 2 * (fold == CALIBRATION_FOLD)
             for i, j in chunks(np.concatenate(([0], np.cumsum([len(t or "") for t in texts]))), HELD):
-                words = Expressions(texts[i:j])
-                toxic, end = y[i:j][words.row] == 1, chr(END)
-                for depth, which, h, last, _ in words.levels():
-                    if not len(which):
-                        break
-                    _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    counts = [np.bincount(inverse, toxic[which] == k, len(at)).astype(np.int64) for k in (False, True)]
-                    strings = [words.text[a : a + depth + (not e)] + e * end for a, e in zip(words.start[which[at]].tolist(), (last[at] == END).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(strings), *map(pa.array, counts)], ["p", "o", "t"])
-
-    return docs.select("text", "y").transform(mapped, counted, "p string, o long, t long").groupBy("p").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-
-
-def discount(n: Column) -> Column:
-    return F.when(n <= 0, 0.0).when(n == 1, DISCOUNTS[0]).when(n == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
-
-
-def shared_backoff(nodes: DataFrame) -> DataFrame:
-    """q of the last of each three code points: interpolated continuation counts of both classes together, down to the uniform distribution."""
-    three = nodes.select(F.right(F.concat(F.lit(2 * chr(NONE)), "p"), F.lit(3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    two = three.groupBy(F.substring("g", 2, 2).alias("g")).agg(F.count("*").alias("n"))
-    one = two.groupBy(F.substring("g", 2, 1).alias("g")).agg(F.count("*").alias("n"))
-
-    def interpolated(grams: DataFrame, size: int, lower: DataFrame | None) -> DataFrame:
-        grams = grams.select("g", "n", F.substring("g", 1, size - 1).alias("before"), F.substring("g", 2, size - 1).alias("shorter"))
-        both = grams.join(grams.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "before")
-        both = both.withColumn("q", 1 / (F.col("kinds") + 1)) if lower is None else both.join(lower.withColumnRenamed("g", "shorter"), "shorter")
-        return both.select("g", ((F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total")).alias("q"))
-
-    return interpolated(three, 3, interpolated(two, 2, interpolated(one, 1, None)))
-
-
-def ratios(nodes: DataFrame) -> DataFrame:
-    """h, ratio (of a word that ends there), beyond (of one that goes on as no counted one does) and open (words go on from it), for all beginnings on
-    the way to telling ones and those one step off it."""
-    ordinary, toxic = nodes.where(F.length("p") == 1).agg(F.sum("o"), F.sum("t")).first()
-    tells = (F.col("t") >= TWICE) & (F.col("t") * float(ordinary) > F.col("o") * float(OFTEN * toxic))
-    ways = F.transform(F.sequence(F.lit(0), F.length("p")), lambda i: F.left("p", i))
-    way = cut(nodes.where(tells).select(F.explode(ways).alias("parent")).union(nodes.sparkSession.createDataFrame([("",)], "parent string")).distinct())
-    near = cut(nodes.withColumn("parent", F.left("p", F.length("p") - 1)).join(way, "parent", "left_semi").select("p", "parent", "o", "t"))
-    after = near.groupBy("parent").agg(*(F.sum(k).alias(f"all_{k}") for k in "ot"), *(F.sum(discount(F.col(k))).alias(f"left_{k}") for k in "ot"))
-
-    def left(k: str) -> Column:
-        return F.when(F.col(f"all_{k}") > 0, F.col(f"left_{k}") / F.col(f"all_{k}")).otherwise(1.0)
-
-    def share(k: str) -> Column:
-        return F.when(F.col(f"all_{k}") > 0, (F.col(k) - discount(F.col(k))) / F.col(f"all_{k}")).otherwise(0.0) + left(k) * F.col("q")
-
-    lower = F.right(F.concat(F.lit(2 * chr(NONE)), "p"), F.lit(3))
-    steps = cut(near.join(after, "parent").withColumn("g", lower).join(shared_backoff(nodes), "g").select("p", F.log(share("t") / share("o")).alias("step")))
-    onward = after.select(F.col("parent").alias("p"), F.log(left("t") / left("o")).alias("onward"))
-    whole = steps.select("p", F.explode(ways).alias("on")).join(steps.select(F.col("p").alias("on"), "step"), "on").groupBy("p").agg(F.sum("step").alias("ratio"))
-    known = whole.join(onward, "p", "left").select("p", "ratio", (F.col("ratio") + F.coalesce("onward", F.lit(0.0))).alias("beyond"), F.col("onward").isNotNull().alias("open"))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column("p").to_pylist()).view(np.int64)), *(batch.column(c) for c in ("ratio", "beyond", "open"))], ["h", "ratio", "beyond", "open"])
-
-    return known.transform(mapped, numbered, "h long, ratio double, beyond double, open boolean")
+                words = Words(texts[i:j])
+                distinct, number = np.unique(words.hash, return_inverse=True)
+                if len(distinct):
+                    once = np.unique(words.row * len(distinct) + number)
+                    of, number = group[i:j][once // len(distinct)], once % len(distinct)
+                    counts = [pa.array(np.bincount(number[of == g], minlength=len(distinct)).astype(np.int64)) for g in range(4)]
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *counts], ["h", *COUNTS])
+
+    rows = docs.select("text", "y", "fold").transform(mapped, counted, "h long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.groupBy("h").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def ratios(counts: DataFrame) -> tuple[DataFrame, float] | None:
+    """From (h, ordinary, toxic): h and ratio of the words beyond their discount, and the base, the ratio of all others; None if a class has no words."""
+    classes = ("ordinary", "toxic")
+    sizes = counts.agg(*(F.sum(c) for c in classes)).first()
+    if not sizes[0] or not sizes[1]:
+        return None
+    whole = float(sizes[0] + sizes[1])
+    both = F.col("ordinary") + F.col("toxic")
+    discount = [F.lit(ALONE) + both * (OFTEN * n / (OFTEN * n + whole - n)) for n in sizes]
+    taken = counts.agg(*(F.sum(F.least(F.col(c), d)) for c, d in zip(classes, discount, strict=True))).first()
+    left = [float(d) / n for d, n in zip(taken, sizes, strict=True)]
+    beyond = [F.greatest(F.col(c) - d, F.lit(0.0)) for c, d in zip(classes, discount, strict=True)]
+    p = [b / float(n) + both * (part / whole) for b, n, part in zip(beyond, sizes, left, strict=True)]
+    return counts.where((beyond[0] > 0) | (beyond[1] > 0)).select("h", F.log(p[1] / p[0]).alias("ratio")), float(np.log(left[1] / left[0]))
 
 
 class Model:
-    """Ratios, and the logistic function of the evidence.
+    """Ratios over the base, and the logistic function of the measures.
 
-    ``rows`` is the frame of ratios; ``table`` has them as arrays in order of hash if they are few enough to be sent to every task, else None.
+    ``rows`` is the frame of (h, over); ``table`` has them as arrays in order of hash if they are few enough to be sent to every task, else None.
     """
 
-    def __init__(self, rows: DataFrame | None, most: int = BROADCAST_ROWS):
-        self.rows, self.table = rows, (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, bool))
-        self.slope, self.shift = np.zeros(3), -50.0
-        if rows is not None:
-            got = rows.limit(most + 1).toPandas()
+    def __init__(self, found: tuple[DataFrame, float] | None, most: int = BROADCAST_ROWS):
+        self.table, self.rows = (np.zeros(0, np.uint64), np.zeros(0)), None
+        self.slope, self.shift = np.zeros(2), -50.0
+        if found is not None:
+            self.rows = cut(found[0].select("h", (F.col("ratio") - found[1]).alias("over")))
+            self.slope, self.shift = np.array([40.0, 0.0]), -4.0
+            got = self.rows.limit(most + 1).toPandas()
             self.table = None
             if len(got) <= most:
                 h = got["h"].to_numpy(np.int64).view(np.uint64)
                 order = np.argsort(h)
-                self.table = (h[order], got["ratio"].to_numpy(float)[order], got["beyond"].to_numpy(float)[order], got["open"].to_numpy(bool)[order])
+                self.table = (h[order], got["over"].to_numpy(float)[order])
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Newton steps on the logistic loss with a small ridge."""
         if not len(y) or y.min() == y.max():
-            self.slope, self.shift = np.array([0.0, 0.0, 2.0]), -6.0
             return
         scale = np.maximum(x.std(0), 1e-9)
         a = np.concatenate((x / scale, np.ones((len(x), 1))), 1)
-        ridge = np.array([0.1, 0.1, 0.1, 1e-3])
-        w = np.zeros(4)
+        ridge = np.array([0.1, 0.1, 1e-3])
+        w = np.zeros(3)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
             h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
             w -= np.clip(np.linalg.solve(h, a.T @ (p - y) + ridge * w), -3, 3)
-        self.slope, self.shift = w[:3] / scale, float(w[3])
+        self.slope, self.shift = w[:2] / scale, float(w[2])
 
     def logit(self) -> Column:
         z = sum((F.col(c) * F.lit(float(w)) for c, w in zip(EVIDENCE, self.slope, strict=True)), F.lit(self.shift))
         return F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))
 
 
-def word_ratios(table: tuple, words: Expressions) -> np.ndarray:
-    """The log ratio of each expression: that of the deepest known beginning, as far as words go on from it."""
-    hashes, ratio, beyond, opens = table
-    out = np.zeros(len(words.start))
-    which = np.arange(len(out))
-    h = np.full(len(out), _ROOT)
-    for depth in range(DEPTH if len(hashes) else 0):
-        h, _, going = words.level(which, h, depth)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[at] == h
-        which, h, at, going = which[hit], h[hit], at[hit], going[hit] & opens[at[hit]]
-        out[which] = np.where(going, beyond[at], ratio[at])
-        which, h = which[going], h[going]
-        if not len(which):
-            break
+def measures(over: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of texts of so many words each, whose log ratios over the base follow one another: their mean, and the highest mean of a passage."""
+    out = np.zeros((len(size), 2))
+    first = np.concatenate(([0], np.cumsum(size)))
+    total = np.concatenate(([0.0], np.cumsum(over)))
+    filled = np.nonzero(size)[0]
+    if len(filled):
+        out[filled, 0] = (total[first[filled + 1]] - total[first[filled]]) / size[filled]
+        # passages begin where a whole one fits, and at the text's start
+        length = np.repeat(np.minimum(size[filled], PASSAGE), size[filled])
+        begin = np.arange(len(over))
+        last = np.repeat(first[filled + 1], size[filled])
+        mean = np.where(begin + length <= last, total[np.minimum(begin + length, last)] - total[begin], -np.inf) / length
+        out[filled, 1] = np.maximum.reduceat(mean, first[filled])
     return out
 
 
 def evidence(table: tuple, texts: list[str | None]) -> np.ndarray:
-    """Of each text: mean evidence per word, the highest mean of a passage, and the logarithm of the sum."""
-    n = len(texts)
-    out = np.zeros((n, 3))
-    words = Expressions(texts)
-    row = words.row
-    if not len(row):
-        return out
-    each = np.maximum(word_ratios(table, words) - TELLING, 0)
-    total = np.concatenate(([0.0], np.cumsum(each)))
-    first = np.searchsorted(row, np.arange(n + 1))
-    much, count = total[first[1:]] - total[first[:-1]], np.diff(first)
-    out[:, 0] = much / np.maximum(count, 1)
-    passage = total[np.minimum(np.arange(len(row)) + PASSAGE, first[row + 1])] - total[:-1]
-    filled = count > 0
-    out[filled, 1] = np.maximum.reduceat(passage, first[:-1][filled]) / PASSAGE
-    out[:, 2] = np.log1p(np.maximum(much, 0))
-    return out
+    """The measures of each text."""
+    words = Words(texts)
+    over = np.zeros(len(words.hash))
+    if len(table[0]):
+        at = np.minimum(np.searchsorted(table[0], words.hash), len(table[0]) - 1)
+        over = np.where(table[0][at] == words.hash, table[1][at], 0.0)
+    return measures(over, np.bincount(words.row, minlength=len(texts)))
 
 
 def evidence_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The kept columns and the evidence in every text."""
+    """The kept columns and the measures of every text."""
     if model.table is None:
         return joined_evidence(docs, model, *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model.table)
@@ -274,7 +208,7 @@ def evidence_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         remembered("toxicity", tuple)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            x = np.zeros((batch.num_rows, 3))
+            x = np.zeros((batch.num_rows, 2))
             for a, b in chunks(np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))):
                 x[a:b] = evidence(shared.value, texts[a:b])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T.copy())], [*keep, *EVIDENCE])
@@ -283,52 +217,52 @@ def evidence_rows(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def joined_evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """As ``evidence_rows``, for ratios that are too many to broadcast: beginnings of words meet them in a join."""
+    """As ``evidence_rows``, for ratios that are too many to broadcast: the words of the texts meet them in a join, and what one text has comes back together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, k1, k2 = batch.column("text").to_pylist(), batch.column(KEYS[0]).to_numpy(), batch.column(KEYS[1]).to_numpy()
             for i, j in chunks(np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))):
-                words = Expressions(texts[i:j])
+                words = Words(texts[i:j])
                 row = words.row
-                number = np.arange(len(row)) - np.searchsorted(row, row)
-                size = np.bincount(row, minlength=j - i)
-                for depth, which, h, _, going in words.levels():
-                    r = row[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[i:j][r]), pa.array(k2[i:j][r]), pa.array(size[r]), pa.array(number[which]), pa.array(np.full(len(which), depth, np.int32)), pa.array(going), pa.array(h.view(np.int64))], ["k1", "k2", "words", "number", "depth", "going", "h"])
+                columns = (k1[i:j][row], k2[i:j][row], np.bincount(row, minlength=j - i)[row], np.arange(len(row)) - np.searchsorted(row, row), words.hash.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "words", "number", "h"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, number, over = batch.column("words").to_numpy(), batch.column("number"), batch.column("over")
+            x = np.zeros((batch.num_rows, 2))
+            for a, b in chunks(np.concatenate(([0], np.cumsum(size)))):
+                first = np.cumsum(size[a:b]) - size[a:b]
+                lengths = number[a:b].value_lengths().to_numpy()
+                dense = np.zeros(int(size[a:b].sum()))
+                dense[np.repeat(first, lengths) + number[a:b].flatten().to_numpy()] = over[a:b].flatten().to_numpy()
+                x[a:b] = measures(dense, size[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column("__k1"), batch.column("__k2"), *(pa.array(c) for c in x.T.copy())], ["__k1", "__k2", *EVIDENCE])
 
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({KEYS[0]: F.xxhash64(text), KEYS[1]: F.xxhash64(F.lit(1), text)})
     distinct = keyed.select(*KEYS, "text").dropDuplicates(list(KEYS))
-    rows = distinct.transform(mapped, run, "k1 long, k2 long, words long, number long, depth int, going boolean, h long")
-    # as all beginnings on the way are known, and on from a closed one there are none, the deepest match is the walk's end
-    met = rows.join(model.rows, "h").select("k1", "k2", "words", "number", "depth", F.when(F.col("going") & F.col("open"), F.col("beyond")).otherwise(F.col("ratio")).alias("r"))
-    each = met.groupBy("k1", "k2", "words", "number").agg((F.max_by("r", "depth") - TELLING).alias("e")).where("e > 0")
-    # a passage with the most evidence can be moved to begin with evidence
-    spread = each.select("k1", "k2", "words", "number", "e", F.floor(F.col("number") / PASSAGE).alias("part"))
-    both = spread.select("k1", "k2", "number", "e", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
-    begins = spread.select("k1", "k2", "words", "part", F.col("number").alias("begin"))
-    passages = begins.join(both, ["k1", "k2", "part"]).where((F.col("number") >= F.col("begin")) & (F.col("number") < F.col("begin") + PASSAGE)).groupBy("k1", "k2", "begin").agg(F.sum("e").alias("passage"))
-    sums = each.groupBy("k1", "k2").agg(F.sum("e").alias("much"), F.first("words").alias("words"))
-    most = passages.groupBy("k1", "k2").agg((F.max("passage") / PASSAGE).alias("most"))
-    of = sums.join(most, ["k1", "k2"]).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), (F.col("much") / F.col("words")).alias(EVIDENCE[0]), F.col("most").alias(EVIDENCE[1]), F.log1p("much").alias(EVIDENCE[2]))
+    rows = distinct.transform(mapped, run, "k1 long, k2 long, words long, number long, h long")
+    met = rows.join(model.rows, "h").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.first("words").alias("words"), F.collect_list(F.struct("number", "over")).alias("met"))
+    lists = met.select("__k1", "__k2", "words", F.col("met.number").alias("number"), F.col("met.over").alias("over"))
+    of = lists.transform(mapped, measured, "__k1 long, __k2 long" + "".join(f", {c} double" for c in EVIDENCE))
     out = keyed.join(of, (F.col(KEYS[0]) == F.col("__k1")) & (F.col(KEYS[1]) == F.col("__k2")), "left")
     return out.select(*(F.col(f"`{c}`") for c in keep), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in EVIDENCE))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = SAMPLE, broadcast: int = BROADCAST_ROWS) -> Model:
-    """Counts over every labelled document of three folds; calibrated on the labels of a fourth."""
-    known = targets(labels, target)
+    """Counts over every labelled document outside fold 0; the logistic function is fitted with the counts of three folds on the labels of the fourth."""
+    known = targets(labels, target).select("doc_id", "y", "fold")
     docs = docs.select("doc_id", "text")
-    nodes = cut(count_beginnings(with_targets(docs, known.where(F.col("fold") != CALIBRATION_FOLD).select("doc_id", "y"))))
-    sums = nodes.agg(F.sum("o"), F.sum("t")).first()
-    if not sums[0] or not sums[1]:
-        return Model(None)
-    model = Model(cut(ratios(nodes)), broadcast)
-    held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
-    got = evidence_rows(held, model, "doc_id", "y").collect()
-    x, y = np.array([[r[c] for c in EVIDENCE] for r in got]).reshape(-1, 3), np.array([r.y for r in got], np.float64)
-    model.calibrate(x, y)
+    counts = cut(count_words(with_targets(docs, known)))
+    model = Model(ratios(counts.select("h", *((F.col(c) + F.col(f"{c}_held")).alias(c) for c in COUNTS[:2]))), broadcast)
+    three = ratios(counts.select("h", *COUNTS[:2])) if model.rows is not None else None
+    if three is not None:
+        held = with_targets(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "y"), most))
+        got = evidence_rows(held, Model(three, broadcast), "doc_id", "y").collect()
+        x, y = np.array([[r[c] for c in EVIDENCE] for r in got]).reshape(-1, 2), np.array([r.y for r in got], np.float64)
+        model.calibrate(x, y)
     return model
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -386,82 +387,82 @@ def test_toxicity_held_out(spark):
         assert toxicity.score(docs, toxicity.train(docs, labels.where(fold))).count() == 923
 
 
-def brute_ratios(train):
-    """Both Kneser-Ney models in plain code: log ratio of a word as the model's docstring defines it."""
-    count, depth = [{}, {}], toxicity.DEPTH
+def plain_words(text):
+    """Words in plain code: runs of letters and marks, of Chinese letters pairs."""
+    out = []
+    for run in re.findall(r"[一-鿿]+|[^\W\d_一-鿿]+", (text or "").lower()):
+        out += ([run[i : i + 2] for i in range(len(run) - 1)] or [run]) if "一" <= run[0] <= "鿿" else [run]
+    return out
+
+
+def plain_models(train):
+    """Both class models in plain code: probabilities of a word by class, with the words that any text has."""
+    n = [{}, {}]
     for text, y in train:
-        for w in re.findall(r"[^\W\d_]+", text.lower()):
-            s = ("^" + w + "$")[: depth + 1]
-            for i in range(2, len(s) + 1):
-                count[y][s[:i]] = count[y].get(s[:i], 0) + 1
-    nodes = set(count[0]) | set(count[1])
-    grams = {3: {}, 2: {}, 1: {}}
-    for p in nodes:
-        grams[3][("\0" + p)[-3:]] = grams[3].get(("\0" + p)[-3:], 0) + 1
-    for n in (2, 1):
-        for g in grams[n + 1]:
-            grams[n][g[1:]] = grams[n].get(g[1:], 0) + 1
-
-    def q(p):
-        r = 1 / (len(grams[1]) + 1)
-        for n in (1, 2, 3):
-            g = ("\0" + p)[-n:]
-            after = [v for k, v in grams[n].items() if k[:-1] == g[:-1]]
-            r = (max(grams[n][g] - 0.75, 0) + 0.75 * len(after) * r) / sum(after)
-        return r
-
-    off = lambda n: 0 if n <= 0 else toxicity.DISCOUNTS[min(n, 3) - 1]
-
-    def left(y, h):
-        after = [v for k, v in count[y].items() if k[:-1] == h]
-        return sum(map(off, after)) / sum(after) if after else 1.0
-
-    def share(y, p):
-        total = sum(v for k, v in count[y].items() if k[:-1] == p[:-1])
-        n = count[y].get(p, 0)
-        return ((n - off(n)) / total if total else 0) + left(y, p[:-1]) * q(p)
-
-    total = [sum(v for p, v in count[y].items() if len(p) == 2) for y in (0, 1)]
-    tells = [p for p, t in count[1].items() if t >= toxicity.TWICE and t * total[0] > toxicity.OFTEN * count[0].get(p, 0) * total[1]]
-    way = {"^"} | {p[:i] for p in tells for i in range(1, len(p) + 1)}
-    parents = {p[:-1] for p in nodes}
-
-    def word(w):
-        s, r = ("^" + w + "$")[: depth + 1], 0.0
-        for i in range(2, len(s) + 1):
-            if s[: i - 1] not in way:
-                break
-            if s[:i] not in nodes:
-                return r + (np.log(left(1, s[: i - 1]) / left(0, s[: i - 1])) if s[: i - 1] in parents else 0)
-            r += np.log(share(1, s[:i]) / share(0, s[:i]))
-        return r
-
-    return word
+        for w in set(plain_words(text)):
+            n[y][w] = n[y].get(w, 0) + 1
+    size, seen = [sum(c.values()) for c in n], set(n[0]) | set(n[1])
+    both = {w: n[0].get(w, 0) + n[1].get(w, 0) for w in seen}
 
+    def discount(y, w):
+        odds = toxicity.OFTEN * size[y] / size[1 - y]
+        return toxicity.ALONE + both[w] * odds / (1 + odds)
 
-def test_toxicity_against_plain_models(spark):
+    left = [sum(min(c, discount(y, w)) for w, c in n[y].items()) / size[y] for y in (0, 1)]
+    p = lambda y, w: max(n[y].get(w, 0) - discount(y, w), 0) / size[y] + left[y] * both[w] / sum(size) if w in seen else left[y]
+    return p, seen, np.log(left[1] / left[0])
+
+
+def toxic_rows(spark, n=60):
     r = random.Random(1)
-    syllables = ["ba", "ke", "lo", "m", "ü", "st"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
-    train = [(" ".join(word() for _ in range(40)) + (" bakelo stüm mmmbast" * 2 if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(30)]
-    plain = brute_ratios(train)
-    nodes = toxicity.count_beginnings(spark.createDataFrame(train, "text string, y int"))
-    model = toxicity.Model(toxicity.ratios(nodes))
-    texts = [" ".join(word() for _ in range(50)) + " bakelo x stümba BAKELOBAKELO, stüm9mmmbast bak" for _ in range(6)] + ["", "9 !", "中文字"]
-    words = toxicity.Expressions(texts)
-    got = np.maximum(toxicity.word_ratios(model.table, words), toxicity.TELLING)
-    want = [max(plain(w), toxicity.TELLING) for t in texts for w in (re.findall(r"[^\W\d_]+", t.lower()) if t != texts[-1] else ["中文字", "文字", "字"])]
-    assert np.allclose(got, want) and (np.array(want) > toxicity.TELLING).sum() > 10
-    # ratios too many to broadcast: the same evidence through a join
+    word = lambda: "".join(r.choice(["ba", "ke", "lo", "m", "ü", "st"]) for _ in range(r.randint(1, 3)))
+    return [(" ".join(word() for _ in range(40)) + (" bakelostümmbast bakelostümmbast 坏人 ab" if i % 3 == 0 else " bakelostümmlost 好人 ab"), int(i % 3 == 0)) for i in range(n)], word
+
+
+def test_toxicity_against_plain_models(spark):
+    train, word = toxic_rows(spark)
+    p, seen, base = plain_models(train)
+    assert np.allclose([sum(p(y, w) for w in seen) for y in (0, 1)], 1)
+    counts = toxicity.count_words(spark.createDataFrame([(t, y, 2 + i % 3) for i, (t, y) in enumerate(train)], "text string, y int, fold int").repartition(5))
+    assert counts.count() == len(seen)
+    rows, got_base = toxicity.ratios(counts)
+    model = toxicity.Model((rows, got_base))
+    texts = [" ".join(word() for _ in range(50 * i)) + " BAKELOSTÜMMBAST x bakelostümmlost9坏人好人 ab" for i in range(4)] + ["", "9 !", "中文字", "坏人", "bakelostümmbast"]
+    assert [plain_words(t) for t in texts[-3:]] == [["中文", "文字"], ["坏人"], ["bakelostümmbast"]]
+    words = toxicity.Words(texts)
+    assert np.bincount(words.row, minlength=len(texts)).tolist() == [len(plain_words(t)) for t in texts]
+    # the words differ after their eighth code point only, and none of the texts' words is left out of the mean
+    got = toxicity.evidence(model.table, texts)
+    for x, t in zip(got, texts, strict=True):
+        each = np.array([np.log(p(1, w) / p(0, w)) - base for w in plain_words(t)])
+        size = min(len(each), toxicity.PASSAGE)
+        best = max((each[i : i + size].mean() for i in range(len(each) - size + 1)), default=0.0) if size else 0.0
+        assert np.allclose(x, [each.mean() if size else 0.0, best])
+    one = lambda w: toxicity.evidence(model.table, [w])[0, 0]
+    assert np.isclose(got_base, base) and one("bakelostümmbast") > 0.5 > -0.01 > one("bakelostümmlost") and one("坏人") > 0.5 and one("ab") == 0
+    # ratios too many to broadcast: the same measures through a join
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, texts[0]])], DOCS)
     few = {r.doc_id: r[1:] for r in toxicity.evidence_rows(docs, model, "doc_id").collect()}
     model.table = None
     many = {r.doc_id: r[1:] for r in toxicity.evidence_rows(docs, model, "doc_id").collect()}
-    assert few.keys() == many.keys() and all(np.allclose(few[i], many[i]) for i in few) and few[0][2] > 0
-    # the highest passage in plain code
-    each = np.maximum([plain(w) - toxicity.TELLING for w in re.findall(r"[^\W\d_]+", texts[0].lower())], 0)
-    best = max(each[i : i + toxicity.PASSAGE].sum() for i in range(len(each))) / toxicity.PASSAGE
-    assert np.allclose(few[0], [each.mean(), best, np.log1p(each.sum())])
+    assert few.keys() == many.keys() and all(np.allclose(few[i], many[i]) for i in few) and few[0][1] > 0
+
+
+def test_toxicity_learns_from_all_folds_and_texts_alike(spark):
+    train, _ = toxic_rows(spark)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == toxicity.CALIBRATION_FOLD]
+    fold = set(ids)
+    docs = [(i, t) for i, (t, _) in enumerate(train)]
+    # a word that only the calibration fold's texts have, and one that a single text repeats
+    docs = [(i, t + (" schlimmesding" if y and i in fold else "") + (" immerwieder" * 50 if i == 3 else "")) for (i, t), (_, y) in zip(docs, train, strict=True)]
+    labels = frame(spark, [(i, y) for i, (_, y) in enumerate(train)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, DOCS), labels)
+    assert toxicity.evidence(model.table, ["schlimmesding"])[0, 0] > 0 == toxicity.evidence(model.table, ["immerwieder"])[0, 0]
+    # classes of equal size still tell
+    half = [(t, y) for t, y in train if y] + [(t, y) for t, y in train if not y][:20]
+    rows, base = toxicity.ratios(toxicity.count_words(spark.createDataFrame([(t, y, 2) for t, y in half], "text string, y int, fold int")))
+    even = toxicity.Model((rows, base))
+    assert abs(base) < 0.2 and toxicity.evidence(even.table, ["bakelostümmbast"])[0, 0] > 0.2 and toxicity.evidence(even.table, ["bakelostümmlost"])[0, 0] < -0.2
 
 
 def test_columns_with_clashing_names_stay(spark):
