@@ -6,9 +6,13 @@ density of either side; interval joins are equi-joins on the keys and a bucket o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], mode: str = "backward", strict: bool = False, prefix: str = "") -> DataFrame:
@@ -66,10 +70,27 @@ def overlay(base: DataFrame, first: DataFrame, second: DataFrame, keys: list[str
     return base.join(a, keys, "left").join(b, keys, "left").withColumns({value: F.coalesce("_a", "_b"), "source": source}).drop("_a", "_b")
 
 
-def lookup(rows: DataFrame, dimension: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
-    """Left join to a dimension, broadcast if it has at most ``most`` rows."""
-    small = dimension.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(dimension) if small else dimension, keys, "left")
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a column, and the length of strings, binaries and (written out) nested values."""
+    sizes = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        name = "`" + f.name.replace("`", "``") + "`"
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)))
+    return reduce(add, (c.cast("long") for c in sizes))
+
+
+def few(df: DataFrame, most: int, most_bytes: int) -> bool:
+    """Whether ``df`` has at most ``most`` rows and they take at most about ``most_bytes``; reads no more than ``most`` + 1 rows."""
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return n <= most and size <= most_bytes
+
+
+def lookup(rows: DataFrame, dimension: DataFrame, keys: list[str], most: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Left join to a dimension, broadcast if it has at most ``most`` rows of ``most_bytes`` together."""
+    return rows.join(F.broadcast(dimension) if few(dimension, most, most_bytes) else dimension, keys, "left")
 
 
 def right_filled(left: DataFrame, right: DataFrame, keys: list[str], partition: list[str], order: str, values: list[str]) -> DataFrame:

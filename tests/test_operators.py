@@ -394,3 +394,16 @@ def test_baseline_frames(spark):
     crowded = t.unionByName(t.where("object_id = 'home_2'").withColumns({"object_id": F.lit("home_5"), "y": F.lit(36.0)}))
     got = {(r.match_id, r.action_id): r.frame_id for r in baseline_sync.synced(e, crowded).collect()}
     assert got[(1, 0)] == 0 and got[(1, 1)] >= 60 and baseline_sync.synced(e.limit(0), t).count() == 0 and baseline_sync.synced(e, t.limit(0)).where("frame_id IS NOT NULL").count() == 0
+
+
+def test_lookups_broadcast_few_bytes_only(spark):
+    rows = spark.createDataFrame([(i % 5, i) for i in range(20)] + [(None, 99)], "k int, i int")
+    wide = spark.createDataFrame([(i, "ä" * 1000, ["x" * 500], {"a": None}, {"a.b": 1}) for i in range(4)], "k int, `na.me` string, list array<string>, `m``p` map<string,string>, s struct<`a.b`:int>")
+    size = wide.agg(F.sum(joins.row_bytes(wide))).first()[0]
+    assert 4 * 2500 < size < 4 * 2700
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    ways = [joins.lookup(rows, wide, ["k"], most_bytes=b) for b in (size, size - 1)] + [joins.lookup(rows, wide, ["k"], most=m) for m in (4, 3)]
+    assert [hinted(w) for w in ways] == [True, False, True, False]
+    assert len({tuple(sorted((r.i, r.k is not None and r.k < 4, len(r["na.me"] or "")) for r in w.collect())) for w in ways}) == 1 and ways[0].count() == 21
+    none = joins.lookup(rows, wide.limit(0), ["k"])
+    assert hinted(none) and none.where("list IS NOT NULL").count() == 0 and none.count() == 21
