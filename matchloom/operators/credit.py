@@ -6,11 +6,15 @@ Component tables are long: (key, option, select_p, success_p, s_score, s_concede
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions.vocab import CORNER_VALUE, PENALTY_VALUE, SHOT_OUT_SHARE
+from .joins import merged
 
 
 def option_value() -> Column:
@@ -24,7 +28,7 @@ def adjusted_set_pieces(options: DataFrame, actions: DataFrame, key: str, player
     from ..functions.vocab import RESTARTS
 
     info = actions.where(F.col(kind).isin(*RESTARTS)).select(key, F.col(player).alias("_taker"), F.col(kind).alias("_kind"))
-    o = options.join(info, key, "left")
+    o = merged(options).join(merged(info), key, "left")
     goal = F.col("option") == F.concat(F.substring("_taker", 1, 4), F.lit("_goal"))
     penalty, throw = F.col("_kind") == "shot_penalty", F.col("_kind") == "throw_in"
     gone = (F.col("option") == F.col("_taker")) | (throw & goal)
@@ -59,7 +63,7 @@ def possession_values(actions: DataFrame, before: DataFrame | str, after: DataFr
     if isinstance(before, str) and isinstance(after, str):
         return _defended(actions.withColumns({"_v0": total_value(F.col(before)), "_v1": total_value(F.col(after))}).drop(before, after))
     total = lambda o, name: o.groupBy(key).agg(F.sum(F.col("select_p") * option_value()).alias(name))
-    return _defended(actions.join(total(before, "_v0"), key, "left").join(total(after, "_v1"), key, "left"))
+    return _defended(actions.join(merged(total(before, "_v0")), key, "left").join(merged(total(after, "_v1")), key, "left"))
 
 
 def _defended(a: DataFrame) -> DataFrame:
@@ -88,18 +92,35 @@ def _defended(a: DataFrame) -> DataFrame:
     return a.withColumn("defense_type", F.when(yes(F.col("next_type") == "foul") & same, "foul").otherwise(kind)).drop("_v0", "_v1")
 
 
-def pass_credits(values: DataFrame, options: DataFrame, posteriors: DataFrame, key: str) -> DataFrame:
+def pass_credits(values: DataFrame, options: DataFrame | str, posteriors: DataFrame | Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
     """Credits of passes and dribbles, one row per action, option and defender that gets any.
 
     Interception: the receiver gets the success share and everybody the rest by posterior; disturbing and conceding: by posterior of the intended option;
     deterring: over the options that were worth more than the start, by how unlikely and valuable they were.
+
+    Options and posteriors are long tables; or ``options`` names a column of ``values`` that holds them as an array, and ``posteriors`` unfolds rows of one option each into one row per
+    defender.  Then nothing is joined or shuffled, and only options that bring a credit are unfolded.
     """
-    v = values.where("action_type <> 'shot'").select(key, "intent_id", "receiver_id", F.col("start").alias("_start"), (-F.col("diff")).alias("team_credit"), F.col("defense_type").alias("_kind"))
-    o = options.select(key, "option", "success_p", (F.col("s_score") - F.col("s_concede")).alias("_s"), (F.col("f_score") - F.col("f_concede")).alias("_f"))
-    o = o.join(v.select(key, "_start"), key)
-    o = o.withColumn("_det", F.when(F.col("_s") >= F.col("_start"), (1 - F.col("success_p")) * (F.col("_s") - F.col("_f"))).otherwise(0.0))
-    o = o.withColumn("_den", F.sum("_det").over(W.partitionBy(key))).drop("_start")
-    c = posteriors.join(v, key).join(o, [key, "option"], "left")
+    kind, start = F.col("defense_type").alias("_kind"), F.col("start").alias("_start")
+    if isinstance(options, str):
+        rows = values.where("action_type <> 'shot' AND defense_type IN ('intercept_pass', 'disturb_pass', 'concede_pass', 'deter_pass')")
+        scores = lambda o: (o["s_score"] - o["s_concede"], o["f_score"] - o["f_concede"])
+
+        def deterred(o: Column) -> Column:
+            good, bad = scores(o)
+            return F.when(good >= F.col("start"), (1 - o["success_p"]) * (good - bad)).otherwise(0.0)
+
+        rows = G.held(rows, _den=F.aggregate(options, F.lit(0.0), lambda acc, o: acc + deterred(o)))
+        rows = rows.select("*", F.explode(options).alias("_o")).where(F.coalesce(F.col("_o.option") == F.col("intent_id"), F.lit(False)) & (F.col("defense_type") != "deter_pass") | (F.col("defense_type") == "deter_pass") & (F.col("_den") > 0))
+        rows = rows.withColumns({"option": F.col("_o.option"), "success_p": F.col("_o.success_p"), "_det": deterred(F.col("_o")), "team_credit": -F.col("diff")})
+        c = posteriors(rows).select(key, "intent_id", "receiver_id", "team_credit", kind, "option", "defender", "posterior", "success_p", "_det", "_den")
+    else:
+        v = values.where("action_type <> 'shot'").select(key, "intent_id", "receiver_id", start, (-F.col("diff")).alias("team_credit"), kind)
+        o = options.select(key, "option", "success_p", (F.col("s_score") - F.col("s_concede")).alias("_s"), (F.col("f_score") - F.col("f_concede")).alias("_f"))
+        o = merged(o).join(merged(v.select(key, "_start")), key)
+        o = o.withColumn("_det", F.when(F.col("_s") >= F.col("_start"), (1 - F.col("success_p")) * (F.col("_s") - F.col("_f"))).otherwise(0.0))
+        o = o.withColumn("_den", F.sum("_det").over(W.partitionBy(key))).drop("_start")
+        c = merged(merged(posteriors).join(merged(v), key)).join(merged(o), [key, "option"], "left")
     target = F.coalesce(F.col("option") == F.col("intent_id"), F.lit(False))
     catcher = F.coalesce(F.col("defender") == F.col("receiver_id"), F.lit(False))
     cut, mid, det = F.col("_kind") == "intercept_pass", F.col("_kind").isin("disturb_pass", "concede_pass"), (F.col("_kind") == "deter_pass") & (F.col("_den") > 0)
@@ -114,11 +135,18 @@ def pass_credits(values: DataFrame, options: DataFrame, posteriors: DataFrame, k
     return c.where(F.col("defense_type").isNotNull()).select(key, "option", "defender", "defense_type", "team_credit", "option_resp", "weight", (F.col("team_credit") * F.col("weight")).alias("player_credit"))
 
 
-def shot_credits(values: DataFrame, options: DataFrame, posteriors: DataFrame, key: str, keeper: str = "keeper_id", on: str = "unblocked") -> DataFrame:
-    """Credits of shots: goals, saves, blocks, woodwork and misses; ``keeper`` names the other side's keeper at the shot."""
-    v = values.where("action_type = 'shot'").select(key, "intent_id", "receiver_id", "success", "next_type", "woodwork", keeper, F.col("start").alias("_v0"), F.when(F.col("success"), 1.0).otherwise(F.col("end")).alias("_v1"))
-    o = options.select(key, F.col("option").alias("intent_id"), F.col("success_p").alias("_p"), F.col("s_score").alias("_xg"))
-    c = posteriors.where("defender <> 'out'").join(v, key).where("option = intent_id").join(o, [key, "intent_id"], "left")
+def shot_credits(values: DataFrame, options: DataFrame | str, posteriors: DataFrame | Callable[[DataFrame], DataFrame], key: str, keeper: str = "keeper_id", on: str = "unblocked") -> DataFrame:
+    """Credits of shots: goals, saves, blocks, woodwork and misses; ``keeper`` names the other side's keeper at the shot.  Options and posteriors as in ``pass_credits``."""
+    v0, v1 = F.col("start").alias("_v0"), F.when(F.col("success"), 1.0).otherwise(F.col("end")).alias("_v1")
+    known = [key, "intent_id", "receiver_id", "success", "next_type", "woodwork", keeper]
+    if isinstance(options, str):
+        intended = F.explode(F.filter(options, lambda o: o["option"] == F.col("intent_id")))
+        rows = values.where("action_type = 'shot'").select("*", intended.alias("_o")).withColumn("option", F.col("_o.option"))
+        c = posteriors(rows).where("defender <> 'out'").select(*known, v0, v1, "option", "defender", "posterior", F.col("_o.success_p").alias("_p"), F.col("_o.s_score").alias("_xg"))
+    else:
+        v = values.where("action_type = 'shot'").select(*known, v0, v1)
+        o = options.select(key, F.col("option").alias("intent_id"), F.col("success_p").alias("_p"), F.col("s_score").alias("_xg"))
+        c = merged(merged(posteriors.where("defender <> 'out'")).join(merged(v), key).where("option = intent_id")).join(merged(o), [key, "intent_id"], "left")
     is_keeper = F.coalesce(F.col("defender") == F.col(keeper), F.lit(False))
     field = F.when(is_keeper, 0.0).otherwise(F.col("posterior"))
     c = c.withColumn("_q", F.try_divide(field, F.sum(field).over(W.partitionBy(key))))

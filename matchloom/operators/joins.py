@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the table, to be sorted rather than sent whole to every worker.
+
+    The size of rows unfolded from arrays is guessed as that of the rows that they come from, so that without this the larger side may be broadcast through the driver.
+    """
+    return side.hint("merge")
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], mode: str = "backward", strict: bool = False, prefix: str = "") -> DataFrame:
     """Left rows with the right row nearest before ("backward") or after ("forward") them within ``by``.
 
