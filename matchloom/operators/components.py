@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions.vocab import RESTARTS, SHOT_OUT_SHARE
+from .joins import merged
 
 #: A shot's chance of being blocked is estimated only above this expected goal.  Fixed value.
 LEAST_CHANCE = 0.01
@@ -97,12 +99,19 @@ def tabular_set(features: DataFrame, actions: DataFrame, key: str, touch: Column
     return flags.join(features, key, "left")
 
 
-def graph_to_table(nodes: DataFrame, labels: DataFrame, key: str, names: list[str], padding: float = -1.0) -> DataFrame:
-    """Possessor node and intent node side by side, ``padding`` where either is missing; ``labels`` has the key and intent_index, counted from 0."""
+def graph_to_table(nodes: DataFrame | str, labels: DataFrame, key: str, names: list[str], padding: float = -1.0) -> DataFrame:
+    """Possessor node and intent node side by side, ``padding`` where either is missing; ``labels`` has the key and intent_index, counted from 0.
+
+    ``nodes`` is a long table, or the name of a column of ``labels`` that holds them as an array; then nothing is joined or shuffled.
+    """
     pad = lambda c, to: F.coalesce(F.col(c).cast("double"), F.lit(padding)).alias(to)
+    if isinstance(nodes, str):
+        first = lambda keep: F.array_min(F.transform(F.filter(nodes, keep), lambda n: F.struct(n["ordinal"], *[n[c].alias(c) for c in names])))
+        out = G.held(labels, _p=first(lambda n: n["possessor"] == 1), _i=first(lambda n: n["ordinal"] - 1 == F.col("intent_index")))
+        return out.select(key, *[pad(f"_p.{n}", f"poss_{n}") for n in names], *[pad(f"_i.{n}", f"intent_{n}") for n in names])
     poss = nodes.where("possessor = 1").groupBy(key).agg(F.min_by(F.struct(*names), "ordinal").alias("_p"))
     intent = nodes.select(F.col(key), (F.col("ordinal") - 1).alias("intent_index"), F.struct(*names).alias("_i"))
-    out = labels.join(poss, key, "left").join(intent, [key, "intent_index"], "left")
+    out = merged(merged(labels).join(merged(poss), key, "left")).join(merged(intent), [key, "intent_index"], "left")
     return out.select(key, *[pad(f"_p.{n}", f"poss_{n}") for n in names], *[pad(f"_i.{n}", f"intent_{n}") for n in names])
 
 

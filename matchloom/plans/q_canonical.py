@@ -460,8 +460,9 @@ def tabular_flags(spark, d):
 def graph_rows(spark, d):
     """Possessor and intent node of each graph in a row."""
     s = arrays(spark, d)
-    nodes = s.select("event_id", "object_id", F.explode("players").alias("n")).select("event_id", "n.ordinal", (F.col("n.object_id") == F.col("object_id")).cast("double").alias("possessor"), "n.x", "n.y")
-    return C.graph_to_table(nodes, s.select("event_id", (F.col("k") % 30).cast("int").alias("intent_index")), "event_id", ["x", "y"])
+    nodes = F.transform("players", lambda n: F.struct(n["ordinal"].alias("ordinal"), (n["object_id"] == F.col("object_id")).cast("double").alias("possessor"), n["x"].alias("x"), n["y"].alias("y")))
+    s = G.held(s.withColumn("intent_index", (F.col("k") % 30).cast("int")), nodes=nodes)
+    return C.graph_to_table("nodes", s, "event_id", ["x", "y"])
 
 
 @query("m17_position_error", with_actions(f"SELECT spadl_type, {R6.format('avg(sqrt((start_x - end_x) * (start_x - end_x) + (start_y - end_y) * (start_y - end_y)))')} AS error, count(*) AS n FROM a GROUP BY spadl_type"))
