@@ -72,9 +72,9 @@ def kickoffs(events: DataFrame, tracking: DataFrame, fps: int) -> DataFrame:
     """
     first = events.groupBy(*PERIOD).agg(F.min_by(F.struct("action_id", "spadl_type", "object_id"), "action_id").alias("_e")).select(*PERIOD, F.col("_e.action_id").alias("first_action"), F.col("_e.spadl_type").alias("_type"), F.col("_e.object_id").alias("_kicker"))
     start = tracking.groupBy(*PERIOD).agg(F.min("frame_id").alias("start_frame"))
-    first = first.join(start, PERIOD)
+    first = J.merged(first).join(J.merged(start), PERIOD)
     middle = (F.abs(F.col("x") - V.PITCH_X / 2) <= 5) & (F.abs(F.col("y") - V.PITCH_Y / 2) <= 5)
-    opening = tracking.join(first, PERIOD).where((F.col("frame_id") - F.col("start_frame")).between(0, fps * V.WINDOW_KICKOFF - 1))
+    opening = J.merged(tracking).join(J.merged(first), PERIOD).where((F.col("frame_id") - F.col("start_frame")).between(0, fps * V.WINDOW_KICKOFF - 1))
     own = F.substring_index("object_id", "_", 1) == F.substring_index("_kicker", "_", 1)
     crowd = opening.where((F.col("frame_id") == F.col("start_frame")) & own & middle).groupBy(*PERIOD).agg(F.count("*").alias("_crowd"))
     central = (F.abs(F.col("x") - V.PITCH_X / 2) <= 3) & (F.abs(F.col("y") - V.PITCH_Y / 2) <= 3)
@@ -83,11 +83,11 @@ def kickoffs(events: DataFrame, tracking: DataFrame, fps: int) -> DataFrame:
     run = run.withColumn("_first", F.min("_run").over(W.partitionBy(*PERIOD))).where("_run = _first")
     run = run.select(*PERIOD, "frame_id", F.col("x").alias("ball_x"), F.col("y").alias("ball_y"), known("accel").alias("ball_accel"))
     kicker = opening.where("object_id = _kicker AND _type = 'pass'").select(*PERIOD, "frame_id", "x", "y", "utc")
-    both = run.join(kicker, [*PERIOD, "frame_id"]).withColumn("_gap", gap("x", "y", "ball_x", "ball_y"))
+    both = J.merged(run).join(J.merged(kicker), [*PERIOD, "frame_id"]).withColumn("_gap", gap("x", "y", "ball_x", "ball_y"))
     rank = F.struct(F.col("_gap") >= 2, F.when(F.col("_gap") < 2, -F.coalesce("ball_accel", F.lit(float("-inf")))).otherwise(F.col("_gap")), F.col("frame_id"))
     kick = both.groupBy(*PERIOD).agg(F.min_by(F.struct("frame_id", "utc"), rank).alias("_kick"))
     seen = F.coalesce("_crowd", F.lit(0)) <= 1
-    return first.join(crowd, PERIOD, "left").join(kick, PERIOD, "left").select(*PERIOD, "first_action", "start_frame", F.when(seen, F.col("_kick.frame_id")).alias("kick_frame"), F.when(seen, F.col("_kick.utc")).alias("kick_utc"))
+    return J.merged(J.merged(first).join(J.merged(crowd), PERIOD, "left")).join(J.merged(kick), PERIOD, "left").select(*PERIOD, "first_action", "start_frame", F.when(seen, F.col("_kick.frame_id")).alias("kick_frame"), F.when(seen, F.col("_kick.utc")).alias("kick_utc"))
 
 
 def considered(events: DataFrame, frames: DataFrame, tracking: DataFrame, fps: int) -> DataFrame:
@@ -98,7 +98,8 @@ def considered(events: DataFrame, frames: DataFrame, tracking: DataFrame, fps: i
     at = J.nearest(events, frames, ["match_id"], "utc", ["frame_id"]).where("frame_id IS NOT NULL")
     spans = at.select(*PERIOD, "action_id", "kind", "object_id", "start_x", "start_y", (F.col("frame_id") - fps * F.col("seconds") + 1).alias("_low"), (F.col("frame_id") + fps * F.col("seconds") - 1).alias("_high"))
     points = tracking.select("match_id", "object_id", "frame_id", "x", "y")
-    met = J.within(points, spans, ["match_id", "object_id"], "frame_id", "_low", "_high").join(balls(tracking).drop("period_id"), ["match_id", "frame_id"])
+    met = J.within(J.merged(points), J.merged(spans), ["match_id", "object_id"], "frame_id", "_low", "_high")
+    met = J.merged(met).join(J.merged(balls(tracking).drop("period_id")), ["match_id", "frame_id"])
     met = met.withColumns({"player_ball": gap("x", "y", "ball_x", "ball_y"), "player_event": gap("x", "y", "start_x", "start_y"), "ball_event": gap("ball_x", "ball_y", "start_x", "start_y")})
     return met.where(mask(F.col("kind"))).select(*PERIOD, "action_id", "frame_id", F.coalesce(plain_score(), F.lit(0.0)).alias("score"))
 
@@ -128,20 +129,21 @@ def synced(events: DataFrame, tracking: DataFrame, fps: int = V.FPS) -> DataFram
     frames = tracking.groupBy("match_id", "frame_id").agg(F.min("utc").alias("utc"))
     kicks = kickoffs(events, tracking, fps)
     place = F.row_number().over(W.partitionBy(*PERIOD).orderBy("action_id"))
-    marked = events.withColumn("_place", place).join(kicks, PERIOD, "left")
+    marked = J.merged(events.withColumn("_place", place)).join(J.merged(kicks), PERIOD, "left")
     second = marked.where("_place = 2 AND kick_frame IS NULL AND start_frame IS NOT NULL").withColumns({"kind": F.lit("pass_like"), "seconds": F.lit(V.WINDOW_KICKOFF)})
     best = considered(second.select(*events.columns, "kind", "seconds"), frames, tracking, fps).groupBy(*PERIOD).agg(F.min_by("frame_id", F.struct(-F.col("score"), "frame_id")).alias("frame_id"))
-    guess = best.join(frames.select("match_id", "frame_id", F.col("utc").alias("_guess")), ["match_id", "frame_id"]).drop("frame_id")
+    guess = J.merged(best).join(J.merged(frames.select("match_id", "frame_id", F.col("utc").alias("_guess"))), ["match_id", "frame_id"]).drop("frame_id")
     setter = F.when(F.col("kick_frame").isNotNull() & (F.col("_place") == 1), F.col("utc") - F.col("kick_utc")).when(F.col("kick_frame").isNull() & (F.col("_place") == 2), F.col("utc") - F.col("_guess"))
     offset = F.coalesce(F.max(setter).over(W.partitionBy(*PERIOD)), F.lit(0.0))
-    moved = marked.join(guess, PERIOD, "left").withColumn("utc", F.col("utc") - offset)
+    moved = J.merged(marked).join(J.merged(guess), PERIOD, "left").withColumn("utc", F.col("utc") - offset)
     kind = kind_of(F.col("spadl_type"))
     asked = moved.where("_place > 1").withColumns({"kind": kind, "seconds": seconds_of(kind)}).where("kind IS NOT NULL")
     options = considered(asked.select(*events.columns, "kind", "seconds"), frames, tracking, fps)
     option = F.struct("frame_id", "score")
     every = options.select(*PERIOD, "action_id", option.alias("o")).unionByName(events.select(*PERIOD, "action_id", F.lit(None).cast("struct<frame_id:bigint,score:double>").alias("o")))
     per_event = every.groupBy(*PERIOD, "action_id").agg(F.collect_list("o").alias("options"))
-    per_period = per_event.groupBy(*PERIOD).agg(F.sort_array(F.collect_list(F.struct("action_id", "options"))).alias("_events")).join(kicks, PERIOD, "left")
+    per_period = per_event.groupBy(*PERIOD).agg(F.sort_array(F.collect_list(F.struct("action_id", "options"))).alias("_events"))
+    per_period = J.merged(per_period).join(J.merged(kicks), PERIOD, "left")
     first_frame = F.coalesce("kick_frame", "start_frame")
     found = per_period.select(*PERIOD, "first_action", first_frame.alias("_first"), F.inline(in_turn(F.col("_events"), first_frame)))
     return found.select(*PERIOD, "action_id", F.when(F.col("action_id") == F.col("first_action"), F.col("_first")).otherwise(F.col("frame_id")).alias("frame_id"))
