@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import FPS, PITCH_X, PITCH_Y
 from . import kernels
-from .joins import within
+from .joins import merged, within
 
 KINEMATICS = "match_id long, period_id int, object_id string, frame_id long, x double, y double, vx double, vy double, speed double, accel double, accel_v double"
 
@@ -209,30 +208,44 @@ def frame_actions(frames: DataFrame, possessors: DataFrame) -> DataFrame:
 def shot_anomalies(shots: DataFrame, ball: DataFrame) -> DataFrame:
     """(match_id, action_id, anomaly, woodwork) of shots (frame_id, receive_frame_id) from ball places (match_id, frame_id, x, y).
 
-    The join is bounded by each shot's own frames; the path is simplified per shot.
+    The join is bounded by each shot's own frames; a shot's path is gathered to one row, so that shots go through the kernel in batches.
     """
     path = shots.select("match_id", "action_id", F.col("frame_id").alias("_a"), F.col("receive_frame_id").alias("_b"))
-    path = within(ball.select("match_id", "frame_id", "x", "y"), path, ["match_id"], "frame_id", "_a", "_b")
+    path = within(merged(ball.select("match_id", "frame_id", "x", "y")), merged(path), ["match_id"], "frame_id", "_a", "_b")
+    places = F.struct("frame_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    path = path.groupBy("match_id", "action_id").agg(F.sort_array(F.collect_list(places)).alias("_p"), F.first(F.col("_b") - F.col("_a")).alias("frames"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_id")
-        odd, wood = kernels.shot_anomaly(rows[["x", "y"]].to_numpy(float), int(rows["_b"].iloc[0] - rows["_a"].iloc[0]))
-        return pd.DataFrame({"match_id": rows["match_id"].iloc[:1], "action_id": rows["action_id"].iloc[:1], "anomaly": [odd], "woodwork": [wood]})
-
-    found = path.groupBy("match_id", "action_id").applyInPandas(run, "match_id long, action_id long, anomaly boolean, woodwork boolean")
-    out = shots.select("match_id", "action_id").join(found, ["match_id", "action_id"], "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            ends = (x.offsets.to_numpy() - x.offsets[0].as_py()).tolist()
+            at = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in (x, y)], -1)
+            found = [kernels.shot_anomaly(at[i:j], n) for i, j, n in zip(ends[:-1], ends[1:], batch.column("frames").to_pylist(), strict=True)]
+            odd, wood = (pa.array([f[i] for f in found], pa.bool_()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("action_id"), odd, wood], ["match_id", "action_id", "anomaly", "woodwork"])
+
+    paths = path.select("match_id", "action_id", "frames", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    found = paths.mapInArrow(run, "match_id long, action_id long, anomaly boolean, woodwork boolean")
+    out = merged(shots.select("match_id", "action_id")).join(merged(found), ["match_id", "action_id"], "left")
     return out.na.fill(False, ["anomaly", "woodwork"])
 
 
 def delaunay(snapshots: DataFrame, key: str = "event_id") -> DataFrame:
     """Edges (source, target) of the triangulation of each snapshot's players, in batches of rows."""
 
-    def run(batches):
-        for rows in batches:
-            out = []
-            for k, players in zip(rows[key], rows["players"], strict=True):
-                at = np.array([[p["x"], p["y"]] for p in players], float)
-                out += [(k, players[i]["ordinal"], players[j]["ordinal"]) for i, j in kernels.delaunay_edges(at)]
-            yield pd.DataFrame(out, columns=[key, "source", "target"])
-
-    return snapshots.select(key, "players").mapInPandas(run, f"{key} long, source int, target int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordinals, x, y = (batch.column(c) for c in ("ordinal", "x", "y"))
+            ends = (ordinals.offsets.to_numpy() - ordinals.offsets[0].as_py()).tolist()
+            names, at = ordinals.flatten().to_numpy(zero_copy_only=False), np.stack([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in (x, y)], -1)
+            for first in range(0, batch.num_rows, 1000):
+                edges, rows = [], []
+                for i in range(first, min(first + 1000, batch.num_rows)):
+                    found = kernels.delaunay_edges(at[ends[i] : ends[i + 1]])
+                    edges.append(np.array(found, int).reshape(-1, 2) + ends[i])
+                    rows.append(np.full(len(found), i))
+                ij = names[np.concatenate(edges)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(ij[:, 0]), pa.array(ij[:, 1])], [key, "source", "target"])
+
+    nodes = [F.col(f"players.{c}").alias(c) for c in ("ordinal", "x", "y")]
+    return snapshots.select(key, *nodes).mapInArrow(run, f"{key} long, source int, target int")
