@@ -71,8 +71,12 @@ def credit_rule() -> Column:
 
 
 def snapshot_values(components: DataFrame, key: str, options: DataFrame) -> DataFrame:
-    """Values of the attacking side's options at a snapshot: both outcomes, their mean by success, and what success gains."""
-    c = components.join(options, [key, "option"], "left_semi")
+    """Values of the attacking side's options at a snapshot: both outcomes, their mean by success, and what success gains.
+
+    Options are gathered to one row a key, so that both sides meet by the key alone: where they are partitioned by it already, nothing is shuffled.
+    """
+    there = options.groupBy(key).agg(F.collect_set("option").alias("_there"))
+    c = merged(components).join(merged(there), key).where(F.array_contains("_there", F.col("option")))
     good, bad = F.col("s_score") - F.col("s_concede"), F.col("f_score") - F.col("f_concede")
     return c.select(key, "option", "select_p", "success_p", good.alias("s_value"), bad.alias("f_value"), (F.col("success_p") * good + (1 - F.col("success_p")) * bad).alias("option_value"), (good - bad).alias("advantage"))
 

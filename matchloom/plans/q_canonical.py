@@ -424,7 +424,7 @@ def credit_rules(spark, d):
 @query("c13_snapshot_values", with_actions(PASSES + f"SELECT event_id, option, {R6.format('s_score - s_concede')} AS s_value, {R6.format('f_score - f_concede')} AS f_value, {R6.format('success_p * (s_score - s_concede) + (1 - success_p) * (f_score - f_concede)')} AS option_value, {R6.format('(s_score - s_concede) - (f_score - f_concede)')} AS advantage FROM po WHERE option NOT LIKE '%\\_5' ESCAPE '\\'"))
 def snapshot_values(spark, d):
     """Values of every option at a snapshot."""
-    a = lens.raw_actions(spark, d)
+    a = lens.spread(lens.raw_actions(spark, d))
     p = passes(a).withColumn("select_p", F.lit(0.1))
     there = a.select("event_id", F.explode(F.sequence(F.lit(2), F.lit(11))).alias("_j"), "team").where("_j <> 5").select("event_id", F.concat_ws("_", "team", F.col("_j").cast("string")).alias("option"))
     out = C.snapshot_values(p, "event_id", there)
