@@ -145,3 +145,65 @@ def test_f10_shots_go_through_the_kernel_in_batches(spark):
         want[i] = tuple(map(bool, K.shot_anomaly(at[:51], 50)))
     got = T.shot_anomalies(spark.createDataFrame(shots, "match_id long, action_id long, frame_id long, receive_frame_id long"), spark.createDataFrame(ball, "match_id long, frame_id long, x double, y double"))
     assert {q.action_id: (q.anomaly, q.woodwork) for q in got.collect()} == want and len(set(want.values())) > 1
+
+
+def test_f21_snapshots_without_lambdas_over_numbers(spark):
+    """Players are written out, and graphs are made as arrays: neither is interpreted value by value."""
+    from matchloom.plans import lens, q_networks
+
+    a = lens.raw_actions(spark, DIR)
+    assert "lambda" not in plan(a.select(lens.players().alias("players")))
+    made = plan(q_networks.graphs(spark, DIR))
+    assert "flatten" not in made and "MapInArrow" in made
+
+
+def test_f27_snapshot_values_are_dealt_out_once(spark):
+    """Both sides come from rows dealt out by their key, so nothing unfolded is shuffled."""
+    from matchloom.operators import components
+
+    text = plan(entry_points.queries()["c13_snapshot_values"](spark, DIR))
+    assert "option#" not in "".join(line for line in text.splitlines() if "Exchange" in line)
+    c = spark.createDataFrame([(1, "a", 0.1, 0.5, 0.4, 0.1, 0.2, 0.1), (1, "b", 0.1, 0.5, 0.4, 0.1, 0.2, 0.1), (2, "a", 0.1, 0.5, 0.4, 0.1, 0.2, 0.1)], "k long, option string, select_p double, success_p double, s_score double, s_concede double, f_score double, f_concede double")
+    there = spark.createDataFrame([(1, "b"), (1, "b"), (3, "a")], "k long, option string")
+    assert [(r.k, r.option) for r in components.snapshot_values(c, "k", there).collect()] == [(1, "b")]
+
+
+def test_f20_possessions_touch_few_buckets(spark):
+    """Long possessions are dealt to buckets as long as they are; the bucket's length changes no result."""
+    from matchloom.operators import tracking
+
+    assert "/ 200000" in plan(entry_points.queries()["n32_possession_view"](spark, DIR))
+    frames = spark.createDataFrame([(1, f, "home_1" if f % 2 else "ball", float(f), 1.0) for f in range(0, 3000, 7)], "match_id long, frame_id long, object_id string, x double, y double")
+    spans = spark.createDataFrame([(1, 1, "home", False, 0, 900), (1, 2, "away", True, 499, 2600)], "match_id long, possession_id long, team string, right_to_left boolean, frame_start long, frame_end long")
+    few = rows(tracking.possession_view(frames, spans))
+    assert len(few) > 400 and few == rows(tracking.possession_view(frames, spans, 2000)) == rows(tracking.possession_view(frames, spans, 10))
+
+
+def test_f19_destinations_without_rows_for_players(spark):
+    """Cells come out of arrays: no row a cell and player, no shuffle after the rows are dealt out; sides without players and unknown possessors give nulls."""
+    from matchloom.functions import geometry as G
+    from matchloom.operators import features as X
+
+    text = plan(entry_points.queries()["g18_destination_features"](spark, DIR))
+    assert text.count("Exchange") == 1 and "Aggregate" not in text
+    player = lambda o, name, team, x, y, goal=False: (o, name, team, False, goal, x, y, 0.0, 0.0, 0.0)
+    data = [
+        (1, "home", "home_1", [player(1, "home_1", "home", 10.0, 10.0), player(2, "home_2", "home", 50.0, 30.0), player(12, "away_1", "away", 90.0, 60.0), player(13, "away_2", "away", None, 1.0)]),
+        (2, "away", "nobody", [player(1, "home_1", "home", 10.0, 10.0), player(24, "away_goal", "away", 0.0, 34.0, True)]),
+        (3, "home", "home_1", [player(24, "away_goal", "away", 0.0, 34.0, True)]),
+        (4, "home", "home_1", []),
+    ]
+    kind = "array<struct<ordinal int, object_id string, team string, keeper boolean, goal boolean, x double, y double, vx double, vy double, accel double>>".replace(" ", ":").replace(",:", ",")
+    s = X.oriented(spark.createDataFrame(data, f"event_id long, team string, object_id string, players {kind}"))
+    got = {(r.event_id, r.cell): r for r in X.destination_features(s, 12, 8).collect()}
+    assert {e for e, _ in got} == {1, 2} and len(got) == 192
+    flat = s.where("event_id < 3").select("event_id", "poss", F.explode(G.grid_cells(12, 8)).alias("c"), "players").select("event_id", "poss", "c", F.explode(F.filter("players", lambda q: ~q["goal"])).alias("o"))
+    c, o, p = F.col("c"), F.col("o"), F.col("poss")
+    gap, lane = G.distance(c["x"], c["y"], o["x"], o["y"]), G.segment_distance(p["x"], p["y"], c["x"], c["y"], o["x"], o["y"])
+    want = flat.groupBy("event_id", "c", "poss").agg(F.min(F.when(o["teammate"], gap)).alias("m"), F.min(F.when(~o["teammate"], gap)).alias("r"), F.min(F.when(~o["teammate"] & p.isNotNull(), lane)).alias("l")).collect()
+    assert len(want) == 192
+    for w in want:
+        r = got[w.event_id, w.c.cell]
+        offset = (None, None) if w.poss is None else (w.c.x - w.poss.x, w.c.y - w.poss.y)
+        for a, b in zip((r.x, r.y, r.dx, r.dy, r.nearest_teammate, r.nearest_opponent, r.lane_opponent), (w.c.x, w.c.y, *offset, w.m, w.r, w.l), strict=True):
+            assert a == (None if b is None else pytest.approx(b, abs=1e-9))
