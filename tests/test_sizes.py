@@ -207,3 +207,16 @@ def test_f19_destinations_without_rows_for_players(spark):
         offset = (None, None) if w.poss is None else (w.c.x - w.poss.x, w.c.y - w.poss.y)
         for a, b in zip((r.x, r.y, r.dx, r.dy, r.nearest_teammate, r.nearest_opponent, r.lane_opponent), (w.c.x, w.c.y, *offset, w.m, w.r, w.l), strict=True):
             assert a == (None if b is None else pytest.approx(b, abs=1e-9))
+
+
+def test_f14_ways_are_told_once_a_leg(spark):
+    """Ways of drawn objects are worked out before their legs are cut into frames, so that a frame only goes along."""
+    from matchloom.plans import q_tracking
+
+    _, tracking = q_tracking.drawn(spark, DIR)
+    text = plan(tracking)
+    assert 0 < text.index("Generate explode") < text.index("Generate inline") < text.index("POWER")
+    few = tracking.where("frame_id < 200").groupBy("match_id", "frame_id").agg(F.collect_set("object_id").alias("who"), F.count("*").alias("n"), F.sum(F.when(F.col("object_id") == "ball", F.col("z"))).alias("z"), F.max("accel_v").alias("sharp")).collect()
+    assert few and all(r.n == len(r.who) == 1 + 2 * q_tracking.SIDE for r in few)
+    step = lambda r: (r.frame_id - 10) % q_tracking.APART
+    assert all(r.sharp == (15.0 if step(r) == 0 else 0.0) and r.z == pytest.approx(4 * step(r) / q_tracking.APART * (1 - step(r) / q_tracking.APART)) for r in few)
