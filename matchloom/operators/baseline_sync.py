@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..sources.scratch import dealt_once
 from . import joins as J
 from .sync import score_column
 
@@ -124,6 +125,8 @@ def synced(events: DataFrame, tracking: DataFrame, fps: int = V.FPS) -> DataFram
     ``events``: match_id, period_id, action_id (long, once a match), spadl_type, object_id, start_x, start_y, utc (seconds); ``tracking``: match_id, period_id, frame_id (long), object_id or
     ``ball``, utc, x, y, z, accel (scalar).  The clock of a period is set by its kickoff; without one its first event takes the first frame and the clock is set by the second event, or left as it is
     if that has no frame either.  A period without tracking gets nulls.
+
+    Everything is joined within matches, so tracking that is dealt out by match stays there; for that the job runs here and its result is a checkpoint.
     """
     events = events.select(*PERIOD, "action_id", "spadl_type", "object_id", "start_x", "start_y", "utc")
     frames = tracking.groupBy("match_id", "frame_id").agg(F.min("utc").alias("utc"))
@@ -146,4 +149,4 @@ def synced(events: DataFrame, tracking: DataFrame, fps: int = V.FPS) -> DataFram
     per_period = J.merged(per_period).join(J.merged(kicks), PERIOD, "left")
     first_frame = F.coalesce("kick_frame", "start_frame")
     found = per_period.select(*PERIOD, "first_action", first_frame.alias("_first"), F.inline(in_turn(F.col("_events"), first_frame)))
-    return found.select(*PERIOD, "action_id", F.when(F.col("action_id") == F.col("first_action"), F.col("_first")).otherwise(F.col("frame_id")).alias("frame_id"))
+    return dealt_once(found.select(*PERIOD, "action_id", F.when(F.col("action_id") == F.col("first_action"), F.col("_first")).otherwise(F.col("frame_id")).alias("frame_id")))
